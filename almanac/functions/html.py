@@ -7,13 +7,18 @@ or shuffle is needed to look inside a page.  Only building that array runs in Py
 """
 from __future__ import annotations
 
+import sys
 from hashlib import blake2b
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
-from almanac.functions.text import strip
+from almanac.functions.text import replace_all, strip
+
+# Workers get the parser along with the job, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: the one media type that marks structured data, compared exactly.
 JSONLD_TYPE = "application/ld+json"
@@ -39,9 +44,7 @@ def jsonld_blocks(html: Column) -> Column:
 
 def repair_entities(block: Column) -> Column:
     """H2: undo the entities that sites wrongly put into scripts."""
-    for wrong, right in ENTITY_REPAIRS:
-        block = F.replace(block, F.lit(wrong), F.lit(right))
-    return block
+    return replace_all(block, ENTITY_REPAIRS)
 
 
 # Elements that never hold content.
@@ -232,7 +235,12 @@ def anchors(nodes: Column, within: Column | None = None) -> Column:
     )
 
 
+# The entities that matter in titles; the ampersand comes last.
+_TITLE_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+
+
 def title(html: Column) -> Column:
-    """H8: text of the first title element, 'Unknown' when there is none."""
-    raw = F.regexp_extract(html, r"(?is)<title(?=[\s>])[^>]*+>(.*?)</title", 1)
-    return F.when(html.rlike(r"(?i)<title[\s>]"), strip(raw)).otherwise("Unknown")
+    """H8: text of the first title element with white space run together, 'Unknown' when there is none."""
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<title(?=[\s>])[^>]*+>(.*?)</title"), F.lit(1))
+    text = replace_all(F.try_element_at(found, F.lit(1)), _TITLE_ENTITIES)
+    return F.coalesce(strip(F.regexp_replace(text, r"\s+", " ")), F.lit("Unknown"))

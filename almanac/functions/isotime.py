@@ -11,7 +11,7 @@ from zoneinfo import available_timezones
 
 from pyspark.sql import Column, functions as F
 
-from almanac.functions.text import non_empty, strip
+from almanac.functions.text import bind, non_empty, strip
 
 _DATE = r"(?:(\d{4})-(\d{2})-(\d{2})|(\d{4})(\d{2})(\d{2}))"
 _CLOCK = r"(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
@@ -34,11 +34,6 @@ def zone_names() -> list[str]:
     return sorted(available_timezones() - _NOT_IN_JAVA)
 
 
-def bind(value: Column, fn) -> Column:
-    """Evaluate ``value`` once and hand it to ``fn`` (a one-element transform acts as a let)."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def _two(text: Column) -> Column:
     return F.lpad(text, 2, "0")
 
@@ -63,22 +58,23 @@ def split_iso(value: Column) -> Column:
         return F.coalesce(non_empty(group(n)), F.lit("00"))
 
     raw = F.struct(
-        _valid_day(either(1, 4), either(2, 5), either(3, 6)).alias("day"),
+        F.concat_ws("-", either(1, 4), either(2, 5), either(3, 6)).alias("day"),
         F.concat_ws(":", part(7), part(8), part(9)).alias("clock"),
         F.rpad(F.substring(group(10), 1, 6), 6, "0").alias("micros"),
-        _offset_text(group(11)).alias("offset"),
+        bind(group(11), _offset_text).alias("offset"),
     )
 
     def check(r: Column) -> Column:
         good = (
-            r["day"].isNotNull()
+            (r["day"] >= "0001")
+            & F.try_to_date(r["day"], "yyyy-MM-dd").isNotNull()
             & r["clock"].rlike(r"^(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d$")
             & r["offset"].isNotNull()
         )
         return F.when(
             good,
             F.struct(
-                F.to_timestamp_ntz(F.concat(r["day"].cast("string"), F.lit(" "), r["clock"])).alias("local"),
+                F.to_timestamp_ntz(F.concat(r["day"], F.lit(" "), r["clock"])).alias("local"),
                 r["micros"].alias("micros"),
                 r["offset"].alias("offset"),
             ),
@@ -137,17 +133,21 @@ def normalise(value: Column, zone: Column | None = None, end: Column | bool = Fa
     """
     end = F.lit(end) if isinstance(end, bool) else end
 
+    clock = F.when(end, " 23:59:59").otherwise(" 00:00:00")
+
     def day_only(v: Column) -> Column:
-        day = _valid_day(*[F.regexp_replace(F.regexp_extract(v, _DAY_ONLY, n), "^0+(?=.)", "") for n in (1, 2, 3)])
-        clock = F.when(end, " 23:59:59").otherwise(" 00:00:00")
-        return F.when(
+        numbers = F.struct(*[
+            F.regexp_replace(F.regexp_extract(v, _DAY_ONLY, n), "^0+(?=.)", "").alias(name)
+            for n, name in ((1, "y"), (2, "m"), (3, "d"))
+        ])
+        return bind(bind(numbers, lambda n: _valid_day(n["y"], n["m"], n["d"])), lambda day: F.when(
             day.isNotNull(),
             F.struct(
                 F.to_timestamp_ntz(F.concat(day.cast("string"), clock)).alias("local"),
                 F.lit("").alias("micros"),
                 F.lit("").alias("offset"),
             ),
-        )
+        ))
 
     def show(p: Column) -> Column:
         if zone is None:
@@ -160,8 +160,8 @@ def normalise(value: Column, zone: Column | None = None, end: Column | bool = Fa
             )
         return show_iso(p["local"], p["micros"], F.when(p["offset"] != "", p["offset"]).otherwise(missing))
 
-    read = F.when(value.contains("T"), split_iso(value)).otherwise(day_only(value))
-    return F.when(value != "", bind(read, show))
+    read = bind(value, lambda v: F.when(v.contains("T"), split_iso(v)).when(v != "", day_only(v)))
+    return bind(read, lambda p: F.when(p.isNotNull(), show(p)))
 
 
 def unreadable(value: Column, normalised: Column) -> Column:
@@ -172,7 +172,7 @@ def unreadable(value: Column, normalised: Column) -> Column:
 def duration_seconds(text: Column) -> Column:
     """Whole seconds of ``PT<n>S``; NULL for every other form."""
     digits = F.replace(F.replace(text, F.lit("PT"), F.lit("")), F.lit("S"), F.lit(""))
-    return F.when(digits.rlike(_WHOLE_NUMBER), strip(digits).try_cast("bigint"))
+    return bind(digits, lambda d: F.when(d.rlike(_WHOLE_NUMBER), strip(d).try_cast("bigint")))
 
 
 def counts_seconds(text: Column) -> Column:
@@ -182,11 +182,14 @@ def counts_seconds(text: Column) -> Column:
 
 def add_seconds(start: Column, seconds: Column) -> Column:
     """Wall-clock text ``seconds`` after ``start``.  ``+00:00`` is cut from the start, any other offset is lost."""
-    local = split_iso(F.replace(start, F.lit("+00:00"), F.lit("")))
+    def show(moved: Column) -> Column:
+        on_calendar = F.year(moved).between(1, 9999)
+        return F.when(on_calendar, F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss"))
+
     # more than ten thousand years leave the calendar from any start; the bound keeps the interval in range
-    in_range = F.abs(seconds) < 400_000_000_000
-    moved = local["local"] + F.make_dt_interval(secs=F.when(in_range, seconds).cast("decimal(18,6)"))
-    return F.when((F.year(moved) >= 1) & (F.year(moved) <= 9999), F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss"))
+    step = bind(seconds, lambda n: F.make_dt_interval(secs=F.when(F.abs(n) < 400_000_000_000, n).cast("decimal(18,6)")))
+    cut = F.replace(start, F.lit("+00:00"), F.lit(""))
+    return bind(bind(cut, split_iso)["local"] + step, show)
 
 
 def local_time(iso: Column) -> Column:

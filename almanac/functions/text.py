@@ -30,6 +30,14 @@ _WORDS = MONTHS + MONTH_ABBREVIATIONS + WEEKDAYS + WEEKDAY_ABBREVIATIONS
 DATE_PATTERN = "(?iU)" + "|".join(DATE_SHAPES + [r"\b(?:" + "|".join(_WORDS) + r")\b"])
 
 
+def bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn``: a one-element transform serves as a let.
+
+    Without it an expression that uses its argument several times is copied at every level of nesting.
+    """
+    return F.transform(F.array(value), fn)[0]
+
+
 def strip(col: Column) -> Column:
     """Remove Unicode white space at both ends (``trim`` alone removes spaces only)."""
     return F.btrim(col, F.lit(WHITE_SPACE))

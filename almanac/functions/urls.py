@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from almanac.functions.text import MONTHS, non_empty
+from almanac.functions.text import MONTHS, bind, non_empty
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AFTER_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
@@ -31,11 +31,17 @@ def _tidy(url: Column) -> Column:
 
 
 def _parts(url: Column) -> Column:
-    rest = F.regexp_replace(url, _SCHEME, "")
+    def cut(u: Column) -> Column:
+        return F.struct(F.lower(F.regexp_extract(u, _SCHEME, 1)).alias("scheme"), F.regexp_replace(u, _SCHEME, "").alias("rest"))
+
+    return bind(bind(_tidy(url), cut), _pieces)
+
+
+def _pieces(cut: Column) -> Column:
+    rest = cut["rest"]
     return F.struct(
-        F.lower(F.regexp_extract(url, _SCHEME, 1)).alias("scheme"),
+        cut["scheme"].alias("scheme"),
         F.regexp_extract(rest, r"^//([^/?#]*)", 1).alias("authority"),
-        rest.startswith("//").alias("rooted"),
         F.regexp_extract(rest, r"^(?://[^/?#]*)?([^?#]*)", 1).alias("path"),
         F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1).alias("query"),
         F.regexp_extract(rest, r"^[^#]*#(?s:(.*))$", 1).alias("fragment"),
@@ -73,30 +79,25 @@ def _assemble(scheme: Column, authority: Column, path: Column, query: Column, fr
     )
 
 
-def _bind(value: Column, fn) -> Column:
-    """Evaluate ``value`` once and hand it to ``fn``: a one-element transform acts as a let."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def resolve(base: Column, ref: Column) -> Column:
     """H6: absolute form of ``ref`` as seen from the page ``base`` (RFC 3986 reference resolution)."""
 
     def joined(p: Column) -> Column:
         b, r = p["b"], p["r"]
-        base_dir = F.split(b["path"], "/")
-        base_dir = F.when(
-            F.element_at(base_dir, -1) != "", F.slice(base_dir, 1, F.greatest(F.size(base_dir) - 1, F.lit(0)))
-        ).otherwise(base_dir)
+        def without_file(parts: Column) -> Column:
+            return F.when(F.element_at(parts, -1) != "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+        def without_gaps(parts: Column) -> Column:
+            # empty segments between the first and the last vanish when a relative path is appended
+            middle = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda s: s != "")
+            return F.when(F.size(parts) < 2, parts).otherwise(
+                F.concat(F.slice(parts, 1, 1), middle, F.slice(parts, -1, 1))
+            )
+
         own = F.split(r["path"], "/")
-        both = F.concat(base_dir, own)
-        # empty segments between the first and the last vanish when a relative path is appended
-        middle = F.filter(F.slice(both, 2, F.greatest(F.size(both) - 2, F.lit(0))), lambda s: s != "")
-        both = F.when(
-            F.size(both) < 2, both
-        ).otherwise(F.concat(F.slice(both, 1, 1), middle, F.slice(both, -1, 1)))
-        segments = F.when(r["path"].startswith("/"), own).otherwise(both)
-        path = _bind(segments, lambda s: F.array_join(_remove_dots(s), "/"))
-        path = F.coalesce(non_empty(path), F.lit("/"))
+        appended = bind(F.concat(bind(F.split(b["path"], "/"), without_file), own), without_gaps)
+        segments = F.when(r["path"].startswith("/"), own).otherwise(appended)
+        path = bind(segments, lambda s: F.coalesce(non_empty(F.array_join(_remove_dots(s), "/")), F.lit("/")))
         foreign = (r["scheme"] != "") & (
             (r["scheme"] != b["scheme"]) | ~r["scheme"].isin(*RESOLVABLE_SCHEMES)
         )
@@ -117,8 +118,8 @@ def resolve(base: Column, ref: Column) -> Column:
             .otherwise(_assemble(b["scheme"], b["authority"], path, r["query"], r["fragment"]))
         )
 
-    value = F.struct(_parts(_tidy(base)).alias("b"), _parts(_tidy(ref)).alias("r"), ref.alias("ref"))
-    return F.when(ref == "", base).when(base == "", ref).otherwise(_bind(value, joined))
+    value = F.struct(_parts(base).alias("b"), _parts(ref).alias("r"), ref.alias("ref"))
+    return F.when(ref == "", base).when(base == "", ref).otherwise(bind(value, joined))
 
 
 def is_calendar(url: Column) -> Column:
