@@ -119,7 +119,9 @@ def resolve(base: Column, ref: Column) -> Column:
         )
 
     value = F.struct(_parts(base).alias("b"), _parts(ref).alias("r"), ref.alias("ref"))
-    return F.when(ref == "", base).when(base == "", ref).otherwise(bind(value, joined))
+    return F.when(ref == "", base).when(base == "", ref).when(
+        base.isNotNull() & ref.isNotNull(), bind(value, joined)
+    )
 
 
 def is_calendar(url: Column) -> Column:

@@ -52,41 +52,57 @@ def parsed_blocks(html: Column) -> Column:
     )
 
 
-def with_items(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``items`` ARRAY<STRUCT<block_pos, item_pos, item, href>>: the page's event objects.
-
-    ``href`` is the link whose text holds the event's title (H20), looked up only for pages that have a
-    titled event without a URL: only those pages are handed to Python.  Links and events of a page meet
-    inside its row, so no pairs are written anywhere.
-    """
-    marked = F.when(F.col(html).contains(JSONLD_TYPE), F.col(html))
-    blocks = parsed_blocks(marked)
-    items = F.flatten(
+def raw_items(html: Column) -> Column:
+    """``ARRAY<STRUCT<block_pos, item_pos, item>>`` of the event objects of a page."""
+    marked = F.when(html.contains(JSONLD_TYPE), html).otherwise("")
+    return F.flatten(
         F.transform(
-            blocks,
+            parsed_blocks(marked),
             lambda b: F.transform(
                 event_objects(b["doc"]),
                 lambda o, j: F.struct(b["block_pos"].alias("block_pos"), j.alias("item_pos"), o.alias("item")),
             ),
         )
     )
-    wants_link = F.exists(
-        "items", lambda i: V.get_truthy(i["item"], "url").isNull() & V.get_truthy(i["item"], "name").isNotNull()
+
+
+def wants_link(items: Column) -> Column:
+    """Is there an event with a title and no URL?  Only then the links of the page matter."""
+    open_ended = F.exists(
+        items, lambda i: V.get_truthy(i["item"], "url").isNull() & V.get_truthy(i["item"], "name").isNotNull()
+    )
+    return F.coalesce(open_ended, F.lit(False))
+
+
+def title_links(items: Column, nodes: Column) -> Column:
+    """H20 for a whole page: per item the address of the link that holds its title, NULL where not needed.
+
+    Links and events of a page meet inside its row, so no pairs are written anywhere.
+    """
+    links = F.transform(
+        anchors(nodes), lambda a: F.struct(a["href"].alias("href"), F.lower(a["text"]).alias("text"))
     )
+    return bind(links, lambda all_links: F.transform(items, lambda i: F.when(
+        V.get_truthy(i["item"], "url").isNull(), link_for_title(all_links, V.get_truthy(i["item"], "name"))
+    )))
+
+
+def put_links(items: Column, hrefs: Column) -> Column:
+    """Give each item of an array its ``href``; the two arrays run in parallel."""
+    return bind(hrefs, lambda h: F.transform(items, lambda i, n: i.withField("href", h[n])))
+
+
+def with_items(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Add ``items`` ARRAY<STRUCT<block_pos, item_pos, item, href>>: the page's event objects.
+
+    Only pages with an event that needs a link are handed to Python.
+    """
     return (
-        pages.withColumn("items", items)
-        .withColumn("_nodes", page_nodes(F.when(wants_link, F.col(html))))
-        .withColumn("_links", F.transform(
-            anchors(F.col("_nodes")), lambda a: F.struct(a["href"].alias("href"), F.lower(a["text"]).alias("text"))
-        ))
-        .withColumn("items", F.transform("items", lambda i: F.struct(
-            i["block_pos"].alias("block_pos"), i["item_pos"].alias("item_pos"), i["item"].alias("item"),
-            F.when(
-                V.get_truthy(i["item"], "url").isNull(),
-                link_for_title(F.col("_links"), V.get_truthy(i["item"], "name")),
-            ).alias("href"),
-        )))
-        .drop("_nodes", "_links")
+        pages.withColumn("items", raw_items(F.col(html)))
+        .withColumn("_nodes", page_nodes(F.when(wants_link(F.col("items")), F.col(html))))
+        .withColumn("_hrefs", title_links(F.col("items"), F.col("_nodes")))
+        .withColumn("items", put_links(F.col("items"), F.col("_hrefs")))
+        .drop("_nodes", "_hrefs")
     )
 
 
@@ -108,7 +124,7 @@ def _fields(i: Column) -> Column:
     duration = V.field(i["item"], "duration")
     return F.struct(
         i["block_pos"].alias("block_pos"), i["item_pos"].alias("item_pos"),
-        i["item"].alias("item"), i["href"].alias("href"),
+        i["item"].alias("item"),
         V.get_truthy(i["item"], "startDate").alias("start_date"),
         V.get_truthy(i["item"], "endDate").alias("end_date"),
         first_non_empty(V.get(i["item"], "startTime"), V.get(i["item"], "doorTime")).alias("start_clock"),
@@ -181,7 +197,7 @@ def _chain(items: Column, *steps) -> Column:
 def _timed(i: Column, start: Column, end: Column, error: Column) -> Column:
     return F.struct(
         i["block_pos"].alias("block_pos"), i["item_pos"].alias("item_pos"), i["item"].alias("item"),
-        i["href"].alias("href"), start.alias("start_time"), end.alias("end_time"), error.alias("error"),
+        start.alias("start_time"), end.alias("end_time"), error.alias("error"),
     )
 
 
@@ -225,11 +241,18 @@ def _calendar(repair: bool):
 
 
 def read_times(items: Column, rule: str, repair: bool = False) -> Column:
-    """Items with ``start_time``, ``end_time`` and ``error`` under one of the three reading rules."""
+    """Items with ``start_time``, ``end_time`` and ``error`` under one of the three reading rules, in parallel to ``items``."""
     steps = _calendar(repair) if rule == "calendar" else _merged(durations=rule == "direct")
     return steps(F.transform(items, _fields))
 
 
+def read_linked(items: Column, rule: str, repair: bool = False) -> Column:
+    """``read_times`` for items that have their ``href`` already."""
+    return bind(items, lambda all_items: put_links(
+        read_times(all_items, rule, repair), F.transform(all_items, lambda i: i["href"])
+    ))
+
+
 def surviving(timed: Column, rule: str, on_error: str = "page") -> Column:
     """The items that stay once the reading rule's view of errors is applied."""
 
@@ -285,15 +308,17 @@ def organizer(value: Column) -> Column:
     ).otherwise("")
 
 
-def explode_events(df: DataFrame, timed: str, base_url: str, keep: list[str], link: bool = True) -> DataFrame:
+def explode_events(df: DataFrame, timed: str, base_url: str, keep: list[str], link: Column | None = None) -> DataFrame:
     """One row per item of the array column ``timed``, with the event's fields.
 
-    ``seq`` is the event's position on the page it was read from.
+    ``seq`` is the event's position on the page it was read from.  ``link`` says where an event without
+    a URL may take the one of a link with its title (E10).
     """
-    rows = df.select(*keep, F.col(base_url).alias("_base"), F.posexplode(timed).alias("seq", "_e"))
+    link = F.lit(True) if link is None else link
+    rows = df.select(*keep, F.col(base_url).alias("_base"), link.alias("_link"), F.posexplode(timed).alias("seq", "_e"))
     item, start = F.col("_e.item"), F.col("_e.start_time")
     title, own = V.get_or(item, "name"), V.get_truthy(item, "url")
-    by_title = resolve(F.col("_base"), F.col("_e.href")) if link else F.lit(None).cast("string")
+    by_title = F.when(F.col("_link"), resolve(F.col("_base"), F.col("_e.href")))
     return rows.select(
         *keep,
         "seq",
@@ -319,7 +344,7 @@ def page_events(pages: DataFrame, on_error: str = "page") -> DataFrame:
     """
     keep = [c for c in pages.columns if c not in ("html", "url")]
     marked = pages.filter(F.col("html").contains(JSONLD_TYPE)).withColumnRenamed("url", "page_url")
-    timed = with_items(marked).withColumn("_t", surviving(read_times(F.col("items"), "direct"), "direct", on_error))
+    timed = with_items(marked).withColumn("_t", surviving(read_linked(F.col("items"), "direct"), "direct", on_error))
     return explode_events(timed, "_t", "page_url", keep + ["page_url"])
 
 
@@ -334,8 +359,7 @@ def rejected_events(pages: DataFrame) -> DataFrame:
     )
     items = F.flatten(F.transform("_blocks", lambda b: F.transform(
         event_objects(b["doc"]),
-        lambda o, j: F.struct(b["block_pos"].alias("block_pos"), j.alias("item_pos"), o.alias("item"),
-                              F.lit(None).cast("string").alias("href")),
+        lambda o, j: F.struct(b["block_pos"].alias("block_pos"), j.alias("item_pos"), o.alias("item")),
     )))
     late = F.transform(
         F.filter(read_times(items, "direct"), lambda t: t["error"].isNotNull()),
