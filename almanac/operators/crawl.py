@@ -8,7 +8,6 @@ from almanac.functions.html import elements, page_nodes, title
 from almanac.functions.text import bind, non_empty
 from almanac.operators import jsonld
 from almanac.operators.hints import hinted_links, page_text
-from almanac.operators.models import prompt_of_text
 
 _LINKS = "array<struct<target_url:string,method:string,source_ord:int>>"
 
@@ -64,8 +63,8 @@ def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: b
     """One pass over the HTML.  A narrow row per page with everything the joins need:
 
     ``items`` (event objects found), ``own`` (events under the direct rule), ``failed``, ``links`` (what
-    to follow, nothing when the page failed).  ``with_text`` adds, for pages without events of their own,
-    ``prompt`` (page text for a model) and, where ``selectors`` is given, ``event_links`` (H19).
+    to follow, nothing when the page failed), ``frame_url``.  ``with_text`` adds, for pages without events
+    of their own and without a frame, ``text`` for a model or, with ``selectors``, ``event_links`` (H19).
     """
     html, nodes = F.col("html"), F.col("_nodes")
     read = (
@@ -88,22 +87,21 @@ def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: b
             F.col("failed"), F.expr(f"cast(array() as {_LINKS})")
         ).otherwise(outgoing(F.col("url"), first_frame(nodes, F.col("url")), as_of)))
     )
+    linked = linked.withColumn("frame_url", first_frame(nodes, F.col("url")))
     if with_text:
-        hinted = "selectors" in pages.columns
-        selectors = F.col("selectors") if hinted else None
-        asks = F.when(F.col("_barren"), nodes)
-        linked = linked.withColumn("title", title(html))
-        # with selectors the page's own text is not read: its links are followed instead
-        plain = asks if not hinted else F.when(selectors.isNull(), asks)
-        linked = linked.withColumn("_plain", page_text(plain)).withColumn(
-            "prompt", prompt_of_text(F.col("url"), F.col("_plain"))
-        )
-        linked = linked.withColumn(
-            "event_links",
-            hinted_links(F.when(selectors.isNotNull(), asks), selectors, F.col("url")) if hinted
-            else F.lit(None).cast("array<string>"),
-        )
-    return linked.drop("_timed", "_nodes", "_hrefs", "_barren", "_plain")
+        asks = F.when(F.col("_barren") & F.col("frame_url").isNull(), nodes)
+        linked = with_model_input(linked.withColumn("title", title(html)), asks)
+    return linked.drop("_timed", "_nodes", "_hrefs", "_barren")
+
+
+def with_model_input(rows: DataFrame, nodes: Column, base: str = "url") -> DataFrame:
+    """Add ``text`` for a model and ``event_links``; a page with ``selectors`` has its links read, not its text."""
+    if "selectors" not in rows.columns:
+        return rows.withColumn("text", page_text(nodes)).withColumn("event_links", F.lit(None).cast("array<string>"))
+    selectors = F.col("selectors")
+    return rows.withColumn("text", page_text(F.when(selectors.isNull(), nodes))).withColumn(
+        "event_links", hinted_links(F.when(selectors.isNotNull(), nodes), selectors, F.col(base))
+    )
 
 
 def targets(surveyed: DataFrame, pages: DataFrame) -> DataFrame:

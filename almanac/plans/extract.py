@@ -9,13 +9,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from almanac.operators import crawl, models
+from almanac.functions.html import page_nodes
 from almanac.functions.ids import content_key
+from almanac.operators import crawl, models
 from almanac.plans.staging import write_once
 
 PART_SIZE = 10_000  # events of one source page per response row; larger pages give several rows
 
 
+# What the model path needs to know about a page.
+MODEL_INPUT = ["frame_url", "selectors", "prompt_key", "event_links"]
+
+
 @dataclass
 class Extraction:
     """``events``: one row per event.  ``pages``: one row per page with method, title and success."""
@@ -47,9 +52,9 @@ def extract(
     ids = ["page_id"] + [c for c in ("source_id",) if c in pages.columns]
     seen = write_once(
         crawl.survey(pages, as_of, on_error, with_text=True)
-        .withColumn("has_hints", F.col("selectors").isNotNull() if hints is not None else F.lit(False))
-        .withColumn("prompt_key", content_key(F.col("prompt")))
-        .select(*ids, "url", "title", "failed", "own", "links", "items", "prompt_key", "event_links", "has_hints")
+        .withColumn("selectors", F.col("selectors") if hints is not None else F.lit(None).cast("array<string>"))
+        .withColumn("prompt_key", content_key(models.prompt_of_text(F.col("url"), F.col("text"))))
+        .select(*ids, "url", "title", "failed", "own", "links", "items", *MODEL_INPUT)
     ).withColumn("page_url", F.col("url"))
 
     keep = ids + ["page_url"]
@@ -59,7 +64,7 @@ def extract(
 
     # Pages without events of their own that follow nothing are known to need the model; only those
     # that follow something must be checked against what was found there.
-    empty = seen.filter(F.size("own") <= 0).select(*keep, "links", "prompt_key", "event_links", "has_hints")
+    empty = seen.filter(F.size("own") <= 0).select(*keep, "links", *MODEL_INPUT)
     rescued = followed.select("page_id").distinct()
     misses = empty.filter(F.size("links") <= 0).unionByName(
         empty.filter(F.size("links") > 0).join(rescued, "page_id", "left_anti")
@@ -90,6 +95,39 @@ def extract(
     return Extraction(scored, summary)
 
 
+def through_frames(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Let pages with a frame be read by the model through that frame.
+
+    Each distinct (frame, selectors) pair is read once, however many pages embed it.  A frame that was
+    not fetched marks its rows ``unreachable``.
+    """
+    plain = rows.filter(F.col("frame_url").isNull()).withColumn("unreachable", F.lit(False))
+    framed = rows.filter(F.col("frame_url").isNotNull()).drop("prompt_key", "event_links")
+    wanted = framed.select(F.col("frame_url").alias("url"), "selectors").distinct()
+    read = crawl.with_model_input(
+        pages.select("url", "html").join(wanted, "url").withColumn("_nodes", page_nodes(F.col("html"))), F.col("_nodes")
+    ).select(F.col("url").alias("_frame"), F.col("selectors").alias("_selectors"), "text", "event_links")
+    joined = framed.join(
+        read, (F.col("frame_url") == F.col("_frame")) & F.col("selectors").eqNullSafe(F.col("_selectors")), "left"
+    )
+    return plain.unionByName(
+        joined.withColumn("prompt_key", content_key(models.prompt_of_text(F.col("page_url"), F.col("text"))))
+        .withColumn("unreachable", F.col("_frame").isNull())
+        .select(*rows.columns, "unreachable")
+    )
+
+
+def hint_prompts(pages: DataFrame) -> DataFrame:
+    """M3 with frames: a page that has a frame is asked about by the HTML of that frame."""
+    frames = crawl.page_frames(pages).filter(F.col("frame_url").isNotNull()).select("page_id", "frame_url")
+    inner = pages.select(F.col("url").alias("frame_url"), F.col("html").alias("frame_html"))
+    framed = pages.select("page_id", "url").join(frames, "page_id").join(inner, "frame_url").select(
+        "page_id", "url", F.col("frame_html").alias("html")
+    )
+    plain = pages.select("page_id", "url", "html").join(frames.select("page_id"), "page_id", "left_anti")
+    return models.hint_prompts(plain.unionByName(framed))
+
+
 def model_events(
     misses: DataFrame, pages: DataFrame, answers: DataFrame, ids: list[str],
     follow_links: bool = True, fallback_when_no_links: bool = False,
@@ -100,22 +138,45 @@ def model_events(
     their own.  An empty list of hints is a hint too, and yields nothing unless ``fallback_when_no_links``.
     """
     keep = ids + ["page_url"]
-    follows = F.col("has_hints") if follow_links else F.lit(False)
+    ready = through_frames(misses, pages)
+    follows = F.col("selectors").isNotNull() if follow_links else F.lit(False)
     if fallback_when_no_links:
         follows = follows & (F.coalesce(F.size("event_links"), F.lit(0)) > 0)
 
-    plain = misses.filter(~follows & F.col("prompt_key").isNotNull()).select(*keep, "prompt_key")
-    own = models.page_answer_events(
-        models.with_answers(plain.withColumnRenamed("page_url", "url"), answers, "page").drop("prompt_key")
-    ).withColumn("source_ord", F.lit(0)).withColumn("target_url", F.col("page_url"))
-
-    led = misses.filter(follows).select(*ids, "page_url", F.posexplode("event_links").alias("source_ord", "target_url"))
-    targets = led.select(F.col("target_url").alias("url")).distinct()
-    detail = models.page_prompts(pages.select("page_id", "url", "html").join(targets, "url", "left_semi"))
-    read = models.page_answer_events(
-        models.with_answers(detail.drop("prompt", "page_id"), answers, "page").drop("prompt_key")
-    ).filter(~F.col("failed")).withColumnRenamed("page_url", "target_url")
-    return own.unionByName(led.join(read, "target_url")).withColumn("method", F.lit("llm"))
+    plain = ready.filter(~follows & F.col("prompt_key").isNotNull()).select(*keep, "prompt_key")
+    own = _answered(plain.withColumnRenamed("page_url", "url"), answers)
+    own = own.withColumn("source_ord", F.lit(0)).withColumn("target_url", F.col("page_url"))
+
+    led = ready.filter(follows).select(*keep, F.posexplode("event_links").alias("source_ord", "target_url"))
+    detail = detail_prompts(led.select(F.col("target_url").alias("url")).distinct(), pages)
+    read = _answered(detail, answers).filter(~F.col("failed")).withColumnRenamed("page_url", "target_url")
+
+    lost = ready.filter("unreachable").select(*keep, F.lit(True).alias("failed"))
+    return (
+        own.unionByName(led.join(read, "target_url"))
+        .unionByName(lost, allowMissingColumns=True)
+        .withColumn("method", F.lit("llm"))
+    )
+
+
+def _answered(keyed: DataFrame, answers: DataFrame) -> DataFrame:
+    return models.page_answer_events(models.with_answers(keyed, answers, "page").drop("prompt_key"))
+
+
+def detail_prompts(urls: DataFrame, pages: DataFrame) -> DataFrame:
+    """``url, prompt_key`` of linked pages, each read once and without hints."""
+    seen = (
+        pages.select("url", "html").join(urls, "url", "left_semi")
+        .withColumn("_nodes", page_nodes(F.col("html")))
+        .withColumn("frame_url", crawl.first_frame(F.col("_nodes"), F.col("url")))
+        .withColumn("selectors", F.lit(None).cast("array<string>"))
+    )
+    plain = crawl.with_model_input(seen, F.when(F.col("frame_url").isNull(), F.col("_nodes")))
+    rows = plain.withColumn("page_url", F.col("url")).withColumn(
+        "prompt_key", content_key(models.prompt_of_text(F.col("url"), F.col("text")))
+    ).select("page_url", *MODEL_INPUT)
+    ready = through_frames(write_once(rows), pages)
+    return ready.filter(F.col("prompt_key").isNotNull()).select(F.col("page_url").alias("url"), "prompt_key")
 
 
 EVENT_ORDER = [
