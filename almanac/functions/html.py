@@ -70,7 +70,7 @@ NODE = T.StructType([
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("text", T.StringType()),      # text only
     T.StructField("noise", T.IntegerType()),    # nearest NOISE element around it, -1 if none
-    T.StructField("sig", T.LongType()),         # equal for elements with the same markup
+    T.StructField("sig", T.LongType()),         # equal for elements with the same markup; 0 if not asked for
 ])
 _ARROW_NODE = pa.struct([
     ("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
@@ -79,44 +79,45 @@ _ARROW_NODE = pa.struct([
 ])
 
 
-def _digest(*parts: str) -> int:
-    return int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-
-
 class _Nodes(HTMLParser):
-    """Writes the nodes of one page; ``open`` is the stack of positions of elements not closed yet."""
+    """Writes the nodes of one page.  ``open`` holds the elements not closed yet, outermost first."""
 
-    def __init__(self) -> None:
+    def __init__(self, signatures: bool) -> None:
         super().__init__(convert_charrefs=True)
+        self.signatures = signatures
         self.nodes: list[list] = []
-        self.open: list[int] = []
-        self.children: list[list[str]] = []  # markup digests, parallel to ``open``
+        self.open: list[list] = []
+        self.names: list[str] = []
+        self.kinds: list[str] = ["text"]     # kind of text at each level
+        self.keep_space = 0                  # open elements that keep white space as it is
+        self.markup: list[list[str]] = []    # per open element, its children for the signature
         self.pending: list[str] = []
 
-    def _add(self, kind, tag=None, attrs=None, text=None) -> list:
+    def updatepos(self, i, j):
+        return j  # line numbers are of no use here
+
+    def _add(self, kind, tag, attrs, text) -> list:
         pre = len(self.nodes)
-        parent = self.open[-1] if self.open else -1
-        up = self.nodes[parent] if self.open else None
-        noise = -1 if up is None else (parent if up[5] in NOISE else up[8])
-        node = [pre, pre, parent, len(self.open), kind, tag, attrs, text, noise, 0]
+        if self.open:
+            up = self.open[-1]
+            node = [pre, pre, up[0], len(self.open), kind, tag, attrs, text, up[0] if up[5] in NOISE else up[8], 0]
+        else:
+            node = [pre, pre, -1, 0, kind, tag, attrs, text, -1, 0]
         self.nodes.append(node)
         return node
 
     def _leaf(self, kind: str, text: str) -> None:
-        node = self._add(kind, text=text)
-        node[9] = _digest(text)
-        if self.children:
-            self.children[-1].append(text)
+        self._add(kind, None, None, text)
+        if self.signatures and self.markup:
+            self.markup[-1].append(text)
 
     def _flush(self) -> None:
-        if not self.pending:
-            return
-        text = "".join(self.pending)
-        self.pending.clear()
-        names = [self.nodes[i][5] for i in self.open]
-        if not text.strip(_ASCII_SPACE) and not _KEEP_SPACE.intersection(names):
-            text = "\n" if "\n" in text else " "
-        self._leaf(next((n for n in reversed(names) if n in OWN_TEXT), "text"), text)
+        if self.pending:
+            text = self.pending[0] if len(self.pending) == 1 else "".join(self.pending)
+            self.pending.clear()
+            if not self.keep_space and not text.strip(_ASCII_SPACE):
+                text = "\n" if "\n" in text else " "
+            self._leaf(self.kinds[-1], text)
 
     def handle_data(self, data):
         self.pending.append(data)
@@ -129,33 +130,42 @@ class _Nodes(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self._flush()
-        node = self._add("element", tag, {k: v or "" for k, v in attrs})
-        self.open.append(node[0])
-        self.children.append([])
+        node = self._add("element", tag, [(k, v or "") for k, v in dict(attrs).items()], None)
         if tag in VOID:
-            self._close()
+            self._sign(node, ())
+            return
+        self.open.append(node)
+        self.names.append(tag)
+        self.kinds.append(tag if tag in OWN_TEXT else self.kinds[-1])
+        self.keep_space += tag in _KEEP_SPACE
+        self.markup.append([])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self._flush()
             self._close()
 
     def handle_endtag(self, tag):
         self._flush()
-        if tag in VOID or not any(self.nodes[i][5] == tag for i in self.open):
-            return
-        while self._close() != tag:
-            pass
+        if tag in self.names:
+            while self._close() != tag:
+                pass
 
     def _close(self) -> str:
-        node, parts = self.nodes[self.open.pop()], self.children.pop()
+        node, tag = self.open.pop(), self.names.pop()
+        self.kinds.pop()
+        self.keep_space -= tag in _KEEP_SPACE
         node[1] = len(self.nodes) - 1
-        words = {k: " ".join(v.split()) if k == "class" else v for k, v in node[6].items()}
-        node[9] = _digest(node[5], repr(sorted(words.items())), *parts)
-        if self.children:
-            self.children[-1].append(f"\x01{node[9]}")
-        return node[5]
+        self._sign(node, self.markup.pop())
+        return tag
+
+    def _sign(self, node: list, parts) -> None:
+        if self.signatures:
+            words = sorted((k, " ".join(v.split()) if k == "class" else v) for k, v in node[6])
+            content = "\x00".join([node[5], repr(words), *parts]).encode("utf-8", "replace")
+            node[9] = int.from_bytes(blake2b(content, digest_size=8).digest(), "big", signed=True)
+            if self.markup:
+                self.markup[-1].append(f"\x01{node[9]}")
 
     def of(self, page: str) -> list[list]:
         self.feed(page)
@@ -176,21 +186,25 @@ def _to_arrow(pages: list[list[list] | None]) -> pa.Array:
     offsets.append(at)
     columns = list(zip(*flat)) if flat else [[] for _ in _ARROW_NODE]
     arrays = [
-        pa.array([None if a is None else list(a.items()) for a in col] if pa.types.is_map(f.type) else col, type=f.type)
-        for col, f in zip(columns, _ARROW_NODE)
+        pa.array(col, type=f.type) for col, f in zip(columns, _ARROW_NODE)
     ]
     values = pa.StructArray.from_arrays(arrays, fields=list(_ARROW_NODE))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
-def page_nodes(html: Column) -> Column:
-    """ARRAY<NODE> of a page in document order; NULL for NULL."""
+def page_nodes(html: Column, signatures: bool = False) -> Column:
+    """ARRAY<NODE> of a page in document order; NULL for NULL.  ``sig`` is filled on request only.
+
+    Make it a column of its own and use that.  It is declared non-deterministic, although it is not, so
+    that the optimizer evaluates it where it stands: filters made out of later expressions must not copy
+    it into their conditions.
+    """
 
     @F.arrow_udf(T.ArrayType(NODE))
     def build(pages: pa.Array) -> pa.Array:
-        return _to_arrow([None if p is None else _Nodes().of(p) for p in pages.to_pylist()])
+        return _to_arrow([None if p is None else _Nodes(signatures).of(p) for p in pages.to_pylist()])
 
-    return build(html)
+    return build.asNondeterministic()(html)
 
 
 # ---- reading the node array -------------------------------------------------------------------

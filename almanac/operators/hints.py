@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions import selectors as SEL
+from almanac.functions.arrays import each
 from almanac.functions.html import page_nodes
 from almanac.functions.text import bind, strip
 from almanac.functions.urls import resolve
@@ -100,7 +101,9 @@ def hinted_links(nodes: Column, selectors: Column, page_url: Column) -> Column:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """H19 as rows: pages with ``selectors`` give ``page_id, url, link_pos, event_url``."""
-    trees = pages.withColumn("_nodes", page_nodes(F.col("html")))
-    return trees.select(
-        "page_id", "url", F.posexplode(hinted_links(F.col("_nodes"), F.col("selectors"), F.col("url"))).alias("link_pos", "event_url")
+    found = (
+        pages.withColumn("_nodes", page_nodes(F.col("html")))
+        .withColumn("_links", hinted_links(F.col("_nodes"), F.col("selectors"), F.col("url")))
+        .withColumn("_links", F.transform("_links", lambda u: F.struct(u.alias("event_url"))))
     )
+    return each(found, ["page_id", "url"], "_links", pos="link_pos")

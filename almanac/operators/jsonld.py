@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions import variants as V
+from almanac.functions.arrays import each
 from almanac.functions.html import JSONLD_TYPE, anchors, jsonld_blocks, page_nodes, repair_entities
 from almanac.functions.ids import external_id
 from almanac.functions.isotime import (
@@ -315,21 +316,21 @@ def explode_events(df: DataFrame, timed: str, base_url: str, keep: list[str], li
     a URL may take the one of a link with its title (E10).
     """
     link = F.lit(True) if link is None else link
-    rows = df.select(*keep, F.col(base_url).alias("_base"), link.alias("_link"), F.posexplode(timed).alias("seq", "_e"))
-    item, start = F.col("_e.item"), F.col("_e.start_time")
+    rows = each(df, [*keep, F.col(base_url).alias("_base"), link.alias("_link")], timed, pos="seq")
+    item, start = F.col("item"), F.col("start_time")
     title, own = V.get_or(item, "name"), V.get_truthy(item, "url")
-    by_title = F.when(F.col("_link"), resolve(F.col("_base"), F.col("_e.href")))
+    by_title = F.when(F.col("_link"), resolve(F.col("_base"), F.col("href")))
     return rows.select(
         *keep,
         "seq",
-        F.col("_e.block_pos").alias("block_pos"),
-        F.col("_e.item_pos").alias("item_pos"),
+        "block_pos",
+        "item_pos",
         F.coalesce(V.get_truthy(item, "@id"), own, external_id(F.col("_base"), title, start)).alias("external_id"),
         title.alias("title"),
         F.coalesce(V.get(item, "description"), F.lit("")).alias("description"),
         location(V.field(item, "location")).alias("location"),
-        start.alias("start_time"),
-        F.col("_e.end_time").alias("end_time"),
+        "start_time",
+        "end_time",
         F.coalesce(own, by_title, F.col("_base")).alias("url"),
         organizer(V.field(item, "organizer")).alias("organizer"),
         V.get_or(item, "eventStatus").alias("event_status"),
@@ -366,4 +367,4 @@ def rejected_events(pages: DataFrame) -> DataFrame:
         lambda t: F.struct(t["block_pos"].alias("block_pos"), t["item_pos"].alias("item_pos"),
                            t["error"].alias("reason"), F.to_json(t["item"]).alias("content")),
     )
-    return blocks.select("page_id", "url", F.inline(F.concat(broken, late)))
+    return each(blocks.withColumn("_rejects", F.concat(broken, late)), ["page_id", "url"], "_rejects")

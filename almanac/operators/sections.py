@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from almanac.functions import urls
 from almanac.functions.html import anchors, elements, inside, page_nodes, stripped, texts
 from almanac.functions.selectors import class_names
+from almanac.functions.arrays import each
 from almanac.functions.text import bind, names_a_date, strip
 
 # Which elements may hold one event, most specific first.  The number is the rank.
@@ -167,7 +168,7 @@ def date_context(nodes: Column, node: Column) -> Column:
 def page_sections(pages: DataFrame, min_length: int = SECTION_MIN_CRAWL) -> DataFrame:
     """One row per section with its text, date context, link and written-out URLs."""
     keep = [c for c in pages.columns if c not in ("html", "nodes")]
-    trees = pages if "nodes" in pages.columns else pages.withColumn("nodes", page_nodes(F.col("html")))
+    trees = pages if "nodes" in pages.columns else pages.withColumn("nodes", page_nodes(F.col("html"), signatures=True))
     nodes = F.col("nodes")
 
     def describe(span: Column, pos: Column) -> Column:
@@ -181,9 +182,10 @@ def page_sections(pages: DataFrame, min_length: int = SECTION_MIN_CRAWL) -> Data
     found = (
         trees.select(*keep, nodes, candidates(nodes).alias("_ranked"))
         .withColumn("_kept", without_nested(nodes, F.col("_ranked")))
-        .select(*keep, F.inline(F.transform("_kept", describe)))
+        .withColumn("_sections", F.transform("_kept", describe))
     )
-    return found.filter(F.length("section") >= min_length).withColumn("text_urls", urls.in_text(F.col("section")))
+    rows = each(found, keep, "_sections")
+    return rows.filter(F.length("section") >= min_length).withColumn("text_urls", urls.in_text(F.col("section")))
 
 
 def noise_free(nodes: Column) -> Column:

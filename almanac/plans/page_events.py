@@ -4,9 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions import variants as V
-from almanac.functions.html import page_nodes
 from almanac.operators import models
-from almanac.operators.crawl import calendar_frame
+from almanac.operators.crawl import page_frames
 from almanac.operators.sections import page_sections
 from almanac.plans.staging import write_once
 
@@ -17,11 +16,9 @@ def section_prompts(pages: DataFrame, as_of: Column) -> DataFrame:
 
 
 def frames(pages: DataFrame) -> DataFrame:
-    marked = pages.filter(F.col("html").rlike(r"(?i)<iframe[\s/>]"))
-    return (
-        marked.select("url", calendar_frame(page_nodes(F.col("html")), F.col("url")).alias("frame_url"))
-        .filter(F.col("frame_url").isNotNull())
-    )
+    """``url, frame_url`` of the pages with a calendar frame."""
+    found = page_frames(pages).select("url", F.col("calendar_frame_url").alias("frame_url"))
+    return found.filter(F.col("frame_url").isNotNull())
 
 
 def reachable(urls: DataFrame, edges: DataFrame, calendar_frames: DataFrame, with_events: DataFrame, max_depth: int) -> DataFrame:

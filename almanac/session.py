@@ -1,7 +1,7 @@
 """Settings the library relies on, applied to a session that already exists."""
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only settings that may change while a session runs; cluster sizing stays with whoever starts it.
 SETTINGS = {
@@ -17,3 +17,12 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of few files: reading events out of pages costs far more than moving them.
+
+    An input with as many splits as the session has cores, which any large one has, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
