@@ -1,9 +1,9 @@
 """All registered queries."""
 from __future__ import annotations
 
-from almanac.workloads import crawling, markup, structured
+from almanac.workloads import answers, crawling, markup, reporting, structured
 
-_MODULES = [structured, markup, crawling]
+_MODULES = [structured, markup, crawling, answers, reporting]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
