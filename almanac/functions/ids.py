@@ -3,14 +3,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from almanac.functions.text import let
 from almanac.functions.urls import host
 
 
 def external_id(page_url: Column, title: Column, start: Column) -> Column:
     """``host:`` and 16 hex digits over host, title and start."""
-    h = host(page_url)
-    digest = F.sha1(F.concat_ws("|", h, F.coalesce(title, F.lit("None")), F.coalesce(start, F.lit(""))))
-    return F.concat(h, F.lit(":"), F.substring(digest, 1, 16))
+    parts = F.struct(host(page_url).alias("h"), title.alias("t"), start.alias("s"))
+    return let(parts, "x -> concat(x.h, ':', left(sha1(concat_ws('|', x.h, coalesce(x.t, 'None'), coalesce(x.s, ''))), 16))")
 
 
 def content_key(text: Column) -> Column:

@@ -3,6 +3,9 @@
 A Spark TIMESTAMP forgets the offset, so the text stays authoritative and timestamps are derived.
 All functions give NULL instead of failing on text that is no date.  The session time zone must be
 UTC (``almanac.session.tune`` sets it): local times pass through zone-less timestamps.
+
+The ``sql_*`` functions write SQL over the name of a lambda variable, so that other expressions over
+arrays can take them in; the functions behind them apply the same SQL to columns.
 """
 from __future__ import annotations
 
@@ -11,157 +14,109 @@ from zoneinfo import available_timezones
 
 from pyspark.sql import Column, functions as F
 
-from almanac.functions.text import bind, non_empty, strip
+from almanac.functions.text import let, sql_strip
 
+# Date with or without dashes; clock and offset with all their colons or none.
 _DATE = r"(?:(\d{4})-(\d{2})-(\d{2})|(\d{4})(\d{2})(\d{2}))"
-_CLOCK = r"(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?"
-_OFFSET = r"(Z|[+-]\d{2}(?::?\d{2}(?::?\d{2})?)?)?"
-_FULL = "^" + _DATE + "T" + _CLOCK + _OFFSET + "$"
-# the colons of a clock time or an offset are all there or all missing
-_COLONS = (
-    r"T(?:\d{2}|\d{2}:\d{2}|\d{2}:\d{2}:\d{2}(?:[.,]\d+)?|\d{4}|\d{6}(?:[.,]\d+)?)"
-    r"(?:Z|[+-](?:\d{2}|\d{2}:\d{2}|\d{2}:\d{2}:\d{2}|\d{4}|\d{6}))?$"
-)
-_DAY_ONLY = r"^\s*\+?(\d+)\s*-\s*\+?(\d+)\s*-\s*\+?(\d+)\s*$"
-_WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
+_CLOCK = r"(?:(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)?|(\d{2})(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)"
+_OFFSET = r"(Z|[+-]\d{2}(?::\d{2}(?::\d{2})?)?|[+-]\d{4}(?:\d{2})?)?"
+_FULL = "^" + _DATE + "T" + _CLOCK + _OFFSET + r"\z"
+_FIELDS = "$1$4-$2$5-$3$6|$7$11|$8$12|$9$13|$10$14|$15"
+_USUAL_DAY = r"^\d{4}-\d{2}-\d{2}\z"
+_ANY_DAY = r"^\s*\+?0*(\d{1,4})\s*-\s*\+?0*(\d{1,2})\s*-\s*\+?0*(\d{1,2})\s*\z"
+_USUAL_OFFSET = r"^(?:\+(?:[01]\d|2[0-3])|-(?:0[1-9]|1\d|2[0-3])):[0-5]\d\z"
+_WHOLE_NUMBER = r"^\s*[+-]?\d+\s*\z"
 
 # Zone names that the Java time library does not list under the same rules.
 _NOT_IN_JAVA = {"EST", "Factory", "GMT+0", "GMT-0", "HST", "MST", "ROC", "localtime"}
 
 
 @lru_cache(maxsize=1)
-def zone_names() -> list[str]:
-    return sorted(available_timezones() - _NOT_IN_JAVA)
+def _zone_list() -> str:
+    return "|" + "|".join(sorted(available_timezones() - _NOT_IN_JAVA)) + "|"
 
 
-def _two(text: Column) -> Column:
-    return F.lpad(text, 2, "0")
+def _is_day(day: str) -> str:
+    return f"({day} >= '0001' AND try_cast({day} AS DATE) IS NOT NULL)"
 
 
-def _valid_day(y: Column, m: Column, d: Column) -> Column:
-    """DATE of year, month and day texts; NULL when there is no such day."""
-    text = F.concat_ws("-", F.lpad(y, 4, "0"), _two(m), _two(d))
-    short = (F.length(y) <= 4) & (F.length(m) <= 2) & (F.length(d) <= 2)
-    return F.when(short & (F.lpad(y, 4, "0") != "0000"), F.try_to_date(text, "yyyy-MM-dd"))
+def _clock_of(seconds: str) -> str:
+    """``HH:MM`` or ``HH:MM:SS`` of a count of seconds below one day."""
+    return (
+        f"concat(lpad(string({seconds} div 3600), 2, '0'), ':', lpad(string({seconds} % 3600 div 60), 2, '0'),"
+        f" CASE WHEN {seconds} % 60 <> 0 THEN concat(':', lpad(string({seconds} % 60), 2, '0')) ELSE '' END)"
+    )
 
 
-def split_iso(value: Column) -> Column:
-    """STRUCT<local TIMESTAMP_NTZ, micros STRING, offset STRING> of a date-and-time text; NULL if it is none."""
+def _offset(raw: str) -> str:
+    """'' for none, ``+00:00`` for Z, colons put in; NULL for a day or more."""
+    def number(digits: str, at: int) -> str:
+        return f"coalesce(try_cast(substr({digits}, {at}, 2) AS INT), 0)"
+
+    total = " + ".join(f"{number('d', at)} * {size}" for at, size in ((1, 3600), (3, 60), (5, 1)))
+    shown = f"CASE WHEN n < 86400 THEN concat(CASE WHEN n = 0 THEN '+' ELSE left({raw}, 1) END, {_clock_of('n')}) END"
+    return (
+        f"CASE WHEN {raw} = '' THEN '' WHEN {raw} = 'Z' THEN '+00:00' WHEN {raw} RLIKE r'{_USUAL_OFFSET}' THEN {raw}"
+        f" ELSE transform(transform(array(replace(substr({raw}, 2), ':', '')), d -> {total}), n -> {shown})[0] END"
+    )
 
-    def group(n: int) -> Column:
-        return F.regexp_extract(value, _FULL, n)
 
-    def either(a: int, b: int) -> Column:
-        return F.coalesce(non_empty(group(a)), group(b))
+def sql_read(v: str) -> str:
+    """STRUCT<local, micros, offset> (texts) of a date-and-time text; NULL if it is none."""
+    micros = "rpad(left(f[4], 6), 6, '0')"
 
-    def part(n: int) -> Column:
-        return F.coalesce(non_empty(group(n)), F.lit("00"))
+    def part(n: int) -> str:
+        return f"coalesce(nullif(f[{n}], ''), '00')"
 
-    raw = F.struct(
-        F.concat_ws("-", either(1, 4), either(2, 5), either(3, 6)).alias("day"),
-        F.concat_ws(":", part(7), part(8), part(9)).alias("clock"),
-        F.rpad(F.substring(group(10), 1, 6), 6, "0").alias("micros"),
-        bind(group(11), _offset_text).alias("offset"),
+    good = f"size(f) = 6 AND NOT contains({v}, '|') AND f[1] < '24' AND f[2] < '60' AND f[3] < '60' AND {_is_day('f[0]')}"
+    fields = (
+        f"named_struct('local', concat(f[0], 'T', {part(1)}, ':', {part(2)}, ':', {part(3)}),"
+        f" 'micros', CASE WHEN f[4] = '' OR {micros} = '000000' THEN '' ELSE concat('.', {micros}) END, 'offset', {_offset('f[5]')})"
     )
-
-    def check(r: Column) -> Column:
-        good = (
-            (r["day"] >= "0001")
-            & F.try_to_date(r["day"], "yyyy-MM-dd").isNotNull()
-            & r["clock"].rlike(r"^(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d$")
-            & r["offset"].isNotNull()
-        )
-        return F.when(
-            good,
-            F.struct(
-                F.to_timestamp_ntz(F.concat(r["day"], F.lit(" "), r["clock"])).alias("local"),
-                r["micros"].alias("micros"),
-                r["offset"].alias("offset"),
-            ),
-        )
-
-    return F.when(value.rlike(_FULL) & value.rlike(_COLONS), bind(raw, check))
-
-
-def _clock_of(seconds: Column) -> Column:
-    """``HH:MM`` or ``HH:MM:SS`` of a count of seconds below one day."""
-    rest = seconds % 60
-    return F.concat(
-        F.lpad(F.floor(seconds / 3600).cast("string"), 2, "0"),
-        F.lit(":"),
-        F.lpad(F.floor(seconds % 3600 / 60).cast("string"), 2, "0"),
-        F.when(rest != 0, F.concat(F.lit(":"), F.lpad(rest.cast("string"), 2, "0"))).otherwise(""),
+    return (
+        f"transform(transform(array(split(regexp_replace({v}, r'{_FULL}', '{_FIELDS}'), '[|]')), f -> CASE WHEN {good} THEN {fields} END),"
+        " p -> CASE WHEN p.offset IS NOT NULL THEN p END)[0]"
     )
 
 
-def _offset_text(raw: Column) -> Column:
-    """'' for none, ``+00:00`` for Z, colons put in; NULL for a day or more."""
-    digits = F.replace(F.substring(raw, 2, 20), F.lit(":"), F.lit(""))
-
-    def number(position: int) -> Column:
-        return F.coalesce(non_empty(F.substring(digits, position, 2)).try_cast("int"), F.lit(0))
-
-    def show(total: Column) -> Column:
-        sign = F.when(total == 0, "+").otherwise(F.substring(raw, 1, 1))
-        return F.when(total < 86400, F.concat(sign, _clock_of(total)))
-
-    total = number(1) * 3600 + number(3) * 60 + number(5)
-    return F.when(raw == "", "").when(raw == "Z", "+00:00").otherwise(bind(total, show))
+def sql_day(v: str) -> str:
+    """``YYYY-MM-DD`` of a year-month-day text, which may lack leading zeros; NULL if it is none."""
+    padded = "concat_ws('-', lpad(f[0], 4, '0'), lpad(f[1], 2, '0'), lpad(f[2], 2, '0'))"
+    parts = f"split(regexp_replace({v}, r'{_ANY_DAY}', '$1|$2|$3'), '[|]')"
+    loose = f"transform(array({parts}), f -> CASE WHEN size(f) = 3 AND NOT contains({v}, '|') THEN {padded} END)[0]"
+    return f"transform(array(CASE WHEN {v} RLIKE r'{_USUAL_DAY}' THEN {v} ELSE {loose} END), d -> CASE WHEN {_is_day('d')} THEN d END)[0]"
 
 
-def show_iso(local: Column, micros: Column, offset: Column) -> Column:
-    return F.concat(
-        F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(micros.isin("", "000000"), "").otherwise(F.concat(F.lit("."), micros)),
-        offset,
-    )
+def _zone_offset(local: str, zone: str) -> str:
+    """Offset text of a local time in a zone; where a clock change makes it ambiguous, the earlier reading."""
+    gap = f"timestampdiff(SECOND, CAST(to_utc_timestamp(CAST({local} AS TIMESTAMP), {zone}) AS TIMESTAMP_NTZ), CAST({local} AS TIMESTAMP_NTZ))"
+    return f"transform(array({gap}), g -> concat(CASE WHEN g < 0 THEN '-' ELSE '+' END, {_clock_of('abs(g)')}))[0]"
 
 
-def _zone_offset(local: Column, zone: Column) -> Column:
-    """Offset text of a local time in a zone; where a clock change makes it ambiguous, the earlier reading."""
-    as_utc = F.to_utc_timestamp(local.cast("timestamp"), zone).cast("timestamp_ntz")
-    gap = F.timestamp_diff("SECOND", as_utc, local)
-    return F.concat(F.when(gap < 0, "-").otherwise("+"), _clock_of(F.abs(gap)))
+def sql_normalise(v: str, zone: str | None = None, end: bool = False) -> str:
+    """E6 over a variable: see ``normalise``."""
+    clock = "T23:59:59" if end else "T00:00:00"
+    if zone is None:
+        missing = "'+00:00'"
+    else:
+        known = f"contains('{_zone_list()}', concat('|', {zone}, '|'))"
+        missing = f"CASE WHEN coalesce({zone}, '') = '' THEN '+00:00' WHEN {known} THEN {_zone_offset('p.local', zone)} END"
+    day = f"transform(array({sql_day(v)}), d -> CASE WHEN d IS NOT NULL THEN named_struct('local', concat(d, '{clock}'), 'micros', '', 'offset', '') END)[0]"
+    read = f"CASE WHEN contains({v}, 'T') THEN {sql_read(v)} WHEN {v} <> '' THEN {day} END"
+    return f"transform(array({read}), p -> concat(p.local, p.micros, CASE WHEN p.offset <> '' THEN p.offset ELSE {missing} END))[0]"
 
 
-def normalise(value: Column, zone: Column | None = None, end: Column | bool = False) -> Column:
+def normalise(value: Column, zone: Column | None = None, end: bool = False) -> Column:
     """Full ISO text with offset.
 
     A text with a ``T`` must be a complete date and time; anything else must be year-month-day,
     where ``end`` puts the last second of the day.  A missing offset is taken from ``zone`` or is UTC.
     NULL for NULL, for the empty string and for text that cannot be read: see ``unreadable``.
     """
-    end = F.lit(end) if isinstance(end, bool) else end
-
-    clock = F.when(end, " 23:59:59").otherwise(" 00:00:00")
-
-    def day_only(v: Column) -> Column:
-        numbers = F.struct(*[
-            F.regexp_replace(F.regexp_extract(v, _DAY_ONLY, n), "^0+(?=.)", "").alias(name)
-            for n, name in ((1, "y"), (2, "m"), (3, "d"))
-        ])
-        return bind(bind(numbers, lambda n: _valid_day(n["y"], n["m"], n["d"])), lambda day: F.when(
-            day.isNotNull(),
-            F.struct(
-                F.to_timestamp_ntz(F.concat(day.cast("string"), clock)).alias("local"),
-                F.lit("").alias("micros"),
-                F.lit("").alias("offset"),
-            ),
-        ))
-
-    def show(p: Column) -> Column:
-        if zone is None:
-            missing = F.lit("+00:00")
-        else:
-            known = zone.isin(*zone_names())
-            missing = (
-                F.when(F.coalesce(zone, F.lit("")) == "", "+00:00")
-                .when(known, _zone_offset(p["local"], F.when(known, zone).otherwise("UTC")))
-            )
-        return show_iso(p["local"], p["micros"], F.when(p["offset"] != "", p["offset"]).otherwise(missing))
-
-    read = bind(value, lambda v: F.when(v.contains("T"), split_iso(v)).when(v != "", day_only(v)))
-    return bind(read, lambda p: F.when(p.isNotNull(), show(p)))
+    if zone is None:
+        return let(value, "v -> " + sql_normalise("v", end=end))
+    both = F.struct(value.alias("v"), zone.alias("z"))
+    return let(both, "x -> " + sql_normalise("x.v", "x.z", end))
 
 
 def unreadable(value: Column, normalised: Column) -> Column:
@@ -169,48 +124,46 @@ def unreadable(value: Column, normalised: Column) -> Column:
     return (F.coalesce(value, F.lit("")) != "") & normalised.isNull()
 
 
+def sql_duration_seconds(text: str) -> str:
+    number = f"CASE WHEN d RLIKE r'{_WHOLE_NUMBER}' THEN try_cast({sql_strip('d')} AS BIGINT) END"
+    return f"transform(array(replace(replace({text}, 'PT', ''), 'S', '')), d -> {number})[0]"
+
+
 def duration_seconds(text: Column) -> Column:
     """Whole seconds of ``PT<n>S``; NULL for every other form."""
-    digits = F.replace(F.replace(text, F.lit("PT"), F.lit("")), F.lit("S"), F.lit(""))
-    return bind(digits, lambda d: F.when(d.rlike(_WHOLE_NUMBER), strip(d).try_cast("bigint")))
+    return let(text, "t -> " + sql_duration_seconds("t"))
 
 
-def counts_seconds(text: Column) -> Column:
+def sql_counts_seconds(text: str) -> str:
     """TRUE for a duration that claims to be in seconds."""
-    return text.startswith("PT") & text.contains("S")
+    return f"(startswith({text}, 'PT') AND contains({text}, 'S'))"
+
+
+def sql_add_seconds(start: str, seconds: str) -> str:
+    # more than ten thousand years leave the calendar from any start; the bound keeps the interval in range
+    step = f"make_dt_interval(0, 0, 0, CAST(CASE WHEN abs({seconds}) < 400000000000 THEN {seconds} END AS DECIMAL(18, 6)))"
+    moved = f"transform({{read}}, p -> CAST(p.local AS TIMESTAMP_NTZ) + {step})"
+    shown = "m -> CASE WHEN year(m) BETWEEN 1 AND 9999 THEN date_format(m, \"yyyy-MM-dd'T'HH:mm:ss\") END"
+    read = f"transform(array(replace({start}, '+00:00', '')), s -> {sql_read('s')})"
+    return f"transform({moved.format(read=read)}, {shown})[0]"
 
 
 def add_seconds(start: Column, seconds: Column) -> Column:
     """Wall-clock text ``seconds`` after ``start``.  ``+00:00`` is cut from the start, any other offset is lost."""
-    def show(moved: Column) -> Column:
-        on_calendar = F.year(moved).between(1, 9999)
-        return F.when(on_calendar, F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss"))
+    return let(F.struct(start.alias("t"), seconds.alias("n")), "x -> " + sql_add_seconds("x.t", "x.n"))
 
-    # more than ten thousand years leave the calendar from any start; the bound keeps the interval in range
-    step = bind(seconds, lambda n: F.make_dt_interval(secs=F.when(F.abs(n) < 400_000_000_000, n).cast("decimal(18,6)")))
-    cut = F.replace(start, F.lit("+00:00"), F.lit(""))
-    return bind(bind(cut, split_iso)["local"] + step, show)
+
+def sql_local_time(iso: str) -> str:
+    full = f"CAST({sql_read(iso)}.local AS TIMESTAMP_NTZ)"
+    return f"CASE WHEN contains({iso}, 'T') THEN {full} WHEN {iso} RLIKE r'{_USUAL_DAY}' THEN try_cast({iso} AS TIMESTAMP_NTZ) END"
 
 
 def local_time(iso: Column) -> Column:
     """TIMESTAMP_NTZ of the wall-clock part, offset ignored; NULL when the text is no date."""
-    full = split_iso(F.when(iso.contains("T"), iso))["local"]
-    day = F.try_to_date(F.when(iso.rlike(r"^\d{4}-\d{2}-\d{2}$"), iso), "yyyy-MM-dd")
-    return F.coalesce(full, day.cast("timestamp_ntz"))
+    return let(iso, "v -> " + sql_local_time("v"))
 
 
 def instant(iso: Column) -> Column:
-    """TIMESTAMP of a full ISO text with offset; NULL when the text is no date."""
-    def at(p: Column) -> Column:
-        off = F.coalesce(non_empty(p["offset"]), F.lit("+00:00"))
-        sign = F.when(off.startswith("-"), -1).otherwise(1)
-        secs = sign * (
-            F.substring(off, 2, 2).cast("int") * 3600
-            + F.substring(off, 5, 2).cast("int") * 60
-            + F.coalesce(non_empty(F.substring(off, 8, 2)).cast("int"), F.lit(0))
-        )
-        micros = F.coalesce(non_empty(p["micros"]).cast("int"), F.lit(0))
-        shift = F.make_dt_interval(secs=(micros.cast("decimal(18,6)") / 1_000_000 - secs).cast("decimal(18,6)"))
-        return (p["local"] + shift).cast("timestamp")
-
-    return bind(split_iso(iso), at)
+    """TIMESTAMP of a full ISO text; NULL when the text is no date."""
+    whole = "concat(p.local, p.micros, CASE WHEN p.offset = '' THEN '+00:00' ELSE p.offset END)"
+    return let(iso, f"v -> transform(array({sql_read('v')}), p -> try_cast({whole} AS TIMESTAMP))[0]")

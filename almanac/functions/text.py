@@ -12,6 +12,8 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+_ESCAPED_SPACE = "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE)
+
 # Words and shapes that make a text look as if it named a date or a time.
 MONTHS = [
     "january", "february", "march", "april", "may", "june",
@@ -38,6 +40,25 @@ def bind(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+def let(value: Column, body: str) -> Column:
+    """``bind`` with the body written as an SQL lambda, ``v -> ...``.
+
+    One expression text is much quicker to hand over than hundreds of column objects, so the larger
+    functions are written this way.
+    """
+    return each_item(F.array(value), body)[0]
+
+
+def each_item(items: Column, body: str) -> Column:
+    """``transform`` with the body written as an SQL lambda."""
+    return F.call_function("transform", items, F.expr(body))
+
+
+def sql_strip(text: str) -> str:
+    """``strip`` as SQL."""
+    return f"btrim({text}, '{_ESCAPED_SPACE}')"
+
+
 def strip(col: Column) -> Column:
     """Remove Unicode white space at both ends (``trim`` alone removes spaces only)."""
     return F.btrim(col, F.lit(WHITE_SPACE))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from almanac.functions.text import MONTHS, bind, non_empty
+from almanac.functions.text import MONTHS, let
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 _AFTER_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?"
@@ -22,106 +22,69 @@ TEXT_URL = r"https?://[a-z!$-_]+"
 
 def host(url: Column) -> Column:
     """H7: the authority part, user name and port included; '' when there is none."""
-    return F.regexp_extract(_tidy(url), _AFTER_SCHEME + r"//([^/?#]*)", 1)
+    return let(url, f"u -> regexp_extract({_TIDY.format(u='u')}, r'{_AFTER_SCHEME}//([^/?#]*)', 1)")
 
 
-def _tidy(url: Column) -> Column:
-    """Drop tabs and line ends anywhere, and control characters or spaces in front."""
-    return F.regexp_replace(F.translate(url, "\t\r\n", ""), r"^[\x00-\x20]+", "")
+_TIDY = "regexp_replace(translate({u}, '\\t\\r\\n', ''), r'^[\\x00-\\x20]+', '')"
+_FRAGMENT = r"(?s)^[^#]*#(.*)\z"
 
 
-def _parts(url: Column) -> Column:
-    def cut(u: Column) -> Column:
-        return F.struct(F.lower(F.regexp_extract(u, _SCHEME, 1)).alias("scheme"), F.regexp_replace(u, _SCHEME, "").alias("rest"))
+def _parts(u: str) -> str:
+    """STRUCT<scheme, authority, path, query, fragment> of a URL, as SQL."""
+    pieces = [
+        ("authority", r"^//([^/?#]*)"),
+        ("path", r"^(?://[^/?#]*)?([^?#]*)"),
+        ("query", r"^[^?#]*\?([^#]*)"),
+        ("fragment", _FRAGMENT),
+    ]
+    fields = ", ".join(f"'{name}', regexp_extract(c.rest, r'{pattern}', 1)" for name, pattern in pieces)
+    cut = f"t -> named_struct('scheme', lower(regexp_extract(t, r'{_SCHEME}', 1)), 'rest', regexp_replace(t, r'{_SCHEME}', ''))"
+    return f"transform(transform(array({_TIDY.format(u=u)}), {cut}), c -> named_struct('scheme', c.scheme, {fields}))[0]"
 
-    return bind(bind(_tidy(url), cut), _pieces)
 
-
-def _pieces(cut: Column) -> Column:
-    rest = cut["rest"]
-    return F.struct(
-        cut["scheme"].alias("scheme"),
-        F.regexp_extract(rest, r"^//([^/?#]*)", 1).alias("authority"),
-        F.regexp_extract(rest, r"^(?://[^/?#]*)?([^?#]*)", 1).alias("path"),
-        F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1).alias("query"),
-        F.regexp_extract(rest, r"^[^#]*#(?s:(.*))$", 1).alias("fragment"),
+def _assemble(authority: str, path: str, query: str) -> str:
+    slash = f"CASE WHEN {path} <> '' AND NOT startswith({path}, '/') THEN '/' ELSE '' END"
+    return (
+        "concat(CASE WHEN p.b.scheme <> '' THEN concat(p.b.scheme, ':') ELSE '' END,"
+        f" CASE WHEN {authority} <> '' THEN concat('//', {authority}, {slash}) ELSE '' END, {path},"
+        f" CASE WHEN {query} <> '' THEN concat('?', {query}) ELSE '' END,"
+        " CASE WHEN p.r.fragment <> '' THEN concat('#', p.r.fragment) ELSE '' END)"
     )
 
 
-def _remove_dots(segments: Column) -> Column:
-    """Walk the path segments once, dropping '.' and letting '..' take back the one before."""
-    kept = F.aggregate(
-        segments,
-        F.expr("cast(array() as array<string>)"),
-        lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc))
-        .when(s == ".", acc)
-        .otherwise(F.array_append(acc, s)),
+def _resolution() -> str:
+    schemes = ", ".join(f"'{s}'" for s in RESOLVABLE_SCHEMES)
+    # one walk over the path segments: '.' vanishes, '..' takes back the segment before it
+    walk = (
+        "aggregate(s, CAST(array() AS ARRAY<STRING>), (done, x) -> CASE x WHEN '..' THEN"
+        " CASE WHEN size(done) > 0 THEN slice(done, 1, size(done) - 1) ELSE done END"
+        " WHEN '.' THEN done ELSE array_append(done, x) END)"
+    )
+    path_of = (
+        f"s -> coalesce(nullif(array_join(CASE WHEN s[size(s) - 1] IN ('.', '..') THEN array_append({walk}, '') ELSE {walk} END, '/'), ''), '/')"
+    )
+    # the base without its last segment, then the reference; empty segments in between vanish
+    folder = "transform(array(split(p.b.path, '/')), f -> CASE WHEN f[size(f) - 1] <> '' THEN slice(f, 1, size(f) - 1) ELSE f END)[0]"
+    joined = (
+        f"transform(array(concat({folder}, split(p.r.path, '/'))), j -> CASE WHEN size(j) < 2 THEN j ELSE"
+        " concat(slice(j, 1, 1), filter(slice(j, 2, size(j) - 2), e -> e <> ''), slice(j, -1, 1)) END)[0]"
     )
-    return F.when(
-        F.element_at(segments, -1).isin(".", ".."), F.array_append(kept, F.lit(""))
-    ).otherwise(kept)
-
-
-def _assemble(scheme: Column, authority: Column, path: Column, query: Column, fragment: Column) -> Column:
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(
-            authority != "",
-            F.concat(
-                F.lit("//"),
-                authority,
-                F.when((path != "") & ~path.startswith("/"), F.lit("/")).otherwise(""),
-            ),
-        ).otherwise(""),
-        path,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+    path = f"transform(array(CASE WHEN startswith(p.r.path, '/') THEN split(p.r.path, '/') ELSE {joined} END), {path_of})[0]"
+    foreign = (
+        f"(p.r.scheme <> '' AND (p.r.scheme <> p.b.scheme OR p.r.scheme NOT IN ({schemes}))) OR (p.b.scheme <> '' AND p.b.scheme NOT IN ({schemes}))"
+    )
+    return (
+        f"x -> CASE WHEN x.r = '' THEN x.b WHEN x.b = '' THEN x.r WHEN x.b IS NOT NULL AND x.r IS NOT NULL THEN"
+        f" transform(array(named_struct('b', {_parts('x.b')}, 'r', {_parts('x.r')})), p -> CASE WHEN {foreign} THEN x.r"
+        f" WHEN p.r.authority <> '' THEN {_assemble('p.r.authority', 'p.r.path', 'p.r.query')}"
+        f" WHEN p.r.path = '' THEN {_assemble('p.b.authority', 'p.b.path', 'coalesce(nullif(p.r.query, {e}), p.b.query)'.format(e=chr(39) * 2))}"
+        f" ELSE transform(array({path}), q -> {_assemble('p.b.authority', 'q', 'p.r.query')})[0] END)[0] END"
     )
 
 
 def resolve(base: Column, ref: Column) -> Column:
     """H6: absolute form of ``ref`` as seen from the page ``base`` (RFC 3986 reference resolution)."""
-
-    def joined(p: Column) -> Column:
-        b, r = p["b"], p["r"]
-        def without_file(parts: Column) -> Column:
-            return F.when(F.element_at(parts, -1) != "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-
-        def without_gaps(parts: Column) -> Column:
-            # empty segments between the first and the last vanish when a relative path is appended
-            middle = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda s: s != "")
-            return F.when(F.size(parts) < 2, parts).otherwise(
-                F.concat(F.slice(parts, 1, 1), middle, F.slice(parts, -1, 1))
-            )
-
-        own = F.split(r["path"], "/")
-        appended = bind(F.concat(bind(F.split(b["path"], "/"), without_file), own), without_gaps)
-        segments = F.when(r["path"].startswith("/"), own).otherwise(appended)
-        path = bind(segments, lambda s: F.coalesce(non_empty(F.array_join(_remove_dots(s), "/")), F.lit("/")))
-        foreign = (r["scheme"] != "") & (
-            (r["scheme"] != b["scheme"]) | ~r["scheme"].isin(*RESOLVABLE_SCHEMES)
-        )
-        same_path = r["path"] == ""
-        return (
-            F.when(foreign | ((b["scheme"] != "") & ~b["scheme"].isin(*RESOLVABLE_SCHEMES)), p["ref"])
-            .when(
-                r["authority"] != "",
-                _assemble(b["scheme"], r["authority"], r["path"], r["query"], r["fragment"]),
-            )
-            .when(
-                same_path,
-                _assemble(
-                    b["scheme"], b["authority"], b["path"],
-                    F.coalesce(non_empty(r["query"]), b["query"]), r["fragment"],
-                ),
-            )
-            .otherwise(_assemble(b["scheme"], b["authority"], path, r["query"], r["fragment"]))
-        )
-
-    value = F.struct(_parts(base).alias("b"), _parts(ref).alias("r"), ref.alias("ref"))
-    return F.when(ref == "", base).when(base == "", ref).when(
-        base.isNotNull() & ref.isNotNull(), bind(value, joined)
-    )
+    return let(F.struct(base.alias("b"), ref.alias("r")), _resolution())
 
 
 def is_calendar(url: Column) -> Column:

@@ -14,14 +14,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from almanac import schemas
 from almanac.functions import variants as V
 from almanac.functions.arrays import each
 from almanac.functions.html import JSONLD_TYPE, anchors, jsonld_blocks, page_nodes, repair_entities
 from almanac.functions.ids import external_id
 from almanac.functions.isotime import (
-    add_seconds, counts_seconds, duration_seconds, local_time, normalise, unreadable,
+    local_time, sql_add_seconds, sql_counts_seconds, sql_duration_seconds, sql_normalise,
 )
-from almanac.functions.text import bind, first_non_empty, non_empty, strip
+from almanac.functions.text import bind, each_item, let, strip
 from almanac.functions.urls import resolve
 
 # Fixed value: the one type of object that is an event; subtypes and lists of types are not.
@@ -29,20 +30,21 @@ EVENT_TYPE = "Event"
 DAYS_BACK = 7  # fixed value: how far before the reference date a month page's events may lie
 
 
-def event_objects(doc: Column) -> Column:
-    """Event objects of one parsed block: of a list, the object itself, or of its ``@graph`` list."""
-    listed = V.as_list(doc)
-    alone = V.get(doc, "@type") == EVENT_TYPE
-    graph = F.try_variant_get(doc, "$['@graph']", "array<variant>")
+def _objects(doc: str) -> str:
+    """Event objects of a parsed block, as SQL over its name."""
+    listed = f"try_variant_get({doc}, '$', 'array<variant>')"
     candidates = (
-        F.when(listed.isNotNull(), listed)
-        .when(F.coalesce(alone, F.lit(False)), F.array(doc))
-        .otherwise(graph)
-    )
-    return F.filter(
-        F.coalesce(candidates, F.expr("cast(array() as array<variant>)")),
-        lambda o: V.get(o, "@type") == EVENT_TYPE,
+        f"CASE WHEN {listed} IS NOT NULL THEN {listed}"
+        f" WHEN try_variant_get({doc}, \"$['@type']\", 'string') = '{EVENT_TYPE}' THEN array({doc})"
+        f" ELSE try_variant_get({doc}, \"$['@graph']\", 'array<variant>') END"
     )
+    is_event = f"try_variant_get(o, \"$['@type']\", 'string') = '{EVENT_TYPE}'"
+    return f"filter(coalesce({candidates}, CAST(array() AS ARRAY<VARIANT>)), o -> {is_event})"
+
+
+def event_objects(doc: Column) -> Column:
+    """Event objects of one parsed block: of a list, the object itself, or of its ``@graph`` list."""
+    return let(doc, f"d -> {_objects('d')}")
 
 
 def parsed_blocks(html: Column) -> Column:
@@ -53,18 +55,17 @@ def parsed_blocks(html: Column) -> Column:
     )
 
 
+def items_of(blocks: Column) -> Column:
+    """E2 for all blocks of a page: ``ARRAY<STRUCT<block_pos, item_pos, item>>``."""
+    return F.flatten(each_item(
+        blocks,
+        f"b -> transform({_objects('b.doc')}, (o, j) -> named_struct('block_pos', b.block_pos, 'item_pos', j, 'item', o))",
+    ))
+
+
 def raw_items(html: Column) -> Column:
-    """``ARRAY<STRUCT<block_pos, item_pos, item>>`` of the event objects of a page."""
-    marked = F.when(html.contains(JSONLD_TYPE), html).otherwise("")
-    return F.flatten(
-        F.transform(
-            parsed_blocks(marked),
-            lambda b: F.transform(
-                event_objects(b["doc"]),
-                lambda o, j: F.struct(b["block_pos"].alias("block_pos"), j.alias("item_pos"), o.alias("item")),
-            ),
-        )
-    )
+    """The event objects of a page; only pages that name the media type are searched."""
+    return items_of(parsed_blocks(F.when(html.contains(JSONLD_TYPE), html).otherwise("")))
 
 
 def wants_link(items: Column) -> Column:
@@ -115,136 +116,108 @@ def link_for_title(links: Column, title: Column) -> Column:
 
 
 # ---- times -------------------------------------------------------------------------------------
+#
+# Each rule is a chain of small steps over the page's array of items; every step is one SQL lambda that
+# hands a struct to the next, so nothing is computed twice.
 
 
-def _has_time(text: Column) -> Column:
-    return text.contains("T")
+def _text(item: str, key: str) -> str:
+    """Value under a key as SQL text, NULL for the empty string."""
+    return f"nullif(try_variant_get({item}, '$.{key}', 'string'), '')"
 
 
-def _fields(i: Column) -> Column:
-    duration = V.field(i["item"], "duration")
-    return F.struct(
-        i["block_pos"].alias("block_pos"), i["item_pos"].alias("item_pos"),
-        i["item"].alias("item"),
-        V.get_truthy(i["item"], "startDate").alias("start_date"),
-        V.get_truthy(i["item"], "endDate").alias("end_date"),
-        first_non_empty(V.get(i["item"], "startTime"), V.get(i["item"], "doorTime")).alias("start_clock"),
-        V.get_truthy(i["item"], "endTime").alias("end_clock"),
-        non_empty(V.text(duration)).alias("duration"),
-        (V.kind(duration) != "STRING").alias("odd_duration"),
-    )
+_FIELDS = (
+    "i -> named_struct('block_pos', i.block_pos, 'item_pos', i.item_pos, 'item', i.item,"
+    f" 'start_date', {_text('i.item', 'startDate')}, 'end_date', {_text('i.item', 'endDate')},"
+    f" 'start_clock', coalesce({_text('i.item', 'startTime')}, {_text('i.item', 'doorTime')}), 'end_clock', {_text('i.item', 'endTime')},"
+    f" 'duration', {_text('i.item', 'duration')},"
+    " 'odd_duration', coalesce(schema_of_variant(try_variant_get(i.item, '$.duration', 'variant')) <> 'STRING', false))"
+)
 
 
-def merge_clock(day: Column, clock: Column) -> Column:
+def _merge_clock(date: str, clock: str) -> str:
     """Put a separate clock time behind a date that has none."""
-    return F.when(~_has_time(day) & clock.isNotNull(), F.concat(day, F.lit("T"), clock)).otherwise(day)
-
-
-def _merged(durations: bool):
-    """Raw start and end texts of one event."""
-
-    def start(i: Column) -> Column:
-        return F.struct(i.alias("i"), merge_clock(i["start_date"], i["start_clock"]).alias("start_raw"))
-
-    def spent(s: Column) -> Column:
-        """The seconds a duration adds, and whether there is one that cannot be read."""
-        i = s["i"]
-        if not durations:
-            return F.struct(i.alias("i"), s["start_raw"].alias("start_raw"),
-                            F.lit(None).cast("bigint").alias("seconds"), F.lit(False).alias("bad_duration"))
-        counted = i["end_clock"].isNull() & i["duration"].isNotNull() & s["start_raw"].isNotNull()
-        in_seconds = F.coalesce(counts_seconds(i["duration"]), F.lit(False))
-        seconds = F.when(counted & ~i["odd_duration"] & in_seconds, duration_seconds(i["duration"]))
-        bad = counted & (i["odd_duration"] | (in_seconds & duration_seconds(i["duration"]).isNull()))
-        return F.struct(i.alias("i"), s["start_raw"].alias("start_raw"), seconds.alias("seconds"),
-                        F.coalesce(bad, F.lit(False)).alias("bad_duration"))
-
-    def end(s: Column) -> Column:
-        i, start_raw = s["i"], s["start_raw"]
-        by_duration = F.when(s["seconds"].isNotNull() & _has_time(start_raw), add_seconds(start_raw, s["seconds"]))
-        own_day = F.concat(F.split(start_raw, "T")[0], F.lit("T"), i["end_clock"]) if durations else F.lit(None)
-        raw = bind(
-            F.coalesce(by_duration, i["end_date"]),
-            lambda day: F.when(day.isNull(), own_day).otherwise(merge_clock(day, i["end_clock"])),
-        )
-        return F.struct(i.alias("i"), start_raw.alias("start_raw"), raw.alias("end_raw"),
-                        s["bad_duration"].alias("bad_duration"))
-
-    def read(s: Column) -> Column:
-        return F.struct(
-            s["i"].alias("i"), s["start_raw"].alias("start_raw"), s["end_raw"].alias("end_raw"),
-            s["bad_duration"].alias("bad_duration"),
-            normalise(s["start_raw"]).alias("start_time"),
-            normalise(s["end_raw"], end=True).alias("end_time"),
-        )
-
-    def judge(s: Column) -> Column:
-        error = (
-            F.when(unreadable(s["start_raw"], s["start_time"]), "unreadable_start")
-            .when(s["bad_duration"], "unreadable_duration")
-            .when(unreadable(s["end_raw"], s["end_time"]), "unreadable_end")
-        )
-        return _timed(s["i"], s["start_time"], s["end_time"], error)
-
-    return lambda items: _chain(items, start, spent, end, read, judge)
-
-
-def _chain(items: Column, *steps) -> Column:
-    for step in steps:
-        items = F.transform(items, step)
-    return items
+    return f"CASE WHEN NOT contains({date}, 'T') AND {clock} IS NOT NULL THEN concat({date}, 'T', {clock}) ELSE {date} END"
 
 
-def _timed(i: Column, start: Column, end: Column, error: Column) -> Column:
-    return F.struct(
-        i["block_pos"].alias("block_pos"), i["item_pos"].alias("item_pos"), i["item"].alias("item"),
-        start.alias("start_time"), end.alias("end_time"), error.alias("error"),
+def _timed(i: str, start: str, end: str, error: str) -> str:
+    return (
+        f"named_struct('block_pos', {i}.block_pos, 'item_pos', {i}.item_pos, 'item', {i}.item,"
+        f" 'start_time', {start}, 'end_time', {end}, 'error', {error})"
     )
 
 
-def _calendar(repair: bool):
+def _merged_steps(durations: bool) -> list[str]:
+    """E3-E6 for pages themselves (``durations``) and for framed pages."""
+    steps = [f"i -> named_struct('i', i, 'start_raw', {_merge_clock('i.start_date', 'i.start_clock')})"]
+    if durations:
+        in_seconds = sql_counts_seconds("s.i.duration")
+        steps += [
+            # a duration counts when nothing else says when the event ends
+            "s -> named_struct('i', s.i, 'start_raw', s.start_raw,"
+            " 'counted', s.i.end_clock IS NULL AND s.i.duration IS NOT NULL AND s.start_raw IS NOT NULL,"
+            f" 'seconds', CASE WHEN NOT s.i.odd_duration AND {in_seconds} THEN {sql_duration_seconds('s.i.duration')} END)",
+            "s -> named_struct('i', s.i, 'start_raw', s.start_raw,"
+            f" 'bad_duration', s.counted AND (s.i.odd_duration OR ({in_seconds} AND s.seconds IS NULL)),"
+            f" 'day', coalesce(CASE WHEN s.counted AND s.seconds IS NOT NULL AND contains(s.start_raw, 'T') THEN {sql_add_seconds('s.start_raw', 's.seconds')} END, s.i.end_date))",
+        ]
+        own_day = "concat(split(s.start_raw, 'T')[0], 'T', s.i.end_clock)"
+    else:
+        steps.append("s -> named_struct('i', s.i, 'start_raw', s.start_raw, 'bad_duration', false, 'day', s.i.end_date)")
+        own_day = "CAST(NULL AS STRING)"
+    return steps + [
+        "s -> named_struct('i', s.i, 'start_raw', s.start_raw, 'bad_duration', s.bad_duration,"
+        f" 'end_raw', CASE WHEN s.day IS NULL THEN {own_day} ELSE {_merge_clock('s.day', 's.i.end_clock')} END)",
+        "s -> named_struct('i', s.i, 'start_raw', s.start_raw, 'bad_duration', s.bad_duration, 'end_raw', s.end_raw,"
+        f" 'start_time', {sql_normalise('s.start_raw')}, 'end_time', {sql_normalise('s.end_raw', end=True)})",
+        "s -> " + _timed(
+            "s.i", "s.start_time", "s.end_time",
+            "CASE WHEN coalesce(s.start_raw, '') <> '' AND s.start_time IS NULL THEN 'unreadable_start'"
+            " WHEN s.bad_duration THEN 'unreadable_duration'"
+            " WHEN coalesce(s.end_raw, '') <> '' AND s.end_time IS NULL THEN 'unreadable_end' END",
+        ),
+    ]
+
+
+def _calendar_steps(repair: bool) -> list[str]:
     """Day-only starts.  With ``repair`` other readable starts are normalised instead of left out."""
-    utc = F.lit("+00:00")
-
-    def start(i: Column) -> Column:
-        simple = (F.length(i["start_date"]) == 10) & (F.length(F.replace(i["start_date"], F.lit("-"), F.lit(""))) == 8)
-        plain = F.concat(i["start_date"], F.lit("T"), F.coalesce(i["start_clock"], F.lit("00:00:00")), utc)
-        return F.struct(i.alias("i"), simple.alias("simple"), plain.alias("start_time"))
-
-    def end(s: Column) -> Column:
-        i = s["i"]
-        day = F.coalesce(i["end_date"], i["start_date"])
-        by_duration = F.when(
-            counts_seconds(i["duration"]),
-            F.concat(add_seconds(s["start_time"], duration_seconds(i["duration"])), utc),
-        )
-        plain = F.when(i["end_clock"].isNotNull(), F.concat(day, F.lit("T"), i["end_clock"], utc)).otherwise(
-            F.coalesce(by_duration, F.concat(day, F.lit("T23:59:59"), utc))
-        )
-        error = (
-            F.when(i["start_date"].isNull(), "no_start")
-            .when(~s["simple"], "unsupported_start")
-            .when(i["end_clock"].isNull() & i["duration"].isNotNull() & i["odd_duration"], "unreadable_duration")
-        )
-        if not repair:
-            return _timed(i, s["start_time"], plain, error)
-        start_iso = normalise(merge_clock(i["start_date"], i["start_clock"]))
-        end_iso = normalise(merge_clock(i["end_date"], i["end_clock"]), end=True)
-        mended = (error == "unsupported_start") & start_iso.isNotNull()
-        return _timed(
-            i,
-            F.when(mended, start_iso).otherwise(s["start_time"]),
-            F.when(mended, end_iso).otherwise(plain),
-            F.when(~F.coalesce(mended, F.lit(False)), error),
-        )
-
-    return lambda items: _chain(items, start, end)
+    by_duration = f"CASE WHEN {sql_counts_seconds('s.i.duration')} THEN concat({sql_add_seconds('s.start_time', 's.seconds')}, '+00:00') END"
+    day = "coalesce(s.i.end_date, s.i.start_date)"
+    end = (
+        f"CASE WHEN s.i.end_clock IS NOT NULL THEN concat({day}, 'T', s.i.end_clock, '+00:00')"
+        f" ELSE coalesce({by_duration}, concat({day}, 'T23:59:59+00:00')) END"
+    )
+    error = (
+        "CASE WHEN s.i.start_date IS NULL THEN 'no_start' WHEN NOT s.simple THEN 'unsupported_start'"
+        " WHEN s.i.end_clock IS NULL AND s.i.duration IS NOT NULL AND s.i.odd_duration THEN 'unreadable_duration' END"
+    )
+    steps = [
+        "i -> named_struct('i', i, 'simple', length(i.start_date) = 10 AND length(replace(i.start_date, '-', '')) = 8,"
+        f" 'seconds', {sql_duration_seconds('i.duration')},"
+        " 'start_time', concat(i.start_date, 'T', coalesce(i.start_clock, '00:00:00'), '+00:00'))",
+        "s -> " + _timed("s.i", "s.start_time", end, error) if not repair
+        else f"s -> named_struct('i', s.i, 'start_time', s.start_time, 'end_time', {end}, 'error', {error},"
+             f" 'start_raw', {_merge_clock('s.i.start_date', 's.i.start_clock')}, 'end_raw', {_merge_clock('s.i.end_date', 's.i.end_clock')})",
+    ]
+    if repair:
+        steps += [
+            "s -> named_struct('i', s.i, 'start_time', s.start_time, 'end_time', s.end_time, 'error', s.error, 'end_raw', s.end_raw,"
+            f" 'mended', CASE WHEN s.error = 'unsupported_start' THEN {sql_normalise('s.start_raw')} END)",
+            "s -> " + _timed(
+                "s.i", "coalesce(s.mended, s.start_time)",
+                f"CASE WHEN s.mended IS NULL THEN s.end_time ELSE {sql_normalise('s.end_raw', end=True)} END",
+                "CASE WHEN s.mended IS NULL THEN s.error END",
+            ),
+        ]
+    return steps
 
 
 def read_times(items: Column, rule: str, repair: bool = False) -> Column:
     """Items with ``start_time``, ``end_time`` and ``error`` under one of the three reading rules, in parallel to ``items``."""
-    steps = _calendar(repair) if rule == "calendar" else _merged(durations=rule == "direct")
-    return steps(F.transform(items, _fields))
+    steps = _calendar_steps(repair) if rule == "calendar" else _merged_steps(durations=rule == "direct")
+    for step in [_FIELDS, *steps]:
+        items = each_item(items, step)
+    return items
 
 
 def read_linked(items: Column, rule: str, repair: bool = False) -> Column:
@@ -280,26 +253,30 @@ def recent(timed: Column, as_of: Column) -> Column:
 # ---- the record --------------------------------------------------------------------------------
 
 
+_IS_PLACE = "schema_of_variant(s) LIKE 'OBJECT%' AND try_variant_get(s, \"$['@type']\", 'string') = 'Place'"
+_PLACE = (
+    "named_struct('type', try_variant_get(s, \"$['@type']\", 'string'), "
+    + ", ".join(f"'{k}', try_variant_get(s, '$.{k}', 'string')" for k in ("name", "address", "telephone", "url"))
+    + ", 'raw', to_json(s))"
+)
+_NAMED = (
+    f"coalesce({_text('s', 'name')}, CASE WHEN try_variant_get(s, '$.address', 'variant') IS NULL THEN ''"
+    " ELSE try_variant_get(s, '$.address', 'string') END)"
+)
+_LOCATION = (
+    f"s -> CASE WHEN {_IS_PLACE} THEN named_struct('kind', 'place', 'text', CAST(NULL AS STRING), 'place', {_PLACE})"
+    f" ELSE named_struct('kind', 'text', 'text', CASE WHEN schema_of_variant(s) LIKE 'OBJECT%' THEN {_NAMED}"
+    f" WHEN schema_of_variant(s) = 'STRING' THEN try_variant_get(s, '$', 'string') ELSE '' END, 'place', CAST(NULL AS {schemas.PLACE})) END"
+)
+_SPOT = (
+    "v -> CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN CASE WHEN schema_of_variant(try_variant_get(v, '$[0]', 'variant')) LIKE 'OBJECT%'"
+    " THEN try_variant_get(v, '$[0]', 'variant') END ELSE v END"
+)
+
+
 def location(value: Column) -> Column:
     """Text, or a whole Place; of a list the first object counts."""
-    first = F.try_element_at(V.as_list(value), F.lit(1))
-    is_list = V.kind(value) == "ARRAY"
-    spot = F.when(is_list, F.when(V.kind(first) == "OBJECT", first)).otherwise(value)
-    named = F.coalesce(V.get_truthy(spot, "name"), V.get_or(spot, "address"))
-    kind = V.kind(spot)
-    is_place = (kind == "OBJECT") & (V.get(spot, "@type") == "Place")
-    place = F.struct(
-        V.get(spot, "@type").alias("type"), V.get(spot, "name").alias("name"), V.get(spot, "address").alias("address"),
-        V.get(spot, "telephone").alias("telephone"), V.get(spot, "url").alias("url"), F.to_json(spot).alias("raw"),
-    )
-    return F.when(
-        F.coalesce(is_place, F.lit(False)),
-        F.struct(F.lit("place").alias("kind"), F.lit(None).cast("string").alias("text"), place.alias("place")),
-    ).otherwise(F.struct(
-        F.lit("text").alias("kind"),
-        F.when(kind == "OBJECT", named).when(kind == "STRING", V.text(spot)).otherwise("").alias("text"),
-        F.lit(None).cast("struct<type:string,name:string,address:string,telephone:string,url:string,raw:string>").alias("place"),
-    ))
+    return let(let(value, _SPOT), _LOCATION)
 
 
 def organizer(value: Column) -> Column:
@@ -358,10 +335,7 @@ def rejected_events(pages: DataFrame) -> DataFrame:
         lambda b: F.struct(b["block_pos"].alias("block_pos"), F.lit(None).cast("int").alias("item_pos"),
                            F.lit("strict_json").alias("reason"), b["block"].alias("content")),
     )
-    items = F.flatten(F.transform("_blocks", lambda b: F.transform(
-        event_objects(b["doc"]),
-        lambda o, j: F.struct(b["block_pos"].alias("block_pos"), j.alias("item_pos"), o.alias("item")),
-    )))
+    items = items_of(F.col("_blocks"))
     late = F.transform(
         F.filter(read_times(items, "direct"), lambda t: t["error"].isNotNull()),
         lambda t: F.struct(t["block_pos"].alias("block_pos"), t["item_pos"].alias("item_pos"),
