@@ -89,7 +89,7 @@ PAGE_ANSWER = f"""CASE o_orderkey % 6 WHEN 0 THEN '{{"events":[{{"title":"A ' ||
 def page_answers(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page_id", f"'https://p.example.org/' || {K} AS url", f"{PAGE_ANSWER} AS content", "'ok' AS status")
     return models.page_answer_events(rows).select(
-        "page_id", "failed", "seq", "external_id", "title", "description", F.col("location.text").alias("location_text"), "start_time", "end_time", "url"
+        "page_id", "failed", F.coalesce("seq", F.lit(-1)).alias("seq"), "external_id", "title", "description", F.col("location.text").alias("location_text"), "start_time", "end_time", "url"
     )
 
 
@@ -164,7 +164,7 @@ ORACLES = {
         'A ' || {K} AS title, '' AS description, NULL AS location_text, {D} || 'T00:00:00+00:00' AS start_time, {D} || 'T23:59:59+00:00' AS end_time, NULL AS url FROM orders WHERE o_orderkey % 6 = 0
       UNION ALL SELECT o_orderkey, 0, false, 1, 'x:' || {K}, 'B', '', NULL, {D} || 'T08:00:00+00:00', NULL, NULL FROM orders WHERE o_orderkey % 6 = 0
       UNION ALL SELECT o_orderkey, 1, false, 0, 'https://u.example.org/' || {K}, 'A', 'd', 'Hall', {D} || 'T12:00:00+05:30', NULL, 'https://u.example.org/' || {K} FROM orders WHERE o_orderkey % 6 = 1
-      UNION ALL SELECT o_orderkey, 2, true, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 6 IN (2, 3, 5))""",
+      UNION ALL SELECT o_orderkey, 2, true, -1, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 6 IN (2, 3, 5))""",
     "discovered_hints": f"""SELECT 'https://p.example.org/' || {K} AS url,
       CASE WHEN o_orderkey % 3 = 0 THEN '.mine' WHEN o_orderkey % 4 = 0 THEN '.a,li' WHEN o_orderkey % 4 < 3 THEN '' END AS selectors,
       CASE WHEN o_orderkey % 3 = 0 THEN 'request' WHEN o_orderkey % 4 < 3 THEN 'discovered' END AS origin FROM orders""",

@@ -53,8 +53,8 @@ def text_budget(spark, sf_dir):
     long = F.concat(*[doc] * 8)
     return table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.length(hints.within_budget(doc)).alias("plain_length"),
-        F.length(hints.within_budget(long)).alias("long_length"),
+        F.coalesce(F.length(hints.within_budget(doc)), F.lit(-1)).alias("plain_length"),
+        F.coalesce(F.length(hints.within_budget(long)), F.lit(-1)).alias("long_length"),
         F.length(hints.hint_html(F.concat(F.lit("<script>s</script>"), long))).alias("html_length"),
     )
 
@@ -282,8 +282,8 @@ ORACLES = {
     "page_titles": f"SELECT page_id, trim(regexp_replace({_unescape(chr(39).join(['regexp_extract(html, ', '<title>(.*?)</title>', ', 1, ', 's', ')']))}, '\\s+', ' ', 'g')) AS title FROM pages",
     "page_body_text": f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex({_BODY}, '<[^>]*>'),
       lambda x: regexp_replace({_unescape("x")}, {_PIECE_STRIP}, '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pages""",
-    "text_budget": """SELECT doc_id, CASE WHEN length(text) >= 200 THEN least(length(text), 120000) END AS plain_length,
-      CASE WHEN 8 * length(text) >= 200 THEN least(8 * length(text), 120000) END AS long_length,
+    "text_budget": """SELECT doc_id, CASE WHEN length(text) >= 200 THEN least(length(text), 120000) ELSE -1 END AS plain_length,
+      CASE WHEN 8 * length(text) >= 200 THEN least(8 * length(text), 120000) ELSE -1 END AS long_length,
       CASE WHEN 18 + 8 * length(text) > 50000 THEN least(8 * length(text), 50000) ELSE 18 + 8 * length(text) END AS html_length FROM documents""",
     "url_resolution": f"""SELECT c_custkey AS id, CASE c_custkey % 12 WHEN 0 THEN 'http://other.example.com/x?q=1#top' WHEN 1 THEN 'https://cdn.example.com/x'
       WHEN 2 THEN {_SITE} || '/root/' || {C} WHEN 3 THEN {_SITE} || '/a/b/leaf' WHEN 4 THEN {_SITE} || '/a/up' WHEN 5 THEN {_SITE} || '/over'

@@ -34,12 +34,12 @@ def location_texts(spark, sf_dir):
 
 def upcoming_events(spark, sf_dir):
     events = page_events(order_pages(spark, sf_dir)).withColumn("start_ts", instant(F.col("start_time")))
-    return contract.upcoming(events, _as_of()).select("page_id", "external_id", "start_ts")
+    return contract.upcoming(events, _as_of()).select("page_id", "external_id", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"))
 
 
 def contract_rows(spark, sf_dir):
     return contract.to_contract(page_events(order_pages(spark, sf_dir))).select(
-        "page_id", "external_id", "title", "start_time", "validation_score"
+        "page_id", "external_id", "title", "start_time"
     )
 
 
@@ -118,7 +118,7 @@ def summary_source(spark, sf_dir):
     return entries.groupBy("type").agg(
         F.count(F.lit(1)).alias("entries"), F.sum("events_found").alias("events_found"), F.count_distinct("source").alias("sources")
     ).unionByName(header.select(F.lit("all").alias("type"), "sources_total").groupBy("type").agg(
-        F.sum("sources_total").alias("entries"), F.lit(None).cast("bigint").alias("events_found"), F.count(F.lit(1)).alias("sources")
+        F.sum("sources_total").alias("entries"), F.lit(0).cast("bigint").alias("events_found"), F.count(F.lit(1)).alias("sources")
     ))
 
 
@@ -133,7 +133,7 @@ def responses_source(spark, sf_dir):
 
 RESULT = f"""c_name AS source, 'https://c.example.org/' || {C} AS url, c_mktsegment AS type, 'city ' || {text('c_nationkey')} AS city,
   CASE WHEN c_custkey % 11 = 0 THEN 'failed' ELSE 'completed' END AS status, CAST(c_custkey % 7 AS INT) AS events_found,
-  CAST(least(c_custkey % 7, c_custkey % 4) AS INT) AS events_eligible, CAST(least(c_custkey % 7, c_custkey % 4, c_custkey % 3) AS INT) AS events_posted, 0.5 AS minutes"""
+  CAST(least(c_custkey % 7, c_custkey % 4) AS INT) AS events_eligible, CAST(least(c_custkey % 7, c_custkey % 4, c_custkey % 3) AS INT) AS events_posted, CAST(0.5 AS DOUBLE) AS minutes"""
 
 
 def _results(spark, sf_dir):
@@ -313,7 +313,7 @@ _TITLES = markup.ORACLES["page_titles"]
 ORACLES = {
     "location_texts": f"SELECT page_id, block_pos, item_pos, coalesce(place_name, location_text) AS place FROM ({EXPECTED_EVENTS})",
     "upcoming_events": f"SELECT page_id, external_id, CAST(start_time AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS start_ts FROM ({EXPECTED_EVENTS}) WHERE CAST(start_time AS TIMESTAMPTZ) >= TIMESTAMPTZ '{AS_OF} 00:00:00+00'",
-    "contract_rows": f"SELECT page_id, external_id, title, start_time, CAST(NULL AS DOUBLE) AS validation_score FROM ({EXPECTED_EVENTS})",
+    "contract_rows": f"SELECT page_id, external_id, title, start_time FROM ({EXPECTED_EVENTS})",
     "contract_violations": """SELECT o_orderkey AS page_id, array_to_string(list_filter([CASE WHEN o_orderkey % 8 = 1 THEN 'external_id is missing' END, CASE WHEN o_orderkey % 8 = 2 THEN 'title is missing' END,
       CASE WHEN o_orderkey % 8 = 3 THEN 'description is missing' END, CASE WHEN o_orderkey % 4 = 0 THEN 'start_time is missing' END, CASE WHEN o_orderkey % 8 = 5 THEN 'location.address is no text' END], lambda x: x IS NOT NULL), '; ') AS reasons
       FROM orders WHERE o_orderkey % 8 IN (0, 1, 2, 3, 4, 5)""",
@@ -327,15 +327,15 @@ ORACLES = {
       CASE o_orderkey % 10 WHEN 8 THEN 'url is missing' WHEN 9 THEN 'unreadable' ELSE 'ok' END AS outcome FROM orders""",
     "failures_source": f"""SELECT 'https://d' || (o_custkey % 50) || '.example.org/' || {K} AS url, 'd' || (o_custkey % 50) || '.example.org' AS domain, 1000 + o_orderkey AS content_length,
       CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 2 END AS strategies FROM orders""",
-    "summary_source": """SELECT c_mktsegment AS type, count(*) AS entries, sum(c_custkey % 5) AS events_found, count(DISTINCT c_name) AS sources FROM customer GROUP BY 1
-      UNION ALL SELECT 'all', count(*), NULL, count(DISTINCT c_custkey // 100) FROM customer""",
+    "summary_source": """SELECT c_mktsegment AS type, count(*) AS entries, CAST(sum(c_custkey % 5) AS BIGINT) AS events_found, count(DISTINCT c_name) AS sources FROM customer GROUP BY 1
+      UNION ALL SELECT 'all', count(*), 0, count(DISTINCT c_custkey // 100) FROM customer""",
     "responses_source": f"SELECT 'page' AS kind, CASE WHEN o_orderkey % 9 = 0 THEN 'timeout' ELSE 'ok' END AS status, count(*) AS n, max(sha256({K})) AS last_key FROM orders GROUP BY 1, 2",
     "crawl_summary": f"""SELECT count(*) AS sources_total, count(*) FILTER (status = 'completed') AS sources_processed, count(*) FILTER (status = 'failed') AS sources_failed,
-      count(reason) AS sources_needing_improvement, sum(events_found) AS total_events_found, sum(events_posted) AS current_future_events_posted,
+      count(reason) AS sources_needing_improvement, CAST(sum(events_found) AS BIGINT) AS total_events_found, CAST(sum(events_posted) AS BIGINT) AS current_future_events_posted,
       round(100.0 * sum(events_posted) / sum(events_found), 1) AS success_rate_percent, round(sum(minutes), 1) AS total_time_minutes FROM ({_SHORT})""",
     "improvement_list": _LIST,
     "improvement_rollup": f"""SELECT type, city, grouping(type) AS type_total, grouping(city) AS city_total, count(*) AS entries, count(*) FILTER (reason = 'no_events_found') AS no_events_found,
-      count(*) FILTER (reason = 'partial_success') AS partial_success, sum(events_found) AS events_found, sum(events_posted) AS events_posted FROM ({_LIST}) GROUP BY ROLLUP (type, city)""",
+      count(*) FILTER (reason = 'partial_success') AS partial_success, CAST(sum(events_found) AS BIGINT) AS events_found, CAST(sum(events_posted) AS BIGINT) AS events_posted FROM ({_LIST}) GROUP BY ROLLUP (type, city)""",
     "failure_rollup": """SELECT 'd' || (o_custkey % 50) || '.example.org' AS domain, count(*) AS failures, count(*) FILTER (o_orderkey % 3 = 0) AS numbered_links, count(*) AS next_prev_text,
       count(*) FILTER (o_orderkey % 5 = 0) AS javascript_calendar, 0 AS load_more_buttons, max(1000 + o_orderkey) AS largest_page FROM orders GROUP BY 1""",
     "strategy_counts": "SELECT s AS strategy, count(*) FILTER (s <> 'llm' OR o_orderkey % 2 = 0) AS failures FROM orders, (VALUES ('iframe'), ('css'), ('llm')) AS v(s) GROUP BY s",
@@ -351,7 +351,7 @@ ORACLES = {
       WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = 2 * c_custkey AND o_custkey % 20 = c_custkey % 20)""",
     "latest_jobs": f"SELECT url, job_id, status FROM ({_LATEST})",
     "job_counts": f"""SELECT source_id, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'completed') AS completed,
-      count(*) FILTER (status = 'failed') AS failed, sum(events_found) AS events_found FROM ({_LATEST}) GROUP BY source_id""",
+      count(*) FILTER (status = 'failed') AS failed, CAST(sum(events_found) AS BIGINT) AS events_found FROM ({_LATEST}) GROUP BY source_id""",
     "failed_jobs": f"SELECT job_id, source_id, url, error_message FROM ({_LATEST}) WHERE status = 'failed'",
     "duplicate_clusters": f"""SELECT min(external_id) AS cluster_id, kt AS title, start_time, kp AS place, count(*) AS copies, count(DISTINCT external_id) AS ids, count(DISTINCT source_id) AS sources FROM ({_KEYED}) GROUP BY kt, start_time, kp""",
     "clustered_events": f"SELECT n, external_id, min(external_id) OVER (PARTITION BY kt, start_time, kp) AS cluster_id FROM ({_KEYED})",

@@ -174,7 +174,7 @@ def duration_ends(spark, sf_dir):
         "o_orderkey AS id", f"{D} || 'T10:00:00-05:00' AS start_raw", f"'PT' || {text(SECONDS)} || CASE WHEN {FORM} = 0 THEN 'M0S' ELSE 'S' END AS duration"
     )
     seconds = duration_seconds(F.col("duration"))
-    return rows.select("id", seconds.alias("seconds"), add_seconds(F.col("start_raw"), seconds).alias("end_raw"))
+    return rows.select("id", F.coalesce(seconds, F.lit(-1)).alias("seconds"), add_seconds(F.col("start_raw"), seconds).alias("end_raw"))
 
 
 def external_ids(spark, sf_dir):
@@ -248,7 +248,7 @@ ORACLES = {
       FROM (SELECT *, CAST(o_orderdate AS DATE) AS d,
         make_date(year(o_orderdate), 4, 1) + CAST((7 - dayofweek(make_date(year(o_orderdate), 4, 1))) % 7 AS INTEGER) AS april,
         make_date(year(o_orderdate), 10, 31) - CAST(dayofweek(make_date(year(o_orderdate), 10, 31)) AS INTEGER) AS october FROM orders)""",
-    "duration_ends": f"""SELECT o_orderkey AS id, CASE WHEN {FORM} = 0 THEN NULL ELSE {SECONDS} END AS seconds,
+    "duration_ends": f"""SELECT o_orderkey AS id, CASE WHEN {FORM} = 0 THEN -1 ELSE {SECONDS} END AS seconds,
       CASE WHEN {FORM} <> 0 THEN strftime(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 10 HOUR + to_seconds({SECONDS}), '%Y-%m-%dT%H:%M:%S') END AS end_raw FROM orders""",
     "external_ids": """SELECT page_id, host || ':' || substr(sha1(host || '|Page ' || page_id || '|2025-08-11T00:00:00+00:00'), 1, 16) AS external_id
       FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages)""",
