@@ -64,6 +64,7 @@ NODE = T.StructType([
     T.StructField("pre", T.IntegerType()),      # position in the array
     T.StructField("last", T.IntegerType()),     # position of the last descendant
     T.StructField("parent", T.IntegerType()),   # position of the parent, -1 at the top
+    T.StructField("prev", T.IntegerType()),     # position of the sibling before, -1 if none
     T.StructField("depth", T.IntegerType()),
     T.StructField("kind", T.StringType()),      # element, text, comment, or an OWN_TEXT name
     T.StructField("tag", T.StringType()),       # elements only
@@ -73,7 +74,7 @@ NODE = T.StructType([
     T.StructField("sig", T.LongType()),         # equal for elements with the same markup; 0 if not asked for
 ])
 _ARROW_NODE = pa.struct([
-    ("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()),
+    ("pre", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("prev", pa.int32()), ("depth", pa.int32()),
     ("kind", pa.string()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
     ("text", pa.string()), ("noise", pa.int32()), ("sig", pa.int64()),
 ])
@@ -91,6 +92,7 @@ class _Nodes(HTMLParser):
         self.kinds: list[str] = ["text"]     # kind of text at each level
         self.keep_space = 0                  # open elements that keep white space as it is
         self.markup: list[list[str]] = []    # per open element, its children for the signature
+        self.newest = [-1]                   # at each level, the youngest child so far
         self.pending: list[str] = []
 
     def updatepos(self, i, j):
@@ -100,9 +102,11 @@ class _Nodes(HTMLParser):
         pre = len(self.nodes)
         if self.open:
             up = self.open[-1]
-            node = [pre, pre, up[0], len(self.open), kind, tag, attrs, text, up[0] if up[5] in NOISE else up[8], 0]
+            parent, noise = up[0], up[0] if up[6] in NOISE else up[9]
         else:
-            node = [pre, pre, -1, 0, kind, tag, attrs, text, -1, 0]
+            parent = noise = -1
+        node = [pre, pre, parent, self.newest[-1], len(self.open), kind, tag, attrs, text, noise, 0]
+        self.newest[-1] = pre
         self.nodes.append(node)
         return node
 
@@ -138,6 +142,7 @@ class _Nodes(HTMLParser):
         self.names.append(tag)
         self.kinds.append(tag if tag in OWN_TEXT else self.kinds[-1])
         self.keep_space += tag in _KEEP_SPACE
+        self.newest.append(-1)
         self.markup.append([])
 
     def handle_startendtag(self, tag, attrs):
@@ -154,6 +159,7 @@ class _Nodes(HTMLParser):
     def _close(self) -> str:
         node, tag = self.open.pop(), self.names.pop()
         self.kinds.pop()
+        self.newest.pop()
         self.keep_space -= tag in _KEEP_SPACE
         node[1] = len(self.nodes) - 1
         self._sign(node, self.markup.pop())
@@ -161,11 +167,11 @@ class _Nodes(HTMLParser):
 
     def _sign(self, node: list, parts) -> None:
         if self.signatures:
-            words = sorted((k, " ".join(v.split()) if k == "class" else v) for k, v in node[6])
-            content = "\x00".join([node[5], repr(words), *parts]).encode("utf-8", "replace")
-            node[9] = int.from_bytes(blake2b(content, digest_size=8).digest(), "big", signed=True)
+            words = sorted((k, " ".join(v.split()) if k == "class" else v) for k, v in node[7])
+            content = "\x00".join([node[6], repr(words), *parts]).encode("utf-8", "replace")
+            node[10] = int.from_bytes(blake2b(content, digest_size=8).digest(), "big", signed=True)
             if self.markup:
-                self.markup[-1].append(f"\x01{node[9]}")
+                self.markup[-1].append(f"\x01{node[10]}")
 
     def of(self, page: str) -> list[list]:
         self.feed(page)
@@ -232,6 +238,19 @@ def stripped(pieces: Column) -> Column:
     return F.filter(F.transform(pieces, strip), lambda t: t != "")
 
 
+def outermost(spans: Column) -> Column:
+    """Of spans in document order, those that lie in no other one.  Spans never overlap in part, so it is
+    enough to look at the last one kept."""
+    empty = F.struct(F.slice(spans, 1, 0).alias("kept"), F.lit(-2).alias("last"))
+    return F.aggregate(
+        spans, empty,
+        lambda acc, s: F.when(acc["last"] >= s["pre"], acc).otherwise(
+            F.struct(F.array_append(acc["kept"], s).alias("kept"), s["last"].alias("last"))
+        ),
+        lambda acc: acc["kept"],
+    )
+
+
 def elements(nodes: Column, tag: str) -> Column:
     return F.filter(nodes, lambda n: n["tag"] == tag)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from almanac.functions.html import inside, outermost
 from almanac.functions.text import bind, strip
 
 _NAME = r"[A-Za-z_][\w-]*"
@@ -91,13 +92,14 @@ def _matches(node: Column, c: Column) -> Column:
 
 
 def select(nodes: Column, compounds: Column) -> Column:
-    """Nodes that match a parsed selector, in document order."""
-    everything = F.array(F.struct(F.lit(-1).alias("pre"), F.lit(2147483647).alias("last")))
+    """Nodes that match a parsed selector, in document order.
+
+    One pass over the nodes per compound: matches are looked for inside the outermost matches so far.
+    """
+    everything = F.array(F.struct(F.lit(-1).alias("pre"), (F.size(nodes) - 1).alias("last")))
 
     def narrow(outer: Column, c: Column) -> Column:
-        hits = F.filter(nodes, lambda n: _matches(n, c) & F.exists(
-            outer, lambda o: (o["pre"] < n["pre"]) & (n["pre"] <= o["last"])
-        ))
+        hits = F.flatten(F.transform(outermost(outer), lambda o: F.filter(inside(nodes, o), lambda n: _matches(n, c))))
         return F.transform(hits, lambda n: F.struct(n["pre"].alias("pre"), n["last"].alias("last")))
 
     spans = F.aggregate(compounds, everything, narrow)

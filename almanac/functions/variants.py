@@ -38,7 +38,3 @@ def get_truthy(item: Column, key: str) -> Column:
 def kind(value: Column) -> Column:
     """OBJECT, ARRAY, STRING, BIGINT, VOID, ...; NULL for SQL NULL."""
     return F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
-
-
-def as_list(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")

@@ -7,7 +7,7 @@ from almanac.functions import urls
 from almanac.functions.html import elements, page_nodes, title
 from almanac.functions.text import bind, non_empty
 from almanac.operators import jsonld
-from almanac.operators.hints import hinted_links, page_text
+from almanac.operators.hints import page_text
 
 _LINKS = "array<struct<target_url:string,method:string,source_ord:int>>"
 
@@ -63,8 +63,8 @@ def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: b
     """One pass over the HTML.  A narrow row per page with everything the joins need:
 
     ``items`` (event objects found), ``own`` (events under the direct rule), ``failed``, ``links`` (what
-    to follow, nothing when the page failed), ``frame_url``.  ``with_text`` adds, for pages without events
-    of their own and without a frame, ``text`` for a model or, with ``selectors``, ``event_links`` (H19).
+    to follow, nothing when the page failed), ``frame_url``.  ``with_text`` adds the ``title`` and, for
+    pages without events of their own and without a frame, the ``text`` a model would read.
     """
     html, nodes = F.col("html"), F.col("_nodes")
     read = (
@@ -83,27 +83,17 @@ def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: b
         .withColumn("_hrefs", jsonld.title_links(F.col("items"), F.when(jsonld.wants_link(F.col("items")), nodes)))
         .withColumn("own", jsonld.surviving(jsonld.put_links(F.col("_timed"), F.col("_hrefs")), "direct", on_error))
         .withColumn("items", jsonld.put_links(F.col("items"), F.col("_hrefs")))
+        .withColumn("frame_url", first_frame(nodes, F.col("url")))
         .withColumn("links", F.when(
             F.col("failed"), F.expr(f"cast(array() as {_LINKS})")
-        ).otherwise(outgoing(F.col("url"), first_frame(nodes, F.col("url")), as_of)))
+        ).otherwise(outgoing(F.col("url"), F.col("frame_url"), as_of)))
     )
-    linked = linked.withColumn("frame_url", first_frame(nodes, F.col("url")))
     if with_text:
         asks = F.when(F.col("_barren") & F.col("frame_url").isNull(), nodes)
-        linked = with_model_input(linked.withColumn("title", title(html)), asks)
+        linked = linked.withColumn("title", title(html)).withColumn("text", page_text(asks))
     return linked.drop("_timed", "_nodes", "_hrefs", "_barren")
 
 
-def with_model_input(rows: DataFrame, nodes: Column, base: str = "url") -> DataFrame:
-    """Add ``text`` for a model and ``event_links``; a page with ``selectors`` has its links read, not its text."""
-    if "selectors" not in rows.columns:
-        return rows.withColumn("text", page_text(nodes)).withColumn("event_links", F.lit(None).cast("array<string>"))
-    selectors = F.col("selectors")
-    return rows.withColumn("text", page_text(F.when(selectors.isNull(), nodes))).withColumn(
-        "event_links", hinted_links(F.when(selectors.isNotNull(), nodes), selectors, F.col(base))
-    )
-
-
 def targets(surveyed: DataFrame, pages: DataFrame) -> DataFrame:
     """What a followed link finds at its address: ``target_url, items, frame_items, frame_rule``.
 

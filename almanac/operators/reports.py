@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from almanac.functions.html import anchors, elements, page_nodes, title
+from almanac.functions.html import anchors, elements, inside, page_nodes, title
 from almanac.functions.urls import host
 
 # The reasons and texts of the improvement list.
@@ -127,7 +127,7 @@ def page_profile(pages: DataFrame) -> DataFrame:
         html.rlike(SCRIPT_CALENDAR).alias("has_javascript_calendar"),
         (F.exists(links, lambda a: a["text"].rlike(LOAD_MORE))
          | F.exists(elements(F.col("_nodes"), "button"), lambda b: F.exists(
-             "_nodes", lambda t: (t["kind"] == "text") & (b["pre"] < t["pre"]) & (t["pre"] <= b["last"]) & t["text"].rlike(LOAD_MORE)
+             inside(F.col("_nodes"), b), lambda t: (t["kind"] == "text") & t["text"].rlike(LOAD_MORE)
          ))).alias("has_load_more_buttons"),
         F.array_sort(F.array_distinct(F.filter(
             F.transform(links, lambda a: F.regexp_extract(a["href"], PAGE_PARAMETER, 0)), lambda p: p != ""

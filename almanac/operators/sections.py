@@ -5,14 +5,21 @@ page's node array, so nothing is shuffled and no two nodes are paired up.
 """
 from __future__ import annotations
 
+import sys
+from bisect import bisect_right, insort
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions import urls
-from almanac.functions.html import anchors, elements, inside, page_nodes, stripped, texts
+from almanac.functions.html import elements, inside, outermost, page_nodes, stripped, texts
 from almanac.functions.selectors import class_names
 from almanac.functions.arrays import each
 from almanac.functions.text import bind, names_a_date, strip
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Which elements may hold one event, most specific first.  The number is the rank.
 RANKED_SELECTORS = [
     (1, "article[class*=calendar]"),
@@ -67,10 +74,7 @@ def _rank(n: Column) -> Column:
         15: tag == "section",
         16: tag == "li",
     }
-    rank = F
-    for number, _ in RANKED_SELECTORS:
-        rank = rank.when(tests[number], number)
-    return rank
+    return F.coalesce(*[F.when(tests[number], number) for number, _ in RANKED_SELECTORS])
 
 
 def candidates(nodes: Column) -> Column:
@@ -91,35 +95,49 @@ def candidates(nodes: Column) -> Column:
     ))
 
 
-def _signatures(nodes: Column, span: Column) -> Column:
-    return F.transform(F.filter(inside(nodes, span), lambda n: n["kind"] == "element"), lambda n: n["sig"])
-
-
 def without_nested(nodes: Column, ranked: Column) -> Column:
     """Walk the candidates from the best on; one that overlaps a kept one, or has the same markup as
-    a kept one or as a part of it (or the other way round), is left out."""
-    start = F.struct(
-        F.expr("cast(array() as array<struct<rank:int,pre:int,last:int,sig:bigint>>)").alias("kept"),
-        F.expr("cast(array() as array<bigint>)").alias("kept_sigs"),
-        F.expr("cast(array() as array<bigint>)").alias("covered"),
-    )
-
-    def step(acc: Column, c: Column) -> Column:
-        overlaps = F.exists(acc["kept"], lambda k: (k["pre"] <= c["last"]) & (c["pre"] <= k["last"]))
-        twin = F.array_contains(acc["covered"], c["sig"]) | F.arrays_overlap(_signatures(nodes, c), acc["kept_sigs"])
-        taken = F.struct(
-            F.array_append(acc["kept"], c).alias("kept"),
-            F.array_append(acc["kept_sigs"], c["sig"]).alias("kept_sigs"),
-            F.concat(acc["covered"], F.array(c["sig"]), _signatures(nodes, c)).alias("covered"),
-        )
-        return F.when(overlaps | twin, acc).otherwise(taken)
-
-    return F.aggregate(ranked, start, step, lambda acc: acc["kept"])
-
-
-def outermost(spans: Column) -> Column:
-    """H11, second form: the spans that lie in no other span of the list."""
-    return F.filter(spans, lambda e: ~F.exists(spans, lambda o: (o["pre"] < e["pre"]) & (e["pre"] <= o["last"])))
+    a kept one or as a part of it (or the other way round), is left out.
+
+    The walk needs sorted lookups to stay linear on pages with thousands of candidates, so this one step
+    is done in Python, on positions and signatures only.
+    """
+
+    @F.arrow_udf("array<int>")
+    def choose(candidates: pa.Array, signatures: pa.Array) -> pa.Array:
+        rows = zip(candidates.to_pylist(), signatures.to_pylist())
+        return pa.array([None if c is None else _cover(c, s) for c, s in rows], pa.list_(pa.int32()))
+
+    kept = choose.asNondeterministic()(ranked, F.transform(nodes, lambda n: n["sig"]))
+    return F.transform(kept, lambda at: ranked[at])
+
+
+def _cover(candidates: list[dict], signatures: list[int]) -> list[int]:
+    """Numbers of the candidates to keep.  Kept spans are disjoint, so two neighbours tell an overlap."""
+    starts, ends, own, covered, kept = [], {}, set(), set(), []
+    for number, c in enumerate(candidates):
+        pre, last, sig = c["pre"], c["last"], c["sig"]
+        at = bisect_right(starts, pre)
+        if (at and ends[starts[at - 1]] >= pre) or (at < len(starts) and starts[at] <= last):
+            continue
+        inner = signatures[pre + 1:last + 1]
+        if sig in covered or not own.isdisjoint(inner):
+            continue
+        insort(starts, pre)
+        ends[pre] = last
+        own.add(sig)
+        covered.add(sig)
+        covered.update(inner)
+        kept.append(number)
+    return kept
+
+
+def outermost_candidates(ranked: Column) -> Column:
+    """H11, second form: the candidates that lie in no other one, in document order."""
+    by_position = F.array_sort(F.transform(ranked, lambda c: F.struct(
+        c["pre"].alias("pre"), c["last"].alias("last"), c["rank"].alias("rank"), c["sig"].alias("sig")
+    )))
+    return bind(by_position, outermost)
 
 
 def clean_text(nodes: Column, node: Column) -> Column:
@@ -129,7 +147,16 @@ def clean_text(nodes: Column, node: Column) -> Column:
 
 def section_link(nodes: Column, node: Column, page_url: Column) -> Column:
     """Address of a link to the event's own page, else of the first ordinary link, else NULL."""
-    links = F.filter(anchors(nodes, node), lambda a: (F.coalesce(a["href"], F.lit("")) != "") & ~a["href"].rlike("^(?:mailto:|tel:)"))
+    def present(n: Column) -> Column:
+        return n["noise"] <= node["pre"]  # what stands in a no-script part of the section is gone by now
+
+    links = F.transform(
+        F.filter(inside(nodes, node), lambda n: (n["tag"] == "a") & present(n)),
+        lambda a: F.struct(
+            a["attrs"]["href"].alias("href"), F.array_join(stripped(texts(nodes, a, present)), "").alias("text")
+        ),
+    )
+    links = F.filter(links, lambda a: (F.coalesce(a["href"], F.lit("")) != "") & ~a["href"].rlike("^(?:mailto:|tel:)"))
 
     def is_detail(a: Column) -> Column:
         words = F.lower(a["text"])
@@ -150,11 +177,11 @@ def section_link(nodes: Column, node: Column, page_url: Column) -> Column:
 
 def date_context(nodes: Column, node: Column) -> Column:
     """Texts with a date among the three nodes before a section, oldest first; NULL if none."""
-    before = F.filter(
-        F.slice(nodes, node["parent"] + 2, node["pre"] - node["parent"] - 1),
-        lambda m: m["parent"] == node["parent"],
-    )
-    near = bind(before, lambda b: F.slice(b, F.greatest(F.size(b) - SIBLINGS_BACK + 1, F.lit(1)), SIBLINGS_BACK))
+    def step(seen: Column, _: Column) -> Column:
+        last = F.when(F.size(seen) == 0, node["prev"]).otherwise(seen[0]["prev"])
+        return F.when(last >= 0, F.concat(F.array(nodes[last]), seen)).otherwise(seen)
+
+    near = F.aggregate(F.array(*[F.lit(n) for n in range(SIBLINGS_BACK)]), F.slice(nodes, 1, 0), step)
 
     def text(m: Column) -> Column:
         return F.when(m["kind"] == "element", F.array_join(stripped(texts(nodes, m)), "")).when(

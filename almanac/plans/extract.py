@@ -12,15 +12,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from almanac.functions.html import page_nodes
 from almanac.functions.ids import content_key
 from almanac.operators import crawl, models
+from almanac.operators.hints import hinted_links, page_text
 from almanac.plans.staging import write_once
 
 PART_SIZE = 10_000  # events of one source page per response row; larger pages give several rows
 
 
-# What the model path needs to know about a page.
-MODEL_INPUT = ["frame_url", "selectors", "prompt_key", "event_links"]
-
-
 @dataclass
 class Extraction:
     """``events``: one row per event.  ``pages``: one row per page with method, title and success."""
@@ -46,74 +43,78 @@ def extract(
 
     ``answers`` holds recorded model answers, ``hints`` is ``url, selectors`` (see ``hints.resolve_hints``).
     """
-    if hints is not None:
-        # The one join that carries HTML; with few hints Spark broadcasts them and the pages stay put.
-        pages = pages.join(hints.filter(F.col("selectors").isNotNull()).select("url", "selectors"), "url", "left")
     ids = ["page_id"] + [c for c in ("source_id",) if c in pages.columns]
+    keep = ids + ["page_url"]
     seen = write_once(
         crawl.survey(pages, as_of, on_error, with_text=True)
-        .withColumn("selectors", F.col("selectors") if hints is not None else F.lit(None).cast("array<string>"))
+        .withColumn("page_url", F.col("url"))
         .withColumn("prompt_key", content_key(models.prompt_of_text(F.col("url"), F.col("text"))))
-        .select(*ids, "url", "title", "failed", "own", "links", "items", *MODEL_INPUT)
-    ).withColumn("page_url", F.col("url"))
-
-    keep = ids + ["page_url"]
-    links = seen.filter(F.size("links") > 0).select(*keep, F.inline("links"))
-    own = crawl.own_events(seen, keep)
+        .withColumn("own_events", F.coalesce(F.size("own"), F.lit(0)))
+        .withColumn("follows", F.size("links") > 0)
+        .select(*keep, "url", "title", "failed", "own_events", "follows", "own", "links", "items", "frame_url", "prompt_key")
+    )
+    links = seen.filter("follows").select(*keep, F.inline("links"))
     followed = write_once(crawl.followed_events(links, crawl.targets(seen, pages), as_of, keep, repair))
+    found = crawl.own_events(seen, keep).unionByName(followed)
+    later = followed.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    status = seen.select(*keep, "title", "failed", "own_events")
 
-    # Pages without events of their own that follow nothing are known to need the model; only those
-    # that follow something must be checked against what was found there.
-    empty = seen.filter(F.size("own") <= 0).select(*keep, "links", *MODEL_INPUT)
-    rescued = followed.select("page_id").distinct()
-    misses = empty.filter(F.size("links") <= 0).unionByName(
-        empty.filter(F.size("links") > 0).join(rescued, "page_id", "left_anti")
-    ).drop("links")
-
-    found = own.unionByName(followed)
     if answers is not None:
-        asked = model_events(misses, pages, answers, ids, follow_links, fallback_when_no_links)
+        # Pages without events of their own that follow nothing are known to need the model; only those
+        # that follow something must be checked against what was found there.
+        empty = seen.filter(F.col("own_events") == 0).select(*keep, "follows", "frame_url", "prompt_key")
+        misses = empty.filter(~F.col("follows")).unionByName(
+            empty.filter("follows").join(followed.select("page_id").distinct(), "page_id", "left_anti")
+        ).drop("follows")
+        asked = write_once(model_events(misses, pages, answers, hints, ids, follow_links, fallback_when_no_links))
         found = found.unionByName(asked.filter(~F.col("failed")).drop("failed"), allowMissingColumns=True)
-        broken = asked.filter("failed").select("page_id").distinct().withColumn("model_failed", F.lit(True))
-    scored = models.with_scores(found, answers)
-
-    counts = found.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("total_found"), F.max(F.col("method") == "llm").alias("by_model")
-    )
-    status = seen.select(*ids, "page_url", "title", "failed").join(counts, "page_id", "left")
-    status = status.join(broken, "page_id", "left") if answers is not None else status.withColumn("model_failed", F.lit(False))
-    total = F.coalesce("total_found", F.lit(0))
+        modelled = asked.groupBy("page_id").agg(
+            F.count(F.when(~F.col("failed"), 1)).alias("by_model"), F.max("failed").alias("model_failed")
+        )
+        status = status.join(later, "page_id", "left").join(modelled, "page_id", "left")
+    else:
+        status = status.join(later, "page_id", "left").withColumns(
+            {"by_model": F.lit(0), "model_failed": F.lit(False)}
+        )
+    total = F.col("own_events") + F.coalesce("n", F.lit(0)) + F.coalesce("by_model", F.lit(0))
     summary = status.select(
-        *ids, "page_url",
+        *keep,
         (total > 0).alias("success"),
-        F.when(F.col("by_model"), "llm").when(total > 0, "jsonld").when(F.col("model_failed"), "failed").otherwise("none")
+        F.when(F.col("by_model") > 0, "llm").when(total > 0, "jsonld").when(F.col("model_failed"), "failed").otherwise("none")
         .alias("extraction_method"),
         F.col("title").alias("page_title"),
         total.alias("total_found"),
         F.col("failed").alias("jsonld_failed"),
     )
-    return Extraction(scored, summary)
+    return Extraction(models.with_scores(found, answers), summary)
 
 
-def through_frames(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """Let pages with a frame be read by the model through that frame.
+def with_readable_text(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """Settle what a model reads of each row's page: ``prompt_key``, or ``event_links`` for a page with ``selectors``.
 
-    Each distinct (frame, selectors) pair is read once, however many pages embed it.  A frame that was
-    not fetched marks its rows ``unreachable``.
+    ``rows`` has ``page_url, frame_url, selectors, prompt_key``.  A page with a frame is read through it, and
+    selectors apply to what is read.  Only such rows need HTML again: each distinct (address, selectors)
+    pair is read once, however many pages share it.  An address that was not fetched marks its rows
+    ``unreachable``.
     """
-    plain = rows.filter(F.col("frame_url").isNull()).withColumn("unreachable", F.lit(False))
-    framed = rows.filter(F.col("frame_url").isNotNull()).drop("prompt_key", "event_links")
-    wanted = framed.select(F.col("frame_url").alias("url"), "selectors").distinct()
-    read = crawl.with_model_input(
-        pages.select("url", "html").join(wanted, "url").withColumn("_nodes", page_nodes(F.col("html"))), F.col("_nodes")
-    ).select(F.col("url").alias("_frame"), F.col("selectors").alias("_selectors"), "text", "event_links")
-    joined = framed.join(
-        read, (F.col("frame_url") == F.col("_frame")) & F.col("selectors").eqNullSafe(F.col("_selectors")), "left"
+    direct = F.col("frame_url").isNull() & F.col("selectors").isNull()
+    plain = rows.filter(direct).withColumn("event_links", F.lit(None).cast("array<string>")).withColumn("unreachable", F.lit(False))
+    again = rows.filter(~direct).withColumn("url", F.coalesce("frame_url", "page_url")).drop("prompt_key")
+    nodes, selectors = F.col("_nodes"), F.col("selectors")
+    read = (
+        pages.select("url", "html").join(again.select("url", "selectors").distinct(), "url")
+        .withColumn("_nodes", page_nodes(F.col("html")))
+        .select(
+            F.col("url").alias("_url"), selectors.alias("_selectors"),
+            page_text(nodes, selectors).alias("text"),
+            hinted_links(F.when(selectors.isNotNull(), nodes), selectors, F.col("url")).alias("event_links"),
+        )
     )
+    joined = again.join(read, (F.col("url") == F.col("_url")) & selectors.eqNullSafe(F.col("_selectors")), "left")
     return plain.unionByName(
         joined.withColumn("prompt_key", content_key(models.prompt_of_text(F.col("page_url"), F.col("text"))))
-        .withColumn("unreachable", F.col("_frame").isNull())
-        .select(*rows.columns, "unreachable")
+        .withColumn("unreachable", F.col("_url").isNull())
+        .select(*rows.columns, "event_links", "unreachable")
     )
 
 
@@ -129,7 +130,7 @@ def hint_prompts(pages: DataFrame) -> DataFrame:
 
 
 def model_events(
-    misses: DataFrame, pages: DataFrame, answers: DataFrame, ids: list[str],
+    misses: DataFrame, pages: DataFrame, answers: DataFrame, hints: DataFrame | None, ids: list[str],
     follow_links: bool = True, fallback_when_no_links: bool = False,
 ) -> DataFrame:
     """Events of the pages structured data gave nothing for; rows with ``failed`` mark unusable answers.
@@ -138,7 +139,11 @@ def model_events(
     their own.  An empty list of hints is a hint too, and yields nothing unless ``fallback_when_no_links``.
     """
     keep = ids + ["page_url"]
-    ready = through_frames(misses, pages)
+    none = F.lit(None).cast("array<string>")
+    hinted = misses.withColumn("selectors", none) if hints is None else misses.join(
+        hints.select(F.col("url").alias("page_url"), "selectors"), "page_url", "left"
+    )
+    ready = write_once(with_readable_text(hinted, pages))
     follows = F.col("selectors").isNotNull() if follow_links else F.lit(False)
     if fallback_when_no_links:
         follows = follows & (F.coalesce(F.size("event_links"), F.lit(0)) > 0)
@@ -164,18 +169,16 @@ def _answered(keyed: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def detail_prompts(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """``url, prompt_key`` of linked pages, each read once and without hints."""
-    seen = (
+    """``url, prompt_key`` of linked pages, each read once, through its frame if it has one, without hints."""
+    nodes, frame = F.col("_nodes"), F.col("frame_url")
+    rows = (
         pages.select("url", "html").join(urls, "url", "left_semi")
         .withColumn("_nodes", page_nodes(F.col("html")))
-        .withColumn("frame_url", crawl.first_frame(F.col("_nodes"), F.col("url")))
-        .withColumn("selectors", F.lit(None).cast("array<string>"))
+        .withColumn("frame_url", crawl.first_frame(nodes, F.col("url")))
+        .withColumn("prompt_key", content_key(models.prompt_of_text(F.col("url"), page_text(F.when(frame.isNull(), nodes)))))
+        .select(F.col("url").alias("page_url"), "frame_url", F.lit(None).cast("array<string>").alias("selectors"), "prompt_key")
     )
-    plain = crawl.with_model_input(seen, F.when(F.col("frame_url").isNull(), F.col("_nodes")))
-    rows = plain.withColumn("page_url", F.col("url")).withColumn(
-        "prompt_key", content_key(models.prompt_of_text(F.col("url"), F.col("text")))
-    ).select("page_url", *MODEL_INPUT)
-    ready = through_frames(write_once(rows), pages)
+    ready = with_readable_text(write_once(rows), pages)
     return ready.filter(F.col("prompt_key").isNotNull()).select(F.col("page_url").alias("url"), "prompt_key")
 
 

@@ -10,6 +10,7 @@ from almanac.operators import hints, models
 from almanac.operators.jsonld import page_events
 from almanac.operators.sections import page_sections
 from almanac.plans.extract import hint_prompts as hint_prompts_through_frames
+from almanac.plans.staging import write_once
 from almanac.workloads.common import day, table, text
 from almanac.workloads.crawling import FRAME_HTML, FRAME_URL, PARENT, PARENT_HTML, framed_pages
 from almanac.workloads.markup import _NUMBERED, _LINK_URL, ORACLES as MARKUP_ORACLES, PAGE_URL, section_pages
@@ -70,6 +71,7 @@ SECTION_ANSWER = f"""CASE {ANSWER_FORM} WHEN 0 THEN '{{"title":"Show","url":"htt
 def section_answers(spark, sf_dir):
     """Every section of a page gets the answer of the page's form; the seventh form is not answered at all."""
     prompts = models.section_prompts(page_sections(section_pages(spark, sf_dir)), _today())
+    prompts = write_once(prompts.drop("prompt", "section", "context"))
     recorded = prompts.withColumnRenamed("page_id", "event_id").selectExpr(
         "'section' AS kind", "prompt_key AS key", f"{SECTION_ANSWER} AS content", "'ok' AS status"
     )
@@ -107,7 +109,7 @@ def discovered_hints(spark, sf_dir):
 
 def event_scores(spark, sf_dir):
     """Ratings of events: good, without tags, without score, broken, none recorded."""
-    events = page_events(order_pages(spark, sf_dir))
+    events = write_once(page_events(order_pages(spark, sf_dir)))
     answer = """CASE page_id % 5 WHEN 0 THEN '{"validation_score": 0.85, "tags": ["music", "indoor"]}' WHEN 1 THEN '{"validation_score": 0.25}'
       WHEN 2 THEN '{"tags": ["free"]}' WHEN 3 THEN 'I think it is fine' END"""
     recorded = events.withColumn("key", F.sha2(models.score_prompt(), 256)).selectExpr(

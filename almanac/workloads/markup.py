@@ -196,7 +196,7 @@ def section_texts_over_50(spark, sf_dir):
 
 def outermost_sections(spark, sf_dir):
     trees = section_pages(spark, sf_dir).withColumn("nodes", page_nodes(F.col("html"), signatures=True))
-    found = trees.withColumn("found", sections.candidates(F.col("nodes"))).withColumn("found", sections.outermost(F.col("found")))
+    found = trees.withColumn("found", sections.candidates(F.col("nodes"))).withColumn("found", sections.outermost_candidates(F.col("found")))
     return each(found, ["page_id"], "found").groupBy("page_id", "rank").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -197,6 +197,7 @@ def test_date_context_takes_three_nodes(spark):
     ('<a href="">a</a><a href="#x">x</a><a href="c">c</a>', "https://e.org/c"),
     ('<a href="/a">a</a><a href="/x/node/1">b</a>', "https://e.org/x/node/1"),
     ('<a href="#x">x</a><a>y</a>', None),
+    ('<noscript><a href="/n">event details</a></noscript><a href="/m">m</a>', "https://e.org/m"),
 ])
 def test_section_links(spark, links, expected):
     html = "<li>Reading on a quiet Friday evening in the old library hall" + links + "</li>"

@@ -8,9 +8,6 @@ from almanac.functions.html import jsonld_blocks, page_nodes, title
 from almanac.operators import crawl, jsonld
 from almanac.plans.extract import extract
 
-AS_OF = F.lit
-
-
 def script(*objects, kind="application/ld+json"):
     return "".join(f'<script type="{kind}">{o if isinstance(o, str) else json.dumps(o)}</script>' for o in objects)
 
