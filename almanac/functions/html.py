@@ -15,19 +15,22 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
-from almanac.functions.text import replace_all, strip
+from almanac.functions.text import bind, replace_all, strip
 
 # Workers get the parser along with the job, so the package need not be installed on them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: the one media type that marks structured data, compared exactly.
 JSONLD_TYPE = "application/ld+json"
+# Some servers write the plus sign of an attribute as an entity.
+_PLUS = r"(?:\+|&#43;|&#x2[Bb];|&plus;)"
+JSONLD_MARK = "application/ld"  # a page without this text has no block
 # What is put right in a block before it is parsed, in this order.
 ENTITY_REPAIRS = [("&#039;", "'"), ("&quot;", '"'), ("&amp;", "&")]
 
 _ANY_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _OTHER_ATTRIBUTES = r"""(?:\s++(?!type[\s=>])[^\s=>/"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']*+))?+)*+"""
-_TYPE = r"""\s++type\s*+=\s*+(?:"(?-i:TYPE)"|'(?-i:TYPE)'|(?-i:TYPE)(?=[\s>]))""".replace("TYPE", JSONLD_TYPE.replace("+", r"\+"))
+_TYPE = r"""\s++type\s*+=\s*+(?:"(?-i:TYPE)"|'(?-i:TYPE)'|(?-i:TYPE)(?=[\s>]))""".replace("TYPE", JSONLD_TYPE.replace("+", _PLUS))
 _JSONLD = (
     r"(?is)<!--.*?-->"                                                                 # a comment hides what it holds
     r"|<style(?=[\s/>])" + _ANY_ATTRIBUTES + r">.*?</style(?=[\s/>])"
@@ -274,6 +277,11 @@ _TITLE_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")
 
 def title(html: Column) -> Column:
     """H8: text of the first title element with white space run together, 'Unknown' when there is none."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<title(?=[\s>])[^>]*+>(.*?)</title"), F.lit(1))
-    text = replace_all(F.try_element_at(found, F.lit(1)), _TITLE_ENTITIES)
-    return F.coalesce(strip(F.regexp_replace(text, r"\s+", " ")), F.lit("Unknown"))
+    pattern = r"(?is)<title(?=[\s>])[^>]*+>(.*?)</title"
+
+    def show(first: Column) -> Column:
+        text = strip(F.regexp_replace(replace_all(first, _TITLE_ENTITIES), r"\s+", " "))
+        # the page is searched to its end only when its first title is empty or missing
+        return F.when(first != "", text).when(html.rlike(pattern), "").otherwise("Unknown")
+
+    return bind(F.regexp_extract(html, pattern, 1), show)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from almanac import schemas
 from almanac.functions import variants as V
 from almanac.functions.arrays import each
-from almanac.functions.html import JSONLD_TYPE, anchors, jsonld_blocks, page_nodes, repair_entities
+from almanac.functions.html import JSONLD_MARK, anchors, jsonld_blocks, page_nodes, repair_entities
 from almanac.functions.ids import external_id
 from almanac.functions.isotime import (
     local_time, sql_add_seconds, sql_counts_seconds, sql_duration_seconds, sql_normalise,
@@ -65,7 +65,7 @@ def items_of(blocks: Column) -> Column:
 
 def raw_items(html: Column) -> Column:
     """The event objects of a page; only pages that name the media type are searched."""
-    return items_of(parsed_blocks(F.when(html.contains(JSONLD_TYPE), html).otherwise("")))
+    return items_of(parsed_blocks(F.when(html.contains(JSONLD_MARK), html).otherwise("")))
 
 
 def wants_link(items: Column) -> Column:
@@ -321,14 +321,14 @@ def page_events(pages: DataFrame, on_error: str = "page") -> DataFrame:
     ``on_error='page'`` gives up a page with an unreadable date, ``'item'`` only the event concerned.
     """
     keep = [c for c in pages.columns if c not in ("html", "url")]
-    marked = pages.filter(F.col("html").contains(JSONLD_TYPE)).withColumnRenamed("url", "page_url")
+    marked = pages.filter(F.col("html").contains(JSONLD_MARK)).withColumnRenamed("url", "page_url")
     timed = with_items(marked).withColumn("_t", surviving(read_linked(F.col("items"), "direct"), "direct", on_error))
     return explode_events(timed, "_t", "page_url", keep + ["page_url"])
 
 
 def rejected_events(pages: DataFrame) -> DataFrame:
     """Quarantine: broken blocks and events with unreadable times, one row each with the reason."""
-    marked = pages.filter(F.col("html").contains(JSONLD_TYPE)).select("page_id", "url", "html")
+    marked = pages.filter(F.col("html").contains(JSONLD_MARK)).select("page_id", "url", "html")
     blocks = marked.withColumn("_blocks", parsed_blocks(F.col("html")))
     broken = F.transform(
         F.filter("_blocks", lambda b: b["doc"].isNull()),

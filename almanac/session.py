@@ -9,7 +9,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",  # splits the hot side of a join, e.g. one much-embedded frame
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",  # web pages are large rows
+    # web pages are large rows, and a page takes many times its size while it is parsed
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 

@@ -144,6 +144,7 @@ def test_one_bad_date_loses_the_page(spark, fields, reason):
     ("<script type='application/ld+json'>" + json.dumps(event(name="<!-- a -->")) + "</script>", 1),
     ("<script type='application/ld+json'>" + json.dumps(event(name="a")), 0),
     (script("{broken", event(name="a")), 1),
+    ("<script type='application/ld&#x2B;json'>" + json.dumps(event(name="a")) + "</script>", 1),
     ("<scripture type='application/ld+json'>" + json.dumps(event(name="a")) + "</scripture>", 0),
 ])
 def test_blocks(spark, html, count):
