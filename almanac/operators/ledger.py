@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac import schemas
+from almanac.functions.joins import lookup
 from almanac.functions.text import non_empty, strip
 from almanac.operators.contract import location_text
 
@@ -23,7 +24,7 @@ def due_sources(sources: DataFrame, as_of: Column) -> DataFrame:
 def new_pages(discovered: DataFrame, jobs: DataFrame, as_of: Column) -> DataFrame:
     """Pending job rows for (source, URL) pairs the ledger does not know yet, each once."""
     fresh = discovered.select("source_id", "url").distinct().join(
-        jobs.select("source_id", "url"), ["source_id", "url"], "left_anti"
+        jobs.select("source_id", "url").distinct(), ["source_id", "url"], "left_anti"
     )
     return fresh.select(
         "source_id", "url", F.lit("pending").alias("status"), as_of.cast("timestamp_ntz").alias("created_at"),
@@ -78,11 +79,11 @@ def duplicate_clusters(events: DataFrame) -> DataFrame:
 def with_cluster(events: DataFrame) -> DataFrame:
     """Every event with the ``cluster_id`` of its group.
 
-    The group side has one row per key; a hot key is hot on the event side only, which a skew join splits.
+    Groups are reduced to their least id first; events then look it up, see ``lookup`` for hot groups.
     """
-    keyed = events.withColumn("_k", F.xxhash64(F.to_json(event_key()))).withColumn("_key", F.to_json(event_key()))
-    least = keyed.groupBy("_k", "_key").agg(F.min("external_id").alias("cluster_id"))
-    return keyed.join(least, ["_k", "_key"]).drop("_k", "_key")
+    keyed = events.withColumn("_key", F.to_json(event_key()))
+    least = keyed.groupBy("_key").agg(F.min("external_id").alias("cluster_id"))
+    return lookup(keyed, least, ["_key"]).drop("_key")
 
 
 def unique_events(events: DataFrame, order: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from almanac.functions import variants as V
 from almanac.functions.html import page_nodes
 from almanac.functions.ids import content_key, external_id
 from almanac.functions.isotime import normalise, unreadable
+from almanac.functions.joins import lookup
 from almanac.functions.text import bind, first_non_empty, non_empty, strip
 from almanac.operators.hints import hint_html, page_text, within_budget
 
@@ -118,9 +119,9 @@ def with_answers(prompts: DataFrame, responses: DataFrame, kind: str) -> DataFra
     """Prompt rows with ``content`` and ``status`` of their answer, NULL where none is recorded.
 
     The answer side has one row per key, so a prompt that makes up a large part of the rows is only
-    hot on the prompt side, which adaptive execution splits.
+    hot on the prompt side, which ``lookup`` keeps splittable.
     """
-    return prompts.join(answers(responses, kind), "prompt_key", "left")
+    return lookup(prompts, answers(responses, kind), ["prompt_key"], "left")
 
 
 def run_model(prompts: DataFrame, model: Callable[[list[str]], list[str]], kind: str, partitions: int | None = None) -> DataFrame:

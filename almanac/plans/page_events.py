@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions import variants as V
+from almanac.functions.joins import lookup
 from almanac.operators import models
 from almanac.operators.crawl import page_frames
 from almanac.operators.sections import page_sections
@@ -35,7 +36,7 @@ def reachable(urls: DataFrame, edges: DataFrame, calendar_frames: DataFrame, wit
         # equal targets meet once per page that names them; the reach side is looked up by its root
         by_link = edges.join(below, edges["target"] == below["root"]).select(edges["url"].alias("root"), below["page"])
         here = write_once(start.unionByName(by_link).distinct())
-        fruitful = here.join(with_events, here["page"] == with_events["url"], "left_semi").select("root").distinct()
+        fruitful = lookup(here, with_events.select(F.col("url").alias("page")), ["page"], "left_semi").select("root").distinct()
         lonely = calendar_frames.join(fruitful, calendar_frames["url"] == fruitful["root"], "left_anti")
         by_frame = lonely.join(below, lonely["frame_url"] == below["root"]).select(lonely["url"].alias("root"), below["page"])
         reach = here.unionByName(by_frame).distinct()
@@ -62,5 +63,5 @@ def crawl_sections(
         pages.select("url"), write_once(edges), frames(pages), events.select(F.col("page_url").alias("url")).distinct(), max_depth
     )
     if roots is not None:
-        reach = reach.join(roots.select(F.col("url").alias("root")).distinct(), "root", "left_semi")
+        reach = lookup(reach, roots.select(F.col("url").alias("root")).distinct(), ["root"], "left_semi")
     return reach.join(events, reach["page"] == events["page_url"]).drop("page", "prompt_key")
