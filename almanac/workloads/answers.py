@@ -13,7 +13,7 @@ from almanac.plans.extract import hint_prompts as hint_prompts_through_frames
 from almanac.plans.staging import write_once
 from almanac.workloads.common import day, table, text
 from almanac.workloads.crawling import FRAME_HTML, FRAME_URL, PARENT, PARENT_HTML, framed_pages
-from almanac.workloads.markup import _NUMBERED, _LINK_URL, ORACLES as MARKUP_ORACLES, PAGE_URL, section_pages
+from almanac.workloads.markup import NUMBERED_SECTIONS, SECTION_LINK_URL, ORACLES as MARKUP_ORACLES, PAGE_URL, section_pages
 from almanac.workloads.structured import EXPECTED_EVENTS, order_pages
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -147,10 +147,10 @@ QUERIES = {
 
 _CONTEXT = "CASE WHEN ord = 2 THEN CASE event_id % 3 WHEN 0 THEN 'Sunday' || chr(10) WHEN 2 THEN 'June 3rd' || chr(10) || '10:30 am' || chr(10) ELSE '' END ELSE '' END"
 _PLACE = "CASE WHEN location_kind = 'place' THEN '{\"@type\":\"Place\",\"address\":\"1 Main Street\",\"name\":\"' || place_name || '\"}' ELSE location_text END"
-_LINK = f"CASE WHEN ord = 1 THEN {_LINK_URL} END"
+_LINK = f"CASE WHEN ord = 1 THEN {SECTION_LINK_URL} END"
 
 ORACLES = {
-    "section_prompts": f"""SELECT event_id AS page_id, section_pos, sha256({_filled(models.SECTION_PROMPT, as_of=f"'{TODAY}'", content=f"{_CONTEXT} || section", url=PAGE_URL)}) AS prompt_key FROM ({_NUMBERED})""",
+    "section_prompts": f"""SELECT event_id AS page_id, section_pos, sha256({_filled(models.SECTION_PROMPT, as_of=f"'{TODAY}'", content=f"{_CONTEXT} || section", url=PAGE_URL)}) AS prompt_key FROM ({NUMBERED_SECTIONS})""",
     "page_prompts": f"""SELECT p.page_id, sha256({_filled(models.PAGE_PROMPT, url="url", content="text")}) AS prompt_key FROM pages AS p
       JOIN ({MARKUP_ORACLES["page_body_text"]}) AS t ON t.page_id = p.page_id WHERE length(text) >= 200""",
     "hint_prompts": f"""SELECT page_id, sha256({_filled(models.HINT_PROMPT, url="url", content="html")}) AS prompt_key FROM pages""",
@@ -160,7 +160,7 @@ ORACLES = {
     "section_answers": f"""SELECT event_id AS page_id, section_pos, 'Show' AS title, CASE WHEN event_id % 7 = 1 THEN 'Hall' END AS location_text,
       CASE WHEN event_id % 7 = 0 THEN '2025-02-01T10:00:00-05:00' END AS start_time,
       coalesce({_LINK}, CASE WHEN event_id % 7 = 0 THEN 'https://m.example.org/' END, {PAGE_URL}) AS url, CASE WHEN event_id % 7 = 0 THEN 'a,b' ELSE '' END AS tags
-      FROM ({_NUMBERED}) WHERE event_id % 7 IN (0, 1, 2)""",
+      FROM ({NUMBERED_SECTIONS}) WHERE event_id % 7 IN (0, 1, 2)""",
     "page_answers": f"""SELECT page_id, failed, seq, external_id, title, description, location_text, start_time, end_time, url FROM (
       SELECT o_orderkey AS page_id, o_orderkey % 6 AS f, false AS failed, 0 AS seq, 'p.example.org:' || substr(sha1('p.example.org|A ' || {K} || '|' || {D} || 'T00:00:00+00:00'), 1, 16) AS external_id,
         'A ' || {K} AS title, '' AS description, NULL AS location_text, {D} || 'T00:00:00+00:00' AS start_time, {D} || 'T23:59:59+00:00' AS end_time, NULL AS url FROM orders WHERE o_orderkey % 6 = 0

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from almanac.plans.staging import write_once
 from almanac.session import spread, tune
 
 
@@ -10,6 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(tune(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+_DERIVED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table of pages written out of a supplied table, stored once per session and read by all queries.
+
+    Queries then meet pages the way they do in earnest, as a table, and not as the expressions that made them.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _DERIVED:
+        _DERIVED[key] = write_once(build())
+    return _DERIVED[key]
+
+
 def text(expression: str) -> str:
     """A value as text, in both dialects."""
     return f"CAST({expression} AS STRING)"

@@ -11,7 +11,7 @@ from almanac.plans.page_events import crawl_sections, section_prompts
 from almanac.plans.staging import shared_folder, write_once
 from almanac.sources.tables import write_events
 from almanac.streaming import continuous
-from almanac.workloads.common import script, table, text
+from almanac.workloads.common import derived, script, table, text
 from almanac.workloads.structured import EXPECTED_EVENTS, order_pages
 
 C = text("c_custkey")
@@ -41,12 +41,15 @@ def _as_of():
 
 
 def framed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer")
-    parents = customers.selectExpr("2 * c_custkey AS page_id", f"{PARENT} AS url", f"{PARENT_HTML} AS html")
-    frames = customers.selectExpr(
-        "2 * c_custkey + 1 AS page_id", f"coalesce({FRAME_URL}, {_SITE} || '/unused/' || {C}) AS url", f"{FRAME_HTML} AS html"
-    )
-    return parents.unionByName(frames)
+    def build() -> DataFrame:
+        customers = table(spark, sf_dir, "customer")
+        parents = customers.selectExpr("2 * c_custkey AS page_id", f"{PARENT} AS url", f"{PARENT_HTML} AS html")
+        frames = customers.selectExpr(
+            "2 * c_custkey + 1 AS page_id", f"coalesce({FRAME_URL}, {_SITE} || '/unused/' || {C}) AS url", f"{FRAME_HTML} AS html"
+        )
+        return parents.unionByName(frames)
+
+    return derived(spark, sf_dir, "framed_pages", build)
 
 
 def _with_methods(pages: DataFrame, repair: bool = False) -> DataFrame:
@@ -86,17 +89,20 @@ OWN = f"""'{_EV}"@id":"urn:own:' || {C} || '","startDate":"1997-01-01"}}'"""
 
 
 def calendar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer")
-    base = customers.selectExpr("3 * c_custkey AS page_id", f"{CALENDAR} AS url", f"{script(OWN)} AS html")
-    june = customers.selectExpr(
-        "3 * c_custkey + 1 AS page_id", f"{CALENDAR} || '1998-june/' AS url", f"'<a href=\"../walk\">Go: walk ' || {C} || '</a>' || {script(JUNE)} AS html"
-    )
-    july = customers.selectExpr(
-        "3 * c_custkey + 2 AS page_id",
-        f"CASE WHEN c_custkey % 5 = 0 THEN 'https://elsewhere.example.org/' || {C} ELSE {CALENDAR} || '1998-july/' END AS url",
-        f"{script(JULY)} AS html",
-    )
-    return base.unionByName(june).unionByName(july)
+    def build() -> DataFrame:
+        customers = table(spark, sf_dir, "customer")
+        base = customers.selectExpr("3 * c_custkey AS page_id", f"{CALENDAR} AS url", f"{script(OWN)} AS html")
+        june = customers.selectExpr(
+            "3 * c_custkey + 1 AS page_id", f"{CALENDAR} || '1998-june/' AS url", f"'<a href=\"../walk\">Go: walk ' || {C} || '</a>' || {script(JUNE)} AS html"
+        )
+        july = customers.selectExpr(
+            "3 * c_custkey + 2 AS page_id",
+            f"CASE WHEN c_custkey % 5 = 0 THEN 'https://elsewhere.example.org/' || {C} ELSE {CALENDAR} || '1998-july/' END AS url",
+            f"{script(JULY)} AS html",
+        )
+        return base.unionByName(june).unionByName(july)
+
+    return derived(spark, sf_dir, "calendar_pages", build)
 
 
 def calendar_events(spark, sf_dir):
@@ -148,9 +154,11 @@ LATE = f"""'{{"events":[{{"title":"Walk ' || {C} || '","start":"2025-03-01T09:00
 def towns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages, recorded answers, hints."""
     customers = table(spark, sf_dir, "customer")
-    pages = customers.selectExpr("10 * c_custkey AS page_id", f"{TOWN} AS url", f"{TOWN_HTML} AS html").unionByName(
-        customers.selectExpr("10 * c_custkey + 1 AS page_id", f"CASE WHEN {KIND} = 5 THEN {FRAME} ELSE {DETAIL} END AS url", f"{PLAIN_HTML} AS html")
-    )
+    pages = derived(spark, sf_dir, "towns", lambda: customers.selectExpr(
+        "10 * c_custkey AS page_id", f"{TOWN} AS url", f"{TOWN_HTML} AS html"
+    ).unionByName(customers.selectExpr(
+        "10 * c_custkey + 1 AS page_id", f"CASE WHEN {KIND} = 5 THEN {FRAME} ELSE {DETAIL} END AS url", f"{PLAIN_HTML} AS html"
+    )))
     answers = customers.selectExpr(
         "'page' AS kind",
         f"sha2(CASE WHEN {KIND} = 4 THEN {_prompt(DETAIL)} ELSE {_prompt(TOWN)} END, 256) AS key",
@@ -197,12 +205,15 @@ FRAMED_PART_HTML = f"""'<body><div class="event-item">Framed meeting ' || {P} ||
 
 
 def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part")
-    return parts.selectExpr("2 * p_partkey AS page_id", f"{PART_URL} AS url", f"{PART_HTML} AS html").unionByName(
-        parts.filter("p_partkey % 4 = 2").selectExpr(
-            "2 * p_partkey + 1 AS page_id", f"'https://parts.example.org/calendar/' || {P} AS url", f"{FRAMED_PART_HTML} AS html"
+    def build() -> DataFrame:
+        parts = table(spark, sf_dir, "part")
+        return parts.selectExpr("2 * p_partkey AS page_id", f"{PART_URL} AS url", f"{PART_HTML} AS html").unionByName(
+            parts.filter("p_partkey % 4 = 2").selectExpr(
+                "2 * p_partkey + 1 AS page_id", f"'https://parts.example.org/calendar/' || {P} AS url", f"{FRAMED_PART_HTML} AS html"
+            )
         )
-    )
+
+    return derived(spark, sf_dir, "part_pages", build)
 
 
 def _part_answers(pages: DataFrame) -> DataFrame:

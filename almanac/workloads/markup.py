@@ -9,7 +9,7 @@ from almanac.functions.html import anchors, page_nodes, title
 from almanac.functions.text import names_a_date
 from almanac.operators import hints, sections
 from almanac.sources.tables import read_pages
-from almanac.workloads.common import table, text
+from almanac.workloads.common import derived, table, text
 
 # ---- the supplied pages -----------------------------------------------------------------------
 
@@ -166,13 +166,14 @@ SELECTORS = "array('div.event-outer', '[class*=inner]', 'section', 'main > x', '
 
 
 def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr("event_id AS page_id", f"{PAGE_URL} AS url", f"{SECTION_HTML} AS html")
+    def build() -> DataFrame:
+        return table(spark, sf_dir, "events").selectExpr("event_id AS page_id", f"{PAGE_URL} AS url", f"{SECTION_HTML} AS html")
+
+    return derived(spark, sf_dir, "section_pages", build)
 
 
 def hinted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr(
-        "event_id AS page_id", f"{PAGE_URL} AS url", f"{SECTION_HTML} AS html", f"{SELECTORS} AS selectors"
-    )
+    return section_pages(spark, sf_dir).withColumn("selectors", F.expr(SELECTORS))
 
 
 def container_candidates(spark, sf_dir):
@@ -233,9 +234,9 @@ _SECTIONS = f"""
     f"WHEN {n} THEN '{t}'" for n, t in enumerate(LINK_TEXTS)
 ) + f""" END, '|', chr(10)), 'div' FROM events
   UNION ALL SELECT event_id, 15, 2, {TALK}, 'section' FROM events"""
-_NUMBERED = f"SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY rank, ord) - 1 AS INTEGER) AS section_pos FROM ({_SECTIONS})"
+NUMBERED_SECTIONS = f"SELECT *, CAST(row_number() OVER (PARTITION BY event_id ORDER BY rank, ord) - 1 AS INTEGER) AS section_pos FROM ({_SECTIONS})"
 _TOWN = f"'https://town' || {text('event_id % 30')} || '.example.org'"
-_LINK_URL = f"CASE event_id % 4 WHEN 0 THEN {_TOWN} || '/news/d/1' WHEN 1 THEN {_TOWN} || '/plain/1' WHEN 2 THEN 'https://city.example.org/node/7' END"
+SECTION_LINK_URL = f"CASE event_id % 4 WHEN 0 THEN {_TOWN} || '/news/d/1' WHEN 1 THEN {_TOWN} || '/plain/1' WHEN 2 THEN 'https://city.example.org/node/7' END"
 _OUTER = f"{ITEM} || chr(10) || replace(CASE event_id % 4 " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in enumerate(LINK_TEXTS)) + " END, '|', chr(10))"
 _MARK = "chr(10) || chr(10) || '---EVENT-CHUNK---' || chr(10) || chr(10)"
 _TALK_CHUNK = f"{_MARK} || {TALK}"
@@ -296,15 +297,15 @@ ORACLES = {
     "text_urls": f"""SELECT event_id, i AS url_pos, CASE i WHEN 0 THEN 'http://a.example.org/x' WHEN 1 THEN 'https://b.example.org/p?q=' || {E} ELSE 'https://b.example.org/p?q=' || {E} || '.' END AS found
       FROM events, (VALUES (0), (1), (2)) AS v(i)""",
     "container_candidates": f"""SELECT page_id, rank, count(*) AS n FROM ({_TAG_RANKS} UNION ALL SELECT event_id, 16 FROM events) GROUP BY ALL""",
-    "section_ranks": f"SELECT event_id AS page_id, section_pos, rank, tag FROM ({_NUMBERED})",
-    "section_texts": f"SELECT event_id AS page_id, section_pos, section FROM ({_NUMBERED})",
-    "section_texts_over_50": f"SELECT event_id AS page_id, section_pos, length(section) AS length FROM ({_NUMBERED}) WHERE length(section) > 50",
+    "section_ranks": f"SELECT event_id AS page_id, section_pos, rank, tag FROM ({NUMBERED_SECTIONS})",
+    "section_texts": f"SELECT event_id AS page_id, section_pos, section FROM ({NUMBERED_SECTIONS})",
+    "section_texts_over_50": f"SELECT event_id AS page_id, section_pos, length(section) AS length FROM ({NUMBERED_SECTIONS}) WHERE length(section) > 50",
     "outermost_sections": f"SELECT page_id, rank, count(*) AS n FROM ({_TAG_RANKS}) GROUP BY ALL",
-    "section_links": f"SELECT event_id AS page_id, section_pos, CASE WHEN ord = 1 THEN {_LINK_URL} END AS link_url FROM ({_NUMBERED})",
+    "section_links": f"SELECT event_id AS page_id, section_pos, CASE WHEN ord = 1 THEN {SECTION_LINK_URL} END AS link_url FROM ({NUMBERED_SECTIONS})",
     "section_contexts": f"""SELECT event_id AS page_id, section_pos, CASE WHEN ord = 2 THEN CASE event_id % 3 WHEN 0 THEN 'Sunday' WHEN 2 THEN 'June 3rd' || chr(10) || '10:30 am' END END AS context
-      FROM ({_NUMBERED})""",
+      FROM ({NUMBERED_SECTIONS})""",
     "section_urls": f"""SELECT event_id AS page_id, section_pos, CASE i WHEN 0 THEN 'http://t.example.org/' || {E} ELSE 'https://u.example.org/p?q=' || {E} END AS found
-      FROM ({_NUMBERED}), (VALUES (0), (1)) AS v(i) WHERE ord = 2""",
+      FROM ({NUMBERED_SECTIONS}), (VALUES (0), (1)) AS v(i) WHERE ord = 2""",
     "hinted_chunks": f"SELECT event_id AS page_id, {_OUTER} || {_MARK} || {ITEM} || CASE WHEN {RANK} = 15 AND {LENGTH} > 50 THEN {_MARK} || {MAIN} ELSE '' END || {_TALK_CHUNK} || {_TALK_CHUNK} || {_MARK} || {ITEM} AS text FROM events",
     "hinted_links": f"""SELECT event_id AS page_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY n) - 1 AS INTEGER) AS link_pos, event_url FROM (
       SELECT event_id, v.* FROM events, (VALUES (0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (2, 0), (2, 1), (3, 0)) AS v(k, n) WHERE event_id % 4 = v.k) AS t

@@ -131,24 +131,16 @@ def responses_source(spark, sf_dir):
 
 # ---- crawl reports -----------------------------------------------------------------------------------
 
-RESULT = f"""c_name AS source, 'https://c.example.org/' || {C} AS url, c_mktsegment AS type, 'city ' || {text('c_nationkey')} AS city,
-  CASE WHEN c_custkey % 11 = 0 THEN 'failed' ELSE 'completed' END AS status, CAST(c_custkey % 7 AS INT) AS events_found,
-  CAST(least(c_custkey % 7, c_custkey % 4) AS INT) AS events_eligible, CAST(least(c_custkey % 7, c_custkey % 4, c_custkey % 3) AS INT) AS events_posted, CAST(0.5 AS DOUBLE) AS minutes"""
+RESULT = [
+    "c_name AS source", f"'https://c.example.org/' || {C} AS url", "c_mktsegment AS type", f"'city ' || {text('c_nationkey')} AS city",
+    "CASE WHEN c_custkey % 11 = 0 THEN 'failed' ELSE 'completed' END AS status", "CAST(c_custkey % 7 AS INT) AS events_found",
+    "CAST(least(c_custkey % 7, c_custkey % 4) AS INT) AS events_eligible",
+    "CAST(least(c_custkey % 7, c_custkey % 4, c_custkey % 3) AS INT) AS events_posted", "CAST(0.5 AS DOUBLE) AS minutes",
+]
 
 
 def _results(spark, sf_dir):
-    return table(spark, sf_dir, "customer").selectExpr(*[e.strip() for e in _split(RESULT)])
-
-
-def _split(columns: str) -> list[str]:
-    """Top-level commas of a select list."""
-    parts, depth, start = [], 0, 0
-    for at, ch in enumerate(columns):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            parts.append(columns[start:at])
-            start = at + 1
-    return parts + [columns[start:]]
+    return table(spark, sf_dir, "customer").selectExpr(*RESULT)
 
 
 def crawl_summary(spark, sf_dir):
@@ -203,13 +195,16 @@ def due_sources(spark, sf_dir):
     return ledger.due_sources(sources, _now()).select("source_id")
 
 
-JOB = f"""o_orderkey AS job_id, CAST(o_custkey % 20 AS INT) AS source_id, 'https://j.example.org/' || {text('o_custkey')} AS url,
-  CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'completed' ELSE 'failed' END AS status, o_orderdate AS created_at,
-  CASE WHEN o_orderkey % 4 = 3 THEN 'HTTP 500 on ' || {K} ELSE '' END AS error_message, CAST(o_orderkey % 13 AS INT) AS events_found"""
+JOB = [
+    "o_orderkey AS job_id", "CAST(o_custkey % 20 AS INT) AS source_id", f"'https://j.example.org/' || {text('o_custkey')} AS url",
+    "CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'completed' ELSE 'failed' END AS status",
+    "o_orderdate AS created_at", f"CASE WHEN o_orderkey % 4 = 3 THEN 'HTTP 500 on ' || {K} ELSE '' END AS error_message",
+    "CAST(o_orderkey % 13 AS INT) AS events_found",
+]
 
 
 def _jobs(spark, sf_dir):
-    return table(spark, sf_dir, "orders").selectExpr(*_split(JOB))
+    return table(spark, sf_dir, "orders").selectExpr(*JOB)
 
 
 def new_pages(spark, sf_dir):
@@ -232,12 +227,15 @@ def failed_jobs(spark, sf_dir):
 
 # A third of all events share one title, day and place.
 COPY = f"""CASE WHEN o_orderkey % 3 = 0 THEN 'Town  Fair ' ELSE 'Order of ' || {text('o_custkey')} END"""
-EVENT_ROW = f"""'e:' || lpad({text('o_orderkey % 4000')}, 6, '0') AS external_id, {COPY} AS title, CASE WHEN o_orderkey % 3 = 0 THEN '1999-01-01T00:00:00+00:00' ELSE {D} || 'T00:00:00+00:00' END AS start_time,
-  CASE WHEN o_orderkey % 2 = 0 THEN 'Hall ' ELSE 'hall' END AS place, CAST(o_custkey % 30 AS INT) AS source_id, o_orderkey AS n"""
+EVENT_ROW = [
+    f"'e:' || lpad({text('o_orderkey % 4000')}, 6, '0') AS external_id", f"{COPY} AS title",
+    f"CASE WHEN o_orderkey % 3 = 0 THEN '1999-01-01T00:00:00+00:00' ELSE {D} || 'T00:00:00+00:00' END AS start_time",
+    "CASE WHEN o_orderkey % 2 = 0 THEN 'Hall ' ELSE 'hall' END AS place", "CAST(o_custkey % 30 AS INT) AS source_id", "o_orderkey AS n",
+]
 
 
 def _copies(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").selectExpr(*_split(EVENT_ROW))
+    rows = table(spark, sf_dir, "orders").selectExpr(*EVENT_ROW)
     nothing = F.lit(None).cast("struct<type:string,name:string,address:string,telephone:string,url:string,raw:string>")
     return rows.withColumn("location", F.struct(F.lit("text").alias("kind"), F.col("place").alias("text"), nothing.alias("place"))).drop("place")
 
@@ -299,12 +297,12 @@ QUERIES = {
 _REQUEST_URL = f"'https://host' || {text('o_orderkey % 25')} || '.example.org/shows/' || {K}"
 _FILLED = "title <> '' AND coalesce(end_time, '') <> ''"
 _SHORT = f"""SELECT *, CASE WHEN status = 'completed' AND events_found = 0 THEN 'no_events_found' WHEN status = 'completed' AND events_posted < events_eligible THEN 'partial_success' END AS reason
-  FROM (SELECT {RESULT} FROM customer)"""
+  FROM (SELECT {', '.join(RESULT)} FROM customer)"""
 _LIST = f"""SELECT source, url, type, city, reason, CASE WHEN reason = 'no_events_found' THEN '{reports.NOTHING_FOUND_DETAILS}'
   ELSE 'Posted ' || events_posted || '/' || events_eligible || ' events successfully' END AS details, events_found, events_posted FROM ({_SHORT}) WHERE reason IS NOT NULL"""
-_JOBS = f"SELECT {JOB} FROM orders"
+_JOBS = f"SELECT {', '.join(JOB)} FROM orders"
 _LATEST = f"SELECT * FROM ({_JOBS}) QUALIFY row_number() OVER (PARTITION BY url ORDER BY created_at DESC, job_id DESC) = 1"
-_KEYED = f"SELECT *, lower(regexp_replace(trim(title), '\\s+', ' ', 'g')) AS kt, lower(trim(place)) AS kp FROM (SELECT {EVENT_ROW} FROM orders)"
+_KEYED = f"SELECT *, lower(regexp_replace(trim(title), '\\s+', ' ', 'g')) AS kt, lower(trim(place)) AS kp FROM (SELECT {', '.join(EVENT_ROW)} FROM orders)"
 _NEW = f"""SELECT 'c:' || {text('o_custkey * 2')} AS external_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'Order ' || {K} END AS title,
   CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS description, o_orderdate + to_seconds(o_orderkey) AS seen_at FROM orders"""
 

@@ -8,7 +8,7 @@ from almanac.functions.html import jsonld_blocks, repair_entities
 from almanac.functions.ids import external_id
 from almanac.functions.isotime import add_seconds, duration_seconds, normalise
 from almanac.operators import jsonld
-from almanac.workloads.common import day, flat_location, script, table, text
+from almanac.workloads.common import day, derived, flat_location, script, table, text
 
 K = text("o_orderkey")
 D = day("o_orderdate")
@@ -56,7 +56,10 @@ HTML = f"{_DECOYS} || {_ANCHORS} || {script(BLOCK)} || '<p>and</p><SCRIPT id=\"b
 
 
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page_id", f"{URL} AS url", f"{HTML} AS html")
+    def build() -> DataFrame:
+        return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page_id", f"{URL} AS url", f"{HTML} AS html")
+
+    return derived(spark, sf_dir, "order_pages", build)
 
 
 # Orders of the lowest priority carry a second block with a date that cannot be read.
@@ -67,10 +70,13 @@ _SPOILT_BLOCK = f"{_HEAD}\"startDate\":\"soon\"}}'"
 
 
 def spoilt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = f"CASE WHEN {SPOILT} THEN {script(_SPOILT_BLOCK)} ELSE '' END"
-    return table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey AS page_id", f"{URL} AS url", f"{script(LIST)} || {bad} AS html"
-    )
+    def build() -> DataFrame:
+        bad = f"CASE WHEN {SPOILT} THEN {script(_SPOILT_BLOCK)} ELSE '' END"
+        return table(spark, sf_dir, "orders").selectExpr(
+            "o_orderkey AS page_id", f"{URL} AS url", f"{script(LIST)} || {bad} AS html"
+        )
+
+    return derived(spark, sf_dir, "spoilt_pages", build)
 
 
 def _events(df: DataFrame) -> DataFrame:
