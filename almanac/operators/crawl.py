@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions import urls
 from almanac.functions.html import elements, page_nodes, title
-from almanac.functions.text import bind, non_empty
+from almanac.functions.text import bind, each_item, non_empty
 from almanac.operators import jsonld
 from almanac.operators.hints import page_text
 
@@ -62,8 +62,8 @@ def outgoing(page_url: Column, frame_url: Column, as_of: Column, months: int = 2
 def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: bool = False) -> DataFrame:
     """One pass over the HTML.  A narrow row per page with everything the joins need:
 
-    ``items`` (event objects found), ``own`` (events under the direct rule), ``failed``, ``links`` (what
-    to follow, nothing when the page failed), ``frame_url``.  ``with_text`` adds the ``title`` and, for
+    ``items`` (event objects found, with their times under the direct rule; ``own_items`` picks the page's
+    own events out of them), ``failed``, ``links`` (what to follow, nothing when the page failed), ``frame_url``.  ``with_text`` adds the ``title`` and, for
     pages without events of their own and without a frame, the ``text`` a model would read.
     """
     html, nodes = F.col("html"), F.col("_nodes")
@@ -81,8 +81,7 @@ def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: b
     linked = (
         read.withColumn("_nodes", page_nodes(F.when(needs_nodes, html)))
         .withColumn("_hrefs", jsonld.title_links(F.col("items"), F.when(jsonld.wants_link(F.col("items")), nodes)))
-        .withColumn("own", jsonld.surviving(jsonld.put_links(F.col("_timed"), F.col("_hrefs")), "direct", on_error))
-        .withColumn("items", jsonld.put_links(F.col("items"), F.col("_hrefs")))
+        .withColumn("items", jsonld.put_links(F.col("_timed"), F.col("_hrefs")))
         .withColumn("frame_url", first_frame(nodes, F.col("url")))
         .withColumn("links", F.when(
             F.col("failed"), F.expr(f"cast(array() as {_LINKS})")
@@ -94,13 +93,19 @@ def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: b
     return linked.drop("_timed", "_nodes", "_hrefs", "_barren")
 
 
+def own_items(items: Column, on_error: str = "page") -> Column:
+    """The items of a surveyed page that are events of its own."""
+    return jsonld.surviving(items, "direct", on_error)
+
+
 def targets(surveyed: DataFrame, pages: DataFrame) -> DataFrame:
     """What a followed link finds at its address: ``target_url, items, frame_items, frame_rule``.
 
     A framed page counts as rendered.  When ``pages`` has a ``rendered`` column it is read instead, and
     pages without a rendered form are read by the direct rule.
     """
-    plain = surveyed.filter(F.size("items") > 0).select(F.col("url").alias("target_url"), "items")
+    bare = "i -> named_struct('block_pos', i.block_pos, 'item_pos', i.item_pos, 'item', i.item, 'href', i.href)"
+    plain = surveyed.filter(F.size("items") > 0).select(F.col("url").alias("target_url"), each_item(F.col("items"), bare).alias("items"))
     if "rendered" not in pages.columns:
         return plain.select("target_url", "items", F.col("items").alias("frame_items"), F.lit("iframe").alias("frame_rule"))
     drawn = (
@@ -135,16 +140,24 @@ def followed_events(links: DataFrame, found: DataFrame, as_of: Column, keep: lis
     )
 
 
-def own_events(surveyed: DataFrame, keep: list[str]) -> DataFrame:
-    rows = surveyed.withColumn("target_url", F.col("page_url")).withColumn("method", F.lit("jsonld")).withColumn("source_ord", F.lit(0))
-    return jsonld.explode_events(rows, "own", "page_url", keep + ["target_url", "method", "source_ord"])
+def own_events(surveyed: DataFrame, keep: list[str], on_error: str = "page") -> DataFrame:
+    rows = surveyed.withColumns({
+        "target_url": F.col("page_url"), "method": F.lit("jsonld"), "source_ord": F.lit(0),
+        "_own": own_items(F.col("items"), on_error),
+    })
+    return jsonld.explode_events(rows, "_own", "page_url", keep + ["target_url", "method", "source_ord"])
 
 
-def all_jsonld_events(surveyed: DataFrame, pages: DataFrame, as_of: Column, repair: bool = False) -> DataFrame:
-    """Events of a page, of its frame and of its month pages, one under the other, none removed."""
+def all_jsonld_events(
+    surveyed: DataFrame, pages: DataFrame, as_of: Column, repair: bool = False, on_error: str = "page",
+) -> DataFrame:
+    """Events of a page, of its frame and of its month pages, one under the other, none removed.
+
+    ``on_error`` is the one the survey was made with.
+    """
     keep = ["page_id", "page_url"] + [c for c in ("source_id",) if c in surveyed.columns]
     named = surveyed.withColumn("page_url", F.col("url"))
     links = named.select(*keep, F.inline("links"))
-    return own_events(named, keep).unionByName(
+    return own_events(named, keep, on_error).unionByName(
         followed_events(links, targets(surveyed, pages), as_of, keep, repair)
     )

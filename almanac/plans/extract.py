@@ -49,13 +49,13 @@ def extract(
         crawl.survey(pages, as_of, on_error, with_text=True)
         .withColumn("page_url", F.col("url"))
         .withColumn("prompt_key", content_key(models.prompt_of_text(F.col("url"), F.col("text"))))
-        .withColumn("own_events", F.coalesce(F.size("own"), F.lit(0)))
+        .withColumn("own_events", F.size(crawl.own_items(F.col("items"), on_error)))
         .withColumn("follows", F.size("links") > 0)
-        .select(*keep, "url", "title", "failed", "own_events", "follows", "own", "links", "items", "frame_url", "prompt_key")
+        .select(*keep, "url", "title", "failed", "own_events", "follows", "links", "items", "frame_url", "prompt_key")
     )
     links = seen.filter("follows").select(*keep, F.inline("links"))
     followed = write_once(crawl.followed_events(links, crawl.targets(seen, pages), as_of, keep, repair))
-    found = crawl.own_events(seen, keep).unionByName(followed)
+    found = crawl.own_events(seen, keep, on_error).unionByName(followed)
     later = followed.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
     status = seen.select(*keep, "title", "failed", "own_events")
 
