@@ -84,7 +84,7 @@ def field_conformance(requests: DataFrame, events: DataFrame) -> DataFrame:
         "url",
         F.coalesce("schema_requirements.required_fields", F.array(*map(F.lit, schemas.DEFAULT_REQUIRED))).alias("required_fields"),
         F.coalesce("schema_requirements.optional_fields", F.array(*map(F.lit, schemas.DEFAULT_OPTIONAL))).alias("optional_fields"),
-    )
+    ).distinct()
     # the sets of filled fields are few, so this groups a page's events into a handful of rows
     shapes = events.select(F.col("page_url").alias("url"), have.alias("have")).groupBy("url", "have").agg(F.count(F.lit(1)).alias("n"))
     joined = wanted.join(shapes, "url", "left")

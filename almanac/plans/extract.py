@@ -137,11 +137,12 @@ def model_events(
 
     A page with hints is not read itself: the pages its hinted links lead to are (C9), without hints of
     their own.  An empty list of hints is a hint too, and yields nothing unless ``fallback_when_no_links``.
+    Of several hints for one address the greatest counts, so that a page asked for twice is read once.
     """
     keep = ids + ["page_url"]
     none = F.lit(None).cast("array<string>")
     hinted = misses.withColumn("selectors", none) if hints is None else misses.join(
-        hints.select(F.col("url").alias("page_url"), "selectors"), "page_url", "left"
+        hints.groupBy(F.col("url").alias("page_url")).agg(F.max("selectors").alias("selectors")), "page_url", "left"
     )
     ready = write_once(with_readable_text(hinted, pages))
     follows = F.col("selectors").isNotNull() if follow_links else F.lit(False)

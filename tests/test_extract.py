@@ -58,6 +58,7 @@ def test_hints_lead_to_detail_pages_only(spark):
     pages = pages_of(spark, ("/a", HINTED), ("/d", PLAIN))
     answers = [answer("/d", TEXT, event("detail")), answer("/a", f"{TEXT}\nd\nrest", event("whole"))]
     assert run(spark, pages, answers, [("/a", [".e"])]) == ({0: "llm", 1: "llm"}, [(0, "detail"), (1, "detail")])
+    assert run(spark, pages, answers, [("/a", [".e"]), ("/a", None), ("/a", [".e"])])[1] == [(0, "detail"), (1, "detail")]
     assert run(spark, pages, answers, [("/a", [])]) == ({0: "none", 1: "llm"}, [(1, "detail")])
     assert run(spark, pages, answers, [("/a", [".none"])]) == ({0: "none", 1: "llm"}, [(1, "detail")])
     assert run(spark, pages, answers, [("/other", [".e"])]) == ({0: "llm", 1: "llm"}, [(0, "whole"), (1, "detail")])

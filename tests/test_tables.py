@@ -107,6 +107,16 @@ def test_contract(spark):
     assert contract.to_contract(checked).columns == ["page_id", *schemas.EVENT_FIELDS, "tags", "validation_score"]
 
 
+def test_conformance_of_a_page_asked_for_twice(spark):
+    events = events_of(spark, [(1, "a", "t", "d", "s", "p"), (2, "b", "", "d", "s", "p")]).withColumn("page_url", F.lit("u")).withColumn("url", F.lit("x")).withColumns(
+        {"end_time": F.lit(None).cast("string"), "organizer": F.lit("")})
+    requests = spark.createDataFrame([("u", None, None), ("u", None, None), ("u", None, (["organizer"], [])), ("v", None, None)], schemas.REQUESTS)
+    rows = {(r.url, tuple(r.required_fields)): (r.events, r.conforming, r.complete, r.missing_required) for r in contract.field_conformance(requests, events).collect()}
+    assert rows == {
+        ("u", ("title", "date")): (2, 1, 2, ["title"]), ("u", ("organizer",)): (2, 0, 2, ["organizer"]), ("v", ("title", "date")): (0, 0, 0, []),
+    }
+
+
 def test_place_as_text(spark):
     df = spark.sql("""SELECT named_struct('kind', 'place', 'text', cast(null as string), 'place', named_struct('name', n, 'address', a)) AS l
                       FROM VALUES ('N', 'A'), ('', 'A'), (null, null) AS t(n, a)""")
