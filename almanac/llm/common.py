@@ -35,3 +35,17 @@ def batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     if rows:
         columns = zip(*rows)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
+    """``doc_id, text`` and the label as ``wanted`` of at most ``rows`` documents that may be learnt from.
+
+    They are chosen by a hash of their ids; a document with several labels counts by the greatest.  The
+    chosen ids are at most ``rows``, so they are small enough to be sent to all executors.
+    """
+    chosen = (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & learn)
+        .groupBy("doc_id").agg(F.max(label).cast("int").alias("wanted"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    )
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -1,10 +1,11 @@
 """Queries over the operators of this subpackage."""
 from __future__ import annotations
 
-from almanac.llm import packing, prefix_bpe
+from almanac.llm import packing, prefix_bpe, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
     "op8_prefix_bpe": prefix_bpe.query,
+    "op10_kneser_ney_toxicity": toxicity.query,
 }
 ORACLES: dict[str, str] = {}
