@@ -1,11 +1,12 @@
 """Queries over the operators of this subpackage."""
 from __future__ import annotations
 
-from almanac.llm import packing, prefix_bpe, quality_rules, toxicity
+from almanac.llm import language_kernel, packing, prefix_bpe, quality_rules, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
     "op6_rule_ensemble": quality_rules.query,
+    "op7_language_kernel": language_kernel.query,
     "op8_prefix_bpe": prefix_bpe.query,
     "op10_kneser_ney_toxicity": toxicity.query,
 }
