@@ -1,11 +1,12 @@
 """Queries over the operators of this subpackage."""
 from __future__ import annotations
 
-from almanac.llm import language_kernel, line_frequency, packing, prefix_bpe, quality_rules, toxicity
+from almanac.llm import language_kernel, line_frequency, packing, pii_spans, prefix_bpe, quality_rules, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
     "op3_line_frequency": line_frequency.query,
+    "op4_semi_markov_pii": pii_spans.query,
     "op6_rule_ensemble": quality_rules.query,
     "op7_language_kernel": language_kernel.query,
     "op8_prefix_bpe": prefix_bpe.query,
