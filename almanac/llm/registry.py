@@ -1,7 +1,7 @@
 """Queries over the operators of this subpackage."""
 from __future__ import annotations
 
-from almanac.llm import language_kernel, line_frequency, packing, pii_spans, prefix_bpe, quality_rules, toxicity
+from almanac.llm import language_kernel, line_frequency, packing, pii_spans, prefix_bpe, quality_rules, shingle_forest, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_rule_ensemble": quality_rules.query,
     "op7_language_kernel": language_kernel.query,
     "op8_prefix_bpe": prefix_bpe.query,
+    "op9_shingle_forest": shingle_forest.query,
     "op10_kneser_ney_toxicity": toxicity.query,
 }
 ORACLES: dict[str, str] = {"op3_line_frequency": line_frequency.ORACLE}
