@@ -1,10 +1,11 @@
 """Queries over the operators of this subpackage."""
 from __future__ import annotations
 
-from almanac.llm import language_kernel, line_frequency, multiprobe, packing, pii_spans, prefix_bpe, quality_rules, shingle_forest, toxicity
+from almanac.llm import language_kernel, line_frequency, multiprobe, packing, pii_spans, prefix_bpe, pseudo_likelihood, quality_rules, shingle_forest, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_pseudo_likelihood": pseudo_likelihood.query,
     "op3_line_frequency": line_frequency.query,
     "op4_semi_markov_pii": pii_spans.query,
     "op5_multiprobe_hashing": multiprobe.query,
