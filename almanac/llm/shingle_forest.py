@@ -17,7 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from almanac.llm import common
 from almanac.plans.staging import write_once
@@ -30,6 +31,7 @@ RECALL = 0.9999        # of pairs at the threshold
 NARROW_BLOCK = 2048    # classes of a bucket compared by their paths at once
 BLOCK = 256            # classes of a bucket compared by their shingles at once
 COLUMNS = 1 << 14      # shingles multiplied at once
+SIEVE_BITS = 1 << 26   # of a sieve of ids: 8 MB, whatever the table
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -226,6 +228,29 @@ def verified(group: pa.RecordBatch) -> list[tuple]:
     return [(shapes[i], int(links[i]), shapes[root[i]]) for i in range(len(rows)) if links[i]]
 
 
+def maybe_in(ids: DataFrame, column: str):
+    """A function of an id column: false only for ids that are not in ``ids``.
+
+    One bit per hash, 8 MB to broadcast however many ids there are.  Rows it lets through are joined exactly, so it spares
+    shuffling texts of all other rows and never changes a result.
+    """
+    def position(of: Column) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(SIEVE_BITS))
+
+    at = ids.select(position(F.col(column)).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
+    table = np.zeros(SIEVE_BITS >> 6, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def bit(positions: pd.Series) -> pd.Series:
+        at = positions.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return lambda of: bit(position(of))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``shape, root`` for the ends of ``edges`` (``a``, ``b``): the least shape of the connected component.
 
@@ -291,7 +316,7 @@ def linked(docs: DataFrame) -> DataFrame:
 
     work = write_once(found.repartition(*by).sortWithinPartitions(*by).mapInArrow(narrow, WORK_DDL))
 
-    wanted = work.select("shape").distinct().join(classes.select("shape", "row"), "shape")
+    wanted = write_once(work.select("shape").distinct().join(classes.select("shape", "row"), "shape"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingles()
@@ -303,6 +328,7 @@ def linked(docs: DataFrame) -> DataFrame:
             yield from common.batches(kept, pa.schema([("shape", pa.binary()), ("shingles", pa.binary())]))
 
     texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("row"), docs["text"])
+    texts = texts.where(maybe_in(wanted, "row")(F.col("row")))
     payload = texts.join(wanted, "row").select("shape", "text").mapInArrow(shingled, "shape binary, shingles binary")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,8 +359,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id and its text are one; documents without an id stay, as nothing names them.
     """
     found = write_once(linked(docs))
-    dropped = found.where("class_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    dropped = write_once(found.where("class_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct())
+    suspect = maybe_in(dropped, "_dropped")(docs["doc_id"].cast("long"))
+    exact = docs.where(suspect).join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    kept = docs.where(~suspect).unionByName(exact)
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     named = kept.where("doc_id IS NOT NULL").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
