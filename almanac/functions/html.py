@@ -135,6 +135,13 @@ class _Nodes(HTMLParser):
 
     handle_decl = unknown_decl = handle_pi = handle_comment
 
+    def parse_marked_section(self, i, report=1):
+        """Marked sections that the standard parser does not know count as a comment up to the next ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, report)
+
     def handle_starttag(self, tag, attrs):
         self._flush()
         node = self._add("element", tag, [(k, v or "") for k, v in dict(attrs).items()], None)
@@ -201,8 +208,16 @@ def _to_arrow(pages: list[list[list] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
 
 
+def _nodes_of(page: str | None, signatures: bool) -> list[list] | None:
+    """A page that cannot be read has no nodes, like one that is NULL: it must not cost the others theirs."""
+    try:
+        return None if page is None else _Nodes(signatures).of(page)
+    except (AssertionError, ValueError, RecursionError):
+        return None
+
+
 def page_nodes(html: Column, signatures: bool = False) -> Column:
-    """ARRAY<NODE> of a page in document order; NULL for NULL.  ``sig`` is filled on request only.
+    """ARRAY<NODE> of a page in document order; NULL for NULL and for a page that cannot be read.  ``sig`` is filled on request only.
 
     Make it a column of its own and use that.  It is declared non-deterministic, although it is not, so
     that the optimizer evaluates it where it stands: filters made out of later expressions must not copy
@@ -211,7 +226,7 @@ def page_nodes(html: Column, signatures: bool = False) -> Column:
 
     @F.arrow_udf(T.ArrayType(NODE))
     def build(pages: pa.Array) -> pa.Array:
-        return _to_arrow([None if p is None else _Nodes(signatures).of(p) for p in pages.to_pylist()])
+        return _to_arrow([_nodes_of(p, signatures) for p in pages.to_pylist()])
 
     return build.asNondeterministic()(html)
 

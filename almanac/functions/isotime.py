@@ -27,13 +27,14 @@ _ANY_DAY = r"^\s*\+?0*(\d{1,4})\s*-\s*\+?0*(\d{1,2})\s*-\s*\+?0*(\d{1,2})\s*\z"
 _USUAL_OFFSET = r"^(?:\+(?:[01]\d|2[0-3])|-(?:0[1-9]|1\d|2[0-3])):[0-5]\d\z"
 _WHOLE_NUMBER = r"^\s*[+-]?\d+\s*\z"
 
-# Zone names that the Java time library does not list under the same rules.
-_NOT_IN_JAVA = {"EST", "Factory", "GMT+0", "GMT-0", "HST", "MST", "ROC", "localtime"}
+# Zone names that the Java time library does not list, by what it has for them; two name no zone.
+_OTHER_NAMES = {"EST": "-05:00", "MST": "-07:00", "HST": "-10:00", "GMT+0": "UTC", "GMT-0": "UTC", "ROC": "Asia/Taipei"}
+_NO_ZONE = {"Factory", "localtime"}
 
 
 @lru_cache(maxsize=1)
 def _zone_list() -> str:
-    return "|" + "|".join(sorted(available_timezones() - _NOT_IN_JAVA)) + "|"
+    return "|" + "|".join(sorted((available_timezones() | set(_OTHER_NAMES)) - _NO_ZONE)) + "|"
 
 
 def _is_day(day: str) -> str:
@@ -89,6 +90,7 @@ def sql_day(v: str) -> str:
 
 def _zone_offset(local: str, zone: str) -> str:
     """Offset text of a local time in a zone; where a clock change makes it ambiguous, the earlier reading."""
+    zone = f"CASE {zone} " + " ".join(f"WHEN '{name}' THEN '{known}'" for name, known in _OTHER_NAMES.items()) + f" ELSE {zone} END"
     gap = f"timestampdiff(SECOND, CAST(to_utc_timestamp(CAST({local} AS TIMESTAMP), {zone}) AS TIMESTAMP_NTZ), CAST({local} AS TIMESTAMP_NTZ))"
     return f"transform(array({gap}), g -> concat(CASE WHEN g < 0 THEN '-' ELSE '+' END, {_clock_of('abs(g)')}))[0]"
 

@@ -72,10 +72,16 @@ def field_conformance(requests: DataFrame, events: DataFrame) -> DataFrame:
 
     Events are reduced to counts per page before the join, so a page with very many events costs no more.
     """
-    names = ["title", "date", "start", "end", "description", "location", "url", "organizer", "external_id"]
+    names = [*FIELD_COLUMNS, *schemas.EVENT_FIELDS, "tags", "validation_score"]
 
     def filled(name: str) -> Column:
         column = FIELD_COLUMNS.get(name, name)
+        if column not in events.columns:
+            return F.lit(False)
+        if column == "tags":
+            return F.coalesce(F.size("tags"), F.lit(0)) > 0
+        if column == "validation_score":
+            return F.col(column).isNotNull()
         value = location_text(F.col("location")) if column == "location" else F.col(column)
         return F.coalesce(value, F.lit("")) != ""
 

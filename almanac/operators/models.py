@@ -124,11 +124,12 @@ def with_answers(prompts: DataFrame, responses: DataFrame, kind: str) -> DataFra
     return lookup(prompts, answers(responses, kind), ["prompt_key"], "left")
 
 
-def run_model(prompts: DataFrame, model: Callable[[list[str]], list[str]], kind: str, partitions: int | None = None) -> DataFrame:
+def run_model(prompts: DataFrame, model: Callable[[list[str]], list[str | Exception]], kind: str, partitions: int | None = None) -> DataFrame:
     """M6: apply ``model`` to the distinct prompts; rows of ``schemas.RESPONSES``, error text in ``status``.
 
     Equal prompts are asked once, so repeated sections cannot pile up in one task.  ``model`` takes a
-    list of prompts and gives the answers in the same order.
+    list of prompts and gives the answers in the same order, an exception in place of an answer for a
+    prompt that failed.  Nothing is asked again: if it raises, all prompts of that call have failed.
     """
     unique = prompts.select("prompt_key", "prompt").groupBy("prompt_key").agg(F.first("prompt").alias("prompt"))
     if partitions:
@@ -137,16 +138,12 @@ def run_model(prompts: DataFrame, model: Callable[[list[str]], list[str]], kind:
     def ask(batches):
         for batch in batches:
             try:
-                content, status = list(model(list(batch["prompt"]))), ["ok"] * len(batch)
-            except Exception:  # one bad prompt must not cost the others their answers
-                content, status = [], []
-                for prompt in batch["prompt"]:
-                    try:
-                        content.append(model([prompt])[0])
-                        status.append("ok")
-                    except Exception as error:
-                        content.append(None)
-                        status.append(f"{type(error).__name__}: {error}")
+                given = list(model(list(batch["prompt"])))
+            except Exception as error:
+                given = [error] * len(batch)
+            failed = [isinstance(g, Exception) for g in given]
+            content = [None if bad else g for g, bad in zip(given, failed)]
+            status = [f"{type(g).__name__}: {g}" if bad else "ok" for g, bad in zip(given, failed)]
             yield pd.DataFrame({"kind": kind, "key": batch["prompt_key"], "content": content, "status": status})
 
     return unique.mapInPandas(ask, schemas.RESPONSES)
@@ -200,7 +197,8 @@ def page_answer_events(answered: DataFrame) -> DataFrame:
     """Events of answered page texts, with ``failed`` rows for pages whose answer cannot be used.
 
     Needs ``url, content``.  One unreadable date, an unknown time zone or a broken answer fails the
-    page: it then gives one row with ``failed`` TRUE and no event.
+    page: it then gives one row with ``failed`` TRUE and no event.  So does a call that failed, where
+    there is a ``status`` other than ``ok``.
     """
     keep = [c for c in answered.columns if c not in ("content", "status", "prompt", "url")]
     parsed = answered.withColumn("_a", F.from_json("content", schemas.MODEL_EVENTS))
@@ -218,6 +216,8 @@ def page_answer_events(answered: DataFrame) -> DataFrame:
 
     timed = parsed.withColumn("_t", F.transform(F.col("_a.events"), times))
     whole = timed.withColumn("_bad", F.col("content").isNotNull() & F.coalesce(F.exists("_t", is_bad), F.col("_t").isNull() & F.try_parse_json("content").isNull(), F.lit(False)))
+    if "status" in answered.columns:
+        whole = whole.withColumn("_bad", F.col("_bad") | F.coalesce(F.col("status") != "ok", F.lit(False)))
     rows = whole.withColumn("_t", F.when(F.col("_bad"), F.slice("_t", 1, 0)).otherwise(F.col("_t"))).select(
         *keep, F.col("url").alias("page_url"), F.col("_bad").alias("failed"), F.posexplode_outer("_t").alias("seq", "_t")
     )

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from almanac.functions.html import page_nodes
 from almanac.functions.ids import content_key
+from almanac.functions.joins import lookup
 from almanac.operators import crawl, models
 from almanac.operators.hints import hinted_links, page_text
 from almanac.plans.staging import write_once
@@ -119,13 +120,14 @@ def with_readable_text(rows: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def hint_prompts(pages: DataFrame) -> DataFrame:
-    """M3 with frames: a page that has a frame is asked about by the HTML of that frame."""
+    """M3 with frames: a page that has a frame is asked about by the HTML of that frame, if it was fetched."""
     frames = crawl.page_frames(pages).filter(F.col("frame_url").isNotNull()).select("page_id", "frame_url")
     inner = pages.select(F.col("url").alias("frame_url"), F.col("html").alias("frame_html"))
     framed = pages.select("page_id", "url").join(frames, "page_id").join(inner, "frame_url").select(
         "page_id", "url", F.col("frame_html").alias("html")
     )
-    plain = pages.select("page_id", "url", "html").join(frames.select("page_id"), "page_id", "left_anti")
+    fetched = frames.join(pages.select(F.col("url").alias("frame_url")), "frame_url", "left_semi").select("page_id")
+    plain = pages.select("page_id", "url", "html").join(fetched, "page_id", "left_anti")
     return models.hint_prompts(plain.unionByName(framed))
 
 
@@ -137,12 +139,15 @@ def model_events(
 
     A page with hints is not read itself: the pages its hinted links lead to are (C9), without hints of
     their own.  An empty list of hints is a hint too, and yields nothing unless ``fallback_when_no_links``.
-    Of several hints for one address the greatest counts, so that a page asked for twice is read once.
+    Several hints for one address count together, so that a page asked for twice is read once and loses none.
     """
     keep = ids + ["page_url"]
     none = F.lit(None).cast("array<string>")
     hinted = misses.withColumn("selectors", none) if hints is None else misses.join(
-        hints.groupBy(F.col("url").alias("page_url")).agg(F.max("selectors").alias("selectors")), "page_url", "left"
+        hints.groupBy(F.col("url").alias("page_url")).agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("selectors")))).alias("selectors"),
+            F.count("selectors").alias("_lists"),
+        ).withColumn("selectors", F.when(F.col("_lists") > 0, F.col("selectors"))).drop("_lists"), "page_url", "left"
     )
     ready = write_once(with_readable_text(hinted, pages))
     follows = F.col("selectors").isNotNull() if follow_links else F.lit(False)
@@ -192,12 +197,17 @@ EVENT_ORDER = [
 def responses(events: DataFrame, pages: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
     """C11: events put back into arrays, one row per page.
 
-    A page is split into several rows (``part``) before any array can outgrow its bound: positions on a
-    source page are cut into runs of ``part_size``, so no group is collected whole if it is large.  Pages
-    without events give one row with an empty array.
+    A page is split into several rows (``part``) before any array can outgrow its bound: its events are
+    numbered through, source by source, and cut into runs of ``part_size``.  Only the sources of a page, not
+    its events, are put in order for that.  Pages without events give one row with an empty array.
     """
-    parts = events.select(
-        "page_id", F.floor(F.greatest("seq", "source_ord") / part_size).alias("part"), F.struct(*EVENT_ORDER).alias("event")
+    source = ["page_id", "source_ord", "method"]
+    spans = events.groupBy(*source).agg((F.max(F.coalesce("seq", F.lit(0))) + 1).alias("_span"))
+    before = Window.partitionBy("page_id").orderBy("source_ord", "method").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = spans.select(*source, F.coalesce(F.sum("_span").over(before), F.lit(0)).alias("_offset"))
+    place = F.col("_offset") + F.coalesce("seq", F.lit(0))
+    parts = lookup(events, offsets, source).select(
+        "page_id", F.floor(place / part_size).alias("part"), F.struct(*EVENT_ORDER).alias("event")
     ).groupBy("page_id", "part").agg(F.sort_array(F.collect_list("event")).alias("events"))
     joined = pages.join(parts, "page_id", "left")
     empty = F.from_json(F.lit("[]"), parts.schema["events"].dataType.simpleString())

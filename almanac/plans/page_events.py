@@ -13,7 +13,8 @@ from almanac.plans.staging import write_once
 
 def section_prompts(pages: DataFrame, as_of: Column) -> DataFrame:
     """Sections of all pages with the prompt that stands for each; what a model run needs as input."""
-    return models.section_prompts(page_sections(pages.select("page_id", "url", "html")), as_of)
+    keep = [c for c in ("source_id",) if c in pages.columns]
+    return models.section_prompts(page_sections(pages.select("page_id", "url", "html", *keep)), as_of)
 
 
 def frames(pages: DataFrame) -> DataFrame:

@@ -109,3 +109,11 @@ def test_who_gives_the_hints(spark, asked, found, expected):
     row = resolve_hints(requests, discovered).first()
     assert (row.selectors, row.origin) == expected
 
+
+
+def test_failed_calls_fail_their_page(spark):
+    from almanac.operators.models import page_answer_events
+
+    rows = [("u1", None, "timeout"), ("u2", '{"events":[{"title":"t","start":"2025-01-01","timezone":"EST"}]}', "ok"), ("u3", None, None)]
+    found = page_answer_events(spark.createDataFrame(rows, "url string, content string, status string")).orderBy("page_url").collect()
+    assert [(r.page_url, r.failed, r.start_time) for r in found] == [("u1", True, None), ("u2", False, "2025-01-01T00:00:00-05:00")]

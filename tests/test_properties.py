@@ -62,7 +62,7 @@ def test_iso_text_agrees_with_python(spark, values):
     assert [b for b in bad if "W" not in b[0]] == []
 
 
-zones = st.sampled_from(["America/New_York", "Europe/Berlin", "Asia/Kolkata", "Australia/Lord_Howe", "UTC", ""])
+zones = st.sampled_from(["America/New_York", "Europe/Berlin", "Asia/Kolkata", "Australia/Lord_Howe", "UTC", "", "EST", "MST", "HST", "GMT+0", "GMT-0", "ROC"])
 
 
 @RUN

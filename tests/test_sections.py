@@ -107,9 +107,7 @@ def test_no_answers_no_events(spark, pages):
 
 def test_failing_model_is_recorded(spark, pages):
     def model(prompts):
-        if any("Photography" in p for p in prompts):
-            raise TimeoutError("slow")
-        return ["null"] * len(prompts)
+        return [TimeoutError("slow") if "Photography" in p else "null" for p in prompts]
 
     rows = models.run_model(section_prompts(pages, as_of()), model, "section").collect()
     # the second article's prompt names the first one as well: it stands before it and holds a date
@@ -245,3 +243,21 @@ def test_signatures_are_equal_for_equal_markup_only(spark):
     sigs = [n.sig for n in row.n if n.tag == "li"]
     assert sigs[0] == sigs[1] and len(set(sigs)) == 3
     assert re.fullmatch(r"-?\d+", str(sigs[0]))
+
+
+def test_a_raising_model_is_asked_once(spark, tmp_path):
+    def model(prompts):
+        with open(tmp_path / "asked", "a") as log:
+            log.write("x" * len(prompts))
+        raise TimeoutError("slow")
+
+    prompts = spark.createDataFrame([(str(i), f"p{i}") for i in range(20)], "prompt_key string, prompt string")
+    rows = models.run_model(prompts, model, "page", partitions=1).collect()
+    assert [r.status for r in rows] == ["TimeoutError: slow"] * 20 and (tmp_path / "asked").read_text() == "x" * 20
+
+
+def test_unknown_marked_sections_cost_nothing(spark):
+    bad = ["<p>a</p><![foo[bar]]><li>Monday</li>", "<p>a</p><![ x><li>Monday</li>", "<p>a</p><![if IE]><li>Monday</li>"]
+    pages = pages_of(spark, *[(f"u{i}", html) for i, html in enumerate(bad)])
+    tags = pages.select(F.transform(F.filter(page_nodes(F.col("html")), lambda n: n["kind"] == "element"), lambda n: n["tag"]).alias("t"))
+    assert [r.t for r in tags.collect()] == [["p", "li"]] * 3

@@ -157,6 +157,15 @@ def test_large_responses_are_cut_into_parts(spark):
     assert [(r.part, r.events) for r in empty.collect()] == [(0, []), (0, [])]
 
 
+def test_parts_are_bounded_over_many_sources(spark):
+    """Nine links of nine events each: nine parts of at most ten, in list order."""
+    found = extract(pages_with_events(spark, 1, 9), F.lit("2025-01-01").cast("date"))
+    many = found.events.drop("source_ord").crossJoin(spark.range(9).select(F.col("id").cast("int").alias("source_ord")))
+    parts = responses(many, found.pages, part_size=10).orderBy("part").collect()
+    assert [len(p.events) for p in parts] == [10] * 8 + [1]
+    assert [e.source_ord for p in parts for e in p.events] == sorted(list(range(9)) * 9)
+
+
 def test_one_page_with_a_third_of_all_events(spark):
     big = pages_with_events(spark, 1, 400)
     small = pages_with_events(spark, 80, 10).withColumn("page_id", F.col("page_id") + 1).withColumn("url", F.concat("url", F.lit("/x")))
