@@ -119,11 +119,9 @@ def event_scores(spark, sf_dir):
     return rated.select("page_id", "block_pos", "item_pos", "validation_score", F.array_join("tags", ",").alias("tags"))
 
 
-def _echo(prompts: list[str]) -> list[str]:
+def _echo(prompts: list[str]) -> list[str | Exception]:
     """Stands in for a model: refuses urgent requests, else says how long the request was."""
-    if any("URGENT" in p for p in prompts):
-        raise ValueError("busy")
-    return [f'{{"length": {len(p)}}}' for p in prompts]
+    return [ValueError("busy") if "URGENT" in p else f'{{"length": {len(p)}}}' for p in prompts]
 
 
 def model_run(spark, sf_dir):
