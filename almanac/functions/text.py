@@ -73,6 +73,23 @@ def first_non_empty(*cols: Column) -> Column:
     return F.coalesce(*[non_empty(c) for c in cols])
 
 
+def windows(text: Column, size: int) -> Column:
+    """The whole text in pieces of at most ``size`` characters, each cut after the last line end that fits.
+
+    Put together the pieces are the text; a line longer than ``size`` is cut inside.  Any two neighbours
+    hold more than ``size`` characters, which bounds the steps.
+    """
+    at = "element_at(cuts, -1)"
+    line_end = f"locate('\\n', reverse(substring(v.t, {at}, {size})))"
+    width = f"CASE WHEN {at} + {size} > v.n THEN v.n - {at} + 1 ELSE {size} - greatest({line_end} - 1, 0) END"
+    cuts = (
+        f"aggregate(sequence(1, 2 * cast(ceil(v.n / {size}) AS int) + 1), cast(array(1) AS array<int>), "
+        f"(cuts, i) -> CASE WHEN {at} > v.n THEN cuts ELSE array_append(cuts, cast({at} + {width} AS int)) END)"
+    )
+    pieces = "transform(slice(c, 1, size(c) - 1), (start, i) -> substring(v.t, start, c[i + 1] - start))"
+    return let(F.struct(text.alias("t"), F.length(text).alias("n")), f"v -> transform(array({cuts}), c -> {pieces})[0]")
+
+
 def names_a_date(col: Column) -> Column:
     """H9: does the text hold a date shape, a month, a weekday, a clock time or an ordinal?"""
     return col.rlike(DATE_PATTERN)

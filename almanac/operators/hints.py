@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from almanac.functions import selectors as SEL
 from almanac.functions.arrays import each
 from almanac.functions.html import page_nodes
-from almanac.functions.text import bind, strip
+from almanac.functions.text import bind, strip, windows
 from almanac.functions.urls import resolve
 from almanac.operators.sections import body_text, element_text, noise_free, within_any
 
@@ -71,18 +71,15 @@ def page_text(nodes: Column, selectors: Column | None = None) -> Column:
     )
 
 
-def within_budget(text: Column) -> Column:
-    """NULL for a text too short to hold events, else its first 120 000 characters.
-
-    The cut is the reading rule of the model step, not a saving: see also ``hint_html``.
-    """
-    return F.when(F.length(text) >= SHORTEST_PAGE_TEXT, F.substring(text, 1, LONGEST_PAGE_TEXT))
+def within_budget(text: Column, shortest: int = SHORTEST_PAGE_TEXT, longest: int = LONGEST_PAGE_TEXT) -> Column:
+    """The whole text in windows a model can read; NULL for a text too short to hold events."""
+    return F.when(F.length(text) >= shortest, windows(text, longest))
 
 
-def hint_html(html: Column) -> Column:
-    """HTML for hint discovery; above 50 000 characters scripts and styles go and the rest is cut."""
+def hint_html(html: Column, longest: int = LONGEST_HINT_HTML) -> Column:
+    """HTML for hint discovery, without scripts and styles, in windows; one empty window if nothing is left."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)(?=[\s/>])[^>]*+>.*?</\1\s*+>", "")
-    return F.when(F.length(html) > LONGEST_HINT_HTML, F.substring(bare, 1, LONGEST_HINT_HTML)).otherwise(html)
+    return bind(windows(bare, longest), lambda w: F.when(F.size(w) > 0, w).when(html.isNotNull(), F.array(F.lit(""))))
 
 
 def hinted_links(nodes: Column, selectors: Column, page_url: Column) -> Column:

@@ -68,27 +68,31 @@ def section_prompts(sections: DataFrame, as_of: Column, template: str = SECTION_
     return sections.withColumn("prompt", prompt).withColumn("prompt_key", content_key(F.col("prompt")))
 
 
-def prompt_of_text(url: Column, text: Column, template: str = PAGE_PROMPT) -> Column:
-    """M2: prompt of a page text, NULL when the text is too short to hold events."""
-    return bind(within_budget(text), lambda t: F.when(t.isNotNull(), fill(template, url=url, content=t)))
+def prompts_of_text(url: Column, text: Column, template: str = PAGE_PROMPT) -> Column:
+    """M2: prompts of a page text, one per window of it, NULL when the text is too short to hold events."""
+    return F.transform(within_budget(text), lambda t: fill(template, url=url, content=t))
+
+
+def prompt_keys(url: Column, text: Column) -> Column:
+    """Content keys of ``prompts_of_text``."""
+    return F.transform(prompts_of_text(url, text), content_key)
 
 
 def page_prompts(pages: DataFrame, template: str = PAGE_PROMPT) -> DataFrame:
-    """M2: one prompt per page that has text enough.  ``selectors``, where present, narrow the text."""
+    """M2: prompts of the pages that have text enough, one per window (``piece``).  ``selectors``, where present, narrow the text."""
     hinted = F.col("selectors") if "selectors" in pages.columns else None
     return (
         pages.withColumn("_nodes", page_nodes(F.col("html")))
         .select("page_id", "url", page_text(F.col("_nodes"), hinted).alias("_text"))
-        .select("page_id", "url", prompt_of_text(F.col("url"), F.col("_text"), template).alias("prompt"))
-        .filter(F.col("prompt").isNotNull())
+        .select("page_id", "url", F.posexplode(prompts_of_text(F.col("url"), F.col("_text"), template)).alias("piece", "prompt"))
         .withColumn("prompt_key", content_key(F.col("prompt")))
     )
 
 
 def hint_prompts(pages: DataFrame, template: str = HINT_PROMPT) -> DataFrame:
-    """M3: prompt that asks which selectors hold events, over the HTML within its size limit."""
-    prompt = fill(template, url=F.col("url"), content=hint_html(F.col("html")))
-    return pages.select("page_id", "url", prompt.alias("prompt")).withColumn("prompt_key", content_key(F.col("prompt")))
+    """M3: prompts that ask which selectors hold events, one per window of the HTML (``piece``)."""
+    prompts = F.transform(hint_html(F.col("html")), lambda h: fill(template, url=F.col("url"), content=h))
+    return pages.select("page_id", "url", F.posexplode(prompts).alias("piece", "prompt")).withColumn("prompt_key", content_key(F.col("prompt")))
 
 
 def score_prompt(template: str = SCORE_PROMPT) -> Column:
@@ -238,10 +242,14 @@ def page_answer_events(answered: DataFrame) -> DataFrame:
 
 
 def discovered_hints(answered: DataFrame) -> DataFrame:
-    """M3: ``url, event_containers`` of answered discoveries; an unusable answer counts as an empty list."""
-    found = F.from_json("content", schemas.HINT_DISCOVERY)["event_containers"]
-    return answered.filter(F.col("status").isNotNull()).select(
-        "url", F.coalesce(found, F.expr("cast(array() as array<string>)")).alias("event_containers")
+    """M3: ``url, event_containers`` of answered discoveries; an unusable answer counts as an empty list.
+
+    Lists found in several windows of one page, or in several answers for it, count together, in order of text.
+    """
+    found = F.coalesce(F.from_json("content", schemas.HINT_DISCOVERY)["event_containers"], F.expr("cast(array() as array<string>)"))
+    lists = answered.filter(F.col("status").isNotNull()).select("url", found.alias("_found"))
+    return lists.groupBy("url").agg(F.collect_set("_found").alias("_lists")).select(
+        "url", F.when(F.size("_lists") == 1, F.col("_lists")[0]).otherwise(F.array_sort(F.array_distinct(F.flatten("_lists")))).alias("event_containers")
     )
 
 

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from almanac.functions.html import page_nodes
-from almanac.functions.ids import content_key
 from almanac.functions.joins import lookup
 from almanac.operators import crawl, models
 from almanac.operators.hints import hinted_links, page_text
@@ -49,10 +48,10 @@ def extract(
     seen = write_once(
         crawl.survey(pages, as_of, on_error, with_text=True)
         .withColumn("page_url", F.col("url"))
-        .withColumn("prompt_key", content_key(models.prompt_of_text(F.col("url"), F.col("text"))))
+        .withColumn("prompt_keys", models.prompt_keys(F.col("url"), F.col("text")))
         .withColumn("own_events", F.size(crawl.own_items(F.col("items"), on_error)))
         .withColumn("follows", F.size("links") > 0)
-        .select(*keep, "url", "title", "failed", "own_events", "follows", "links", "items", "frame_url", "prompt_key")
+        .select(*keep, "url", "title", "failed", "own_events", "follows", "links", "items", "frame_url", "prompt_keys")
     )
     links = seen.filter("follows").select(*keep, F.inline("links"))
     followed = write_once(crawl.followed_events(links, crawl.targets(seen, pages), as_of, keep, repair))
@@ -63,7 +62,7 @@ def extract(
     if answers is not None:
         # Pages without events of their own that follow nothing are known to need the model; only those
         # that follow something must be checked against what was found there.
-        empty = seen.filter(F.col("own_events") == 0).select(*keep, "follows", "frame_url", "prompt_key")
+        empty = seen.filter(F.col("own_events") == 0).select(*keep, "follows", "frame_url", "prompt_keys")
         misses = empty.filter(~F.col("follows")).unionByName(
             empty.filter("follows").join(followed.select("page_id").distinct(), "page_id", "left_anti")
         ).drop("follows")
@@ -91,16 +90,16 @@ def extract(
 
 
 def with_readable_text(rows: DataFrame, pages: DataFrame) -> DataFrame:
-    """Settle what a model reads of each row's page: ``prompt_key``, or ``event_links`` for a page with ``selectors``.
+    """Settle what a model reads of each row's page: ``prompt_keys``, or ``event_links`` for a page with ``selectors``.
 
-    ``rows`` has ``page_url, frame_url, selectors, prompt_key``.  A page with a frame is read through it, and
+    ``rows`` has ``page_url, frame_url, selectors, prompt_keys``, a key for each window of the text.  A page with a frame is read through it, and
     selectors apply to what is read.  Only such rows need HTML again: each distinct (address, selectors)
     pair is read once, however many pages share it.  An address that was not fetched marks its rows
     ``unreachable``.
     """
     direct = F.col("frame_url").isNull() & F.col("selectors").isNull()
     plain = rows.filter(direct).withColumn("event_links", F.lit(None).cast("array<string>")).withColumn("unreachable", F.lit(False))
-    again = rows.filter(~direct).withColumn("url", F.coalesce("frame_url", "page_url")).drop("prompt_key")
+    again = rows.filter(~direct).withColumn("url", F.coalesce("frame_url", "page_url")).drop("prompt_keys")
     nodes, selectors = F.col("_nodes"), F.col("selectors")
     read = (
         pages.select("url", "html").join(again.select("url", "selectors").distinct(), "url")
@@ -113,7 +112,7 @@ def with_readable_text(rows: DataFrame, pages: DataFrame) -> DataFrame:
     )
     joined = again.join(read, (F.col("url") == F.col("_url")) & selectors.eqNullSafe(F.col("_selectors")), "left")
     return plain.unionByName(
-        joined.withColumn("prompt_key", content_key(models.prompt_of_text(F.col("page_url"), F.col("text"))))
+        joined.withColumn("prompt_keys", models.prompt_keys(F.col("page_url"), F.col("text")))
         .withColumn("unreachable", F.col("_url").isNull())
         .select(*rows.columns, "event_links", "unreachable")
     )
@@ -138,7 +137,8 @@ def model_events(
     """Events of the pages structured data gave nothing for; rows with ``failed`` mark unusable answers.
 
     A page with hints is not read itself: the pages its hinted links lead to are (C9), without hints of
-    their own.  An empty list of hints is a hint too, and yields nothing unless ``fallback_when_no_links``.
+    their own.  A long text is read window by window (``piece``): a window whose answer cannot be used
+    costs its own events only.  An empty list of hints is a hint too, and yields nothing unless ``fallback_when_no_links``.
     Several hints for one address count together, so that a page asked for twice is read once and loses none.
     """
     keep = ids + ["page_url"]
@@ -154,7 +154,7 @@ def model_events(
     if fallback_when_no_links:
         follows = follows & (F.coalesce(F.size("event_links"), F.lit(0)) > 0)
 
-    plain = ready.filter(~follows & F.col("prompt_key").isNotNull()).select(*keep, "prompt_key")
+    plain = ready.filter(~follows).select(*keep, F.posexplode("prompt_keys").alias("piece", "prompt_key"))
     own = _answered(plain.withColumnRenamed("page_url", "url"), answers)
     own = own.withColumn("source_ord", F.lit(0)).withColumn("target_url", F.col("page_url"))
 
@@ -175,17 +175,17 @@ def _answered(keyed: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def detail_prompts(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """``url, prompt_key`` of linked pages, each read once, through its frame if it has one, without hints."""
+    """``url, piece, prompt_key`` of linked pages, each read once, through its frame if it has one, without hints."""
     nodes, frame = F.col("_nodes"), F.col("frame_url")
     rows = (
         pages.select("url", "html").join(urls, "url", "left_semi")
         .withColumn("_nodes", page_nodes(F.col("html")))
         .withColumn("frame_url", crawl.first_frame(nodes, F.col("url")))
-        .withColumn("prompt_key", content_key(models.prompt_of_text(F.col("url"), page_text(F.when(frame.isNull(), nodes)))))
-        .select(F.col("url").alias("page_url"), "frame_url", F.lit(None).cast("array<string>").alias("selectors"), "prompt_key")
+        .withColumn("prompt_keys", models.prompt_keys(F.col("url"), page_text(F.when(frame.isNull(), nodes))))
+        .select(F.col("url").alias("page_url"), "frame_url", F.lit(None).cast("array<string>").alias("selectors"), "prompt_keys")
     )
     ready = with_readable_text(write_once(rows), pages)
-    return ready.filter(F.col("prompt_key").isNotNull()).select(F.col("page_url").alias("url"), "prompt_key")
+    return ready.select(F.col("page_url").alias("url"), F.posexplode("prompt_keys").alias("piece", "prompt_key"))
 
 
 EVENT_ORDER = [
@@ -198,12 +198,14 @@ def responses(events: DataFrame, pages: DataFrame, part_size: int = PART_SIZE) -
     """C11: events put back into arrays, one row per page.
 
     A page is split into several rows (``part``) before any array can outgrow its bound: its events are
-    numbered through, source by source, and cut into runs of ``part_size``.  Only the sources of a page, not
+    numbered through, source by source and window by window, and cut into runs of ``part_size``.  Only the sources of a page, not
     its events, are put in order for that.  Pages without events give one row with an empty array.
     """
-    source = ["page_id", "source_ord", "method"]
+    piece = F.coalesce("piece", F.lit(0)) if "piece" in events.columns else F.lit(0)
+    events = events.withColumn("piece", piece)
+    source = ["page_id", "source_ord", "method", "piece"]
     spans = events.groupBy(*source).agg((F.max(F.coalesce("seq", F.lit(0))) + 1).alias("_span"))
-    before = Window.partitionBy("page_id").orderBy("source_ord", "method").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("page_id").orderBy("source_ord", "method", "piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.select(*source, F.coalesce(F.sum("_span").over(before), F.lit(0)).alias("_offset"))
     place = F.col("_offset") + F.coalesce("seq", F.lit(0))
     parts = lookup(events, offsets, source).select(

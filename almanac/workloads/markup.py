@@ -45,18 +45,18 @@ def page_body_text(spark, sf_dir):
 
 
 def text_budget(spark, sf_dir):
-    """Texts as a model would get them: none when too short, no more than 120 000 characters.
-
-    Long texts are each document eight times over.
-    """
+    """Hashes of the windows in which a model would get texts; long texts are each document eight times over."""
     doc = F.col("text")
     long = F.concat(*[doc] * 8)
-    return table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.coalesce(F.length(hints.within_budget(doc)), F.lit(-1)).alias("plain_length"),
-        F.coalesce(F.length(hints.within_budget(long)), F.lit(-1)).alias("long_length"),
-        F.length(hints.hint_html(F.concat(F.lit("<script>s</script>"), long))).alias("html_length"),
+    kinds = {
+        "plain": hints.within_budget(doc), "long": hints.within_budget(long),
+        "html": hints.hint_html(F.concat(F.lit("<script>s</script>"), long)),
+    }
+    read = table(spark, sf_dir, "documents").select(
+        "doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), w.alias("pieces")) for k, w in kinds.items()])).alias("k")
     )
+    pieces = read.select("doc_id", "k.kind", F.posexplode("k.pieces").alias("piece", "text"))
+    return pieces.select("doc_id", "kind", "piece", F.sha2("text", 256).alias("content_key"))
 
 
 _BARE = "regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs')"
@@ -69,6 +69,8 @@ def _unescape(expression: str) -> str:
     return expression
 
 
+_WINDOW = """CASE WHEN {at} + size > length(t) THEN length(t) - {at} + 1
+  ELSE size - greatest(strpos(reverse(substr(t, {at}, size)), chr(10)) - 1, 0) END"""
 _PIECE_STRIP = "'^\\s+|\\s+$'"
 
 # ---- addresses --------------------------------------------------------------------------------
@@ -283,9 +285,12 @@ ORACLES = {
     "page_titles": f"SELECT page_id, trim(regexp_replace({_unescape(chr(39).join(['regexp_extract(html, ', '<title>(.*?)</title>', ', 1, ', 's', ')']))}, '\\s+', ' ', 'g')) AS title FROM pages",
     "page_body_text": f"""SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex({_BODY}, '<[^>]*>'),
       lambda x: regexp_replace({_unescape("x")}, {_PIECE_STRIP}, '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pages""",
-    "text_budget": """SELECT doc_id, CASE WHEN length(text) >= 200 THEN least(length(text), 120000) ELSE -1 END AS plain_length,
-      CASE WHEN 8 * length(text) >= 200 THEN least(8 * length(text), 120000) ELSE -1 END AS long_length,
-      CASE WHEN 18 + 8 * length(text) > 50000 THEN least(8 * length(text), 50000) ELSE 18 + 8 * length(text) END AS html_length FROM documents""",
+    "text_budget": f"""WITH RECURSIVE whole AS (SELECT doc_id, 'plain' AS kind, 120000 AS size, text AS t FROM documents WHERE length(text) >= 200
+        UNION ALL SELECT doc_id, 'long', 120000, repeat(text, 8) FROM documents WHERE 8 * length(text) >= 200
+        UNION ALL SELECT doc_id, 'html', 50000, repeat(text, 8) FROM documents),
+      cut AS (SELECT doc_id, kind, size, t, 0 AS piece, 1 AS first, {_WINDOW.format(at="1")} AS width FROM whole
+        UNION ALL SELECT doc_id, kind, size, t, piece + 1, first + width, {_WINDOW.format(at="(first + width)")} FROM cut WHERE first + width <= length(t))
+      SELECT doc_id, kind, CAST(piece AS INTEGER) AS piece, sha256(substr(t, first, width)) AS content_key FROM cut""",
     "url_resolution": f"""SELECT c_custkey AS id, CASE c_custkey % 12 WHEN 0 THEN 'http://other.example.com/x?q=1#top' WHEN 1 THEN 'https://cdn.example.com/x'
       WHEN 2 THEN {_SITE} || '/root/' || {C} WHEN 3 THEN {_SITE} || '/a/b/leaf' WHEN 4 THEN {_SITE} || '/a/up' WHEN 5 THEN {_SITE} || '/over'
       WHEN 6 THEN {_SITE} || '/a/b/' || {C} || '?q=' || {C} WHEN 7 THEN {BASE} || '#part' WHEN 8 THEN {BASE} WHEN 9 THEN 'mailto:x@example.org'

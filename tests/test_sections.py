@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import selectors as SEL
 from almanac.functions.html import page_nodes
+from almanac.functions.text import windows
 from almanac.operators import hints, models, sections
 from almanac.plans.page_events import crawl_sections, section_prompts
 
@@ -223,11 +224,28 @@ def test_unsupported_selectors_are_reported(spark, selector):
     assert [(r.selector_pos, r.selector) for r in rows] == [(0, selector)]
 
 
-def test_hint_html_limit(spark):
+def test_hint_html_windows(spark):
     long = "<script>" + "s" * 60_000 + "</script>" + "x" * 60_000
-    df = spark.createDataFrame([("<script>s</script>short",), (long,)], "html string")
-    short_out, long_out = [r.h for r in df.select(hints.hint_html(F.col("html")).alias("h")).collect()]
-    assert short_out == "<script>s</script>short" and long_out == "x" * 50_000
+    df = spark.createDataFrame([("<script>s</script>short",), (long,), ("<style>a</style>",), (None,)], "html string")
+    out = [r.h for r in df.select(hints.hint_html(F.col("html")).alias("h")).collect()]
+    assert out == [["short"], ["x" * 50_000, "x" * 10_000], [""], None]
+
+
+@pytest.mark.parametrize("text, pieces", [
+    ("", []), (None, None), ("abc", ["abc"]), ("abcdefgh", ["abcdefgh"]), ("abcdefghi", ["abcdefgh", "i"]),
+    ("ab\ncd\nefghij", ["ab\ncd\n", "efghij"]), ("\nabcdefghijk", ["\n", "abcdefgh", "ijk"]),
+    ("\n" * 20, ["\n" * 8, "\n" * 8, "\n" * 4]), ("é😀\n" * 4, ["é😀\né😀\n"] * 2),
+    ("\nabcdefgh\nabcdefgh", ["\n", "abcdefgh", "\n", "abcdefgh"]),
+])
+def test_windows_hold_the_whole_text(spark, text, pieces):
+    assert spark.createDataFrame([(text,)], "t string").select(windows(F.col("t"), 8).alias("w")).first().w == pieces
+
+
+def test_events_in_the_last_line_of_a_long_page_are_asked_for(spark):
+    html = "<body>" + "<p>words of a long page</p>" * 15_000 + "<p>Evening concert on 3 May</p></body>"
+    prompts = models.page_prompts(spark.createDataFrame([(1, "https://long.example.org/", html)], "page_id long, url string, html string")).collect()
+    assert [p.piece for p in prompts] == list(range(len(prompts))) and len(prompts) > 2
+    assert "Evening concert on 3 May" in prompts[-1].prompt and sum(p.prompt.count("words of a long page") for p in prompts) == 15_000
 
 
 @pytest.mark.parametrize("content, expected", [
