@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from almanac.session import tune
 
-CACHE_ENTRIES = 400_000  # of a worker's cache of words; it starts again from nothing beyond that
+CACHE_ENTRIES = 100_000  # of a worker's cache of words; it starts again from nothing beyond that
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
