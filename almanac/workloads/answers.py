@@ -158,7 +158,7 @@ ORACLES = {
       JOIN ({MARKUP_ORACLES["page_body_text"]}) AS t ON t.page_id = p.page_id WHERE length(text) >= 200""",
     "hint_prompts": f"""SELECT page_id, sha256({_filled(models.HINT_PROMPT, url="url", content=_bare("html"))}) AS prompt_key FROM pages""",
     "hint_prompts_of_frames": f"""SELECT 2 * c_custkey AS page_id, sha256({_filled(models.HINT_PROMPT, url=PARENT, content=_bare(f"CASE WHEN c_custkey % 7 = 6 THEN {PARENT_HTML} ELSE {FRAME_HTML} END"))}) AS prompt_key FROM customer
-      UNION ALL SELECT 2 * c_custkey + 1, sha256({_filled(models.HINT_PROMPT, url=f"coalesce({FRAME_URL}, 'https://host' || {text('c_custkey % 40')} || '.example.org/unused/' || {text('c_custkey')})", content=FRAME_HTML)}) FROM customer""",
+      UNION ALL SELECT 2 * c_custkey + 1, sha256({_filled(models.HINT_PROMPT, url=f"coalesce({FRAME_URL}, 'https://host' || {text('c_custkey % 40')} || '.example.org/unused/' || {text('c_custkey')})", content=_bare(FRAME_HTML))}) FROM customer""",
     "score_prompts": f"""SELECT page_id, block_pos, item_pos, sha256({_filled(models.SCORE_PROMPT, title="title", description="description", location=f"({_PLACE})", start_time="start_time")}) AS prompt_key FROM ({EXPECTED_EVENTS})""",
     "section_answers": f"""SELECT event_id AS page_id, section_pos, 'Show' AS title, CASE WHEN event_id % 7 = 1 THEN 'Hall' END AS location_text,
       CASE WHEN event_id % 7 = 0 THEN '2025-02-01T10:00:00-05:00' END AS start_time,
