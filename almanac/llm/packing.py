@@ -32,6 +32,7 @@ SENTENCE_PENALTY = 2.0
 WORD_PENALTY = 16.0    # of a cut at neither a document's nor a sentence's end
 LONGEST_STEP = 32      # tokens without a boundary before one is put between them
 BLOCK = 1 << 17        # tokens planned at once
+LARGE_CACHE = 400_000  # words a worker remembers where no other stage has used its memory before
 
 # Fixed value: the pattern that the vocabulary splits by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -50,12 +51,13 @@ class WordTokens:
     cut by the pattern here and only merged by the tokenizer; all others go through the whole of it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = common.CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = self.tokenizer.model.tokenize
+        self.entries = entries  # remembered, at most
         self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
         self.sentence_ends = re.compile(r"(?<=[.!?]) |\n")
@@ -87,9 +89,9 @@ class WordTokens:
         return b"".join(ids)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.words) > common.CACHE_ENTRIES:
+        if len(self.words) > self.entries:
             self.words = {"": b""}
-        if len(self.pieces) > common.CACHE_ENTRIES:
+        if len(self.pieces) > self.entries:
             self.pieces = {}
         for word in words.difference(self.words):
             self.words[word] = self.word(word)
@@ -116,8 +118,8 @@ def _byte_characters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=1)
-def _of_worker(path: str) -> WordTokens:
-    return WordTokens(path)
+def _of_worker(path: str, entries: int) -> WordTokens:
+    return WordTokens(path, entries)
 
 
 def cuts(positions: np.ndarray, penalties: np.ndarray, window: int, at_end: bool) -> list[int]:
@@ -252,12 +254,12 @@ def packed(docs: DataFrame, tokens: Callable[[], Callable], window: int = WINDOW
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces(common.table(spark, sf_dir, "documents"))
+    return pieces(common.table(spark, sf_dir, "documents"), LARGE_CACHE)
 
 
-def pieces(docs: DataFrame) -> DataFrame:
+def pieces(docs: DataFrame, entries: int = common.CACHE_ENTRIES) -> DataFrame:
     """``packed`` with the production vocabulary."""
     import public_tokenizers
 
     path = public_tokenizers.path(VOCABULARY)
-    return packed(docs, lambda: _of_worker(path))
+    return packed(docs, lambda: _of_worker(path, entries))
