@@ -10,6 +10,7 @@ no padding and are further transitions.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -36,13 +37,25 @@ LARGE_CACHE = 400_000  # words a worker remembers where no other stage has used
 
 # Fixed value: the pattern that the vocabulary splits by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_STOPS = (".", ",")
+SENTENCE_STOPS = (".", "!", "?")  # before a space; line feeds end sentences too
 
 SCHEMA = T.StructType([T.StructField(n, T.LongType(), n == "doc_id") for n in (
     "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 ARROW = pa.schema([(n, pa.int64()) for n in SCHEMA.names])
 
 
+class Words(dict):
+    """The ids of words, found out when first asked for."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.find(word)
+        return found
+
+
 class WordTokens:
     """Ids of whole texts out of remembered words.
 
@@ -58,51 +71,37 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = self.tokenizer.model.tokenize
         self.entries = entries  # remembered, at most
-        self.words: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-        self.sentence_ends = re.compile(r"(?<=[.!?]) |\n")
+        self.words = Words(self.word)
+        self.pieces = Words(self.piece)
+        self.letters = re.compile(r"([a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+)([.,]?)\Z").match
         self.cut = regex.compile(PATTERN).findall
         self.other_space = re.compile(r"[\s\x00-\x20\x7f-\xa0\xad]").search
         self.as_bytes = _byte_characters()
 
     def piece(self, piece: str) -> bytes:
-        found = self.merge(piece.translate(self.as_bytes))
-        return np.array([token.id for token in found], "<u4").tobytes()
+        found = [token.id for token in self.merge(piece if piece.isascii() else piece.translate(self.as_bytes))]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def word(self, word: str) -> bytes:
         """The ids of a word without spaces and line feeds."""
         lower = word.lower()
-        if lower.isalpha() and max(lower) <= "\xff":
-            pieces = [lower]
-        elif lower[-1] in _STOPS and lower[:-1].isalpha() and max(lower) <= "\xff":
-            pieces = [lower[:-1], lower[-1]]
-        elif max(word) > "\xff" or self.other_space(word):
+        if simple := self.letters(lower):
+            letters, stop = simple.groups()
+            return self.pieces[letters] + self.pieces[stop] if stop else self.pieces[letters]
+        if max(word) > "\xff" or self.other_space(word):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        else:
-            pieces = self.cut(lower)
-        ids = []
-        for piece in pieces:
-            known = self.pieces.get(piece)
-            if known is None:
-                known = self.pieces[piece] = self.piece(piece)
-            ids.append(known)
-        return b"".join(ids)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) > self.entries:
-            self.words = {"": b""}
-        if len(self.pieces) > self.entries:
-            self.pieces = {}
-        for word in words.difference(self.words):
-            self.words[word] = self.word(word)
+        return b"".join(map(self.pieces.__getitem__, self.cut(lower)))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the numbers of ids at which sentences end (the text's end among them)."""
-        sentences = self.sentence_ends.split(text)
-        words = [s.split(" ") for s in sentences]
-        self.learn({w for s in words for w in s})
+        if len(self.words) > self.entries:
+            self.words = Words(self.word)
+        if len(self.pieces) > self.entries:
+            self.pieces = Words(self.piece)
+        for stop in SENTENCE_STOPS:
+            text = text.replace(stop + " ", stop + "\n")
         known = self.words.__getitem__
-        parts = [b"".join(map(known, s)) for s in words]
+        parts = [b"".join(map(known, sentence.split(" "))) for sentence in text.split("\n")]
         return np.frombuffer(b"".join(parts), "<u4"), np.cumsum([len(p) >> 2 for p in parts])
 
 
@@ -130,7 +129,7 @@ def cuts(positions: np.ndarray, penalties: np.ndarray, window: int, at_end: bool
     """
     where, penalty = positions.tolist(), penalties.tolist()
     powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window and (at_end or 1 << k >= window >> 3)]
-    index = {p: i for i, p in enumerate(where)}
+    exact = _at_distances(positions, powers)
     cost, origin = [0.0], [0]
     queue: deque[tuple[float, int]] = deque([(float(where[0]), 0)])  # rising f(o) + o, rising o
     for j in range(1, len(where)):
@@ -139,10 +138,10 @@ def cuts(positions: np.ndarray, penalties: np.ndarray, window: int, at_end: bool
             queue.popleft()
         least, best = queue[0]
         least += window - p
-        for power in powers:
-            i = index.get(p - power)
-            if i is not None and cost[i] < least:
-                least, best = cost[i], i
+        if j in exact:
+            for i in exact[j]:
+                if cost[i] < least:
+                    least, best = cost[i], i
         least += WINDOW_COST + penalty[j]
         cost.append(least)
         origin.append(best)
@@ -161,6 +160,16 @@ def cuts(positions: np.ndarray, penalties: np.ndarray, window: int, at_end: bool
     return ends[::-1]
 
 
+def _at_distances(positions: np.ndarray, distances: list[int]) -> dict[int, list[int]]:
+    """By boundary, the boundaries that lie exactly one of the ``distances`` before it, nearest first."""
+    found: dict[int, list[int]] = {}
+    for distance in distances:
+        before = np.searchsorted(positions, positions - distance)
+        for j in np.flatnonzero(positions[before] == positions - distance).tolist():
+            found.setdefault(j, []).append(int(before[j]))
+    return found
+
+
 def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int, window: int, at_end: bool) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which a window may end, with their penalties.
 
