@@ -87,6 +87,11 @@ def resolve(base: Column, ref: Column) -> Column:
     return let(F.struct(base.alias("b"), ref.alias("r")), _resolution())
 
 
+def address(url: Column) -> Column:
+    """What is fetched for a URL: all before its fragment."""
+    return F.substring_index(url, "#", 1)
+
+
 def is_calendar(url: Column) -> Column:
     """Does the address look like a calendar that has month pages?"""
     low = F.lower(url)

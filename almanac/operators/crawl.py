@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions import urls
 from almanac.functions.html import elements, page_nodes, title
+from almanac.functions.joins import lookup
 from almanac.functions.text import bind, each_item, non_empty
 from almanac.operators import jsonld
 from almanac.operators.hints import page_text
@@ -59,7 +60,7 @@ def outgoing(page_url: Column, frame_url: Column, as_of: Column, months: int = 2
     return F.concat(F.coalesce(frame, none), F.coalesce(monthly, none)).cast(_LINKS)
 
 
-def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: bool = False) -> DataFrame:
+def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: bool = False, months: int = 2) -> DataFrame:
     """One pass over the HTML.  A narrow row per page with everything the joins need:
 
     ``items`` (event objects found, with their times under the direct rule; ``own_items`` picks the page's
@@ -85,7 +86,7 @@ def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: b
         .withColumn("frame_url", first_frame(nodes, F.col("url")))
         .withColumn("links", F.when(
             F.col("failed"), F.expr(f"cast(array() as {_LINKS})")
-        ).otherwise(outgoing(F.col("url"), F.col("frame_url"), as_of)))
+        ).otherwise(outgoing(F.col("url"), F.col("frame_url"), as_of, months)))
     )
     if with_text:
         asks = F.when(F.col("_barren") & F.col("frame_url").isNull(), nodes)
@@ -98,35 +99,46 @@ def own_items(items: Column, on_error: str = "page") -> Column:
     return jsonld.surviving(items, "direct", on_error)
 
 
+def newest(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """One row for each ``by``, that of the greatest ``page_id``: a page fetched again replaces the earlier one."""
+    chosen = F.max_by(F.struct(*values), F.col("page_id")).alias("_newest")
+    return rows.groupBy(*by).agg(chosen).select(*by, *(F.col(f"_newest.{v}").alias(v) for v in values))
+
+
 def targets(surveyed: DataFrame, pages: DataFrame) -> DataFrame:
-    """What a followed link finds at its address: ``target_url, items, frame_items, frame_rule``.
+    """What a followed link finds, one row for each ``address``, with ``items, frame_items, frame_rule``.
 
-    A framed page counts as rendered.  When ``pages`` has a ``rendered`` column it is read instead, and
+    Of several pages of one address the newest counts.  A framed page counts as rendered.  When ``pages`` has a ``rendered`` column it is read instead, and
     pages without a rendered form are read by the direct rule.
     """
     bare = "i -> named_struct('block_pos', i.block_pos, 'item_pos', i.item_pos, 'item', i.item, 'href', i.href)"
-    plain = surveyed.filter(F.size("items") > 0).select(F.col("url").alias("target_url"), each_item(F.col("items"), bare).alias("items"))
+    address = urls.address(F.col("url")).alias("address")
+    latest = newest(surveyed.select(address, "page_id", "items"), ["address"], ["items"])
+    plain = latest.filter(F.size("items") > 0).select("address", each_item(F.col("items"), bare).alias("items"))
     if "rendered" not in pages.columns:
-        return plain.select("target_url", "items", F.col("items").alias("frame_items"), F.lit("iframe").alias("frame_rule"))
+        return plain.select("address", "items", F.col("items").alias("frame_items"), F.lit("iframe").alias("frame_rule"))
     drawn = (
-        jsonld.with_items(pages.filter(F.col("rendered").isNotNull()).select("url", "rendered"), html="rendered")
-        .select(F.col("url").alias("target_url"), F.col("items").alias("_drawn"), F.lit(True).alias("_is_drawn"))
+        newest(
+            jsonld.with_items(pages.filter(F.col("rendered").isNotNull()).select("page_id", "url", "rendered"), html="rendered")
+            .select(address, "page_id", "items"), ["address"], ["items"],
+        )
+        .select("address", F.col("items").alias("_drawn"), F.lit(True).alias("_is_drawn"))
     )
     is_drawn = F.coalesce("_is_drawn", F.lit(False))
-    return plain.join(drawn, "target_url", "full_outer").select(
-        "target_url", "items",
+    return plain.join(drawn, "address", "full_outer").select(
+        "address", "items",
         F.when(is_drawn, F.col("_drawn")).otherwise(F.col("items")).alias("frame_items"),
         F.when(is_drawn, "iframe").otherwise("direct").alias("frame_rule"),
     )
 
 
 def followed_events(links: DataFrame, found: DataFrame, as_of: Column, keep: list[str], repair: bool = False) -> DataFrame:
-    """Events behind the links.  One equi-join on the address serves frames and months alike.
+    """Events behind the links.  One equi-join on the address, without fragments, serves frames and months alike.
 
     Each target is one row, so a calendar that a third of all pages embed is hot on the link side only;
     adaptive execution splits that side.  Each month page is met under the calendar rule.
     """
-    joined = links.join(found, "target_url")
+    joined = lookup(links.withColumn("address", urls.address(F.col("target_url"))), found, ["address"])
     frame = F.col("method") == "iframe"
     by_rule = (
         F.when(frame & (F.col("frame_rule") == "iframe"), jsonld.surviving(jsonld.read_linked(F.col("frame_items"), "iframe"), "iframe"))

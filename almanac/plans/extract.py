@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from almanac.functions import urls as U
 from almanac.functions.html import page_nodes
 from almanac.functions.joins import lookup
 from almanac.operators import crawl, models
@@ -38,15 +39,17 @@ def extract(
     repair: bool = False,
     follow_links: bool = True,
     fallback_when_no_links: bool = False,
+    months: int = 2,
 ) -> Extraction:
     """Events of every page and how each page fared.
 
     ``answers`` holds recorded model answers, ``hints`` is ``url, selectors`` (see ``hints.resolve_hints``).
+    ``months`` is the number of month pages followed of a calendar.
     """
     ids = ["page_id"] + [c for c in ("source_id",) if c in pages.columns]
     keep = ids + ["page_url"]
     seen = write_once(
-        crawl.survey(pages, as_of, on_error, with_text=True)
+        crawl.survey(pages, as_of, on_error, with_text=True, months=months)
         .withColumn("page_url", F.col("url"))
         .withColumn("prompt_keys", models.prompt_keys(F.col("url"), F.col("text")))
         .withColumn("own_events", F.size(crawl.own_items(F.col("items"), on_error)))
@@ -94,23 +97,25 @@ def with_readable_text(rows: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``rows`` has ``page_url, frame_url, selectors, prompt_keys``, a key for each window of the text.  A page with a frame is read through it, and
     selectors apply to what is read.  Only such rows need HTML again: each distinct (address, selectors)
-    pair is read once, however many pages share it.  An address that was not fetched marks its rows
+    pair is read once, however many pages share it, in its newest version.  An address that was not fetched marks its rows
     ``unreachable``.
     """
     direct = F.col("frame_url").isNull() & F.col("selectors").isNull()
     plain = rows.filter(direct).withColumn("event_links", F.lit(None).cast("array<string>")).withColumn("unreachable", F.lit(False))
-    again = rows.filter(~direct).withColumn("url", F.coalesce("frame_url", "page_url")).drop("prompt_keys")
+    again = rows.filter(~direct).withColumn("_address", U.address(F.coalesce("frame_url", "page_url"))).drop("prompt_keys")
     nodes, selectors = F.col("_nodes"), F.col("selectors")
     read = (
-        pages.select("url", "html").join(again.select("url", "selectors").distinct(), "url")
+        pages.select("page_id", "url", "html", U.address(F.col("url")).alias("_address"))
+        .join(again.select("_address", "selectors").distinct(), "_address")
         .withColumn("_nodes", page_nodes(F.col("html")))
         .select(
-            F.col("url").alias("_url"), selectors.alias("_selectors"),
+            "page_id", F.col("_address").alias("_url"), selectors.alias("_selectors"),
             page_text(nodes, selectors).alias("text"),
             hinted_links(F.when(selectors.isNotNull(), nodes), selectors, F.col("url")).alias("event_links"),
         )
     )
-    joined = again.join(read, (F.col("url") == F.col("_url")) & selectors.eqNullSafe(F.col("_selectors")), "left")
+    read = crawl.newest(read, ["_url", "_selectors"], ["text", "event_links"])
+    joined = again.join(read, (F.col("_address") == F.col("_url")) & selectors.eqNullSafe(F.col("_selectors")), "left")
     return plain.unionByName(
         joined.withColumn("prompt_keys", models.prompt_keys(F.col("page_url"), F.col("text")))
         .withColumn("unreachable", F.col("_url").isNull())
@@ -159,12 +164,13 @@ def model_events(
     own = own.withColumn("source_ord", F.lit(0)).withColumn("target_url", F.col("page_url"))
 
     led = ready.filter(follows).select(*keep, F.posexplode("event_links").alias("source_ord", "target_url"))
-    detail = detail_prompts(led.select(F.col("target_url").alias("url")).distinct(), pages)
-    read = _answered(detail, answers).filter(~F.col("failed")).withColumnRenamed("page_url", "target_url")
+    led = led.withColumn("address", U.address(F.col("target_url")))
+    detail = detail_prompts(led.select("address").distinct(), pages).withColumnRenamed("address", "url")
+    read = _answered(detail, answers).filter(~F.col("failed")).withColumnRenamed("page_url", "address")
 
     lost = ready.filter("unreachable").select(*keep, F.lit(True).alias("failed"))
     return (
-        own.unionByName(led.join(read, "target_url"))
+        own.unionByName(led.join(read, "address").drop("address"))
         .unionByName(lost, allowMissingColumns=True)
         .withColumn("method", F.lit("llm"))
     )
@@ -174,18 +180,20 @@ def _answered(keyed: DataFrame, answers: DataFrame) -> DataFrame:
     return models.page_answer_events(models.with_answers(keyed, answers, "page").drop("prompt_key"))
 
 
-def detail_prompts(urls: DataFrame, pages: DataFrame) -> DataFrame:
-    """``url, piece, prompt_key`` of linked pages, each read once, through its frame if it has one, without hints."""
+def detail_prompts(addresses: DataFrame, pages: DataFrame) -> DataFrame:
+    """``address, piece, prompt_key`` of linked pages, each read in its newest version, through its frame if it has one, without hints."""
     nodes, frame = F.col("_nodes"), F.col("frame_url")
     rows = (
-        pages.select("url", "html").join(urls, "url", "left_semi")
+        pages.select("page_id", "url", "html", U.address(F.col("url")).alias("address")).join(addresses, "address", "left_semi")
         .withColumn("_nodes", page_nodes(F.col("html")))
         .withColumn("frame_url", crawl.first_frame(nodes, F.col("url")))
         .withColumn("prompt_keys", models.prompt_keys(F.col("url"), page_text(F.when(frame.isNull(), nodes))))
-        .select(F.col("url").alias("page_url"), "frame_url", F.lit(None).cast("array<string>").alias("selectors"), "prompt_keys")
+        .select("page_id", "address", F.col("url").alias("page_url"), "frame_url", "prompt_keys")
     )
+    rows = crawl.newest(rows, ["address"], ["page_url", "frame_url", "prompt_keys"])
+    rows = rows.withColumn("selectors", F.lit(None).cast("array<string>"))
     ready = with_readable_text(write_once(rows), pages)
-    return ready.select(F.col("page_url").alias("url"), F.posexplode("prompt_keys").alias("piece", "prompt_key"))
+    return ready.select("address", F.posexplode("prompt_keys").alias("piece", "prompt_key"))
 
 
 EVENT_ORDER = [

@@ -117,3 +117,18 @@ def test_failed_calls_fail_their_page(spark):
     rows = [("u1", None, "timeout"), ("u2", '{"events":[{"title":"t","start":"2025-01-01","timezone":"EST"}]}', "ok"), ("u3", None, None)]
     found = page_answer_events(spark.createDataFrame(rows, "url string, content string, status string")).orderBy("page_url").collect()
     assert [(r.page_url, r.failed, r.start_time) for r in found] == [("u1", True, None), ("u2", False, "2025-01-01T00:00:00-05:00")]
+
+
+def test_addresses_without_fragments_and_pages_fetched_again(spark):
+    def frame(name):
+        return f'<script type="application/ld+json">{{"@type": "Event", "name": "{name}", "startDate": "2025-02-0{len(name)}"}}</script>'
+
+    led = f'<body><div class="e"><p>{WORDS}</p><a href="/d#part">d</a></div></body>'
+    pages = pages_of(
+        spark, ("/a", '<iframe src="/f#week"></iframe>'), ("/f", frame("old")), ("/f", frame("later")), ("/l", led),
+        ("/d", f"<body><p>earlier {WORDS}</p></body>"), ("/d#top", PLAIN),
+    )
+    answers = [answer("/d#top", TEXT, event("detail")), answer("/d", f"earlier {TEXT}", event("outdated"))]
+    methods, titles = run(spark, pages, answers, [("/l", [".e"])])
+    assert [t for p, t in titles if p == 0] == ["later"] and [t for p, t in titles if p == 3] == ["detail"]
+    assert methods[0] == "jsonld" and methods[3] == "llm"
