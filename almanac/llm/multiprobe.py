@@ -4,7 +4,7 @@ Each table floors a few Gaussian projections to a grid; a bucket is a cell.  Wit
 makes all candidates equally long, the largest inner product is the least distance.  A neighbour at a given
 distance lies in a perturbed bucket with a probability that follows from where the query lies in its own cell.
 A query visits the buckets of a table in the order of that probability until the neighbours are found often
-enough, the candidates of all tables are scored exactly, and the best are merged.
+enough and there are enough candidates, the candidates of all tables are scored exactly, and the best are merged.
 
 Buckets are put together, in order, to blocks of bounded size, a larger one is split; queries go to the blocks
 that hold buckets they visit.  So work is matrix products of bounded blocks, whatever the buckets' sizes.
@@ -31,7 +31,9 @@ SUCCESS = 0.96        # of meeting a neighbour in some table
 NEAREST = 20
 BLOCK = 16_384        # vectors scored together
 QUERIES = 4_096       # queries of a block, at most; beyond, the block is read again
-SAMPLE = 4_096        # vectors from which the neighbours' distance is estimated
+SAMPLE = 4_096        # vectors from which those are taken that ask for their neighbours' distance
+ASKERS = 256          # of these, each against the whole table
+ASKED = 0.9           # of them have their last wanted neighbour within the estimated distance
 
 
 @dataclass
@@ -63,8 +65,12 @@ class Index:
         cells = np.clip(np.floor(self.places(self.lifted(vectors))) + LEVELS // 2, 0, LEVELS - 1).astype(np.int64)
         return cells @ LEVELS ** np.arange(FUNCTIONS)[::-1]
 
-    def visited(self, vectors: np.ndarray) -> np.ndarray:
-        """Rows by tables by buckets: whether a query visits it, the likeliest first until the success wanted of a table."""
+    def visited(self, vectors: np.ndarray, held: np.ndarray, least: int) -> np.ndarray:
+        """Rows by tables by buckets: whether a query visits it.
+
+        The likeliest come first, until the success wanted of a table and ``least`` vectors are reached; ``held`` has the
+        vectors of each bucket, by tables.
+        """
         z = self.places(self.directed(vectors))
         edges = np.arange(1, LEVELS) - LEVELS // 2
         spread = self.reach / self.width
@@ -77,7 +83,8 @@ class Index:
         order = np.argsort(-joint, axis=-1)
         ranked = np.take_along_axis(joint, order, -1)
         wanted = 1 - (1 - SUCCESS) ** (1 / TABLES)
-        visit = np.cumsum(ranked, -1) - ranked < wanted
+        members = np.take_along_axis(np.broadcast_to(held, joint.shape), order, -1)
+        visit = (np.cumsum(ranked, -1) - ranked < wanted) | (np.cumsum(members, -1) - members < least)
         out = np.zeros_like(visit)
         np.put_along_axis(out, order, visit, -1)
         return out
@@ -101,32 +108,79 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
+def last_neighbours(vectors: DataFrame, asking: dict[int, tuple[Index, np.ndarray]]) -> dict[int, np.ndarray]:
+    """By dimension, the distance of each asking vector to its last wanted neighbour, equal vectors counted once.
+
+    One pass over all vectors; a task gives out no more than the nearest of each that asks.  One with fewer neighbours
+    has the distance of its last one, one without any has none.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(asking)
+
+    def hashes(x: np.ndarray) -> np.ndarray:
+        return np.array([xxhash.xxh3_64_intdigest((row + 0.0).tobytes()) >> 1 for row in x], np.int64)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        own = {d: hashes(asks) for d, (_, asks) in shared.value.items()}
+        for batch in batches:
+            by: dict[int, list] = {}
+            for v in batch.column("vector").to_pylist():
+                by.setdefault(len(v), []).append(v)
+            for d, raw in by.items():
+                index, asks = shared.value[d]
+                x = np.array(raw, np.float64)
+                hashed, first = np.unique(hashes(x), return_index=True)
+                gaps = np.sqrt(np.maximum(2 - 2 * index.directed(asks) @ index.lifted(x[first]).T, 0))
+                gaps[own[d][:, None] == hashed[None, :]] = np.inf
+                if d in kept:
+                    before, known = kept[d]
+                    new = np.argsort(gaps, axis=1)[:, :NEAREST]
+                    names, gaps = hashed[new], np.take_along_axis(gaps, new, 1)
+                    gaps[(names[:, :, None] == known[:, None, :]).any(2)] = np.inf
+                    names, gaps = np.column_stack([known, names]), np.column_stack([before, gaps])
+                else:
+                    names = np.broadcast_to(hashed, gaps.shape)
+                order = np.argsort(gaps, axis=1, kind="stable")[:, :NEAREST]
+                kept[d] = (np.take_along_axis(gaps, order, 1), np.take_along_axis(names, order, 1))
+        schema = pa.schema([("dimension", pa.int32()), ("ask", pa.int32()), ("name", pa.int64()), ("gap", pa.float64())])
+        for d, (gaps, names) in kept.items():
+            rows, places = np.nonzero(np.isfinite(gaps))
+            yield from common.batches([(d, int(i), int(names[i, j]), float(gaps[i, j])) for i, j in zip(rows, places)], schema)
+
+    found = vectors.select("vector").mapInArrow(near, "dimension int, ask int, name long, gap double")
+    found = found.groupBy("dimension", "ask", "name").agg(F.min("gap").alias("gap"))
+    turn = F.row_number().over(Window.partitionBy("dimension", "ask").orderBy("gap", "name"))
+    found = found.withColumn("turn", turn).where(F.col("turn") <= NEAREST).groupBy("dimension", "ask").agg(F.max("gap").alias("gap"))
+    out: dict[int, list[float]] = {}
+    for row in found.collect():
+        out.setdefault(row["dimension"], []).append(row["gap"])
+    return {d: np.array(gaps) for d, gaps in out.items()}
+
+
 def fit(vectors: DataFrame) -> dict[int, Index]:
     """An index per dimension.
 
-    The neighbours' distance is that quantile of the distances within a sample, of at most ``SAMPLE`` vectors
-    of a dimension, that leaves as many closer as are wanted of all.
+    Of at most ``ASKERS`` different vectors of a dimension each finds its own last wanted neighbour in the whole table,
+    where equal vectors count once, and the neighbours' distance is a high quantile of theirs.  So copies, however
+    many, do not make it smaller for the others.
     """
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    sizes = vectors.groupBy(F.size("vector").alias("dimension")).agg(F.count("*").alias("n"), F.max(norm).alias("longest")).collect()
+    sizes = vectors.groupBy(F.size("vector").alias("dimension")).agg(F.max(norm).alias("longest")).collect()
     turn = Window.partitionBy(F.size("vector")).orderBy(F.xxhash64("vec_id"), "vec_id")
     chosen = vectors.select("vec_id", "vector").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE)
-    sample: dict[int, list] = {}
-    for row in chosen.select("vector").toPandas()["vector"]:
-        sample.setdefault(len(row), []).append(np.asarray(row, np.float64))
+    sample: dict[int, dict[tuple, None]] = {}
+    for row in chosen.orderBy("turn").select("vector").toPandas()["vector"]:
+        sample.setdefault(len(row), {})[tuple(np.asarray(row, np.float64).tolist())] = None
     found = {}
     for row in sizes:
         rng = np.random.default_rng(row["dimension"])
         directions = rng.standard_normal((row["dimension"] + 1, TABLES * FUNCTIONS))
-        index = Index(row["dimension"], row["longest"], 1.0, 1.0, directions, rng.random(TABLES * FUNCTIONS))
-        points = np.array(sample[row["dimension"]])
-        asking = points[:256]
-        gaps = 1 + (index.lifted(points) ** 2).sum(1)[None, :] - 2 * index.directed(asking) @ index.lifted(points).T
-        gaps = np.sort(np.sqrt(np.maximum(gaps, 0)), axis=None)[len(asking):]  # without each vector and itself
-        if len(gaps):
-            index.reach = max(float(np.quantile(gaps, min(1.0, NEAREST / max(row["n"], 1)))), 1e-3)
+        found[row["dimension"]] = Index(row["dimension"], row["longest"], 1.0, 1.0, directions, rng.random(TABLES * FUNCTIONS))
+    gaps = last_neighbours(vectors, {d: (index, np.array(list(sample[d])[:ASKERS])) for d, index in found.items()})
+    for d, index in found.items():
+        if d in gaps:
+            index.reach = max(float(np.quantile(gaps[d], ASKED)), 1e-3)
         index.width = WIDTH * index.reach
-        found[row["dimension"]] = index
     return found
 
 
@@ -187,6 +241,10 @@ def nearest(vectors: DataFrame, asks: Column, k: int = NEAREST) -> DataFrame:
     # at most TABLES * LEVELS ** FUNCTIONS buckets of a dimension
     counts = {(r["dimension"], r["table"], r["bucket"]): r["count"] for r in keys.groupBy("dimension", "table", "bucket").count().collect()}
     where = spark.sparkContext.broadcast(split(counts))
+    members = {d: np.zeros((TABLES, LEVELS**FUNCTIONS), np.int64) for d in indexes}
+    for (d, t, b), n in counts.items():
+        members[d][t, b] = n
+    members = spark.sparkContext.broadcast(members)
     asking = vectors.where(asks)
     parts = -(-asking.count() // QUERIES)
 
@@ -213,7 +271,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = NEAREST) -> DataFrame:
             for d in sorted({len(v) for v in raw}):
                 at = [i for i, v in enumerate(raw) if len(v) == d]
                 for some in common.slices(at, 256):
-                    visits, rows = indexes[d].visited(np.array([raw[i] for i in some], np.float64)), []
+                    visits, rows = indexes[d].visited(np.array([raw[i] for i in some], np.float64), members.value[d], k + 1), []
                     for t in range(TABLES):
                         for block, held in blocks.get((d, t), {}).items():
                             held = np.array(held)

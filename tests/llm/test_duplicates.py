@@ -101,6 +101,26 @@ def test_recall_and_exact_scores(spark, sf_dir, scale):
     assert hits / wanted >= 0.9
 
 
+def test_recall_beside_copies(spark, sf_dir):
+    """Copies of one vector, a third of all rows, cost the other queries no neighbours."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    ids = np.array([r["vec_id"] for r in rows])
+    more = np.array([i for i in range(int(ids.max()) + 1, int(ids.max()) + 2 * len(ids)) if i % 20][:len(ids) // 2])
+    ids, x = np.concatenate([ids, more]), np.concatenate([x, np.repeat(x[1:2], len(more), 0)])
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, vector array<double>")
+    found = defaultdict(set)
+    for r in multiprobe.nearest(vectors, F.col("vec_id") % 20 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = []
+    for k in np.flatnonzero(ids % 20 == 0):
+        scores = np.where(ids == ids[k], -np.inf, x @ x[k])
+        want = {int(i) for i in ids[np.lexsort((ids, -scores))[:20]]}
+        assert len(found[int(ids[k])]) == 20
+        hits.append(len(want & found[int(ids[k])]) / 20)
+    assert np.mean(hits) >= 0.9
+
+
 def test_odd_vectors(spark):
     schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("score", T.StringType())])
     nan, inf = float("nan"), float("inf")
