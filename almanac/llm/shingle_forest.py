@@ -90,7 +90,7 @@ def shape_of(shingles: np.ndarray) -> bytes | None:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, shape, paths``: a row per row; the paths are the keys of all trees as bytes."""
+    """``doc_id, copy, shape, paths``: a row per row, with a hash of its text; the paths are the keys of all trees as bytes."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingles()
         for batch in batches:
@@ -100,9 +100,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 shapes.append(shape_of(shingles))
                 paths.append(shingler.keys(shingles).tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(shapes, pa.binary()), pa.array(paths, pa.binary())], names=["doc_id", "shape", "paths"])
+                [batch.column("doc_id"), batch.column("copy"), pa.array(shapes, pa.binary()), pa.array(paths, pa.binary())],
+                names=["doc_id", "copy", "shape", "paths"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(sign, "doc_id long, shape binary, paths binary")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("copy"), docs["text"])
+    return rows.mapInArrow(sign, "doc_id long, copy long, shape binary, paths binary")
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +281,11 @@ def linked(docs: DataFrame) -> DataFrame:
     what stands between white space.  A null or empty text has no words and links to nothing; its class is its own id.  Null
     ids take part and are never the name of a class with other ids.  Repeated rows are linked copies.  Other columns are not read.
     """
+    return classed(docs).select("doc_id", "class_id", "n_links")
+
+
+def classed(docs: DataFrame) -> DataFrame:
+    """``linked`` with ``copy``, a hash of the text, and ``root``, which no two classes share; a row without words has none."""
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     rows = write_once(signatures(docs))
     classes = write_once(rows.where("shape IS NOT NULL").groupBy("shape").agg(
@@ -343,9 +350,9 @@ def linked(docs: DataFrame) -> DataFrame:
     named = classes.select("shape", "name", "size").join(counted, "shape", "left").join(roots, "shape", "left")
     named = write_once(named.select("shape", "name", "size", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "shape").alias("root")))
     names = named.groupBy("root").agg(F.min("name").alias("class_id"))
-    named = named.join(names, "root").select("shape", "class_id", (F.col("size") - 1 + F.col("links")).alias("n_links"))
-    return rows.select("doc_id", "shape").join(named, "shape", "left").select(
-        "doc_id", F.when(F.col("shape").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    named = named.join(names, "root").select("shape", "root", "class_id", (F.col("size") - 1 + F.col("links")).alias("n_links"))
+    return rows.select("doc_id", "copy", "shape").join(named, "shape", "left").select(
+        "doc_id", "copy", "root", F.when(F.col("shape").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -356,14 +363,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage of a pipeline: of each class the document with the least id stays, with all its columns.
 
-    Rows that repeat an id and its text are one; documents without an id stay, as nothing names them.
+    Rows that repeat an id and its text are one; an id with different texts is a document for each of them, and of a class
+    that has several texts of its least id one stays.  Documents without an id stay, as nothing names them.
     """
-    found = write_once(linked(docs))
-    dropped = write_once(found.where("class_id <> doc_id").select(F.col("doc_id").alias("_dropped")).distinct())
+    found = write_once(classed(docs))
+    dropped = found.where("class_id <> doc_id")
+    repeated = not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
+        naming = found.where("class_id = doc_id AND root IS NOT NULL").select("doc_id", "copy", "root").distinct()
+        chosen = naming.groupBy("root").agg(F.min("copy").alias("chosen"))
+        dropped = dropped.select("doc_id", "copy").unionByName(naming.join(chosen, "root").where("copy <> chosen").select("doc_id", "copy"))
+    dropped = write_once(dropped.select(F.col("doc_id").alias("_dropped"), F.col("copy").alias("_copy")).distinct())
     suspect = maybe_in(dropped, "_dropped")(docs["doc_id"].cast("long"))
-    exact = docs.where(suspect).join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
+    same = (docs["doc_id"] == F.col("_dropped")) & (F.xxhash64(docs["text"]) == F.col("_copy"))
+    exact = docs.where(suspect).join(dropped, same, "left_anti")
     kept = docs.where(~suspect).unionByName(exact)
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+    if not repeated:
         return kept
     named = kept.where("doc_id IS NOT NULL").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
     return named.unionByName(kept.where("doc_id IS NULL"))

@@ -72,6 +72,16 @@ def test_odd_documents(spark, odd, odd_rows, none):
     assert in_order((r["doc_id"],) for r in kept.collect()) == in_order((i,) for i in [None, 1, 2, 3, 4, 6, 7, 8, 9, 10])
 
 
+def test_one_id_on_two_texts(spark):
+    """Every class keeps one document, also where its least id has another text, or several texts, of another class."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (6, a + " end"), (8, c), (8, c + " end"), (9, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in shingle_forest.one_of_each(spark, docs, "").collect()]
+    assert sorted(r for r in kept if r[0] != 8) == [(3, b), (5, a)]
+    assert len(kept) == 3 and set(kept) <= set(rows)
+
+
 def test_depth_reaches_the_recall():
     depth = shingle_forest.matched_depth(0.8)
     miss = [(1 - 0.8**d) ** shingle_forest.TREES for d in (depth, depth + 1)]
