@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import struct
-import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -20,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from almanac.llm import common
@@ -39,9 +38,9 @@ LARGE_CACHE = 400_000  # words a worker remembers where no other stage has used
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SENTENCE_STOPS = (".", "!", "?")  # before a space; line feeds end sentences too
 
-SCHEMA = T.StructType([T.StructField(n, T.LongType(), n == "doc_id") for n in (
-    "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
-ARROW = pa.schema([(n, pa.int64()) for n in SCHEMA.names])
+SCHEMA = T.StructType([T.StructField(n, T.BinaryType() if n == "ids" else T.LongType(), n == "doc_id") for n in (
+    "doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")])
+ARROW = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in SCHEMA.names])
 
 
 class Words(dict):
@@ -220,7 +219,7 @@ class Packer:
                 doc_id, ids, start, before = self.docs[kept]
                 stop = min(end, start + len(ids))
                 part = ids[at - start:stop - start]
-                pieces.append((doc_id, before + at - start, len(part), zlib.crc32(part.tobytes()), before + len(ids), self.sequence, offset))
+                pieces.append((doc_id, before + at - start, len(part), part.tobytes(), before + len(ids), self.sequence, offset))
                 offset += len(part)
                 at = stop
                 if at == start + len(ids):
@@ -238,7 +237,7 @@ class Packer:
 
 
 def packed(docs: DataFrame, tokens: Callable[[], Callable], window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Pieces of documents and their places in sequences of at most ``window`` tokens.
+    """Pieces of documents with their ``ids``, four bytes each, the low ones first, and their places in sequences of at most ``window`` tokens.
 
     One pass without a shuffle: each partition is packed on its own, in the order of its rows, a stretch of
     tokens at a time, so memory is bounded by the stretch and the longest text.  ``tokens`` makes the
@@ -263,12 +262,13 @@ def packed(docs: DataFrame, tokens: Callable[[], Callable], window: int = WINDOW
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces(common.table(spark, sf_dir, "documents"), LARGE_CACHE)
+    return pieces(common.table(spark, sf_dir, "documents"), LARGE_CACHE).drop("ids")
 
 
 def pieces(docs: DataFrame, entries: int = common.CACHE_ENTRIES) -> DataFrame:
-    """``packed`` with the production vocabulary."""
+    """``packed`` with the production vocabulary, and a check sum of each piece's ids."""
     import public_tokenizers
 
     path = public_tokenizers.path(VOCABULARY)
-    return packed(docs, lambda: _of_worker(path, entries))
+    found = packed(docs, lambda: _of_worker(path, entries))
+    return found.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -10,14 +10,14 @@ edit until it agrees with the old one over such a length.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from almanac.llm import common
@@ -28,8 +28,8 @@ PAIRS = 500_000  # remembered pairs of tokens
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("n_tokens", T.LongType(), False),
-    T.StructField("ids_sha256", T.StringType(), False),
-    T.StructField("decoded_sha256", T.StringType(), False),
+    T.StructField("ids", T.ArrayType(T.IntegerType(), False), False),
+    T.StructField("decoded", T.BinaryType(), False),
 ])
 
 
@@ -237,23 +237,23 @@ class TextEncoder:
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Number of tokens, hash of the ids and hash of what they decode to, of every row.
+    """Number of tokens, the ids and the bytes that they decode to, of every row.
 
     One pass without a shuffle; ``path`` must be readable on all executors.  A null or empty text has no
-    tokens and the hashes of the empty string; a null ``doc_id`` stays null; repeated rows are repeated.
+    tokens and decodes to no bytes; a null ``doc_id`` stays null; repeated rows are repeated.
     Other columns are not read.
     """
     def encode(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = TextEncoder.of_worker(path, pattern)
         for batch in batches_in:
-            counts, ids_hash, text_hash = [], [], []
+            counts, found, decoded = [], [], []
             for text in common.texts(batch):
                 ids = coder.encode(text)
-                counts.append(ids.count(",") + 1 if ids else 0)
-                ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_hash.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                found.append(np.array(ids.split(","), np.int32) if ids else np.zeros(0, np.int32))
+                counts.append(len(found[-1]))
+                decoded.append(coder.decode(ids))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(decoded, pa.binary())],
                 names=SCHEMA.names)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(encode, SCHEMA)
@@ -262,4 +262,6 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encoded(common.table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    found = encoded(common.table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    spelt = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", "n_tokens", F.sha2(spelt, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

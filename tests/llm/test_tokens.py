@@ -1,4 +1,5 @@
 """Packing and byte-level BPE against the tokenizers' own libraries."""
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -116,6 +117,22 @@ def test_packed_table(spark, sf_dir):
     assert check_pieces(packing.query(spark, sf_dir).collect(), {r["doc_id"]: r["text"] for r in docs.collect()}) < 0.02
 
 
+def test_ids_are_given_out(odd, odd_rows, spark, sf_dir):
+    texts = {r[0]: r[1] or "" for r in odd_rows if r[0] not in (8, None)}
+    ids = defaultdict(bytes)
+    for row in sorted(packing.pieces(odd).collect(), key=lambda r: r["start"]):
+        ids[row["doc_id"]] += row["ids"]
+    found = {r["doc_id"]: r for r in prefix_bpe.encoded(odd, P.path(prefix_bpe.VOCABULARY), P.PATTERN).collect()}
+    for doc_id, text in texts.items():
+        assert np.frombuffer(ids[doc_id], "<u4").tolist() == [*WHOLE.encode(text, add_special_tokens=False).ids, 1]
+        assert found[doc_id]["ids"] == THEIRS.encode_ordinary(text) and bytes(found[doc_id]["decoded"]) == text.encode()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for row in prefix_bpe.query(spark, sf_dir).collect():
+        spelt = ",".join(map(str, THEIRS.encode_ordinary(texts[row["doc_id"]])))
+        assert row["ids_sha256"] == hashlib.sha256(spelt.encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(texts[row["doc_id"]].encode()).hexdigest()
+
+
 def test_odd_rows(odd, odd_rows, none):
     rows = packing.pieces(odd).collect()
     by_id = {r[0]: r[1] for r in odd_rows if r[0] not in (8, None)}
