@@ -2,10 +2,11 @@
 
 Fixed patterns find plain addresses and numbers.  In between, text near digits, ``@``, ``=`` or quotes is cut
 into atoms (runs of letters and digits, single signs), and a segmentation into single atoms and entities of a
-bounded number of atoms is chosen.  A segment is scored as a whole: its digits, signs, check sum, and what
-stands around it.  Dynamic programming over the ends of segments gives the best segmentation, boundaries and
+bounded number of atoms is chosen; what stands between quotes after ``=`` may be one of any number of atoms.  A
+segment is scored as a whole: its digits, signs, check sum, and what stands around it.  Dynamic programming over the ends of segments gives the best segmentation, boundaries and
 types together, and, while learning, the sum over all of them.  It learns from the patterns' own spans, from those with a
-sign left out, and from a seed pattern for secrets, so it finds what the patterns miss by little.
+sign left out, and from a seed pattern for secrets, whose values it also sees spelt in letters only and with signs, and
+in letters after a name of no secret, so it finds what the patterns miss by little.
 """
 from __future__ import annotations
 
@@ -38,6 +39,8 @@ IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?+[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SECRET = re.compile(r"\b(?:token|key|secret|password)\s{0,3}=\s{0,3}\"([^\"\s]{8,80})\"", re.I)
+SECRET_NAME = re.compile(r"(?:token|key|secret|password)\s{0,3}=\s{0,3}\"$", re.I)
+QUOTED = re.compile(r"=\s{0,3}\"([^\"\s]{8,80})\"")
 ATOM = re.compile(r"[^\W_]+|[^\w\s]|_")
 TRIGGER = re.compile(r"[0-9@=\"]")
 HEX = re.compile(r"[0-9a-f]{12,}|[0-9A-F]{12,}")
@@ -112,6 +115,9 @@ def zones(text: str, spans: list[Span]) -> list[tuple[int, int]]:
                 end = nearby.end()
             line = text.find("\n", end, min(high, end + 24))
             end = line if line >= 0 else min(high, end + 24)
+            for quoted in QUOTED.finditer(text, start, min(high, end + 88)):  # a quoted value is not cut
+                if quoted.start() < end < quoted.end():
+                    end = quoted.end()
             found.append([start, end])
             at = end
     return [(a, b) for a, b in found]
@@ -121,7 +127,7 @@ FEATURES = [
     "always", "no digit", "1-6 digits", "7-9 digits", "10-13 digits", "14-15 digits", "16 digits", "17-19 digits", "more digits",
     "letters", "only letters", "@", "dot after @", "three dots", "numbers to 255", "plus", "brackets", "check sum", "hex", "=",
     "opening quote before", "closing quote after", "= before", "space", "one atom", "letter or digit before", "letter or digit after",
-    "@ before or after", "other signs", "short groups",
+    "@ before or after", "other signs", "short groups", "name of a secret before",
 ]
 
 
@@ -142,12 +148,16 @@ def segment_features(text: str, start: int, end: int, atoms: int) -> list[float]
         before.endswith('"'), after == '"', before.rstrip(' "').endswith("="), " " in span, atoms == 1,
         before[-1:].isalnum(), after.isalnum(), before.endswith("@") or after == "@",
         sum(not (c.isalnum() or c in " ().-@+_%") for c in span) > 0, len(groups) > 1 and max(map(len, groups)) <= 4,
+        before.endswith('"') and bool(SECRET_NAME.search(text, max(0, start - 16), start)),
     ]
 
 
 def segments(text: str, low: int, high: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Atoms of a zone, and the segments (first and last atom) that may be entities."""
     atoms = [(m.start(), m.end()) for m in ATOM.finditer(text, low, high)]
+    starts, stops = {a: i for i, (a, _) in enumerate(atoms)}, {b: j for j, (_, b) in enumerate(atoms)}
+    # between quotes after "=" anything may be an entity, whatever its signs and their number
+    quoted = dict.fromkeys((starts[m.start(1)], stops[m.end(1)]) for m in QUOTED.finditer(text, low, high))
     found = []
     for i, (start, stop) in enumerate(atoms):
         if not (text[start].isalnum() or text[start] in "+("):
@@ -160,7 +170,8 @@ def segments(text: str, low: int, high: int) -> tuple[list[tuple[int, int]], lis
             told = told or any(c.isdigit() or c == "@" for c in text[a:b])
             if told and (text[a].isalnum()):
                 found.append((i, j))
-    return atoms, found
+                quoted.pop((i, j), None)
+    return atoms, [*found, *quoted]
 
 
 @dataclass
@@ -217,9 +228,19 @@ def examples(text: str) -> list[tuple[str, list[Span]]]:
             out.append((text[low:high], inside))
         if kind == 3 and text[start] == "+":
             out.append((text[low:start] + text[start + 1:high], [(start - low, end - low - 1, 3)]))
+        if kind == 4:
+            letters = text[start:end].translate(_LETTERS)
+            signs = text[start:end - 4] + "/+=="
+            name = re.search(r"\w+\s{0,3}=\s{0,3}\"$", text[low:start])
+            for spelling in (letters, signs):
+                out.append((name.group() + spelling + '"', [(len(name.group()), len(name.group()) + len(spelling), 4)]))
+            out.append((f'name = "{letters}"', []))
     return out
 
 
+_LETTERS = str.maketrans("0123456789", "ghijklmnop")
+
+
 def learn(found: list[tuple[str, list[Span]]]) -> SpanModel:
     """Weights by gradient ascent on the likelihood of the known segmentations, summed over all others by the forward and backward sums.
 

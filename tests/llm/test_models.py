@@ -163,6 +163,15 @@ def test_secrets_are_found_and_prose_is_left_alone(spark):
     assert "[EMAIL]" in redacted and "[PHONE]" in redacted and "0123456789abcdef" not in redacted
 
 
+def test_secrets_of_letters_and_signs(spark):
+    model = pii_spans.fit(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"))
+    for secret in ("correcthorsebattery", "QWxhZGRpbjpvcGVuIHNlc2FtZQ==", "a-b-c-d-e-f-g-h-i-j-k-l-m", "x" * 80, "0123456789abcdef0123"):
+        text = f'some words before it, password = "{secret}" and some words after it'
+        assert pii_spans.redact(text, model.spans(text)[1]) == text.replace(secret, "[SECRET]"), secret
+    text = 'a list with class = "navigation" and title = "Introduction" in it'
+    assert model.spans(text)[1] == []
+
+
 def test_boilerplate_depletes_and_copies_do_not(spark):
     menu = "home news sport weather contact imprint login search help about"
     rows = [(i, "\n".join([menu] * 8) + f"\nonly this line is own {'abcdefghij'[i % 10]}{'klmn'[i // 10]} alpha beta", "a") for i in range(40)]
