@@ -109,6 +109,24 @@ def test_pseudo_likelihood_is_normalised_and_learns(spark):
     assert abs(each - learnt.log_probabilities([[], one])[1]) < 1e-4
 
 
+def test_rare_words_score_by_their_own_counts(spark):
+    """An unseen word is never likelier than a rare one; a sum has the token and the word's share of it."""
+    schema = "doc_id long, text string"
+    known = [f"w{i}" for i in range(pseudo_likelihood.TOKENS - pseudo_likelihood.RARE)]
+    d, e, f, never = [w for w in (f"r{i}" for i in range(2000)) if pseudo_likelihood._named(w)[1] == 5][:4]
+    docs = spark.createDataFrame([(1, " ".join(known * 9)), (2, " ".join([d] * 3 + [e] * 2 + [f]))], schema)
+    counts = pseudo_likelihood.word_counts(docs)
+    network = pseudo_likelihood.fit(docs, rounds=0, counts=counts)
+    found = pseudo_likelihood.shares(counts, network).collect()
+    assert len(found) == 3 and abs(sum(np.exp(r["share"]) for r in found) + np.exp(found[0]["least"]) - 1) < 1e-9
+    texts = [(1, d), (2, f), (3, never), (4, f"{d} {e} {d}"), (5, d), (5, None), (6, "w1")]
+    rows = pseudo_likelihood.scored(spark.createDataFrame(texts, schema), network, counts).collect()
+    sums = {r["doc_id"]: r["log_prob"] for r in rows if r["n_tokens"]}
+    token = {i: network.log_probabilities([network.tokens(t)])[0] for i, t in texts if t}
+    assert abs(sums[1] - token[1] - np.log(3 / 7)) < 1e-6 and abs(sums[4] - token[4] - np.log(18 / 343)) < 1e-6
+    assert abs(sums[6] - token[6]) < 1e-6 and abs(sums[3] - sums[2]) < 1e-6 and sums[2] < sums[1] == sums[5] and len(rows) == 7
+
+
 def plain_spans(text):
     out = [(m.start(), m.end(), 0) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), m.end(), 1) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) < 256 for p in m.group().split("."))]
