@@ -25,6 +25,18 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """For each name one like it that no column of ``df`` has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(items: list, size: int) -> Iterator[list]:
     for i in range(0, len(items), size):
         yield items[i:i + size]
