@@ -1,7 +1,7 @@
 """Queries over the operators of this subpackage."""
 from __future__ import annotations
 
-from almanac.llm import language_kernel, line_frequency, multiprobe, packing, pii_spans, prefix_bpe, pseudo_likelihood, quality_rules, shingle_forest, toxicity, uniform_shards
+from almanac.llm import filter_potential, language_kernel, line_frequency, multiprobe, packing, pii_spans, prefix_bpe, pseudo_likelihood, quality_rules, shingle_forest, toxicity, uniform_shards
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op9_shingle_forest": shingle_forest.query,
     "op10_kneser_ney_toxicity": toxicity.query,
     "op12_uniform_shards": uniform_shards.query,
+    "op13_filter_potential": filter_potential.query,
 }
-ORACLES: dict[str, str] = {"op3_line_frequency": line_frequency.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_frequency": line_frequency.ORACLE, "op13_filter_potential": filter_potential.ORACLE}
