@@ -42,6 +42,27 @@ def slices(items: list, size: int) -> Iterator[list]:
         yield items[i:i + size]
 
 
+def groups(rows: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with equal ``by``, each group whole, out of sorted batches."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in rows:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_pylist() for c in by]
+        start, values = 0, list(zip(*columns))
+        for i, value in enumerate(values):
+            if value != last:
+                if i > start:
+                    kept.append(batch.slice(start, i - start))
+                if kept:
+                    yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+                kept, start, last = [], i, value
+        kept.append(batch.slice(start))
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+
 def batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of a stated schema; none for no rows."""
     if rows:

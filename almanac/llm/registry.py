@@ -1,7 +1,7 @@
 """Queries over the operators of this subpackage."""
 from __future__ import annotations
 
-from almanac.llm import filter_potential, language_kernel, line_frequency, multiprobe, packing, pii_spans, prefix_bpe, pseudo_likelihood, quality_rules, shingle_forest, toxicity, uniform_shards
+from almanac.llm import filter_potential, language_kernel, line_frequency, multiprobe, packing, pii_spans, prefix_bpe, pseudo_likelihood, quality_rules, shingle_forest, spelling_variants, toxicity, uniform_shards
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_prefix_bpe": prefix_bpe.query,
     "op9_shingle_forest": shingle_forest.query,
     "op10_kneser_ney_toxicity": toxicity.query,
+    "op11_spelling_variants": spelling_variants.query,
     "op12_uniform_shards": uniform_shards.query,
     "op13_filter_potential": filter_potential.query,
 }
