@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,7 +24,10 @@ from pyspark.sql import types as T
 from almanac.llm import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-PAIRS = 500_000  # remembered pairs of tokens
+PAIRS = 500_000    # remembered pairs of tokens
+ENTRIES = 400_000  # remembered pieces of texts
+LONG = 64          # characters; longer pieces are not remembered
+STRETCH = 1 << 22  # characters of texts whose pieces are learnt together
 
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -46,7 +50,6 @@ class PrefixEncoder:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        self._length = {rank: len(token) for token, rank in ranks.items()}
         self._tokens_at = ahocorasick.Automaton()  # of bytes as Latin-1 characters
         for token, rank in ranks.items():
             self._tokens_at.add_word(token.decode("latin-1"), (len(token), rank))
@@ -112,28 +115,24 @@ class PrefixEncoder:
         whole = self.ranks.get(piece)
         return [whole] if whole is not None else self.walk_back(self.extend(piece, [-1]))
 
-    def spelt_sorted(self, pieces: list[bytes]) -> Iterator[str]:
-        """Decimal ids, joined by commas, of pieces in sorted order.
+    def encode_sorted(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """The encodings of pieces in sorted order.
 
-        Each piece starts from the table of what it shares with the one before.
+        Each piece starts from the table of what it shares with the one before; a table holds one token a prefix, and the
+        ids are spelt once, by walking back.
         """
-        before, last, spelt = b"", [-1], [""]
+        before, last = b"", [-1]
         for piece in pieces:
             whole = self.ranks.get(piece)
             if whole is not None:
-                yield str(whole)
+                yield [whole]
                 continue
             same, most = 0, min(len(before), len(piece))
             while same < most and before[same] == piece[same]:
                 same += 1
-            del last[same + 1:], spelt[same + 1:]
-            self.extend(piece, last)
-            for end in range(same + 1, len(last)):  # the ids of a prefix are those before its last token, and that
-                token = last[end]
-                rest = end - self._length[token]
-                spelt.append(f"{spelt[rest]},{token}" if rest else str(token))
+            del last[same + 1:]
+            yield self.walk_back(self.extend(piece, last))
             before = piece
-            yield spelt[-1]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -169,71 +168,79 @@ class EditableEncoding:
         return self.encoder.walk_back(self.last)
 
 
-_STOPS = (".", ",")
+# Texts of these characters only are cut by the standard library's matcher, which is faster than that of the pattern.
+_LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_OTHER = re.compile(rf"[^\n\x20-\x7e{_LETTERS}]").search
 
-_WORKERS: dict[tuple[str, str], "TextEncoder"] = {}
+_WORKERS: dict[tuple[str, str, int], "TextEncoder"] = {}
 
 
 class TextEncoder:
-    """Whole texts: the pattern's matches one by one, with the ids of known words and pieces remembered.
+    """Whole texts: the pattern's matches one by one, with the ids of known ones remembered, four bytes each, the low ones first.
 
-    Where no white space stands next to another, no match goes beyond a space and the word after it, so
-    texts can be cut there first, which is much faster than the pattern.
+    Long matches are worked out anew each time, so the memory of known ones is bounded by ``entries``.
     """
 
-    def __init__(self, path: str, pattern: str):
-        self.pieces_of = regex.compile(pattern).findall
-        self.runs = re.compile(r"\s\s").search
+    def __init__(self, path: str, pattern: str, entries: int = ENTRIES):
         self.encoder = PrefixEncoder(read_ranks(path))
-        self.bytes_of = {str(rank): token for rank, token in self.encoder.bytes_of.items()}
-        self.words: dict[str, str] = {}
-        self.pieces: dict[str, str] = {}
+        self.entries = entries
+        self.known: dict[str, bytes] = {}
+        self._cut = regex.compile(pattern).findall
+        plain = pattern.replace(r"^\s\p{L}\p{N}", rf"^\s0-9{_LETTERS}").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", "[0-9]")
+        self._cut_plain = None if r"\p" in plain else re.compile(plain).findall
 
     @classmethod
-    def of_worker(cls, path: str, pattern: str) -> "TextEncoder":
+    def of_worker(cls, path: str, pattern: str, entries: int = ENTRIES) -> "TextEncoder":
         """One per worker process, as reading the ranks takes longer than encoding many texts."""
-        if (path, pattern) not in _WORKERS:
-            _WORKERS[path, pattern] = cls(path, pattern)
-        return _WORKERS[path, pattern]
-
-    def learn_pieces(self, pieces: set[str]) -> None:
-        if len(self.pieces) > common.CACHE_ENTRIES:
-            self.pieces.clear()
-        new = sorted(p.encode() for p in pieces.difference(self.pieces))
-        self.pieces.update(zip(map(bytes.decode, new), self.encoder.spelt_sorted(new)))
-
-    def cut(self, word: str) -> list[str]:
-        """The matches in a space and a word, or in a word."""
-        rest = word[word[0] == " ":]
-        if rest.isalpha():
-            return [word]
-        if rest[-1:] in _STOPS and rest[:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return self.pieces_of(word)
-
-    def learn_words(self, words: set[str]) -> None:
-        if len(self.words) > common.CACHE_ENTRIES:
-            self.words.clear()
-        new = [(word, self.cut(word)) for word in words.difference(self.words)]
-        self.learn_pieces({p for _, pieces in new for p in pieces})
-        known = self.pieces.__getitem__
-        for word, pieces in new:
-            self.words[word] = ",".join(map(known, pieces))
+        if (path, pattern, entries) not in _WORKERS:
+            _WORKERS[path, pattern, entries] = cls(path, pattern, entries)
+        return _WORKERS[path, pattern, entries]
+
+    def cut(self, text: str) -> list[str]:
+        """The matches of the pattern."""
+        return self._cut(text) if self._cut_plain is None or _OTHER(text) else self._cut_plain(text)
+
+    def learn(self, pieces: set[str]) -> list[str]:
+        """Remember pieces; the long ones among the new are returned, to be forgotten after their texts."""
+        if len(self.known) > self.entries:  # what the texts at hand use stays, and so does what is frequent
+            self.known = {p: self.known[p] for p in pieces.intersection(self.known)}
+        new = sorted((p.encode(), p) for p in pieces.difference(self.known))
+        for (_, piece), ids in zip(new, self.encoder.encode_sorted([p for p, _ in new])):
+            self.known[piece] = array("i", ids).tobytes()
+        return [p for _, p in new if len(p) > LONG]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, four bytes each.
+
+        New pieces are learnt for a stretch of texts at once: sorted, more of them start like the one before.
+        """
+        start = 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (end == start or size + len(texts[end]) <= STRETCH):
+                size += len(texts[end])
+                end += 1
+            cut = [self.cut(text) for text in texts[start:end]]
+            long = self.learn(set().union(*cut))
+            for pieces in cut:
+                yield b"".join(map(self.known.__getitem__, pieces))
+            for piece in long:
+                del self.known[piece]
+            start = end
+
+    def ids_and_bytes(self, text: str) -> tuple[bytes, bytes]:
+        (ids,) = self.encode_all([text])
+        return ids, self.decoded(ids)
+
+    def decoded(self, ids: bytes) -> bytes:
+        return self.encoder.decode(np.frombuffer(ids, np.int32).tolist())
 
     def encode(self, text: str) -> str:
         """Decimal ids joined by commas."""
-        if not text:
-            return ""
-        if self.runs(text):
-            units, known = self.pieces_of(text), self.pieces
-            self.learn_pieces(set(units))
-        else:
-            units, known = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text], self.words
-            self.learn_words(set(units) - {""})
-        return ",".join(map(known.__getitem__, filter(None, units)))
+        return ",".join(map(str, np.frombuffer(self.ids_and_bytes(text)[0], np.int32).tolist()))
 
     def decode(self, ids: str) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
+        return self.encoder.decode(list(map(int, ids.split(",")))) if ids else b""
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -246,15 +253,11 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def encode(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = TextEncoder.of_worker(path, pattern)
         for batch in batches_in:
-            counts, found, decoded = [], [], []
-            for text in common.texts(batch):
-                ids = coder.encode(text)
-                found.append(np.array(ids.split(","), np.int32) if ids else np.zeros(0, np.int32))
-                counts.append(len(found[-1]))
-                decoded.append(coder.decode(ids))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(decoded, pa.binary())],
-                names=SCHEMA.names)
+            found = list(coder.encode_all(common.texts(batch)))
+            ends = np.cumsum([0] + [len(ids) >> 2 for ids in found])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            decoded = pa.array(map(coder.decoded, found), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends), pa.int64()), ids, decoded], names=SCHEMA.names)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(encode, SCHEMA)
 

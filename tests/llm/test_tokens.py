@@ -1,6 +1,7 @@
 """Packing and byte-level BPE against the tokenizers' own libraries."""
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -143,3 +144,22 @@ def test_odd_rows(odd, odd_rows, none):
     assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in found) == sorted((r[0] or 0, len(THEIRS.encode_ordinary(r[1] or ""))) for r in odd_rows)
     assert packing.pieces(none).count() == 0
     assert prefix_bpe.encoded(none, P.path(prefix_bpe.VOCABULARY), P.PATTERN).count() == 0
+
+
+def test_long_words_take_memory_in_proportion():
+    """A word without spaces: some fifty bytes for each of its characters, nothing of it kept, and the library's ids."""
+    rng = random.Random(1)
+    coder = prefix_bpe.TextEncoder(P.path(prefix_bpe.VOCABULARY), P.PATTERN)
+    for size, letters in ((300_000, "abcdefghijklmnopqrstuvwxyz"), (20_000, "日本語文字列")):
+        word = "".join(rng.choice(letters) for _ in range(size))
+        tracemalloc.start()
+        ids, decoded = coder.ids_and_bytes(word)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100 * len(word.encode()) + 2e7 and decoded == word.encode()
+        if size < 100_000:
+            assert np.frombuffer(ids, np.int32).tolist() == THEIRS.encode_ordinary(word)
+        assert not coder.known
+    coder = prefix_bpe.TextEncoder(P.path(prefix_bpe.VOCABULARY), P.PATTERN, entries=3)
+    text = "some words and  some more, of which " + "long" * 50 + " are not kept; " * 3
+    assert coder.encode(text) == ",".join(map(str, THEIRS.encode_ordinary(text)))
