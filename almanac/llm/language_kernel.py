@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
+from almanac.functions.joins import lookup
 from almanac.llm import common
 
 SIZES = (1, 2, 3, 4)   # of the n-grams
@@ -112,9 +113,14 @@ def fit(docs: DataFrame, learn: Column) -> KernelModel:
     Only ids and languages are ranked; the chosen texts become presence bits in the tasks that read them, and
     these bits (8 KB a document) go to the driver.
     """
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    code = F.xxhash64("doc_id")
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & learn).select("doc_id", "lang")
-    chosen = known.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= PER_LANGUAGE)
+    # Of a large language only ids with a small hash are ranked: some four times as many as are wanted.
+    share = F.least(F.lit(4.0 * PER_LANGUAGE) / F.col("rows"), F.lit(1.0))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("rows")).select("lang", (share * F.lit(2.0**64) - F.lit(2.0**63)).alias("below"))
+    few = lookup(known, sizes, ["lang"]).where(code.cast("double") <= F.col("below")).select("doc_id", "lang").distinct()
+    turn = Window.partitionBy("lang").orderBy(code, "doc_id")
+    chosen = few.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= PER_LANGUAGE)
     chosen = chosen.orderBy("turn", "lang").limit(SAMPLE).select("doc_id").distinct()
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,29 +130,30 @@ def fit(docs: DataFrame, learn: Column) -> KernelModel:
                 row = np.zeros(BUCKETS, np.uint8)
                 presence(text, row)
                 packed.append(np.packbits(row).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(packed, pa.binary())], names=["lang", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(packed, pa.binary())], names=["doc_id", "lang", "bits"])
 
     sample = docs.where(F.col("lang").isNotNull() & learn).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
-    rows = sample.select("lang", "text").mapInArrow(bits, "lang string, bits binary").limit(2 * SAMPLE).toPandas()
+    found = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(bits, "doc_id long, lang string, bits binary")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("lang", "bits")).alias("least")).select("least.*").toPandas()  # one of each id
     rows = rows.assign(raw=rows["bits"].map(bytes)).sort_values(["lang", "raw"])
     vectors = np.unpackbits(np.frombuffer(b"".join(rows["raw"]), np.uint8).reshape(len(rows), -1), axis=1) if len(rows) else np.zeros((0, BUCKETS), np.uint8)
     return train(vectors, rows["lang"].tolist())
 
 
-def predicted(docs: DataFrame, model: KernelModel) -> DataFrame:
-    """All columns of ``docs``, ``_lang`` and ``_lang_score``, in one pass without a shuffle.
+def predicted(docs: DataFrame, model: KernelModel, lang: str = "_lang", score: str = "_lang_score") -> DataFrame:
+    """All columns of ``docs``, and two new ones for language and score, in one pass without a shuffle.
 
-    Null and empty texts and texts without a letter are ``und`` with a score of 0; null ids and repeated rows stay as they
+    Of equal scores the first language in order of names counts.  Null and empty texts and texts without a letter are ``und`` with a score of 0; null ids and repeated rows stay as they
     are, and columns of any other name are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_lang_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = shared.value.predict(common.texts(batch))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "_lang", "_lang_score"])
+                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, lang, score])
 
     return docs.mapInArrow(predict, schema)
 
@@ -160,7 +167,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of a pipeline: documents in a language that was learnt, with a score that is not very low."""
+    """Stage of a pipeline: documents in a language that was learnt, with a score that is not very low.
+
+    Null and empty texts and texts without a letter go; rows that repeat are judged each and alike; null ids and languages are
+    not learnt from but judged; an empty table stays empty; working columns have names that ``docs`` does not.
+    """
     model = fit(docs, common.remainder(F.col("doc_id"), 3) != 1)
-    known = (F.col("_lang") != UNKNOWN) & (F.col("_lang_score") >= LEAST_SCORE)
-    return predicted(docs, model).where(known).drop("_lang", "_lang_score")
+    lang, score = common.unused(docs, "lang", "lang_score")
+    return predicted(docs, model, lang, score).where((F.col(lang) != UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)

@@ -374,5 +374,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of a pipeline: every document stays, its personal data do not."""
+    """Stage of a pipeline: every document stays, its personal data do not.
+
+    Null and empty texts stay as they are, rows that repeat are changed alike, an empty table stays empty, and no working
+    columns are added; ``n_chars`` follows the text.
+    """
     return redacted(docs, fit(docs))

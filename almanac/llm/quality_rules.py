@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from almanac.functions.text import bind
 from almanac.llm import common
 
 SAMPLE = 20_000     # labelled documents learnt from, at most
@@ -46,13 +47,15 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def features() -> dict[str, Column]:
-    """Shares out of the counts, each safe for empty texts."""
+def features(counts: Column | None = None) -> dict[str, Column]:
+    """Shares out of a struct of the counts, each safe for empty texts."""
+    counts = F.col("counts") if counts is None else counts
+
     def share(a: str, b: str) -> Column:
-        return (F.col(f"_q_{a}") / F.greatest(F.col(f"_q_{b}"), F.lit(1))).cast("double")
+        return (counts[a] / F.greatest(counts[b], F.lit(1))).cast("double")
 
     return {
-        "words": F.col("_q_words").cast("double"),
+        "words": counts["words"].cast("double"),
         "word_length": share("letters", "words"),
         "letters": share("letters", "chars"),
         "capitals": share("capitals", "letters"),
@@ -66,11 +69,18 @@ def features() -> dict[str, Column]:
     }
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the features as ``_f_*``; counts and features are projections of their own, so each is computed once."""
-    counts = statistics(F.coalesce(F.col("text"), F.lit("")))
-    counted = docs.select("*", *[c.alias(f"_q_{n}") for n, c in counts.items()])
-    return counted.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(f"_f_{n}") for n, c in features().items()])
+def _struct(columns: dict[str, Column]) -> Column:
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
+
+
+def measured(text: Column, fn=lambda found: found) -> Column:
+    """``fn`` of the struct of the features of a text; null is the empty text.
+
+    Counts and features are handed on as values.  As columns of projections, the optimizer would write each of them out
+    again wherever a filter on the result names it.
+    """
+    counts = _struct(statistics(F.coalesce(text, F.lit(""))))
+    return bind(counts, lambda c: bind(_struct(features(c)), fn))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # feature, whether above, threshold
@@ -82,17 +92,21 @@ class RuleModel:
     base: float = 0.0
     rules: list[tuple[Rule, float]] = field(default_factory=list)
 
-    def column(self) -> Column:
-        """The score as an expression over the ``_f_*`` columns."""
+    def column(self, value_of=lambda name: F.col(f"_f_{name}")) -> Column:
+        """The score as an expression over the features, by default columns named ``_f_*``."""
         total = F.lit(self.base)
         for rule, weight in self.rules:
             holds = F.lit(True)
             for i, above, threshold in rule:
-                value = F.col(f"_f_{self.names[i]}")
+                value = value_of(self.names[i])
                 holds = holds & (value > threshold if above else value <= threshold)
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
+    def score(self, text: Column) -> Column:
+        """The score of a text, its features worked out once."""
+        return measured(text, lambda found: self.column(lambda name: found[name]))
+
 
 def applies(rule: Rule, x: np.ndarray) -> np.ndarray:
     out = np.ones(len(x), bool)
@@ -180,16 +194,17 @@ def learn_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleModel:
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> RuleModel:
     """Learn from the statistics of at most ``sample`` labelled documents."""
     names = list(features())
-    rows = measured(common.labelled(docs, labels, "quality", learn, sample)).select("wanted", *[f"_f_{n}" for n in names]).toPandas()
+    sample_rows = common.labelled(docs, labels, "quality", learn, sample).select("wanted", measured(F.col("text")).alias("found"))
+    rows = sample_rows.select("wanted", *[f"found.{n}" for n in names]).toPandas()
     return learn_rules(rows.drop(columns="wanted").to_numpy(float), rows["wanted"].to_numpy(float), names)
 
 
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """All columns of ``docs`` and ``_score``: a projection without Python and without a shuffle.
+    """All columns of ``docs`` and ``_score``, which replaces one of that name: a projection without Python and without a shuffle.
 
     Null and empty texts are scored by counts of 0; ids and repeated rows do not matter, other columns are kept.
     """
-    return measured(docs).select(*[F.col(f"`{c}`") for c in docs.columns], model.column().alias("_score"))
+    return docs.drop("_score").select("*", model.score(F.col("text")).alias("_score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +216,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of a pipeline: documents that the classifier does not reject, learnt from those that came this far."""
+    """Stage of a pipeline: documents that the classifier does not reject, learnt from those that came this far.
+
+    Null and empty texts are judged by counts of 0, rows that repeat get the same verdict each, null ids are not learnt
+    from but judged, an empty table stays empty, and no working columns are added, so any names may occur.
+    """
     held_out = common.remainder(F.col("doc_id"), 5) == 0
     model = fit(docs, common.table(spark, sf_dir, "labels"), ~held_out)
-    return scored(docs, model).where(F.col("_score") >= THRESHOLD).drop("_score")
+    return docs.where(model.score(docs["text"]) >= THRESHOLD)

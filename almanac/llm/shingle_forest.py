@@ -364,7 +364,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage of a pipeline: of each class the document with the least id stays, with all its columns.
 
     Rows that repeat an id and its text are one; an id with different texts is a document for each of them, and of a class
-    that has several texts of its least id one stays.  Documents without an id stay, as nothing names them.
+    that has several texts of its least id one stays.  Documents without an id stay, as nothing names them, and so do those with
+    null or empty texts, which are like no other.  An empty table stays empty; working columns have names that ``docs`` does not.
     """
     found = write_once(classed(docs))
     dropped = found.where("class_id <> doc_id")
@@ -373,12 +374,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         naming = found.where("class_id = doc_id AND root IS NOT NULL").select("doc_id", "copy", "root").distinct()
         chosen = naming.groupBy("root").agg(F.min("copy").alias("chosen"))
         dropped = dropped.select("doc_id", "copy").unionByName(naming.join(chosen, "root").where("copy <> chosen").select("doc_id", "copy"))
-    dropped = write_once(dropped.select(F.col("doc_id").alias("_dropped"), F.col("copy").alias("_copy")).distinct())
-    suspect = maybe_in(dropped, "_dropped")(docs["doc_id"].cast("long"))
-    same = (docs["doc_id"] == F.col("_dropped")) & (F.xxhash64(docs["text"]) == F.col("_copy"))
+    gone, copy = common.unused(docs, "dropped", "copy")
+    dropped = write_once(dropped.select(F.col("doc_id").alias(gone), F.col("copy").alias(copy)).distinct())
+    suspect = maybe_in(dropped, gone)(docs["doc_id"].cast("long"))
+    same = (docs["doc_id"] == F.col(gone)) & (F.xxhash64(docs["text"]) == F.col(copy))
     exact = docs.where(suspect).join(dropped, same, "left_anti")
     kept = docs.where(~suspect).unionByName(exact)
     if not repeated:
         return kept
-    named = kept.where("doc_id IS NOT NULL").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    named = kept.where("doc_id IS NOT NULL").withColumn(copy, F.xxhash64("text")).dropDuplicates(["doc_id", copy]).drop(copy)
     return named.unionByName(kept.where("doc_id IS NULL"))

@@ -12,7 +12,11 @@ from almanac.session import tune
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
+    """Pieces of all documents in sequences.
+
+    A null or empty text is its end mark alone, rows that repeat are packed each, null ids stay null, an empty table has no
+    pieces, other columns are not read.
+    """
     return packing.pieces(docs)
 
 
