@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from almanac import schemas
 from almanac.functions.isotime import instant
 from almanac.operators import contract, ledger, reports
 from almanac.operators.jsonld import location, page_events
@@ -248,12 +249,37 @@ def clustered_events(spark, sf_dir):
     return ledger.with_cluster(_copies(spark, sf_dir)).select("n", "external_id", "cluster_id")
 
 
+# Events connected in chains: four orders share an id, four others a title, and the chain breaks where a title is missing.
+# A third of all have one title, and many of those one id; some have no id.
+_LINK = "CAST(floor((o_orderkey + 2) / 4) AS BIGINT)"
+CHAINED_ROW = [
+    f"""CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'h:' || lpad({text('o_orderkey % 500')}, 8, '0')
+    ELSE 'c:' || lpad({text('CAST(floor(o_orderkey / 4) AS BIGINT)')}, 8, '0') END AS external_id""",
+    f"CASE WHEN o_orderkey % 3 = 0 THEN 'Town  Fair ' WHEN {_LINK} % 20 = 0 THEN '' ELSE ' Talk ' || {text(_LINK)} END AS title",
+    "'1999-01-01T00:00:00+00:00' AS start_time", "'Hall' AS place", "CAST(o_custkey % 30 AS INT) AS source_id", "o_orderkey AS n",
+]
+
+
+def _chained(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr(*CHAINED_ROW)
+    nothing = F.lit(None).cast(schemas.PLACE)
+    return rows.withColumn("location", F.struct(F.lit("text").alias("kind"), F.col("place").alias("text"), nothing.alias("place"))).drop("place")
+
+
+def same_events(spark, sf_dir):
+    return ledger.same_events(_chained(spark, sf_dir)).select("n", "external_id", "cluster_id")
+
+
+def same_event_clusters(spark, sf_dir):
+    return ledger.same_event_clusters(_chained(spark, sf_dir))
+
+
 def unique_events(spark, sf_dir):
     return ledger.unique_events(_copies(spark, sf_dir), ["external_id", "n"]).select("external_id", "n")
 
 
-def merged_events(spark, sf_dir):
-    """Customers as stored events, orders as new data about them; newer and non-empty wins."""
+def _news(spark, sf_dir):
+    """Customers as stored events, orders as new data about them."""
     stored = table(spark, sf_dir, "customer").selectExpr(
         f"'c:' || {C} AS external_id", "c_name AS title", "c_mktsegment AS description", "TIMESTAMP_NTZ '1990-01-01 00:00:00' AS first_seen"
     )
@@ -262,9 +288,25 @@ def merged_events(spark, sf_dir):
         "CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS description",
         "o_orderdate + make_dt_interval(0, 0, 0, o_orderkey) AS seen_at",
     )
+    return stored, new
+
+
+def merged_events(spark, sf_dir):
+    """Newer and non-empty wins."""
+    stored, new = _news(spark, sf_dir)
     return ledger.merge_events(stored, new, "seen_at")
 
 
+def merged_store(spark, sf_dir):
+    """The same on disk, with how many buckets a second merge of the same rows wrote."""
+    stored, new = _news(spark, sf_dir)
+    path, schema = f"{shared_folder(spark)}/almanac/{uuid.uuid4().hex}", "external_id STRING, title STRING, description STRING, first_seen TIMESTAMP_NTZ"
+    ledger.create_store(stored, path, 16)
+    ledger.merge_into(spark, path, schema, new, "seen_at", 16)
+    again = ledger.merge_into(spark, path, schema, new, "seen_at", 16)
+    return spark.read.schema(schema).parquet(path).drop("bucket").withColumn("written_again", F.lit(again))
+
+
 QUERIES = {
     "location_texts": location_texts,
     "upcoming_events": upcoming_events,
@@ -290,8 +332,11 @@ QUERIES = {
     "failed_jobs": failed_jobs,
     "duplicate_clusters": duplicate_clusters,
     "clustered_events": clustered_events,
+    "same_events": same_events,
+    "same_event_clusters": same_event_clusters,
     "unique_events": unique_events,
     "merged_events": merged_events,
+    "merged_store": merged_store,
 }
 
 _REQUEST_URL = f"'https://host' || {text('o_orderkey % 25')} || '.example.org/shows/' || {K}"
@@ -303,10 +348,26 @@ _LIST = f"""SELECT source, url, type, city, reason, CASE WHEN reason = 'no_event
 _JOBS = f"SELECT {', '.join(JOB)} FROM orders"
 _LATEST = f"SELECT * FROM ({_JOBS}) QUALIFY row_number() OVER (PARTITION BY url ORDER BY created_at DESC, job_id DESC) = 1"
 _KEYED = f"SELECT *, lower(regexp_replace(trim(title), '\\s+', ' ', 'g')) AS kt, lower(trim(place)) AS kp FROM (SELECT {', '.join(EVENT_ROW)} FROM orders)"
+# The least id that any number of shared ids and titles lead to.
+_SAME = f"""WITH RECURSIVE e AS (
+  SELECT *, lower(regexp_replace(trim(title), '\\s+', ' ', 'g')) AS kt, CASE WHEN trim(title) <> '' THEN lower(trim(title)) END AS k FROM (SELECT {', '.join(CHAINED_ROW)} FROM orders)
+), least AS (SELECT k, min(external_id) AS least FROM e WHERE k IS NOT NULL GROUP BY k
+), edge AS (
+  SELECT DISTINCT external_id AS a, least AS b FROM e JOIN least USING (k) WHERE external_id <> least
+  UNION SELECT DISTINCT least, external_id FROM e JOIN least USING (k) WHERE external_id <> least
+), found(node, root) USING KEY (node) AS (
+  SELECT DISTINCT external_id, external_id FROM e WHERE external_id IS NOT NULL
+  UNION SELECT edge.a, min(w.root) FROM found AS w JOIN edge ON edge.b = w.node JOIN recurring.found AS known ON known.node = edge.a
+  WHERE w.root < known.root GROUP BY edge.a
+)"""
+_SAME_ROWS = """SELECT e.*, root AS cluster_id FROM e LEFT JOIN least USING (k) LEFT JOIN found ON node = coalesce(least, external_id)"""
 _NEW = f"""SELECT 'c:' || {text('o_custkey * 2')} AS external_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'Order ' || {K} END AS title,
   CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS description, o_orderdate + to_seconds(o_orderkey) AS seen_at FROM orders"""
 
 _TITLES = markup.ORACLES["page_titles"]
+_MERGED = f"""SELECT coalesce(s.external_id, n.external_id) AS external_id, coalesce(s.first_seen, n.seen) AS first_seen, coalesce(n.title, s.title) AS title, coalesce(n.description, s.description) AS description
+      FROM (SELECT 'c:' || {C} AS external_id, c_name AS title, c_mktsegment AS description, TIMESTAMP '1990-01-01 00:00:00' AS first_seen FROM customer) AS s
+      FULL JOIN (SELECT external_id, min(seen_at) AS seen, arg_max(title, seen_at) FILTER (title IS NOT NULL) AS title, arg_max(description, seen_at) FILTER (description IS NOT NULL) AS description FROM ({_NEW}) GROUP BY 1) AS n ON n.external_id = s.external_id"""
 
 ORACLES = {
     "location_texts": f"SELECT page_id, block_pos, item_pos, coalesce(place_name, location_text) AS place FROM ({EXPECTED_EVENTS})",
@@ -353,8 +414,10 @@ ORACLES = {
     "failed_jobs": f"SELECT job_id, source_id, url, error_message FROM ({_LATEST}) WHERE status = 'failed'",
     "duplicate_clusters": f"""SELECT min(external_id) AS cluster_id, kt AS title, start_time, kp AS place, count(*) AS copies, count(DISTINCT external_id) AS ids, count(DISTINCT source_id) AS sources FROM ({_KEYED}) GROUP BY kt, start_time, kp""",
     "clustered_events": f"SELECT n, external_id, min(external_id) OVER (PARTITION BY kt, start_time, kp) AS cluster_id FROM ({_KEYED})",
+    "same_events": f"{_SAME} SELECT n, external_id, cluster_id FROM ({_SAME_ROWS})",
+    "same_event_clusters": f"""{_SAME} SELECT cluster_id, min(kt) AS title, min(start_time) AS start_time, 'hall' AS place, count(*) AS copies, count(DISTINCT external_id) AS ids,
+      count(DISTINCT source_id) AS sources, count(DISTINCT kt) AS variants FROM ({_SAME_ROWS}) WHERE cluster_id IS NOT NULL GROUP BY cluster_id""",
     "unique_events": f"SELECT external_id, n FROM ({_KEYED}) QUALIFY row_number() OVER (PARTITION BY kt, start_time, kp ORDER BY external_id, n) = 1",
-    "merged_events": f"""SELECT coalesce(s.external_id, n.external_id) AS external_id, coalesce(s.first_seen, n.seen) AS first_seen, coalesce(n.title, s.title) AS title, coalesce(n.description, s.description) AS description
-      FROM (SELECT 'c:' || {C} AS external_id, c_name AS title, c_mktsegment AS description, TIMESTAMP '1990-01-01 00:00:00' AS first_seen FROM customer) AS s
-      FULL JOIN (SELECT external_id, min(seen_at) AS seen, arg_max(title, seen_at) FILTER (title IS NOT NULL) AS title, arg_max(description, seen_at) FILTER (description IS NOT NULL) AS description FROM ({_NEW}) GROUP BY 1) AS n ON n.external_id = s.external_id""",
+    "merged_events": _MERGED,
+    "merged_store": f"SELECT *, 0 AS written_again FROM ({_MERGED})",
 }
