@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
-from almanac.functions.text import bind, replace_all, strip
+from almanac.functions.text import WHITE_SPACE, bind, replace_all, strip
+from almanac.functions.tolerant import first_holding, reread_texts
 
 # Workers get the parser along with the job, so the package need not be installed on them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -231,6 +232,39 @@ def page_nodes(html: Column, signatures: bool = False) -> Column:
     return build.asNondeterministic()(html)
 
 
+READ = T.StructType([
+    T.StructField("nodes", T.ArrayType(NODE)), T.StructField("again", T.ArrayType(T.StringType())), T.StructField("hrefs", T.ArrayType(T.StringType())),
+])
+
+
+def read_page(html: Column, refused: Column, titles: Column) -> Column:
+    """All that is read of a page in Python, in one trip: ``STRUCT<nodes, again, hrefs>``.
+
+    ``nodes`` as by ``page_nodes``; ``again`` as by ``reread`` of the ``refused`` JSON texts; ``hrefs``, for an array of ``titles``, the
+    address of the first link that holds each.  What is asked of NULL is NULL.
+    """
+
+    @F.arrow_udf(READ)
+    def build(pages: pa.Array, blocks: pa.Array, wanted: pa.Array) -> pa.Array:
+        nodes = [_nodes_of(p, False) for p in pages.to_pylist()]
+        hrefs = [None if t is None or n is None else first_holding(t, _links_of(n)) for t, n in zip(wanted.to_pylist(), nodes)]
+        return pa.StructArray.from_arrays([_to_arrow(nodes), reread_texts(blocks), pa.array(hrefs, pa.list_(pa.string()))], names=READ.names)
+
+    return build.asNondeterministic()(html, refused, titles)
+
+
+def _links_of(nodes: list[list]) -> list[tuple[str, str]]:
+    """Address and text of the links of a page that have an address, in document order."""
+    pre, last, kind, tag, attrs, text = (NODE.names.index(n) for n in ("pre", "last", "kind", "tag", "attrs", "text"))
+    out = []
+    for node in nodes:
+        href = node[tag] == "a" and dict(node[attrs] or ()).get("href")
+        if href:
+            inside = nodes[node[pre] + 1:node[last] + 1]
+            out.append((href, "".join(n[text].strip(WHITE_SPACE) for n in inside if n[kind] == "text")))
+    return out
+
+
 # ---- reading the node array -------------------------------------------------------------------
 
 

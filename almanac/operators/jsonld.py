@@ -17,16 +17,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from almanac import schemas
 from almanac.functions import variants as V
 from almanac.functions.arrays import each
-from almanac.functions.html import JSONLD_MARK, anchors, jsonld_blocks, page_nodes, repair_entities
+from almanac.functions.html import JSONLD_MARK, anchors, jsonld_blocks, read_page, repair_entities
 from almanac.functions.ids import external_id
 from almanac.functions.isotime import (
     local_time, sql_add_seconds, sql_counts_seconds, sql_duration_seconds, sql_normalise,
 )
 from almanac.functions.text import bind, each_item, let, strip
+from almanac.functions.tolerant import reread
 from almanac.functions.urls import resolve
 
 # Fixed value: the one type of object that is an event; subtypes and lists of types are not.
 EVENT_TYPE = "Event"
+MANY_TITLES = 200  # of a page, beyond which they are not compared with its links one by one
 DAYS_BACK = 7  # fixed value: how far before the reference date a month page's events may lie
 
 
@@ -55,6 +57,31 @@ def parsed_blocks(html: Column) -> Column:
     )
 
 
+def refused(blocks: Column) -> Column:
+    """Does the page have a block that the strict parser refuses?"""
+    return F.exists(blocks, lambda b: b["doc"].isNull())
+
+
+def refused_texts(blocks: Column) -> Column:
+    """E1, what is read a second time: the refused blocks by their places among all; NULL for pages without any."""
+    texts = F.transform(blocks, lambda b: F.when(b["doc"].isNull(), repair_entities(b["block"])))
+    return F.when(refused(blocks), texts)
+
+
+def mended_blocks(blocks: Column, again: Column) -> Column:
+    """Blocks with the documents of the second reading (``again``) put in; ``recovered`` marks them."""
+    second = lambda i: F.try_parse_json(F.get(again, i))
+    return F.transform(blocks, lambda b, i: F.struct(
+        b["block_pos"].alias("block_pos"), b["block"].alias("block"), F.coalesce(b["doc"], second(i)).alias("doc"),
+        (b["doc"].isNull() & second(i).isNotNull()).alias("recovered"),
+    ))
+
+
+def marked_blocks(html: Column) -> Column:
+    """``parsed_blocks`` of pages that name the media type; others are not searched."""
+    return parsed_blocks(F.when(html.contains(JSONLD_MARK), html).otherwise(""))
+
+
 def items_of(blocks: Column) -> Column:
     """E2 for all blocks of a page: ``ARRAY<STRUCT<block_pos, item_pos, item>>``."""
     return F.flatten(each_item(
@@ -63,11 +90,6 @@ def items_of(blocks: Column) -> Column:
     ))
 
 
-def raw_items(html: Column) -> Column:
-    """The event objects of a page; only pages that name the media type are searched."""
-    return items_of(parsed_blocks(F.when(html.contains(JSONLD_MARK), html).otherwise("")))
-
-
 def wants_link(items: Column) -> Column:
     """Is there an event with a title and no URL?  Only then the links of the page matter."""
     open_ended = F.exists(
@@ -76,17 +98,33 @@ def wants_link(items: Column) -> Column:
     return F.coalesce(open_ended, F.lit(False))
 
 
-def title_links(items: Column, nodes: Column) -> Column:
-    """H20 for a whole page: per item the address of the link that holds its title, NULL where not needed.
+def titles_wanted(items: Column) -> Column:
+    """Per item the title to look for among the links, NULL where the item has an address or no title."""
+    return F.transform(items, lambda i: F.when(
+        V.get_truthy(i["item"], "url").isNull(), F.lower(strip(V.get_truthy(i["item"], "name")))
+    ))
+
+
+def page_links(nodes: Column) -> Column:
+    """Links with an address, in document order, with their lower-case texts."""
+    links = F.filter(anchors(nodes), lambda a: F.coalesce(a["href"], F.lit("")) != "")
+    return F.transform(links, lambda a: F.struct(a["href"].alias("href"), F.lower(a["text"]).alias("text")))
+
+
+def many_titles(items: Column) -> Column:
+    """The titles to look for, on pages that have so many that comparing each with every link is no way to do it."""
+    return F.when(wants_link(items) & (F.size(items) > MANY_TITLES), titles_wanted(items))
 
-    Links and events of a page meet inside its row, so no pairs are written anywhere.
+
+def item_links(items: Column, nodes: Column, hrefs: Column) -> Column:
+    """H20 for a whole page: per item the address of the first link that holds its title, NULL where not needed.
+
+    Links and events of a page meet inside its row, so no pairs are written anywhere.  ``hrefs`` are those that were found
+    already for ``many_titles``; items of a page that has refused blocks have other places, so they are compared here.
     """
-    links = F.transform(
-        anchors(nodes), lambda a: F.struct(a["href"].alias("href"), F.lower(a["text"]).alias("text"))
-    )
-    return bind(links, lambda all_links: F.transform(items, lambda i: F.when(
-        V.get_truthy(i["item"], "url").isNull(), link_for_title(all_links, V.get_truthy(i["item"], "name"))
-    )))
+    one_by_one = bind(page_links(F.when(wants_link(items) & hrefs.isNull(), nodes)), lambda links: F.transform(
+        titles_wanted(items), lambda t: link_for_title(links, t)))
+    return F.coalesce(hrefs, one_by_one)
 
 
 def put_links(items: Column, hrefs: Column) -> Column:
@@ -97,21 +135,23 @@ def put_links(items: Column, hrefs: Column) -> Column:
 def with_items(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add ``items`` ARRAY<STRUCT<block_pos, item_pos, item, href>>: the page's event objects.
 
-    Only pages with an event that needs a link are handed to Python.
+    Only blocks that the strict parser refuses, and pages with an event that needs a link, are handed to Python.
     """
+    blocks, strict = F.col("_blocks"), F.col("_strict")
     return (
-        pages.withColumn("items", raw_items(F.col(html)))
-        .withColumn("_nodes", page_nodes(F.when(wants_link(F.col("items")), F.col(html))))
-        .withColumn("_hrefs", title_links(F.col("items"), F.col("_nodes")))
-        .withColumn("items", put_links(F.col("items"), F.col("_hrefs")))
-        .drop("_nodes", "_hrefs")
+        pages.withColumn("_blocks", marked_blocks(F.col(html)))
+        .withColumn("_strict", items_of(blocks))
+        .withColumn("_read", read_page(
+            F.when(refused(blocks) | wants_link(strict), F.col(html)), refused_texts(blocks), F.when(~refused(blocks), many_titles(strict))))
+        .withColumn("items", items_of(mended_blocks(blocks, F.col("_read.again"))))
+        .withColumn("items", put_links(F.col("items"), item_links(F.col("items"), F.col("_read.nodes"), F.col("_read.hrefs"))))
+        .drop("_blocks", "_strict", "_read")
     )
 
 
 def link_for_title(links: Column, title: Column) -> Column:
-    """``href`` of the first link with an address whose lower-case text holds the title."""
-    wanted = F.lower(strip(title))
-    hits = F.filter(links, lambda a: (F.coalesce(a["href"], F.lit("")) != "") & a["text"].contains(wanted))
+    """``href`` of the first of ``page_links`` whose text holds a title in lower case."""
+    hits = F.filter(links, lambda a: a["text"].contains(title))
     return F.try_element_at(hits, F.lit(1))["href"]
 
 
@@ -235,10 +275,13 @@ def surviving(timed: Column, rule: str, on_error: str = "page") -> Column:
         if rule == "direct" and on_error == "page":
             return F.when(F.exists(all_items, lambda t: t["error"].isNotNull()), F.slice(all_items, 1, 0)).otherwise(all_items)
         if rule == "iframe":
+            # items come in order, so the first bad one of a block is the bad one that follows another block's
             bad = F.filter(all_items, lambda t: t["error"].isNotNull())
-            return bind(bad, lambda spoilt: F.filter(good, lambda t: ~F.exists(
-                spoilt, lambda b: (b["block_pos"] == t["block_pos"]) & (b["item_pos"] < t["item_pos"])
+            ends = bind(bad, lambda spoilt: F.map_from_entries(F.transform(
+                F.filter(spoilt, lambda b, i: (i == 0) | (F.get(spoilt, i - 1)["block_pos"] != b["block_pos"])),
+                lambda b: F.struct(b["block_pos"], b["item_pos"]),
             )))
+            return bind(ends, lambda end: F.filter(good, lambda t: F.coalesce(t["item_pos"] < F.try_element_at(end, t["block_pos"]), F.lit(True))))
         return good
 
     return bind(timed, apply)
@@ -327,13 +370,17 @@ def page_events(pages: DataFrame, on_error: str = "page") -> DataFrame:
 
 
 def rejected_events(pages: DataFrame) -> DataFrame:
-    """Quarantine: broken blocks and events with unreadable times, one row each with the reason."""
+    """Quarantine: broken blocks and events with unreadable times, one row each with the reason.
+
+    Blocks that only the second reading could make sense of are listed too, as ``recovered``; their events are used.
+    """
     marked = pages.filter(F.col("html").contains(JSONLD_MARK)).select("page_id", "url", "html")
-    blocks = marked.withColumn("_blocks", parsed_blocks(F.col("html")))
+    read = marked.withColumn("_blocks", parsed_blocks(F.col("html"))).withColumn("_again", reread(refused_texts(F.col("_blocks"))))
+    blocks = read.withColumn("_blocks", mended_blocks(F.col("_blocks"), F.col("_again")))
     broken = F.transform(
-        F.filter("_blocks", lambda b: b["doc"].isNull()),
+        F.filter("_blocks", lambda b: b["doc"].isNull() | b["recovered"]),
         lambda b: F.struct(b["block_pos"].alias("block_pos"), F.lit(None).cast("int").alias("item_pos"),
-                           F.lit("strict_json").alias("reason"), b["block"].alias("content")),
+                           F.when(b["recovered"], "recovered").otherwise("strict_json").alias("reason"), b["block"].alias("content")),
     )
     items = items_of(F.col("_blocks"))
     late = F.transform(

@@ -137,6 +137,31 @@ def block_quarantine(spark, sf_dir):
     return jsonld.rejected_events(order_pages(spark, sf_dir)).select("page_id", "block_pos", "reason", "content")
 
 
+# JSON that only a tolerant parser reads, and some that none does.
+CUSTOMER = text("c_custkey")
+LOOSE = f"""CASE c_custkey % 6
+  WHEN 0 THEN '{{"@type":"Event","@id":"urn:twice:' || {CUSTOMER} || '","name":"first","name":"last","startDate":"2025-05-01"}}'
+  WHEN 1 THEN '{{"@type":"Event","@id":"urn:nan:' || {CUSTOMER} || '","name":"n","startDate":"2025-05-01","description":NaN}}'
+  WHEN 2 THEN '[{{"@type":"Event","@id":"urn:far:' || {CUSTOMER} || '","name":"f","startDate":"2025-05-01","offers":{{"price":-Infinity}}}}]'
+  WHEN 3 THEN '{{"@type":"Event","name":"comma","startDate":"2025-05-01",}}'
+  WHEN 4 THEN '{{&quot;@type&quot;:&quot;Event&quot;,&quot;@id&quot;:&quot;urn:both:' || {CUSTOMER} || '&quot;,&quot;@id&quot;:&quot;urn:late:' || {CUSTOMER} || '&quot;}}'
+  ELSE '{{"@type":"Event","@id":"urn:good:' || {CUSTOMER} || '","name":"g","startDate":"2025-05-01"}}' END"""
+
+
+def _loose_pages(spark, sf_dir):
+    return derived(spark, sf_dir, "loose_pages", lambda: table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS page_id", f"'https://loose.example.org/' || {CUSTOMER} AS url", f"{script(LOOSE)} AS html"))
+
+
+def recovered_events(spark, sf_dir):
+    """Events of blocks that need the second reading, next to those of good ones."""
+    return jsonld.page_events(_loose_pages(spark, sf_dir)).select("page_id", "external_id", "title", "description", "start_time")
+
+
+def recovered_blocks(spark, sf_dir):
+    return jsonld.rejected_events(_loose_pages(spark, sf_dir)).select("page_id", "block_pos", "reason")
+
+
 def event_objects(spark, sf_dir):
     blocks = order_pages(spark, sf_dir).select("page_id", F.inline(jsonld.parsed_blocks(F.col("html"))))
     return blocks.select("page_id", "block_pos", F.posexplode(jsonld.event_objects(F.col("doc"))).alias("item_pos", "item")).select(
@@ -220,6 +245,8 @@ QUERIES = {
     "jsonld_block_text": jsonld_block_text,
     "entity_repair": entity_repair,
     "block_quarantine": block_quarantine,
+    "recovered_events": recovered_events,
+    "recovered_blocks": recovered_blocks,
     "event_objects": event_objects,
     "spoilt_page_policy": spoilt_page_policy,
     "spoilt_item_policy": spoilt_item_policy,
@@ -239,6 +266,10 @@ ORACLES = {
     "jsonld_block_text": f"SELECT o_orderkey AS page_id, 0 AS block_pos, {BLOCK} AS block FROM orders UNION ALL SELECT o_orderkey, 1, {LIST} FROM orders",
     "entity_repair": "SELECT doc_id, replace(replace(replace(replace(text, ' ', ' &amp;quot;&#039;'), '&#039;', ''''), '&quot;', '\"'), '&amp;', '&') AS repaired FROM documents",
     "block_quarantine": f"SELECT o_orderkey AS page_id, 0 AS block_pos, 'strict_json' AS reason, {BLOCK} AS content FROM orders WHERE {FORM} = 10",
+    "recovered_events": f"""SELECT c_custkey AS page_id, 'urn:' || split_part('twice,nan,far,,late,good', ',', CAST(c_custkey % 6 + 1 AS INT)) || ':' || {CUSTOMER} AS external_id,
+      split_part('last,n,f,,,g', ',', CAST(c_custkey % 6 + 1 AS INT)) AS title, '' AS description,
+      CASE WHEN c_custkey % 6 <> 4 THEN '2025-05-01T00:00:00+00:00' END AS start_time FROM customer WHERE c_custkey % 6 <> 3""",
+    "recovered_blocks": "SELECT c_custkey AS page_id, 0 AS block_pos, CASE WHEN c_custkey % 6 = 3 THEN 'strict_json' ELSE 'recovered' END AS reason FROM customer WHERE c_custkey % 6 < 5",
     "event_objects": f"SELECT page_id, block_pos, item_pos, title FROM ({EXPECTED_EVENTS})",
     "spoilt_page_policy": _EXTRAS + f" WHERE NOT ({SPOILT})",
     "spoilt_item_policy": _EXTRAS,
