@@ -67,10 +67,10 @@ def upcoming(events: DataFrame, as_of: Column) -> DataFrame:
     return events.filter(F.col("start_ts") >= as_of.cast("timestamp"))
 
 
-def field_conformance(requests: DataFrame, events: DataFrame) -> DataFrame:
-    """Per requested page, how many of its events have all required and how many each optional field.
+def field_shapes(events: DataFrame, **keys: Column) -> DataFrame:
+    """For each key (columns by their names), its events by the set of fields that are filled (``have``), with their number ``n``.
 
-    Events are reduced to counts per page before the join, so a page with very many events costs no more.
+    Such sets are few, so the events of a key become a handful of rows before anything is joined.
     """
     names = [*FIELD_COLUMNS, *schemas.EVENT_FIELDS, "tags", "validation_score"]
 
@@ -86,18 +86,34 @@ def field_conformance(requests: DataFrame, events: DataFrame) -> DataFrame:
         return F.coalesce(value, F.lit("")) != ""
 
     have = F.array_compact(F.array(*[F.when(filled(n), n) for n in names]))
-    wanted = requests.select(
-        "url",
+    named = events.select(*[c.alias(n) for n, c in keys.items()], have.alias("have"))
+    return named.groupBy(*keys, "have").agg(F.count(F.lit(1)).alias("n"))
+
+
+def requirements() -> tuple[Column, Column]:
+    """Fields that a request requires and those it would like, with defaults for a request that names none."""
+    return (
         F.coalesce("schema_requirements.required_fields", F.array(*map(F.lit, schemas.DEFAULT_REQUIRED))).alias("required_fields"),
         F.coalesce("schema_requirements.optional_fields", F.array(*map(F.lit, schemas.DEFAULT_OPTIONAL))).alias("optional_fields"),
-    ).distinct()
-    # the sets of filled fields are few, so this groups a page's events into a handful of rows
-    shapes = events.select(F.col("page_url").alias("url"), have.alias("have")).groupBy("url", "have").agg(F.count(F.lit(1)).alias("n"))
-    joined = wanted.join(shapes, "url", "left")
+    )
+
+
+def conformance(wanted: DataFrame, shapes: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row of ``wanted`` (with ``keys, required_fields, optional_fields``) with what its events have of the fields."""
+    joined = wanted.join(shapes, keys, "left")
     lacks = F.array_except("required_fields", "have")
-    return joined.groupBy("url", "required_fields", "optional_fields").agg(
+    return joined.groupBy(*wanted.columns).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("events"),
         F.coalesce(F.sum(F.when(F.size(lacks) == 0, F.col("n"))), F.lit(0)).alias("conforming"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(lacks)))).alias("missing_required"),
         F.coalesce(F.sum(F.when(F.size(F.array_except("optional_fields", "have")) == 0, F.col("n"))), F.lit(0)).alias("complete"),
     )
+
+
+def field_conformance(requests: DataFrame, events: DataFrame) -> DataFrame:
+    """Per requested page, how many of its events have all required and how many each optional field.
+
+    Events are reduced to counts per page before the join, so a page with very many events costs no more.
+    """
+    wanted = requests.select("url", *requirements()).distinct()
+    return conformance(wanted, field_shapes(events, url=F.col("page_url")), ["url"])

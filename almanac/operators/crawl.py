@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions import urls
-from almanac.functions.html import elements, page_nodes, title
+from almanac.functions.html import elements, page_nodes, read_page, title
 from almanac.functions.joins import lookup
 from almanac.functions.text import bind, each_item, non_empty
 from almanac.operators import jsonld
@@ -67,31 +67,46 @@ def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: b
     own events out of them), ``failed``, ``links`` (what to follow, nothing when the page failed), ``frame_url``.  ``with_text`` adds the ``title`` and, for
     pages without events of their own and without a frame, the ``text`` a model would read.
     """
-    html, nodes = F.col("html"), F.col("_nodes")
+    html, nodes, blocks = F.col("html"), F.col("_nodes"), F.col("_blocks")
+
+    def is_spoilt(timed: Column) -> Column:
+        return F.coalesce(F.exists(timed, lambda t: t["error"].isNotNull()) if on_error == "page" else F.lit(False), F.lit(False))
+
+    def is_barren(items: Column, failed: Column) -> Column:
+        return failed | (F.coalesce(F.size(items), F.lit(0)) <= 0)
+
+    # What the strict parser makes of a page decides whether its nodes are needed; pages with a refused block
+    # get them in any case, as their second reading comes with the same trip to Python.
     read = (
-        pages.withColumn("items", jsonld.raw_items(html))
+        pages.withColumn("_blocks", jsonld.marked_blocks(html))
+        .withColumn("items", jsonld.items_of(blocks))
+        .withColumn("_refused", jsonld.refused(blocks))
         .withColumn("_timed", jsonld.read_times(F.col("items"), "direct"))
-        .withColumn("failed", F.coalesce(
-            F.exists("_timed", lambda t: t["error"].isNotNull()) if on_error == "page" else F.lit(False), F.lit(False)
-        ))
-        .withColumn("_barren", F.col("failed") | (F.coalesce(F.size("items"), F.lit(0)) <= 0))
+        .withColumn("_barren", is_barren(F.col("items"), is_spoilt(F.col("_timed"))))
     )
-    needs_nodes = jsonld.wants_link(F.col("items")) | has_frame(html)
+    needs_nodes = F.col("_refused") | jsonld.wants_link(F.col("items")) | has_frame(html)
     if with_text:
         needs_nodes = needs_nodes | F.col("_barren")
-    linked = (
-        read.withColumn("_nodes", page_nodes(F.when(needs_nodes, html)))
-        .withColumn("_hrefs", jsonld.title_links(F.col("items"), F.when(jsonld.wants_link(F.col("items")), nodes)))
-        .withColumn("items", jsonld.put_links(F.col("_timed"), F.col("_hrefs")))
+    read = (
+        read.withColumn("_read", read_page(
+            F.when(needs_nodes, html), jsonld.refused_texts(blocks), F.when(~F.col("_refused"), jsonld.many_titles(F.col("items")))))
+        .withColumn("_nodes", F.col("_read.nodes"))
+        .withColumn("items", F.when(F.col("_refused"), jsonld.items_of(jsonld.mended_blocks(blocks, F.col("_read.again")))).otherwise(F.col("items")))
+        .withColumn("_timed", F.when(F.col("_refused"), jsonld.read_times(F.col("items"), "direct")).otherwise(F.col("_timed")))
+        .withColumn("failed", is_spoilt(F.col("_timed")))
+        .withColumn("_barren", is_barren(F.col("items"), F.col("failed")))
         .withColumn("frame_url", first_frame(nodes, F.col("url")))
+    )
+    if with_text:
+        asks = F.when(F.col("_barren") & F.col("frame_url").isNull(), nodes)
+        read = read.withColumn("title", title(html)).withColumn("text", page_text(asks))
+    linked = (
+        read.withColumn("items", jsonld.put_links(F.col("_timed"), jsonld.item_links(F.col("items"), nodes, F.col("_read.hrefs"))))
         .withColumn("links", F.when(
             F.col("failed"), F.expr(f"cast(array() as {_LINKS})")
         ).otherwise(outgoing(F.col("url"), F.col("frame_url"), as_of, months)))
     )
-    if with_text:
-        asks = F.when(F.col("_barren") & F.col("frame_url").isNull(), nodes)
-        linked = linked.withColumn("title", title(html)).withColumn("text", page_text(asks))
-    return linked.drop("_timed", "_nodes", "_hrefs", "_barren")
+    return linked.drop("_timed", "_barren", "_blocks", "_read", "_nodes", "_refused", "html")
 
 
 def own_items(items: Column, on_error: str = "page") -> Column:
@@ -105,25 +120,35 @@ def newest(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(chosen).select(*by, *(F.col(f"_newest.{v}").alias(v) for v in values))
 
 
-def targets(surveyed: DataFrame, pages: DataFrame) -> DataFrame:
+def latest_of(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """The rows of the newest page of each address, with ``address``; only of ``wanted`` ones, if any are named.
+
+    Which page that is gets settled on page numbers alone, so what the rows hold is neither sorted nor shuffled for pages
+    that are passed over.
+    """
+    addressed = rows.withColumn("address", urls.address(F.col("url")))
+    numbers = addressed.select("address", "page_id")
+    if wanted is not None:
+        numbers = numbers.join(wanted.select("address").distinct(), "address", "left_semi")
+    numbers = numbers.groupBy("address").agg(F.max("page_id").alias("page_id"))
+    return addressed.join(numbers, ["address", "page_id"]).dropDuplicates(["address", "page_id"])
+
+
+def targets(surveyed: DataFrame, pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """What a followed link finds, one row for each ``address``, with ``items, frame_items, frame_rule``.
 
-    Of several pages of one address the newest counts.  A framed page counts as rendered.  When ``pages`` has a ``rendered`` column it is read instead, and
-    pages without a rendered form are read by the direct rule.
+    Of several pages of one address the newest counts, also where it holds no items.  A framed page counts as rendered.  When ``pages`` has a ``rendered`` column it is read instead, and
+    pages without a rendered form are read by the direct rule.  ``wanted`` (``address``) names the addresses that links lead to;
+    other pages are then left alone.
     """
     bare = "i -> named_struct('block_pos', i.block_pos, 'item_pos', i.item_pos, 'item', i.item, 'href', i.href)"
-    address = urls.address(F.col("url")).alias("address")
-    latest = newest(surveyed.select(address, "page_id", "items"), ["address"], ["items"])
+    latest = latest_of(surveyed.select("url", "page_id", "items"), wanted)
     plain = latest.filter(F.size("items") > 0).select("address", each_item(F.col("items"), bare).alias("items"))
     if "rendered" not in pages.columns:
         return plain.select("address", "items", F.col("items").alias("frame_items"), F.lit("iframe").alias("frame_rule"))
-    drawn = (
-        newest(
-            jsonld.with_items(pages.filter(F.col("rendered").isNotNull()).select("page_id", "url", "rendered"), html="rendered")
-            .select(address, "page_id", "items"), ["address"], ["items"],
-        )
-        .select("address", F.col("items").alias("_drawn"), F.lit(True).alias("_is_drawn"))
-    )
+    drawn_pages = pages.filter(F.col("rendered").isNotNull()).select("page_id", "url", "rendered")
+    drawn = jsonld.with_items(latest_of(drawn_pages, wanted), html="rendered").select(
+        "address", F.col("items").alias("_drawn"), F.lit(True).alias("_is_drawn"))
     is_drawn = F.coalesce("_is_drawn", F.lit(False))
     return plain.join(drawn, "address", "full_outer").select(
         "address", "items",
@@ -132,6 +157,11 @@ def targets(surveyed: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def addresses(links: DataFrame) -> DataFrame:
+    """The different addresses that links lead to."""
+    return links.select(urls.address(F.col("target_url")).alias("address")).distinct()
+
+
 def followed_events(links: DataFrame, found: DataFrame, as_of: Column, keep: list[str], repair: bool = False) -> DataFrame:
     """Events behind the links.  One equi-join on the address, without fragments, serves frames and months alike.
 
@@ -171,5 +201,5 @@ def all_jsonld_events(
     named = surveyed.withColumn("page_url", F.col("url"))
     links = named.select(*keep, F.inline("links"))
     return own_events(named, keep, on_error).unionByName(
-        followed_events(links, targets(surveyed, pages), as_of, keep, repair)
+        followed_events(links, targets(surveyed, pages, addresses(links)), as_of, keep, repair)
     )

@@ -91,8 +91,13 @@ def page_prompts(pages: DataFrame, template: str = PAGE_PROMPT) -> DataFrame:
 
 def hint_prompts(pages: DataFrame, template: str = HINT_PROMPT) -> DataFrame:
     """M3: prompts that ask which selectors hold events, one per window of the HTML (``piece``)."""
-    prompts = F.transform(hint_html(F.col("html")), lambda h: fill(template, url=F.col("url"), content=h))
-    return pages.select("page_id", "url", F.posexplode(prompts).alias("piece", "prompt")).withColumn("prompt_key", content_key(F.col("prompt")))
+    return prompts_of_windows(pages.select("page_id", "url", hint_html(F.col("html")).alias("windows")), template)
+
+
+def prompts_of_windows(rows: DataFrame, template: str = HINT_PROMPT) -> DataFrame:
+    """M3: the prompts of pages whose HTML is cut into ``windows`` already."""
+    prompts = F.transform("windows", lambda h: fill(template, url=F.col("url"), content=h))
+    return rows.select("page_id", "url", F.posexplode(prompts).alias("piece", "prompt")).withColumn("prompt_key", content_key(F.col("prompt")))
 
 
 def score_prompt(template: str = SCORE_PROMPT) -> Column:

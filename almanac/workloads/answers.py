@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from almanac.operators import hints, models
 from almanac.operators.jsonld import page_events
 from almanac.operators.sections import page_sections
+from almanac.plans import answering
 from almanac.plans.extract import hint_prompts as hint_prompts_through_frames
-from almanac.plans.staging import write_once
+from almanac.plans.staging import shared_folder, write_once
 from almanac.workloads.common import day, table, text
 from almanac.workloads.crawling import FRAME_HTML, FRAME_URL, PARENT, PARENT_HTML, framed_pages
 from almanac.workloads.markup import NUMBERED_SECTIONS, SECTION_LINK_URL, ORACLES as MARKUP_ORACLES, PAGE_URL, section_pages
@@ -135,6 +137,24 @@ def model_run(spark, sf_dir):
     return asked.select("kind", "key", "content", "status")
 
 
+def _first_opinion(prompts: list[str]) -> list[str | Exception]:
+    return [ValueError("busy") if "MACHINERY" in p else f'{{"first": {len(p)}}}' for p in prompts]
+
+
+def _second_opinion(prompts: list[str]) -> list[str | Exception]:
+    return [f'{{"second": {len(p)}}}' for p in prompts]
+
+
+def settled_answers(spark, sf_dir):
+    """Customers' prompts are settled by a first run; a second one with another model, about orders too, asks only what is open."""
+    ledger = f"{shared_folder(spark)}/almanac/{uuid.uuid4().hex}"
+    customers = table(spark, sf_dir, "customer").selectExpr(f"'rate ' || c_mktsegment || ' of ' || {text('c_custkey')} AS prompt")
+    orders = table(spark, sf_dir, "orders").selectExpr(f"'rate ' || o_orderpriority || ' of ' || {text('o_custkey')} AS prompt")
+    keyed = [df.withColumn("prompt_key", F.sha2("prompt", 256)) for df in (customers, customers.unionByName(orders))]
+    answering.ask_once(keyed[0], _first_opinion, "score", ledger, wave=1 << 20, partitions=8)
+    return answering.ask_once(keyed[1], _second_opinion, "score", ledger, wave=1 << 20, partitions=8).select("key", "content", "status")
+
+
 QUERIES = {
     "section_prompts": section_prompts,
     "page_prompts": page_prompts,
@@ -146,6 +166,7 @@ QUERIES = {
     "discovered_hints": discovered_hints,
     "event_scores": event_scores,
     "model_run": model_run,
+    "settled_answers": settled_answers,
 }
 
 _CONTEXT = "CASE WHEN ord = 2 THEN CASE event_id % 3 WHEN 0 THEN 'Sunday' || chr(10) WHEN 2 THEN 'June 3rd' || chr(10) || '10:30 am' || chr(10) ELSE '' END ELSE '' END"
@@ -175,6 +196,10 @@ ORACLES = {
       CASE WHEN o_orderkey % 3 = 0 THEN 'request' WHEN o_orderkey % 4 < 3 THEN 'discovered' END AS origin FROM orders""",
     "event_scores": f"""SELECT page_id, block_pos, item_pos, CASE page_id % 5 WHEN 0 THEN 0.85 WHEN 1 THEN 0.25 ELSE 0.5 END::DOUBLE AS validation_score,
       CASE page_id % 5 WHEN 0 THEN 'music,indoor' WHEN 2 THEN 'free' ELSE '' END AS tags FROM ({EXPECTED_EVENTS})""",
+    "settled_answers": f"""SELECT DISTINCT sha256(p) AS key, CASE WHEN first AND p LIKE '%MACHINERY%' THEN NULL ELSE '{{"' || CASE WHEN first THEN 'first' ELSE 'second' END || '": ' || length(p) || '}}' END AS content,
+      CASE WHEN first AND p LIKE '%MACHINERY%' THEN 'ValueError: busy' ELSE 'ok' END AS status
+      FROM (SELECT 'rate ' || c_mktsegment || ' of ' || {text('c_custkey')} AS p, true AS first FROM customer
+        UNION ALL SELECT 'rate ' || o_orderpriority || ' of ' || {text('o_custkey')}, false FROM orders)""",
     "model_run": f"""SELECT DISTINCT 'score' AS kind, sha256(p) AS key, CASE WHEN p NOT LIKE '%URGENT%' THEN '{{"length": ' || length(p) || '}}' END AS content,
       CASE WHEN p LIKE '%URGENT%' THEN 'ValueError: busy' ELSE 'ok' END AS status FROM (SELECT 'rate ' || o_orderpriority || ' of ' || {text('o_custkey')} AS p FROM orders)""",
 }

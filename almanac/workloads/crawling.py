@@ -6,11 +6,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from almanac.operators import crawl
-from almanac.plans import extract as plan
+from almanac.plans import extract as plan, requests
 from almanac.plans.page_events import crawl_sections, section_prompts
 from almanac.plans.staging import shared_folder, write_once
 from almanac.sources.tables import write_events
-from almanac.streaming import continuous
+from almanac.streaming import continuous, extraction
 from almanac.workloads.common import derived, script, table, text
 from almanac.workloads.structured import EXPECTED_EVENTS, order_pages
 
@@ -192,6 +192,26 @@ def extraction_responses(spark, sf_dir):
     )
 
 
+# ---- requests: every order asks for its customer's town, half of them with selectors --------------
+
+REQUEST = [
+    "o_orderkey AS request_id", f"{TOWN} || CASE WHEN o_orderkey % 10 = 9 THEN '/gone' ELSE '' END AS url",
+    """named_struct('expected_event_count', CAST(o_orderkey % 3 AS INT), 'date_format_hints', CAST(NULL AS ARRAY<STRING>),
+      'content_selectors', CASE WHEN o_orderkey % 2 = 0 THEN array('.c') END, 'additional_hints', CAST(NULL AS STRING)) AS extraction_hints""",
+    """CASE WHEN o_orderkey % 3 > 0 THEN named_struct('required_fields', CASE WHEN o_orderkey % 3 = 1 THEN array('title', 'end') ELSE array('start', 'location') END,
+      'optional_fields', CAST(NULL AS ARRAY<STRING>)) END AS schema_requirements""",
+]
+
+
+def request_responses(spark, sf_dir):
+    pages, answers, _ = towns(spark, sf_dir)
+    asked = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey").selectExpr(*REQUEST)
+    return requests.serve(asked, pages, _as_of(), answers).responses.select(
+        "request_id", "success", "extraction_method", "page_title", "total_found", "as_expected", "set_aside", "conforming",
+        F.array_join("missing_required", ",").alias("missing"), "part", F.array_join(F.transform("events", lambda e: e["external_id"]), ",").alias("ids"),
+    )
+
+
 # ---- links named in sections: parts that point at other parts ------------------------------------
 
 P = text("p_partkey")
@@ -259,6 +279,21 @@ def continuous_events(spark, sf_dir):
     return found.select("page_id", "block_pos", "item_pos", "external_id", "title", "start_time", "end_time", "url")
 
 
+def continuous_extraction(spark, sf_dir):
+    """Towns first, what they need after them: three batches, each of which changes what is known of earlier pages."""
+    pages, answers, hinted = towns(spark, sf_dir)
+    folder, store = (f"{shared_folder(spark)}/almanac/{uuid.uuid4().hex}" for _ in "ab")
+    first = F.col("page_id") % 10 == 0
+    even = F.floor(F.col("page_id") / 10) % 2 == 0
+    for part in (first & even, ~first, first & ~even):
+        pages.filter(part).withColumn("fetched_at", F.timestamp_seconds(F.lit(1_750_000_000))).write.mode("append").parquet(folder)
+        arriving = continuous.arriving_pages(spark, folder, 10_000)
+        extraction.extraction_stream(arriving, store, f"{store}/state", _as_of(), answers, hinted).start().awaitTermination()
+    return extraction.current_events(spark, store).select(
+        "page_id", "method", "source_ord", "seq", "target_url", "external_id", "title", "description", "start_time", "end_time", "url"
+    )
+
+
 def repeat_suppression(spark, sf_dir):
     folder = _arrivals(spark, order_pages(spark, sf_dir), copies=2)
     events = continuous.continuous_events(continuous.arriving_pages(spark, folder, 4))
@@ -280,6 +315,8 @@ QUERIES = {
     "link_expansion_deep": link_expansion_deep,
     "continuous_events": continuous_events,
     "repeat_suppression": repeat_suppression,
+    "request_responses": request_responses,
+    "continuous_extraction": continuous_extraction,
 }
 
 _HOST_OF = "regexp_extract({u}, '^https://([^/?#]*)', 1)"
@@ -350,6 +387,18 @@ ORACLES = {
     "event_sink": f"SELECT method, count(*) AS events, count(DISTINCT external_id) AS ids FROM ({_ALL_METHODS}) GROUP BY method",
     "extraction_status": _TOWN_PAGES,
     "extraction_events": _TOWN_EVENTS,
+    "continuous_extraction": _TOWN_EVENTS,
+    "request_responses": f"""SELECT request_id, total_found > 0 AS success, extraction_method, CASE WHEN gone THEN 'Unknown' ELSE 'Town & ' || {C} END AS page_title, total_found,
+        total_found = request_id % 3 AS as_expected, set_aside,
+        CASE WHEN {KIND} = 1 AND total_found = 1 AND request_id % 3 <> 1 THEN 1 ELSE 0 END AS conforming,
+        CASE WHEN total_found = 0 THEN '' WHEN {KIND} = 1 THEN CASE WHEN request_id % 3 = 1 THEN 'end' ELSE '' END
+          ELSE CASE request_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'end,title' ELSE 'location' END END AS missing,
+        0 AS part, CASE WHEN total_found = 0 THEN '' WHEN {KIND} = 0 THEN 'urn:own:' || {C} ELSE 'talk:' || {C} END AS ids
+      FROM (SELECT *, CASE WHEN gone THEN 'failed' WHEN {KIND} = 0 THEN 'jsonld' WHEN {KIND} = 1 AND NOT hinted THEN 'llm' WHEN {KIND} = 2 AND NOT hinted THEN 'failed'
+            WHEN {KIND} = 4 AND hinted THEN 'llm' WHEN {KIND} = 5 AND NOT hinted THEN 'llm' ELSE 'none' END AS extraction_method,
+          CASE WHEN NOT gone AND ({KIND} = 0 OR ({KIND} = 1 AND NOT hinted)) THEN 1 ELSE 0 END AS total_found,
+          CASE WHEN NOT gone AND (({KIND} IN (1, 5) AND NOT hinted) OR ({KIND} = 4 AND hinted)) THEN 1 ELSE 0 END AS set_aside
+        FROM (SELECT o_orderkey AS request_id, o_custkey AS c_custkey, o_orderkey % 2 = 0 AS hinted, o_orderkey % 10 = 9 AS gone FROM orders))""",
     "extraction_responses": f"""SELECT s.page_id, success, 0 AS part, total_found AS events, f.external_id AS first_id, l.title AS last_title FROM ({_TOWN_PAGES}) AS s
       LEFT JOIN ({_TOWN_EVENTS}) AS f ON f.page_id = s.page_id AND f.seq = 0 LEFT JOIN ({_TOWN_EVENTS}) AS l ON l.page_id = s.page_id AND l.seq = s.total_found - 1""",
     "link_expansion": f"""SELECT 'https://parts.example.org/' || CAST(root AS STRING) AS root, u AS page_url, {_PART_EVENT} AS title,
