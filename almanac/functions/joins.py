@@ -14,3 +14,15 @@ def lookup(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inn
     """
     code = F.xxhash64(*keys)
     return rows.withColumn("_code", code).join(per_key.withColumn("_code", code), [*keys, "_code"], how).drop("_code")
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """For each name one like it that is not among ``columns``, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
