@@ -12,8 +12,9 @@ def lookup(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inn
     then stays in one task.  Joining on a hash of the key as well makes both sides move; the aggregated
     one is small by comparison.
     """
-    code = F.xxhash64(*keys)
-    return rows.withColumn("_code", code).join(per_key.withColumn("_code", code), [*keys, "_code"], how).drop("_code")
+    (name,) = unused([*rows.columns, *per_key.columns], "code")
+    code = F.xxhash64(*[F.col(f"`{k}`") for k in keys])
+    return rows.withColumn(name, code).join(per_key.withColumn(name, code), [*keys, name], how).drop(name)
 
 
 def unused(columns: list[str], *names: str) -> list[str]:

@@ -23,14 +23,24 @@ def frames(pages: DataFrame) -> DataFrame:
     return found.filter(F.col("frame_url").isNotNull())
 
 
-def reachable(urls: DataFrame, edges: DataFrame, calendar_frames: DataFrame, with_events: DataFrame, max_depth: int) -> DataFrame:
+def dictionary(pages: DataFrame) -> DataFrame:
+    """``url, id``: a number for every page address, the least ``page_id`` it was fetched under; stored."""
+    return write_once(pages.groupBy("url").agg(F.min("page_id").alias("id")))
+
+
+def numbered(rows: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the address in ``column`` replaced by its number; rows that name an address that was not fetched lead nowhere and go."""
+    return lookup(rows, known.select(F.col("url").alias(column), F.col("id").alias("_id")), [column]).withColumn(column, F.col("_id")).drop("_id")
+
+
+def reachable(start: DataFrame, edges: DataFrame, calendar_frames: DataFrame, with_events: DataFrame, max_depth: int) -> DataFrame:
     """``root, page``: which pages are read on behalf of which, within ``max_depth`` steps.
 
-    All inputs are narrow: ``urls(url)``, ``edges(url, target)``, ``calendar_frames(url, frame_url)``,
-    ``with_events(url)``.  One round per level; a page's frame counts only when nothing else reachable
+    All inputs are pairs of numbers: ``start(url)``, ``edges(url, target)``, ``calendar_frames(url, frame_url)``,
+    ``with_events(url)``; no address is joined, compared or moved here.  One round per level; a page's frame counts only when nothing else reachable
     from it had an event.  Each (root, page) pair is kept once, which also ends cycles.
     """
-    start = urls.select(F.col("url").alias("root"), F.col("url").alias("page"))
+    start = start.select(F.col("url").alias("root"), F.col("url").alias("page"))
     reach = start if max_depth > 0 else start.limit(0)
     for _ in range(max_depth - 1):
         below = write_once(reach)
@@ -56,13 +66,13 @@ def crawl_sections(
     answered = write_once(models.with_answers(sections, answers, "section"))
     events = models.section_events(answered)
     has_event = F.coalesce(V.get_truthy(F.try_parse_json(models.unfenced(F.col("content"))), "title").isNotNull(), F.lit(False))
-    edges = (
-        answered.filter(~has_event).select("url", F.explode("text_urls").alias("target"))
-        .distinct()
-    )
-    reach = reachable(
-        pages.select("url"), write_once(edges), frames(pages), events.select(F.col("page_url").alias("url")).distinct(), max_depth
-    )
-    if roots is not None:
-        reach = lookup(reach, roots.select(F.col("url").alias("root")).distinct(), ["root"], "left_semi")
-    return reach.join(events, reach["page"] == events["page_url"]).drop("page", "prompt_key")
+    known = dictionary(pages)
+    named = answered.filter(~has_event).select("url", F.explode("text_urls").alias("target"))
+    edges = write_once(numbered(numbered(named.distinct(), known, "target"), known, "url").distinct())
+    embedding = write_once(numbered(numbered(frames(pages), known, "frame_url"), known, "url").distinct())
+    fruitful = write_once(numbered(events.select(F.col("page_url").alias("url")).distinct(), known, "url"))
+    reach = reachable(known.select(F.col("id").alias("url")), edges, embedding, fruitful, max_depth)
+    wanted = known if roots is None else known.join(roots.select("url").distinct(), "url", "left_semi")
+    reach = lookup(reach, wanted.select(F.col("id").alias("root"), F.col("url").alias("_root")), ["root"])
+    pairs = lookup(reach, known.select(F.col("id").alias("page"), F.col("url").alias("page_url")), ["page"]).select(F.col("_root").alias("root"), "page_url")
+    return pairs.join(events, "page_url").select("root", *[c for c in events.columns if c != "prompt_key"])
