@@ -6,6 +6,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from almanac.functions import joins
 from almanac.session import tune
 
 CACHE_ENTRIES = 100_000  # of a worker's cache of words; it starts again from nothing beyond that
@@ -26,15 +27,8 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
-    """For each name one like it that no column of ``df`` has, whatever the case."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        name = f"_{name}"
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+    """For each name one like it that no column of ``df`` has."""
+    return joins.unused(df.columns, *names)
 
 
 def slices(items: list, size: int) -> Iterator[list]:

@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from almanac.llm import common
+from almanac.operators.sieve import marked, passing
 from almanac.plans.staging import write_once
 
 WORDS = 5              # of a shingle
@@ -31,7 +31,6 @@ RECALL = 0.9999        # of pairs at the threshold
 NARROW_BLOCK = 2048    # classes of a bucket compared by their paths at once
 BLOCK = 256            # classes of a bucket compared by their shingles at once
 COLUMNS = 1 << 14      # shingles multiplied at once
-SIEVE_BITS = 1 << 26   # of a sieve of ids: 8 MB, whatever the table
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -230,29 +229,6 @@ def verified(group: pa.RecordBatch) -> list[tuple]:
     return [(shapes[i], int(links[i]), shapes[root[i]]) for i in range(len(rows)) if links[i]]
 
 
-def maybe_in(ids: DataFrame, column: str):
-    """A function of an id column: false only for ids that are not in ``ids``.
-
-    One bit per hash, 8 MB to broadcast however many ids there are.  Rows it lets through are joined exactly, so it spares
-    shuffling texts of all other rows and never changes a result.
-    """
-    def position(of: Column) -> Column:
-        return F.pmod(F.xxhash64(of), F.lit(SIEVE_BITS))
-
-    at = ids.select(position(F.col(column)).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
-    table = np.zeros(SIEVE_BITS >> 6, np.int64)
-    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    shared = ids.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def bit(positions: pd.Series) -> pd.Series:
-        at = positions.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-    return lambda of: bit(position(of))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``shape, root`` for the ends of ``edges`` (``a``, ``b``): the least shape of the connected component.
 
@@ -335,7 +311,7 @@ def classed(docs: DataFrame) -> DataFrame:
             yield from common.batches(kept, pa.schema([("shape", pa.binary()), ("shingles", pa.binary())]))
 
     texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("row"), docs["text"])
-    texts = texts.where(maybe_in(wanted, "row")(F.col("row")))
+    texts = passing(texts, wanted.select("row"), ["row"])
     payload = texts.join(wanted, "row").select("shape", "text").mapInArrow(shingled, "shape binary, shingles binary")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,12 +350,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         naming = found.where("class_id = doc_id AND root IS NOT NULL").select("doc_id", "copy", "root").distinct()
         chosen = naming.groupBy("root").agg(F.min("copy").alias("chosen"))
         dropped = dropped.select("doc_id", "copy").unionByName(naming.join(chosen, "root").where("copy <> chosen").select("doc_id", "copy"))
-    gone, copy = common.unused(docs, "dropped", "copy")
-    dropped = write_once(dropped.select(F.col("doc_id").alias(gone), F.col("copy").alias(copy)).distinct())
-    suspect = maybe_in(dropped, gone)(docs["doc_id"].cast("long"))
-    same = (docs["doc_id"] == F.col(gone)) & (F.xxhash64(docs["text"]) == F.col(copy))
-    exact = docs.where(suspect).join(dropped, same, "left_anti")
-    kept = docs.where(~suspect).unionByName(exact)
+    gone, copy, suspect = common.unused(docs, "dropped", "copy", "suspect")
+    dropped = write_once(dropped.select("doc_id", F.col("copy").alias(copy)).distinct())
+    told = marked(docs, dropped.select("doc_id"), ["doc_id"], suspect)
+    dropped = dropped.withColumnRenamed("doc_id", gone)
+    same = (F.col("doc_id") == F.col(gone)) & (F.xxhash64("text") == F.col(copy))
+    exact = told.where(suspect).join(dropped, same, "left_anti")
+    kept = told.where(~F.col(suspect)).unionByName(exact).drop(suspect)
     if not repeated:
         return kept
     named = kept.where("doc_id IS NOT NULL").withColumn(copy, F.xxhash64("text")).dropDuplicates(["doc_id", copy]).drop(copy)
