@@ -109,6 +109,52 @@ def test_pseudo_likelihood_is_normalised_and_learns(spark):
     assert abs(each - learnt.log_probabilities([[], one])[1]) < 1e-4
 
 
+def test_pseudo_likelihood_by_hand():
+    """Each word's probability out of the parameters, number by number, with marks beyond the ends; weights small and large."""
+    import math
+
+    for strength in (1.0, 40.0):
+        network = pseudo_likelihood.Network.start([(f"w{i}", 50 - i) for i in range(50)], 7)
+        rng = np.random.default_rng(3)
+        for name in ("bias", "classes", "words"):
+            network.parts[name] = (rng.normal(0, 0.3, network.parts[name].shape) * strength).astype(np.float32)
+        p = {n: v.astype(float) for n, v in network.parts.items()}
+        texts = ["w1 W2 never w3 w49 w1", "w7", "", "other words here w0"]
+        want = []
+        for text in texts:
+            tokens = [network.ids[w] if w in network.ids else pseudo_likelihood._named(w)[1] + pseudo_likelihood.TOKENS - pseudo_likelihood.RARE for w in text.lower().split()]
+            total = 0.0
+            for i, token in enumerate(tokens):
+                h = []
+                for d in range(pseudo_likelihood.WIDTH):
+                    x = p["bias"][d]
+                    for k, place in enumerate(pseudo_likelihood.PLACES):
+                        at = i + place
+                        x += p["places"][k][tokens[at] if 0 <= at < len(tokens) else pseudo_likelihood.TOKENS][d]
+                    h.append(math.tanh(x))
+                group, member = divmod(token, pseudo_likelihood.WORDS)
+                for weights, bias, which in ((p["classes"], p["class_bias"], group), (p["words"][group], p["word_bias"][group], member)):
+                    logits = [sum(a * b for a, b in zip(h, weights[:, j])) + bias[j] for j in range(weights.shape[1])]
+                    top = max(logits)
+                    total += logits[which] - top - math.log(sum(math.exp(v - top) for v in logits))
+            want.append(total)
+        found = network.log_probabilities([network.tokens(t) for t in texts])
+        assert np.allclose(found, want, rtol=1e-4, atol=1e-4), (strength, found, want)
+
+
+def test_shares_sent_or_joined_are_the_same(spark, monkeypatch):
+    docs = common.table(spark, DATA, "documents").select("doc_id", "text")
+    counts = pseudo_likelihood.word_counts(docs)
+    network = pseudo_likelihood.fit(docs, rounds=0, counts=counts)
+    found = []
+    for most in (pseudo_likelihood.FREQUENT, 100, 0):
+        monkeypatch.setattr(pseudo_likelihood, "FREQUENT", most)
+        monkeypatch.setattr(pseudo_likelihood.frequent, "__defaults__", (most,))
+        found.append({r["doc_id"]: r["log_prob"] for r in pseudo_likelihood.scored(docs, network, counts).collect()})
+    assert len(pseudo_likelihood.frequent(pseudo_likelihood.shares(counts, network), 100)) <= 100
+    assert all(abs(found[0][i] - f[i]) < 1e-6 * abs(f[i]) + 1e-6 for f in found[1:] for i in f)
+
+
 def test_rare_words_score_by_their_own_counts(spark):
     """An unseen word is never likelier than a rare one; a sum has the token and the word's share of it."""
     schema = "doc_id long, text string"
@@ -201,6 +247,25 @@ def test_boilerplate_depletes_and_copies_do_not(spark):
     assert all(found[200 + i]["kept"] for i in range(5))
 
 
+def test_boilerplate_is_taken_out(spark, odd, none):
+    """The common line goes, in whatever case and spacing, all others stay; a host of any size has an absolute limit."""
+    rows = [(i, f"Home  NEWS {i % 10}\nown {'abcdefghij'[i % 10]}{'klmn'[i // 10]} line\n\n  home news 5 ", "a") for i in range(40)]
+    rows += [(100 + i, f"shared line\nown{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xy'[i // 26]}", "b") for i in range(30)] + [(200, "home news 7\nother", "c"), (201, None, "a")]
+    rows += [(300 + i, rows[0][1], "a") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"_gone": F.col("doc_id"), "copy": F.lit("x")})
+    found = {r["doc_id"]: r["text"] for r in line_frequency.without_boilerplate(docs).collect()}
+    assert len(found) == len(rows) and found[200] == "home news 7\nother" and found[201] is None
+    assert all(found[i] == "\n".join(rows[i][1].split("\n")[1:3]) for i in range(40)) and found[300] == found[0]
+    assert all(found[100 + i] == rows[40 + i][1].split("\n")[1] for i in range(30))
+    wide = line_frequency.without_boilerplate(docs, share=0.99).where("doc_id = 105").first()["text"]
+    assert wide == found[105]
+    high = {r["doc_id"]: r["text"] for r in line_frequency.without_boilerplate(docs, share=1.0, most=35).collect()}
+    assert high[0] == found[0] and high[105] == rows[45][1]
+    same = line_frequency.without_boilerplate(odd)
+    assert same.columns == odd.columns and sorted(map(str, same.collect())) == sorted(map(str, odd.collect()))
+    assert line_frequency.without_boilerplate(none).count() == 0
+
+
 def test_line_rules_stay_in_the_jvm(spark):
     plan = line_frequency.with_counts(spark.read.parquet(f"{DATA}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
