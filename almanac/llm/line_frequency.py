@@ -1,19 +1,21 @@
 """Quality rules over words and over lines that a host repeats across its documents, in Spark functions only.
 
 Lines are normalised and hashed, and the different documents of a host that have a line are counted.  Lines in
-too many of them are boilerplate; a document is rejected if too few of its words are left without them.
+too many of them are boilerplate and removed; a document is rejected if too few of its words are left without them.
 Copies of a text are one document there, so a document is not boilerplate because it was copied.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from almanac.functions.joins import lookup
 from almanac.functions.text import bind
 from almanac.llm import common
 from almanac.plans.staging import write_once
 
 SHARE = 0.1          # of a host's documents that may have a line
 LEAST = 10           # documents that may have it in any case
+MOST = 1000          # documents that may have it at most, however large the host
 LEFT = 0.4           # of a document's words that must be left
 MIN_WORDS = 50
 MAX_REPEATED = 50    # percent of the words
@@ -84,29 +86,56 @@ def with_counts(docs: DataFrame) -> DataFrame:
         *[c.alias(n) for n, c in base_counts(text).items()], lines.alias("lines"))
 
 
-def judged(docs: DataFrame, share: float = SHARE, least: int = LEAST, left: float = LEFT) -> DataFrame:
-    """One row per row of ``docs``: its counts, whether they fail it, its words in boilerplate lines, the verdict.
+def boilerplate(rows: DataFrame, share: float = SHARE, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """``host, copy, line, words``: the lines of each text that too many different texts of its host have, and their words.
 
-    ``docs`` has ``doc_id, text, source``.  Lines are counted over all documents.  A null or empty text has no words and
-    fails, a null source is a host like any other, a null id stays null, rows that repeat get the same verdict each; other
-    columns are not read; an empty table gives an empty one.  Texts are read once; what is shuffled are hashes.
+    ``rows`` are stored ones of ``with_counts``.  Texts that are equal count once.  Too many are more than ``least`` and more than
+    ``share`` of the host's texts or ``most``, whichever is less, so that the rule holds in hosts of any size.
     """
-    rows = write_once(with_counts(docs))
     one_of_each = rows.select("host", "copy", "lines").dropDuplicates(["host", "copy"])
     entries = one_of_each.select("host", "copy", F.explode("lines").alias("x")).groupBy("host", "copy", F.col("x.line").alias("line"))
     entries = write_once(entries.agg(F.sum("x.words").alias("words")))
     sizes = rows.groupBy("host", "copy").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("documents"))
     frequent = entries.groupBy("host", "line").agg(F.count("*").alias("having")).where(F.col("having") > least)
-    frequent = frequent.join(sizes, "host").where(F.col("having") > share * F.col("documents")).select("host", "line")
-    lost = entries.join(frequent, ["host", "line"]).groupBy("host", "copy").agg(F.sum("words").alias("boilerplate_words"))
+    limit = F.least(share * F.col("documents"), F.lit(float(most)))
+    frequent = frequent.join(sizes, "host").where(F.col("having") > limit).select("host", "line")
+    return lookup(entries, frequent, ["host", "line"])
+
+
+def judged(docs: DataFrame, share: float = SHARE, least: int = LEAST, left: float = LEFT, most: int = MOST) -> DataFrame:
+    """One row per row of ``docs``: its counts, whether they fail it, its words in boilerplate lines, the verdict.
+
+    ``docs`` has ``doc_id, text, source``.  Lines are counted over all documents, of equal texts one; see ``boilerplate``.  A null or empty text has no words and
+    fails, a null source is a host like any other, a null id stays null, rows that repeat get the same verdict each; other
+    columns are not read; an empty table gives an empty one.  Texts are read once; what is shuffled are hashes.
+    """
+    rows = write_once(with_counts(docs))
+    lost = boilerplate(rows, share, least, most).groupBy("host", "copy").agg(F.sum("words").alias("boilerplate_words"))
     removed = F.coalesce("boilerplate_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     depleted = (F.col("n_words") - removed) < left * F.col("n_words")
     names = list(base_counts(F.lit("")))
-    return rows.select("doc_id", "host", "copy", *names).join(lost, ["host", "copy"], "left").select(
+    return lookup(rows.select("doc_id", "host", "copy", *names), lost, ["host", "copy"], "left").select(
         "doc_id", *names, removed.alias("boilerplate_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
 
 
+def without_boilerplate(docs: DataFrame, share: float = SHARE, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """``docs`` with the boilerplate lines taken out of ``text``; all rows and columns stay, and nothing else changes.
+
+    Lines are those between line feeds; lines without a word stay.  Null and empty texts stay as they are, rows that repeat are
+    changed alike.  The lines to remove are looked up by a text's host and hash, and a hot text is split; texts without any are not changed.
+    """
+    host, copy, gone = common.unused(docs, "host", "copy", "gone")
+    found = boilerplate(write_once(with_counts(docs)), share, least, most)
+    lines = found.groupBy("host", "copy").agg(F.collect_set("line").alias(gone))  # of one text, so no more than it has
+    lines = lines.select(F.col("host").alias(host), F.col("copy").alias(copy), gone)
+    keyed = docs.withColumns({host: F.xxhash64("source"), copy: F.xxhash64(F.coalesce("text", F.lit("")))})
+    joined = lookup(keyed, lines, [host, copy], "left")
+    kept = F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains(gone, F.xxhash64(normalised(x))), F.lit(False)))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -136,7 +165,7 @@ WITH d AS (
     SELECT host, count(DISTINCT text) AS documents FROM d GROUP BY host
 ), frequent AS (
     SELECT host, l FROM (SELECT host, l, count(DISTINCT text) AS having_it FROM entry GROUP BY host, l) JOIN size USING (host)
-    WHERE having_it > {LEAST} AND having_it > {SHARE} * documents
+    WHERE having_it > {LEAST} AND having_it > least({SHARE} * documents, {MOST})
 ), lost AS (
     SELECT r, sum(words) AS n FROM entry JOIN frequent USING (host, l) GROUP BY r
 ), counted AS (
