@@ -77,24 +77,44 @@ def _rank(n: Column) -> Column:
     return F.coalesce(*[F.when(tests[number], number) for number, _ in RANKED_SELECTORS])
 
 
-def candidates(nodes: Column) -> Column:
-    """H10 before nesting: ``STRUCT<rank, pre, last, sig>`` of elements with a fitting text, best first."""
+def _dated(nodes: Column) -> Column:
+    """Elements that match a selector and name a date, with the length of their text."""
 
     def describe(n: Column) -> Column:
         text = F.lower(F.array_join(texts(nodes, n), ""))
         return F.struct(_rank(n).alias("rank"), n["pre"].alias("pre"), n["last"].alias("last"),
-                        n["sig"].alias("sig"), text.alias("text"))
+                        n["sig"].alias("sig"), names_a_date(text).alias("dated"), F.length(strip(text)).alias("length"))
 
     matching = F.filter(nodes, lambda n: (n["kind"] == "element") & _rank(n).isNotNull())
-    fitting = F.filter(
-        F.transform(matching, describe),
-        lambda c: F.length(strip(c["text"])).between(SHORTEST, LONGEST) & names_a_date(c["text"]),
-    )
+    return F.filter(F.transform(matching, describe), lambda c: c["dated"])
+
+
+def candidates(nodes: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:
+    """H10 before nesting: ``STRUCT<rank, pre, last, sig>`` of elements with a fitting text, best first.
+
+    ``shortest`` and ``longest`` bound the length of the text; ``passed_over`` has what falls outside.
+    """
+    fitting = F.filter(_dated(nodes), lambda c: c["length"].between(shortest, longest))
     return F.array_sort(F.transform(
         fitting, lambda c: F.struct(c["rank"].alias("rank"), c["pre"].alias("pre"), c["last"].alias("last"), c["sig"].alias("sig"))
     ))
 
 
+def passed_over(nodes: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:
+    """H10, the trace: ``STRUCT<rank, pre, length, reason>`` of elements that name a date but whose text does not fit."""
+    outside = F.filter(_dated(nodes), lambda c: ~c["length"].between(shortest, longest))
+    return F.transform(outside, lambda c: F.struct(
+        c["rank"].alias("rank"), c["pre"].alias("pre"), c["length"].alias("length"),
+        F.when(c["length"] < shortest, "too_short").otherwise("too_long").alias("reason"),
+    ))
+
+
+def passed_over_sections(pages: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
+    """One row per element that could have held a section, but for the length of its text, with the reason."""
+    trees = pages.withColumn("nodes", page_nodes(F.col("html")))
+    return each(trees.withColumn("_over", passed_over(F.col("nodes"), shortest, longest)), ["page_id", "url"], "_over")
+
+
 def without_nested(nodes: Column, ranked: Column) -> Column:
     """Walk the candidates from the best on; one that overlaps a kept one, or has the same markup as
     a kept one or as a part of it (or the other way round), is left out.
@@ -192,7 +212,7 @@ def date_context(nodes: Column, node: Column) -> Column:
     return F.when(F.size(dated) > 0, F.array_join(dated, "\n"))
 
 
-def page_sections(pages: DataFrame, min_length: int = SECTION_MIN_CRAWL) -> DataFrame:
+def page_sections(pages: DataFrame, min_length: int = SECTION_MIN_CRAWL, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
     """One row per section with its text, date context, link and written-out URLs."""
     keep = [c for c in pages.columns if c not in ("html", "nodes")]
     trees = pages if "nodes" in pages.columns else pages.withColumn("nodes", page_nodes(F.col("html"), signatures=True))
@@ -207,7 +227,7 @@ def page_sections(pages: DataFrame, min_length: int = SECTION_MIN_CRAWL) -> Data
         ))
 
     found = (
-        trees.select(*keep, nodes, candidates(nodes).alias("_ranked"))
+        trees.select(*keep, nodes, candidates(nodes, shortest, longest).alias("_ranked"))
         .withColumn("_kept", without_nested(nodes, F.col("_ranked")))
         .withColumn("_sections", F.transform("_kept", describe))
     )

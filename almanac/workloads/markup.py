@@ -184,6 +184,10 @@ def container_candidates(spark, sf_dir):
     return each(found, ["page_id"], "found").groupBy("page_id", "rank").agg(F.count(F.lit(1)).alias("n"))
 
 
+def passed_over_sections(spark, sf_dir):
+    return sections.passed_over_sections(section_pages(spark, sf_dir)).select("page_id", "rank", "length", "reason")
+
+
 def section_ranks(spark, sf_dir):
     return sections.page_sections(section_pages(spark, sf_dir)).select("page_id", "section_pos", "rank", "tag")
 
@@ -257,6 +261,7 @@ QUERIES = {
     "date_words": date_words,
     "text_urls": text_urls,
     "container_candidates": container_candidates,
+    "passed_over_sections": passed_over_sections,
     "section_ranks": section_ranks,
     "section_texts": section_texts,
     "section_texts_over_50": section_texts_over_50,
@@ -302,6 +307,8 @@ ORACLES = {
     "text_urls": f"""SELECT event_id, i AS url_pos, CASE i WHEN 0 THEN 'http://a.example.org/x' WHEN 1 THEN 'https://b.example.org/p?q=' || {E} ELSE 'https://b.example.org/p?q=' || {E} || '.' END AS found
       FROM events, (VALUES (0), (1), (2)) AS v(i)""",
     "container_candidates": f"""SELECT page_id, rank, count(*) AS n FROM ({_TAG_RANKS} UNION ALL SELECT event_id, 16 FROM events) GROUP BY ALL""",
+    "passed_over_sections": f"""SELECT event_id AS page_id, {RANK} AS rank, {LENGTH} AS length, CASE WHEN {LENGTH} < 50 THEN 'too_short' ELSE 'too_long' END AS reason
+      FROM events WHERE NOT ({_FITS})""",
     "section_ranks": f"SELECT event_id AS page_id, section_pos, rank, tag FROM ({NUMBERED_SECTIONS})",
     "section_texts": f"SELECT event_id AS page_id, section_pos, section FROM ({NUMBERED_SECTIONS})",
     "section_texts_over_50": f"SELECT event_id AS page_id, section_pos, length(section) AS length FROM ({NUMBERED_SECTIONS}) WHERE length(section) > 50",

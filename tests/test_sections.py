@@ -249,3 +249,12 @@ def test_unknown_marked_sections_cost_nothing(spark):
     pages = pages_of(spark, *[(f"u{i}", html) for i, html in enumerate(bad)])
     tags = pages.select(F.transform(F.filter(page_nodes(F.col("html")), lambda n: n["kind"] == "element"), lambda n: n["tag"]).alias("t"))
     assert [r.t for r in tags.collect()] == [["p", "li"]] * 3
+
+
+def test_containers_that_do_not_fit_are_listed(spark):
+    html = f"<li>on Monday</li><li>{'on Monday ' + 'x' * 60}</li><li>{'y' * 60}</li><li>{'on Friday ' + 'z' * 5000}</li>"
+    pages = spark.createDataFrame([(1, "https://a.org/", html), (2, "https://a.org/b", "<p>on Monday</p>")], "page_id bigint, url string, html string")
+    rows = sections.passed_over_sections(pages).orderBy("pre").collect()
+    assert [(r.page_id, r.rank, r.length, r.reason) for r in rows] == [(1, 16, 9, "too_short"), (1, 16, 5010, "too_long")]
+    assert sections.passed_over_sections(pages, 5, 6000).count() == 0
+    assert sections.page_sections(pages).count() == 1 and sections.page_sections(pages, shortest=60, longest=6000).count() == 2
