@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions import urls
 from almanac.functions.html import elements, page_nodes, read_page, title
-from almanac.functions.joins import lookup
+from almanac.functions.joins import dealt, lookup
 from almanac.functions.text import bind, each_item, non_empty
 from almanac.operators import jsonld
 from almanac.operators.hints import page_text
@@ -129,9 +129,9 @@ def latest_of(rows: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     addressed = rows.withColumn("address", urls.address(F.col("url")))
     numbers = addressed.select("address", "page_id")
     if wanted is not None:
-        numbers = numbers.join(wanted.select("address").distinct(), "address", "left_semi")
+        numbers = numbers.join(dealt(wanted.select("address").distinct()), "address", "left_semi")
     numbers = numbers.groupBy("address").agg(F.max("page_id").alias("page_id"))
-    return addressed.join(numbers, ["address", "page_id"]).dropDuplicates(["address", "page_id"])
+    return addressed.join(dealt(numbers), ["address", "page_id"]).dropDuplicates(["address", "page_id"])
 
 
 def targets(surveyed: DataFrame, pages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from almanac.functions import urls as U
-from almanac.functions.joins import lookup
+from almanac.functions.joins import dealt, lookup
 from almanac.operators.sieve import passing
 
 LISTED = 1_000  # so many page numbers are written into the filter itself
@@ -22,7 +22,7 @@ def newest_pages(pages: DataFrame, addresses: DataFrame) -> DataFrame:
     """
     known = pages.select(U.address(F.col("url")).alias("address"), "page_id")
     wanted = addresses.select("address").distinct()
-    return known.join(wanted, "address", "left_semi").groupBy("address").agg(F.max("page_id").alias("page_id"))
+    return known.join(dealt(wanted), "address", "left_semi").groupBy("address").agg(F.max("page_id").alias("page_id"))
 
 
 def only(pages: DataFrame, ids: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from almanac import schemas
 from almanac.operators import crawl, jsonld, ledger, models
+from almanac.plans.staging import write_once
 from almanac.workloads.common import table
 
 SMALL_LIMITS = {
@@ -54,6 +55,15 @@ def test_frames_embedded_by_a_third_of_all_pages(spark, small_limits):
     assert "skew=true" in plan
 
 
+def test_addresses_are_never_sent_whole_through_the_driver(spark):
+    pages = write_once(spark.range(3000).select(
+        F.col("id").alias("page_id"), F.concat(F.lit("https://a.org/calendar/"), F.col("id").cast("string")).alias("url"), F.lit("<p>").alias("html")))
+    links = crawl.survey(pages, F.lit("2025-01-01").cast("date")).select("page_id", F.col("url").alias("page_url"), F.inline("links"))
+    found = crawl.targets(jsonld.with_items(pages), pages, crawl.addresses(links))
+    rows, plan = run_and_read_plan(crawl.followed_events(links, found, F.lit("2025-01-01").cast("date"), ["page_id", "page_url"]))
+    assert not rows and "Broadcast" not in plan
+
+
 def test_prompts_shared_by_a_third_of_all_sections(spark, small_limits):
     prompts = spark.range(30000).repartition(8).select(F.sha2(hot(F.col("id")), 256).alias("prompt_key"), F.sha2(F.col("id").cast("string"), 512).alias("url"))
     recorded = prompts.select("prompt_key").distinct().select(
