@@ -267,6 +267,11 @@ def _arrivals(spark, pages: DataFrame, copies: int = 1) -> str:
     return folder
 
 
+def _files_per_batch(spark) -> int:
+    """A batch of fewer files than the session has cores leaves cores without work."""
+    return max(4, spark.sparkContext.defaultParallelism)
+
+
 def _streamed(spark, events: DataFrame) -> DataFrame:
     out = f"{shared_folder(spark)}/almanac/{uuid.uuid4().hex}"
     continuous.write_available(events, f"{out}/events", f"{out}/state").awaitTermination()
@@ -275,7 +280,7 @@ def _streamed(spark, events: DataFrame) -> DataFrame:
 
 def continuous_events(spark, sf_dir):
     folder = _arrivals(spark, order_pages(spark, sf_dir))
-    found = _streamed(spark, continuous.continuous_events(continuous.arriving_pages(spark, folder, 4)))
+    found = _streamed(spark, continuous.continuous_events(continuous.arriving_pages(spark, folder, _files_per_batch(spark))))
     return found.select("page_id", "block_pos", "item_pos", "external_id", "title", "start_time", "end_time", "url")
 
 
@@ -296,7 +301,7 @@ def continuous_extraction(spark, sf_dir):
 
 def repeat_suppression(spark, sf_dir):
     folder = _arrivals(spark, order_pages(spark, sf_dir), copies=2)
-    events = continuous.continuous_events(continuous.arriving_pages(spark, folder, 4))
+    events = continuous.continuous_events(continuous.arriving_pages(spark, folder, _files_per_batch(spark)))
     return _streamed(spark, continuous.without_repeats(events)).groupBy("external_id").agg(F.count(F.lit(1)).alias("events"))
 
 

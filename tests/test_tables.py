@@ -12,6 +12,7 @@ from almanac.plans.extract import extract, responses
 from almanac.plans.staging import write_once
 from almanac.sources import tables
 from almanac.streaming import continuous
+from almanac.workloads import crawling
 
 
 def write_lines(path, *rows):
@@ -237,3 +238,12 @@ def test_due_sources(spark, last, due):
         "scrape_frequency", F.expr("INTERVAL '24' HOUR")
     )
     assert [r.source_id for r in ledger.due_sources(sources, F.lit("2025-01-02").cast("date")).collect()] == ([1] if due else [])
+
+
+def test_a_batch_of_the_stream_has_work_for_all_cores(spark, sf_dir):
+    assert crawling._files_per_batch(spark) >= spark.sparkContext.defaultParallelism
+    batches = []
+    folder = crawling._arrivals(spark, crawling.order_pages(spark, sf_dir))
+    arriving = continuous.arriving_pages(spark, folder, crawling._files_per_batch(spark))
+    arriving.writeStream.foreachBatch(lambda df, n: batches.append(n)).trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 1
