@@ -84,12 +84,14 @@ def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: b
         .withColumn("_timed", jsonld.read_times(F.col("items"), "direct"))
         .withColumn("_barren", is_barren(F.col("items"), is_spoilt(F.col("_timed"))))
     )
-    needs_nodes = F.col("_refused") | jsonld.wants_link(F.col("items")) | has_frame(html)
+    needs_nodes = has_frame(html)
     if with_text:
-        needs_nodes = needs_nodes | F.col("_barren")
+        needs_nodes = needs_nodes | F.col("_refused") | F.col("_barren")
+    needs_links = F.col("_refused") | jsonld.wants_link(F.col("items"))
     read = (
         read.withColumn("_read", read_page(
-            F.when(needs_nodes, html), jsonld.refused_texts(blocks), F.when(~F.col("_refused"), jsonld.many_titles(F.col("items")))))
+            F.when(needs_nodes | needs_links, html), jsonld.refused_texts(blocks), F.when(~F.col("_refused"), jsonld.many_titles(F.col("items"))),
+            F.coalesce(needs_nodes, F.lit(False))))
         .withColumn("_nodes", F.col("_read.nodes"))
         .withColumn("items", F.when(F.col("_refused"), jsonld.items_of(jsonld.mended_blocks(blocks, F.col("_read.again")))).otherwise(F.col("items")))
         .withColumn("_timed", F.when(F.col("_refused"), jsonld.read_times(F.col("items"), "direct")).otherwise(F.col("_timed")))
@@ -101,7 +103,7 @@ def survey(pages: DataFrame, as_of: Column, on_error: str = "page", with_text: b
         asks = F.when(F.col("_barren") & F.col("frame_url").isNull(), nodes)
         read = read.withColumn("title", title(html)).withColumn("text", page_text(asks))
     linked = (
-        read.withColumn("items", jsonld.put_links(F.col("_timed"), jsonld.item_links(F.col("items"), nodes, F.col("_read.hrefs"))))
+        read.withColumn("items", jsonld.put_links(F.col("_timed"), jsonld.item_links(F.col("items"), F.col("_read.links"), F.col("_read.hrefs"))))
         .withColumn("links", F.when(
             F.col("failed"), F.expr(f"cast(array() as {_LINKS})")
         ).otherwise(outgoing(F.col("url"), F.col("frame_url"), as_of, months)))

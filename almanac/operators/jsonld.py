@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from almanac import schemas
 from almanac.functions import variants as V
 from almanac.functions.arrays import each
-from almanac.functions.html import JSONLD_MARK, anchors, jsonld_blocks, read_page, repair_entities
+from almanac.functions.html import JSONLD_MARK, jsonld_blocks, read_page, repair_entities
 from almanac.functions.ids import external_id
 from almanac.functions.isotime import (
     local_time, sql_add_seconds, sql_counts_seconds, sql_duration_seconds, sql_normalise,
@@ -105,9 +105,8 @@ def titles_wanted(items: Column) -> Column:
     ))
 
 
-def page_links(nodes: Column) -> Column:
+def page_links(links: Column) -> Column:
     """Links with an address, in document order, with their lower-case texts."""
-    links = F.filter(anchors(nodes), lambda a: F.coalesce(a["href"], F.lit("")) != "")
     return F.transform(links, lambda a: F.struct(a["href"].alias("href"), F.lower(a["text"]).alias("text")))
 
 
@@ -116,13 +115,13 @@ def many_titles(items: Column) -> Column:
     return F.when(wants_link(items) & (F.size(items) > MANY_TITLES), titles_wanted(items))
 
 
-def item_links(items: Column, nodes: Column, hrefs: Column) -> Column:
+def item_links(items: Column, links: Column, hrefs: Column) -> Column:
     """H20 for a whole page: per item the address of the first link that holds its title, NULL where not needed.
 
     Links and events of a page meet inside its row, so no pairs are written anywhere.  ``hrefs`` are those that were found
     already for ``many_titles``; items of a page that has refused blocks have other places, so they are compared here.
     """
-    one_by_one = bind(page_links(F.when(wants_link(items) & hrefs.isNull(), nodes)), lambda links: F.transform(
+    one_by_one = bind(page_links(F.when(wants_link(items) & hrefs.isNull(), links)), lambda links: F.transform(
         titles_wanted(items), lambda t: link_for_title(links, t)))
     return F.coalesce(hrefs, one_by_one)
 
@@ -142,9 +141,9 @@ def with_items(pages: DataFrame, html: str = "html") -> DataFrame:
         pages.withColumn("_blocks", marked_blocks(F.col(html)))
         .withColumn("_strict", items_of(blocks))
         .withColumn("_read", read_page(
-            F.when(refused(blocks) | wants_link(strict), F.col(html)), refused_texts(blocks), F.when(~refused(blocks), many_titles(strict))))
-        .withColumn("items", items_of(mended_blocks(blocks, F.col("_read.again"))))
-        .withColumn("items", put_links(F.col("items"), item_links(F.col("items"), F.col("_read.nodes"), F.col("_read.hrefs"))))
+            F.when(refused(blocks) | wants_link(strict), F.col(html)), refused_texts(blocks), F.when(~refused(blocks), many_titles(strict)), F.lit(False)))
+        .withColumn("items", F.when(refused(blocks), items_of(mended_blocks(blocks, F.col("_read.again")))).otherwise(strict))
+        .withColumn("items", put_links(F.col("items"), item_links(F.col("items"), F.col("_read.links"), F.col("_read.hrefs"))))
         .drop("_blocks", "_strict", "_read")
     )
 

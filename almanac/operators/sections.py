@@ -80,13 +80,17 @@ def _rank(n: Column) -> Column:
 def _dated(nodes: Column) -> Column:
     """Elements that match a selector and name a date, with the length of their text."""
 
-    def describe(n: Column) -> Column:
-        text = F.lower(F.array_join(texts(nodes, n), ""))
-        return F.struct(_rank(n).alias("rank"), n["pre"].alias("pre"), n["last"].alias("last"),
-                        n["sig"].alias("sig"), names_a_date(text).alias("dated"), F.length(strip(text)).alias("length"))
-
-    matching = F.filter(nodes, lambda n: (n["kind"] == "element") & _rank(n).isNotNull())
-    return F.filter(F.transform(matching, describe), lambda c: c["dated"])
+    def describe(c: Column) -> Column:
+        return bind(F.lower(F.array_join(texts(nodes, c), "")), lambda text: F.struct(
+            c["rank"].alias("rank"), c["pre"].alias("pre"), c["last"].alias("last"), c["sig"].alias("sig"),
+            names_a_date(text).alias("dated"), F.length(strip(text)).alias("length")))
+
+    # every selector asks for one of these, so most nodes are passed over after one look
+    likely = F.filter(nodes, lambda n: (n["kind"] == "element") & (
+        n["tag"].isin("article", "section", "li") | n["attrs"]["class"].isNotNull() | n["attrs"]["id"].isNotNull()))
+    ranked = F.transform(likely, lambda n: F.struct(
+        _rank(n).alias("rank"), n["pre"].alias("pre"), n["last"].alias("last"), n["sig"].alias("sig"), n["tag"].alias("tag")))
+    return F.filter(F.transform(F.filter(ranked, lambda c: c["rank"].isNotNull()), describe), lambda c: c["dated"])
 
 
 def candidates(nodes: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:

@@ -2,13 +2,14 @@
 import hashlib
 import re
 from datetime import datetime, timedelta
+from random import Random
 from urllib.parse import urljoin, urlparse
 from zoneinfo import ZoneInfo
 
 from hypothesis import HealthCheck, Phase, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from almanac.functions import ids, isotime, urls
+from almanac.functions import html, ids, isotime, urls
 from almanac.functions.text import names_a_date, strip
 
 RUN = settings(max_examples=3, phases=[Phase.generate], derandomize=True, database=None, deadline=None, suppress_health_check=list(HealthCheck))
@@ -164,3 +165,35 @@ def test_date_words_and_strip(spark):
     got = rows(spark, [(t,) for t in texts], "t string", d=names_a_date(F.col("t")))
     assert {r.t: r.d for r in got} == texts
     assert rows(spark, [("  x y \n",)], "t string", s=strip(F.col("t")))[0].s == "x y"
+
+
+def _read_by_the_standard_parser(page):
+    reader = html._Nodes(True)
+    reader.standard(page)
+    return reader.finished()
+
+
+def test_plain_markup_is_read_as_the_standard_parser_does():
+    pieces = [
+        '<a href="x&amp;y=1">', "<a href=x>", "</a>", "<br/>", "<br />", '<p class="a  b" id=q>', "</p>", "a & b", "&lt;x", "<input disabled>",
+        "<input disabled/>", "<title>t</title>", "<title>t&amp;</title>", "<script>a<b</script>", "<script>a</b</script>", "<script/>", "<style>",
+        '<SCRIPT type="x">var a="<p>";</SCRIPT>', "</style>", "<!-- c -->", "<!-- a--b -->", "<!-->", "<!doctype html>", "<", ">", "</ p>", "<div a=1/>",
+        "<div a='q'b=2>", '<li a="1" A="2">', " \n ", "<pre> ", "</pre>", "<textarea>x", "</textarea>", "&copy", "<p a=>", '<p a="">', "<x-y>", "\x00",
+    ]
+    random, plain = Random(5), 0
+    for _ in range(4000):
+        page = "".join(random.choices(pieces, k=random.randint(1, 10)))
+        reader = html._Nodes(True)
+        if reader.plain(page):
+            plain += 1
+            assert reader.finished() == _read_by_the_standard_parser(page), page
+    assert plain > 400
+
+
+def test_pages_are_handed_over_whole_only_where_asked(spark):
+    rows = spark.createDataFrame([(1, "<a href='/x'> A <b>b</b></a><a>none</a>", False), (2, "<a HREF=/x>A</a>", True), (3, "<a>none</a>", False)], "id int, html string, whole boolean")
+    read = rows.select("id", html.read_page(F.col("html"), F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), F.col("whole")).alias("r"))
+    found = {r.id: r.r for r in read.collect()}
+    assert [tuple(k) for k in found[1].links] == [("/x", "Ab")] and found[1].nodes is None
+    assert [tuple(k) for k in found[2].links] == [("/x", "A")] and len(found[2].nodes) == 2
+    assert found[3].links == [] and found[3].nodes is None
