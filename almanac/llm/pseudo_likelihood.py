@@ -3,7 +3,7 @@
 A small network reads a window of two words before and two after, a table of vectors for each place, and
 predicts the class of the hidden word and the word within the class, so a prediction is normalised exactly at
 the cost of two small softmaxes.  Words beyond the vocabulary share tokens by hash; such a word has the probability of its
-token times its share of the token's occurrences, out of the counts of all words.  Words are counted over all documents.  A share of the documents is dealt
+token times its share of the token's occurrences, out of the counts of all words.  Words are counted over all documents.  All documents are dealt
 out to copies of the network, as many as its words ask for and however the table is split; each task trains
 one, the copies are averaged, weighted by their words, and the next round starts from the average.  A document's score is the sum of its words' conditional log-probabilities.
 """
@@ -29,8 +29,8 @@ WORDS = 64              # of a class
 RARE = 64               # tokens that stand for all words beyond the vocabulary, by hash
 PLACES = (-2, -1, 1, 2)
 WIDTH = 24
-SHARE = 16              # one in so many documents is trained on
-COPY = 500_000          # words a copy is trained on, about
+SHARE = 1               # one in so many documents is trained on: every one
+COPY = 2_000_000        # words a copy is trained on, about
 ROUNDS = 2
 MINIBATCH = 1024
 RATE = 0.1
@@ -384,7 +384,7 @@ def _named(word: str) -> tuple[int, int]:
 
 
 def fit(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS, counts: DataFrame | None = None) -> Network:
-    """Count the words of all documents, if ``counts`` does not have them, then train on a share, which grows with the table."""
+    """Count the words of all documents, if ``counts`` does not have them, then train on all of them, or on one in ``share``."""
     counts = write_once(word_counts(docs)) if counts is None else counts
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(TOKENS - RARE).collect()]

@@ -109,6 +109,13 @@ def test_pseudo_likelihood_is_normalised_and_learns(spark):
     assert abs(each - learnt.log_probabilities([[], one])[1]) < 1e-4
 
 
+def test_pseudo_likelihood_trains_on_every_document(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("the cat sat on the mat and the dog lay on the rug").alias("text"))
+    left_out = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) != 0)
+    plain, learnt = pseudo_likelihood.fit(left_out, rounds=0), pseudo_likelihood.fit(left_out)
+    assert not np.array_equal(plain.flat(), learnt.flat())
+
+
 def test_pseudo_likelihood_by_hand():
     """Each word's probability out of the parameters, number by number, with marks beyond the ends; weights small and large."""
     import math
