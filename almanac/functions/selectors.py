@@ -63,8 +63,12 @@ def link_inside() -> Column:
     )
 
 
+def class_words(cls: Column) -> Column:
+    return F.split(cls, r"\s+")
+
+
 def class_names(node: Column) -> Column:
-    return F.split(F.coalesce(node["attrs"]["class"], F.lit("")), r"\s+")
+    return class_words(F.coalesce(node["attrs"]["class"], F.lit("")))
 
 
 def _matches(node: Column, c: Column) -> Column:

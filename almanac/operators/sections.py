@@ -9,12 +9,13 @@ import sys
 from bisect import bisect_right, insort
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions import urls
 from almanac.functions.html import elements, inside, outermost, page_nodes, stripped, texts
-from almanac.functions.selectors import class_names
+from almanac.functions.selectors import class_words
 from almanac.functions.arrays import each
 from almanac.functions.text import bind, names_a_date, strip
 
@@ -46,15 +47,12 @@ SECTION_MIN_CRAWL, SECTION_MIN_TEXT = 50, 51
 SIBLINGS_BACK = 3  # fixed value: how many nodes before a section are looked at for a date
 
 
-def _rank(n: Column) -> Column:
-    """Rank of the first selector an element matches, NULL for none."""
-    tag = n["tag"]
-    cls = F.coalesce(n["attrs"]["class"], F.lit(""))
-    ident = F.coalesce(n["attrs"]["id"], F.lit(""))
+def _rank(tag: Column, cls: Column, ident: Column) -> Column:
+    """Rank of the first selector an element with this class and id ('' for none) matches, NULL for none."""
     inner = ~tag.isin("body", "html")
 
     def has_class(name: str) -> Column:
-        return cls.contains(name) & F.array_contains(class_names(n), name)
+        return cls.contains(name) & F.array_contains(class_words(cls), name)
 
     tests = {
         1: (tag == "article") & cls.contains("calendar"),
@@ -74,23 +72,30 @@ def _rank(n: Column) -> Column:
         15: tag == "section",
         16: tag == "li",
     }
-    return F.coalesce(*[F.when(tests[number], number) for number, _ in RANKED_SELECTORS])
+
+    def first(numbers: range) -> Column:
+        return F.coalesce(*[F.when(tests[number], number) for number, _ in RANKED_SELECTORS if number in numbers])
+
+    # an element without a class or an id is not held against the selectors that ask for one
+    return F.coalesce(F.when(cls != "", first(range(1, 11))), F.when(ident != "", first(range(11, 14))), first(range(14, 17)))
 
 
 def _dated(nodes: Column) -> Column:
-    """Elements that match a selector and name a date, with the length of their text."""
+    """``STRUCT<rank, pre, last, sig, length>`` of elements that match a selector and name a date, with the length of their text."""
 
     def describe(c: Column) -> Column:
         return bind(F.lower(F.array_join(texts(nodes, c), "")), lambda text: F.struct(
             c["rank"].alias("rank"), c["pre"].alias("pre"), c["last"].alias("last"), c["sig"].alias("sig"),
-            names_a_date(text).alias("dated"), F.length(strip(text)).alias("length")))
+            F.when(names_a_date(text), F.length(strip(text))).alias("length")))
 
     # every selector asks for one of these, so most nodes are passed over after one look
-    likely = F.filter(nodes, lambda n: (n["kind"] == "element") & (
-        n["tag"].isin("article", "section", "li") | n["attrs"]["class"].isNotNull() | n["attrs"]["id"].isNotNull()))
-    ranked = F.transform(likely, lambda n: F.struct(
-        _rank(n).alias("rank"), n["pre"].alias("pre"), n["last"].alias("last"), n["sig"].alias("sig"), n["tag"].alias("tag")))
-    return F.filter(F.transform(F.filter(ranked, lambda c: c["rank"].isNotNull()), describe), lambda c: c["dated"])
+    likely = F.filter(nodes, lambda n: (n["kind"] == "element") & (n["tag"].isin("article", "section", "li") | (F.size(n["attrs"]) > 0)))
+    known = F.transform(likely, lambda n: F.struct(
+        n["pre"].alias("pre"), n["last"].alias("last"), n["sig"].alias("sig"), n["tag"].alias("tag"),
+        F.coalesce(n["attrs"]["class"], F.lit("")).alias("cls"), F.coalesce(n["attrs"]["id"], F.lit("")).alias("ident")))
+    ranked = F.transform(known, lambda n: F.struct(
+        _rank(n["tag"], n["cls"], n["ident"]).alias("rank"), n["pre"].alias("pre"), n["last"].alias("last"), n["sig"].alias("sig"), n["tag"].alias("tag")))
+    return F.filter(F.transform(F.filter(ranked, lambda c: c["rank"].isNotNull()), describe), lambda c: c["length"].isNotNull())
 
 
 def candidates(nodes: Column, shortest: int = SHORTEST, longest: int = LONGEST) -> Column:
@@ -99,7 +104,7 @@ def candidates(nodes: Column, shortest: int = SHORTEST, longest: int = LONGEST)
     ``shortest`` and ``longest`` bound the length of the text; ``passed_over`` has what falls outside.
     """
     fitting = F.filter(_dated(nodes), lambda c: c["length"].between(shortest, longest))
-    return F.array_sort(F.transform(
+    return F.sort_array(F.transform(
         fitting, lambda c: F.struct(c["rank"].alias("rank"), c["pre"].alias("pre"), c["last"].alias("last"), c["sig"].alias("sig"))
     ))
 
@@ -129,18 +134,28 @@ def without_nested(nodes: Column, ranked: Column) -> Column:
 
     @F.arrow_udf("array<int>")
     def choose(candidates: pa.Array, signatures: pa.Array) -> pa.Array:
-        rows = zip(candidates.to_pylist(), signatures.to_pylist())
-        return pa.array([None if c is None else _cover(c, s) for c, s in rows], pa.list_(pa.int32()))
+        fields = candidates.flatten()
+        spans = list(zip(*(fields.field(name).to_pylist() for name in ("pre", "last", "sig"))))
+        out, at = [], 0
+        for many, page in zip(pc.list_value_length(candidates).to_pylist(), signatures):
+            if many is None:
+                out.append(None)
+            elif many < 2:
+                out.append([0] * many)  # a candidate alone stays, whatever its markup
+                at += many
+            else:
+                out.append(_cover(spans[at:at + many], page.values.to_pylist()))
+                at += many
+        return pa.array(out, pa.list_(pa.int32()))
 
     kept = choose.asNondeterministic()(ranked, F.transform(nodes, lambda n: n["sig"]))
     return F.transform(kept, lambda at: ranked[at])
 
 
-def _cover(candidates: list[dict], signatures: list[int]) -> list[int]:
-    """Numbers of the candidates to keep.  Kept spans are disjoint, so two neighbours tell an overlap."""
+def _cover(candidates: list[tuple[int, int, int]], signatures: list[int]) -> list[int]:
+    """Numbers of the candidates (``pre, last, sig``) to keep.  Kept spans are disjoint, so two neighbours tell an overlap."""
     starts, ends, own, covered, kept = [], {}, set(), set(), []
-    for number, c in enumerate(candidates):
-        pre, last, sig = c["pre"], c["last"], c["sig"]
+    for number, (pre, last, sig) in enumerate(candidates):
         at = bisect_right(starts, pre)
         if (at and ends[starts[at - 1]] >= pre) or (at < len(starts) and starts[at] <= last):
             continue
@@ -158,7 +173,7 @@ def _cover(candidates: list[dict], signatures: list[int]) -> list[int]:
 
 def outermost_candidates(ranked: Column) -> Column:
     """H11, second form: the candidates that lie in no other one, in document order."""
-    by_position = F.array_sort(F.transform(ranked, lambda c: F.struct(
+    by_position = F.sort_array(F.transform(ranked, lambda c: F.struct(
         c["pre"].alias("pre"), c["last"].alias("last"), c["rank"].alias("rank"), c["sig"].alias("sig")
     )))
     return bind(by_position, outermost)
@@ -213,7 +228,7 @@ def date_context(nodes: Column, node: Column) -> Column:
         ).otherwise("")
 
     dated = F.filter(F.transform(near, text), lambda t: (t != "") & names_a_date(F.lower(t)))
-    return F.when(F.size(dated) > 0, F.array_join(dated, "\n"))
+    return bind(dated, lambda found: F.when(F.size(found) > 0, F.array_join(found, "\n")))
 
 
 def page_sections(pages: DataFrame, min_length: int = SECTION_MIN_CRAWL, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:

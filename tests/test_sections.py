@@ -258,3 +258,27 @@ def test_containers_that_do_not_fit_are_listed(spark):
     assert [(r.page_id, r.rank, r.length, r.reason) for r in rows] == [(1, 16, 9, "too_short"), (1, 16, 5010, "too_long")]
     assert sections.passed_over_sections(pages, 5, 6000).count() == 0
     assert sections.page_sections(pages).count() == 1 and sections.page_sections(pages, shortest=60, longest=6000).count() == 2
+
+
+def test_a_date_is_looked_for_once_in_each_text(spark, pages):
+    def searches(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("(?iU)")
+
+    trees = pages.withColumn("nodes", page_nodes(F.col("html")))
+    node = F.element_at(F.col("nodes"), 1)
+    assert searches(trees.select(sections.date_context(F.col("nodes"), node).alias("c"))) == 1
+    # an element's class and id are fetched once, not by each selector
+    plan = trees.select(sections.candidates(F.col("nodes")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[class]") == 1 and plan.count("[id]") == 1
+
+
+def test_candidates_keep_their_order_and_repeats_go(spark):
+    article = '<article class="x calendar"><p id="event-1">Lecture on Friday, in the great hall behind the river</p></article>'
+    lone = '<ul id="list"><li class="views-row">Lecture on Friday, in the small hall behind the river</li></ul>'
+    again = "<section>Reading on Monday morning in the old library by the market</section>" * 2
+    found = pages_of(spark, ("u", article + "<body class=event>" + lone), ("v", again), ("w", lone), ("x", "<p>none</p>"), ("y", None))
+    ranked = sections.candidates(F.col("nodes"))
+    trees = found.withColumn("nodes", page_nodes(F.col("html"), signatures=True)).withColumn("r", ranked)
+    kept = trees.withColumn("k", sections.without_nested(F.col("nodes"), F.col("r"))).coalesce(1).collect()
+    assert {r.url: r.r and [(c.rank, c.pre) for c in r.r] for r in kept} == {"u": [(1, 0), (4, 5), (11, 1)], "v": [(15, 0), (15, 2)], "w": [(4, 1)], "x": [], "y": None}
+    assert {r.url: r.k and [(c.rank, c.pre) for c in r.k] for r in kept} == {"u": [(1, 0), (4, 5)], "v": [(15, 0)], "w": [(4, 1)], "x": [], "y": None}
