@@ -35,6 +35,19 @@ def get_truthy(item: Column, key: str) -> Column:
     return non_empty(get(item, key))
 
 
+def fields(item: Column, types: str) -> Column:
+    """Some fields of an object as a struct, NULL where missing, each as ``get`` (``string``) or ``field`` (``variant``) reads it; NULL for no object.
+
+    The object is walked once, and a missing key costs nothing, while each path that leads nowhere is an exception inside Spark.
+    """
+    return F.try_variant_get(item, "$", f"struct<{types}>")
+
+
+def text_or(value: Column, default: str = "") -> Column:
+    """``get_or`` of a value that ``fields`` read as VARIANT."""
+    return F.when(value.isNull(), default).otherwise(text(value))
+
+
 def kind(value: Column) -> Column:
     """OBJECT, ARRAY, STRING, BIGINT, VOID, ...; NULL for SQL NULL."""
     return F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)

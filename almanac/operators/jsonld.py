@@ -22,7 +22,7 @@ from almanac.functions.ids import external_id
 from almanac.functions.isotime import (
     local_time, sql_add_seconds, sql_counts_seconds, sql_duration_seconds, sql_normalise,
 )
-from almanac.functions.text import bind, each_item, let, strip
+from almanac.functions.text import bind, each_item, let, non_empty, strip
 from almanac.functions.tolerant import reread
 from almanac.functions.urls import resolve
 
@@ -92,17 +92,13 @@ def items_of(blocks: Column) -> Column:
 
 def wants_link(items: Column) -> Column:
     """Is there an event with a title and no URL?  Only then the links of the page matter."""
-    open_ended = F.exists(
-        items, lambda i: V.get_truthy(i["item"], "url").isNull() & V.get_truthy(i["item"], "name").isNotNull()
-    )
-    return F.coalesce(open_ended, F.lit(False))
+    return F.coalesce(F.exists(titles_wanted(items), lambda t: t.isNotNull()), F.lit(False))
 
 
 def titles_wanted(items: Column) -> Column:
     """Per item the title to look for among the links, NULL where the item has an address or no title."""
-    return F.transform(items, lambda i: F.when(
-        V.get_truthy(i["item"], "url").isNull(), F.lower(strip(V.get_truthy(i["item"], "name")))
-    ))
+    read = F.transform(items, lambda i: V.fields(i["item"], "url: string, name: string"))
+    return F.transform(read, lambda f: F.when(non_empty(f["url"]).isNull(), F.lower(strip(non_empty(f["name"])))))
 
 
 def page_links(links: Column) -> Column:
@@ -112,7 +108,7 @@ def page_links(links: Column) -> Column:
 
 def many_titles(items: Column) -> Column:
     """The titles to look for, on pages that have so many that comparing each with every link is no way to do it."""
-    return F.when(wants_link(items) & (F.size(items) > MANY_TITLES), titles_wanted(items))
+    return F.when((F.size(items) > MANY_TITLES) & wants_link(items), titles_wanted(items))
 
 
 def item_links(items: Column, links: Column, hrefs: Column) -> Column:
@@ -121,8 +117,8 @@ def item_links(items: Column, links: Column, hrefs: Column) -> Column:
     Links and events of a page meet inside its row, so no pairs are written anywhere.  ``hrefs`` are those that were found
     already for ``many_titles``; items of a page that has refused blocks have other places, so they are compared here.
     """
-    one_by_one = bind(page_links(F.when(wants_link(items) & hrefs.isNull(), links)), lambda links: F.transform(
-        titles_wanted(items), lambda t: link_for_title(links, t)))
+    one_by_one = bind(titles_wanted(items), lambda titles: bind(
+        page_links(F.when(F.exists(titles, lambda t: t.isNotNull()), links)), lambda links: F.transform(titles, lambda t: link_for_title(links, t))))
     return F.coalesce(hrefs, one_by_one)
 
 
@@ -165,13 +161,15 @@ def _text(item: str, key: str) -> str:
     return f"nullif(try_variant_get({item}, '$.{key}', 'string'), '')"
 
 
-_FIELDS = (
-    "i -> named_struct('block_pos', i.block_pos, 'item_pos', i.item_pos, 'item', i.item,"
-    f" 'start_date', {_text('i.item', 'startDate')}, 'end_date', {_text('i.item', 'endDate')},"
-    f" 'start_clock', coalesce({_text('i.item', 'startTime')}, {_text('i.item', 'doorTime')}), 'end_clock', {_text('i.item', 'endTime')},"
-    f" 'duration', {_text('i.item', 'duration')},"
-    " 'odd_duration', coalesce(schema_of_variant(try_variant_get(i.item, '$.duration', 'variant')) <> 'STRING', false))"
-)
+_NAMES = ("startDate", "endDate", "startTime", "doorTime", "endTime", "duration")
+_FIELDS = [
+    "i -> named_struct('i', i, 'f', try_variant_get(i.item, '$', 'struct<" + ", ".join(f"{n}: string" for n in _NAMES) + ">'))",
+    "s -> named_struct('block_pos', s.i.block_pos, 'item_pos', s.i.item_pos, 'item', s.i.item,"
+    " 'start_date', nullif(s.f.startDate, ''), 'end_date', nullif(s.f.endDate, ''),"
+    " 'start_clock', coalesce(nullif(s.f.startTime, ''), nullif(s.f.doorTime, '')), 'end_clock', nullif(s.f.endTime, ''),"
+    " 'duration', nullif(s.f.duration, ''),"
+    " 'odd_duration', CASE WHEN s.f.duration IS NULL THEN false ELSE schema_of_variant(try_variant_get(s.i.item, '$.duration', 'variant')) <> 'STRING' END)",
+]
 
 
 def _merge_clock(date: str, clock: str) -> str:
@@ -254,7 +252,7 @@ def _calendar_steps(repair: bool) -> list[str]:
 def read_times(items: Column, rule: str, repair: bool = False) -> Column:
     """Items with ``start_time``, ``end_time`` and ``error`` under one of the three reading rules, in parallel to ``items``."""
     steps = _calendar_steps(repair) if rule == "calendar" else _merged_steps(durations=rule == "direct")
-    for step in [_FIELDS, *steps]:
+    for step in [*_FIELDS, *steps]:
         items = each_item(items, step)
     return items
 
@@ -328,6 +326,9 @@ def organizer(value: Column) -> Column:
     ).otherwise("")
 
 
+_RECORD = "`@id`: string, url: string, name: variant, description: string, location: variant, organizer: variant, eventStatus: variant, eventAttendanceMode: variant"
+
+
 def explode_events(df: DataFrame, timed: str, base_url: str, keep: list[str], link: Column | None = None) -> DataFrame:
     """One row per item of the array column ``timed``, with the event's fields.
 
@@ -335,25 +336,25 @@ def explode_events(df: DataFrame, timed: str, base_url: str, keep: list[str], li
     a URL may take the one of a link with its title (E10).
     """
     link = F.lit(True) if link is None else link
-    rows = each(df, [*keep, F.col(base_url).alias("_base"), link.alias("_link")], timed, pos="seq")
-    item, start = F.col("item"), F.col("start_time")
-    title, own = V.get_or(item, "name"), V.get_truthy(item, "url")
+    rows = each(df, [*keep, F.col(base_url).alias("_base"), link.alias("_link")], timed, pos="seq").withColumn("_f", V.fields(F.col("item"), _RECORD))
+    read, start = F.col("_f"), F.col("start_time")
+    title, own = V.text_or(read["name"]), non_empty(read["url"])
     by_title = F.when(F.col("_link"), resolve(F.col("_base"), F.col("href")))
     return rows.select(
         *keep,
         "seq",
         "block_pos",
         "item_pos",
-        F.coalesce(V.get_truthy(item, "@id"), own, external_id(F.col("_base"), title, start)).alias("external_id"),
+        F.coalesce(non_empty(read["@id"]), own, external_id(F.col("_base"), title, start)).alias("external_id"),
         title.alias("title"),
-        F.coalesce(V.get(item, "description"), F.lit("")).alias("description"),
-        location(V.field(item, "location")).alias("location"),
+        F.coalesce(read["description"], F.lit("")).alias("description"),
+        location(read["location"]).alias("location"),
         "start_time",
         "end_time",
         F.coalesce(own, by_title, F.col("_base")).alias("url"),
-        organizer(V.field(item, "organizer")).alias("organizer"),
-        V.get_or(item, "eventStatus").alias("event_status"),
-        V.get_or(item, "eventAttendanceMode").alias("event_attendance_mode"),
+        organizer(read["organizer"]).alias("organizer"),
+        V.text_or(read["eventStatus"]).alias("event_status"),
+        V.text_or(read["eventAttendanceMode"]).alias("event_attendance_mode"),
     )
 
 

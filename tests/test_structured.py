@@ -207,3 +207,20 @@ def test_block_extraction_is_stable_on_no_script(spark):
 def test_no_shuffle_for_page_events(spark):
     plan = jsonld.page_events(pages_of(spark, ("u", "h")))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_fields_of_an_event_are_read_by_one_walk_over_it(spark):
+    events = [
+        {"@type": "Event", "name": None, "startDate": "2025-01-01", "duration": "PT60S", "url": "", "eventStatus": {"a": 1}, "location": None},
+        {"@type": "Event", "startDate": "2025-01-01", "duration": 60, "description": 7, "organizer": {"name": "Org"}, "@id": "urn:1"},
+        {"@type": "Event", "name": "Fair", "startDate": "2025-01-01", "doorTime": "18:00", "duration": None, "endTime": "", "eventStatus": None},
+    ]
+    html = '<a href="/fair">The FAIR</a>' + "".join(f'<script type="application/ld+json">{json.dumps(e)}</script>' for e in events)
+    pages = spark.createDataFrame([(1, "https://a.example/x", html)], "page_id long, url string, html string")
+    found = jsonld.page_events(pages, on_error="item")
+    rows = {r.block_pos: (r.title, r.external_id, r.description, r.event_status, r.organizer, r.start_time, r.url) for r in found.collect()}
+    assert sorted(rows) == [0, 2]  # a duration that is a number cannot be read
+    assert rows[0][0] is None and rows[0][2:5] == ("", '{"a":1}', "")
+    assert rows[2][0] == "Fair" and rows[2][3:] == (None, "", "2025-01-01T18:00:00+00:00", "https://a.example/fair")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(f"$.{name}," in plan for name in ("startDate", "endDate", "doorTime", "eventStatus"))
