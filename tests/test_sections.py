@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import selectors as SEL
 from almanac.functions.html import page_nodes
-from almanac.functions.text import windows
+from almanac.functions.text import DATE_PATTERN, names_a_date, windows
 from almanac.operators import hints, models, sections
 from almanac.plans.page_events import crawl_sections, section_prompts
 
@@ -282,3 +282,11 @@ def test_candidates_keep_their_order_and_repeats_go(spark):
     kept = trees.withColumn("k", sections.without_nested(F.col("nodes"), F.col("r"))).coalesce(1).collect()
     assert {r.url: r.r and [(c.rank, c.pre) for c in r.r] for r in kept} == {"u": [(1, 0), (4, 5), (11, 1)], "v": [(15, 0), (15, 2)], "w": [(4, 1)], "x": [], "y": None}
     assert {r.url: r.k and [(c.rank, c.pre) for c in r.k] for r in kept} == {"u": [(1, 0), (4, 5)], "v": [(15, 0)], "w": [(4, 1)], "x": [], "y": None}
+
+
+def test_the_edge_of_a_word_is_looked_for_once_at_each_place(spark):
+    assert DATE_PATTERN.count(r"\b") == 2
+    dated = ["on 1/2/24.", "12-25-2024", "at 9:30", "9:30 PM!", "the 3RD", "in mAy", "\u017fun", "x 12:30 pmx", "may-be"]
+    plain = ["x1/2/24", "123/4/24", "1/2/24567", "9:3", "9:305", "a3rd", "3rds", "dismay", "maybe", "sun_", "sun\u0301", "112:30", "", "2024"]
+    rows = spark.createDataFrame([(t,) for t in dated + plain], "t string").select("t", names_a_date(F.col("t")).alias("yes")).collect()
+    assert [r.t for r in rows if r.yes] == dated
