@@ -4,16 +4,16 @@ A small network reads a window of two words before and two after, a table of vec
 predicts the class of the hidden word and the word within the class, so a prediction is normalised exactly at
 the cost of two small softmaxes.  Words beyond the vocabulary share tokens by hash; such a word has the probability of its
 token times its share of the token's occurrences, out of the counts of all words.  Words are counted over all documents.  All documents are dealt
-out to copies of the network, as many as its words ask for and however the table is split; each task trains
-one, the copies are averaged, weighted by their words, and the next round starts from the average.  A document's score is the sum of its words' conditional log-probabilities.
+out, as tokens, to copies of the network, as many as its words ask for and however the table is split; each is trained within a task,
+the copies are averaged, weighted by their words, and the next round starts from the average.  A document's score is the sum of its words' conditional log-probabilities.
 """
 from __future__ import annotations
 
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,7 @@ ROUNDS = 2
 MINIBATCH = 1024
 RATE = 0.1
 STRETCH = 1 << 16       # words scored at once
+BLOCK = 1 << 10         # of them whose numbers fit a core's cache
 PIECE = 1 << 14         # numbers of a row of parameters
 FLUSH = 600_000         # different words counted by a task before they are given out
 FANS = 64               # partial sums of copies, before the last one
@@ -44,6 +45,11 @@ LONG = 64               # characters; longer words are not remembered
 FREQUENT = 200_000      # words beyond the vocabulary, at most, whose shares are sent to all tasks; others are joined
 
 TOKENS = CLASSES * WORDS
+TOGETHER = 15           # minibatches whose lookups are worked out at once; 16 bits number their tokens
+RANKED = np.array([0, CLASSES - 1, *range(1, CLASSES - 1)])    # classes by how many words of a text they have, about
+RANKS = np.argsort(RANKED)
+RUNS = np.array([0, 1, 2, 5, 11, 22, 37])       # ranks at which classes of about as many words begin
+SPANS = np.array([1, *(n << k for k in range(40) for n in (2, 3))])     # numbers of rows that a token's places are filled up to
 
 
 def words_of(text: str) -> list[str]:
@@ -138,31 +144,14 @@ class Network:
                 out[own] += _chosen(h[own], p["words"][c], p["word_bias"][c], member[own])
         return out
 
-    def predict(self, h: np.ndarray, tokens: np.ndarray, gradients: dict | None = None) -> np.ndarray:
-        """Log-probability of each token after the hidden values; with ``gradients``, also those of their sum."""
+    def predict(self, h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Log-probability of each token after the hidden values, out of whole softmaxes."""
         p = self.parts
         group, member = np.divmod(tokens, WORDS)
-        row = np.arange(len(tokens))
-        classes = _log_softmax(h @ p["classes"] + p["class_bias"])
-        out = classes[row, group].astype(np.float64)
-        if gradients is not None:
-            error = -np.exp(classes)
-            error[row, group] += 1
-            gradients["classes"], gradients["class_bias"] = h.T @ error, error.sum(0)
-            gradients["h"] = error @ p["classes"].T
-            gradients["words"], gradients["word_bias"] = np.zeros_like(p["words"]), np.zeros_like(p["word_bias"])
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[bounds[c]:bounds[c + 1]]
-            if len(own):
-                words = _log_softmax(h[own] @ p["words"][c] + p["word_bias"][c])
-                out[own] += words[np.arange(len(own)), member[own]]
-                if gradients is not None:
-                    error = -np.exp(words)
-                    error[np.arange(len(own)), member[own]] += 1
-                    gradients["words"][c], gradients["word_bias"][c] = h[own].T @ error, error.sum(0)
-                    gradients["h"][own] += error @ p["words"][c].T
+        out = _log_softmax(h @ p["classes"] + p["class_bias"])[np.arange(len(tokens)), group].astype(np.float64)
+        for c in np.unique(group):
+            own = np.flatnonzero(group == c)
+            out[own] += _log_softmax(h[own] @ p["words"][c] + p["word_bias"][c])[np.arange(len(own)), member[own]]
         return out
 
     def log_probabilities(self, documents: list[list[int]]) -> np.ndarray:
@@ -172,39 +161,21 @@ class Network:
 
     def sums(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Sums by document of the log-probabilities of all documents' tokens in a row."""
-        reach = max(PLACES)
-        at = np.arange(len(tokens)) + np.repeat((np.arange(len(lengths)) + 1) * reach, lengths)
-        line = np.full(len(tokens) + (len(lengths) + 1) * reach, TOKENS)
-        line[at] = tokens
+        at, line = _lined(tokens, lengths[lengths > 0], np.int64)
+        places, reach = _by_token(self.parts["places"]), max(PLACES)
         out = np.zeros(len(tokens))
         for start in range(0, len(tokens), STRETCH):
             part = slice(start, start + STRETCH)
             here = at[part]
-            out[part] = self.scores(self.hidden(np.stack([line[here + p] for p in PLACES])), tokens[part])
+            h = np.empty((len(here), WIDTH), np.float32)
+            for some in range(0, len(here), BLOCK):
+                own = here[some:some + BLOCK]
+                low = own[0] - reach
+                near = places.take(line[low:own[-1] + reach + 1], axis=0)
+                np.tanh(_summed(near, self.parts["bias"]).take(own - (low + reach), axis=0), out=h[some:some + BLOCK])
+            out[part] = self.scores(h, tokens[part])
         return by_document(out, lengths)
 
-    def learn(self, documents: list[list[int]], squares: dict[str, np.ndarray]) -> None:
-        """One pass of adaptive gradient steps over the documents."""
-        tokens, around = self.windows(documents)
-        for start in range(0, len(tokens), MINIBATCH):
-            part = slice(start, start + MINIBATCH)
-            here, near = tokens[part], around[:, part]
-            gradients: dict[str, np.ndarray] = {}
-            h = self.hidden(near)
-            self.predict(h, here, gradients)
-            back = gradients.pop("h") * (1 - h * h) / len(here)
-            for name, g in gradients.items():
-                _step(self.parts[name], squares[name], g / len(here))
-            _step(self.parts["bias"], squares["bias"], back.sum(0))
-            for k in range(len(PLACES)):
-                order = np.argsort(near[k], kind="stable")
-                ranked = near[k][order]
-                starts = np.flatnonzero(np.diff(ranked, prepend=-1))
-                seen, g = ranked[starts], np.add.reduceat(back[order], starts, axis=0)
-                table, square = self.parts["places"][k], squares["places"][k]
-                square[seen] += g * g
-                table[seen] += RATE * g / (np.sqrt(square[seen]) + 1e-6)
-
     def flat(self) -> np.ndarray:
         return np.concatenate([self.parts[n].ravel() for n in sorted(self.parts)])
 
@@ -224,6 +195,226 @@ def by_document(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
+@dataclass
+class Step:
+    """What a step of training looks up, worked out for several minibatches at once."""
+    line: np.ndarray        # tokens and marks of the minibatch and as far as its windows reach
+    here: np.ndarray        # its words' positions, those of a class together, counted from the first that can be a word's
+    ranks: np.ndarray       # their classes, by rank
+    members: np.ndarray     # and which word of the class
+    runs: list[tuple[int, int, int]]    # classes from, to, and rows that each gets
+    slots: np.ndarray       # of each word its row among those
+    words: np.ndarray       # of each row its word, or one past the last
+    seen: np.ndarray        # different tokens of the line, those with as many places together
+    spans: list[tuple[int, int]]        # how many tokens, and how many rows each gets
+    places: np.ndarray      # of each of these rows its place in the line, or one past the last
+
+
+def steps(line: np.ndarray, at: np.ndarray, tokens: np.ndarray) -> Iterator[Step]:
+    """At most ``TOGETHER`` minibatches: ``tokens`` that stand ``at`` places of the ``line``."""
+    reach, number = max(PLACES), -(-len(at) // MINIBATCH)
+    firsts = np.arange(0, len(at), MINIBATCH)
+    sizes = np.diff(firsts, append=len(at))
+    batch = np.repeat(np.arange(number), sizes)
+    low, high = at[firsts] - reach, at[firsts + sizes - 1] + reach + 1
+
+    key = (batch * CLASSES + RANKS[tokens // WORDS]).astype(np.uint16)
+    order = np.argsort(key, kind="stable")
+    key, tokens, here = key[order], tokens[order], at[order] - (low + reach)[batch]
+    counts = np.bincount(key, minlength=number * CLASSES).reshape(number, CLASSES)
+    bounds = np.append(RUNS, CLASSES)
+    most, total = np.maximum.reduceat(counts, RUNS, axis=1), np.add.reduceat(counts, RUNS, axis=1)
+    apart = np.diff(bounds) * most > 2 * total + MINIBATCH // 2     # few rows would be words, so each class has its own number
+    width = np.where(np.repeat(apart, np.diff(bounds), axis=1), counts, np.repeat(most, np.diff(bounds), axis=1))
+    rows = width.sum(1)
+    slots = (np.cumsum(width, axis=1) - width).ravel()[key] + np.arange(len(key)) - (np.cumsum(counts) - counts.ravel())[key]
+    words = np.repeat(sizes, rows)
+    words[slots + (np.cumsum(rows) - rows)[batch]] = np.arange(len(key)) - firsts[batch]
+
+    lengths = high - low
+    ends = np.cumsum(lengths)
+    of = np.repeat(np.arange(number), lengths)
+    place = np.arange(ends[-1]) - (ends - lengths)[of]
+    lines = line[place + low[of]]
+    named = (lines + (TOKENS + 1) * of).astype(np.uint16)
+    sort = np.argsort(named, kind="stable")
+    named = named[sort]
+    starts = np.flatnonzero(np.diff(named, prepend=-1))
+    times = np.diff(starts, append=len(named))
+    owner, token = np.divmod(named[starts], TOKENS + 1)
+    kind = owner.astype(np.int64) * len(SPANS) + np.searchsorted(SPANS, times)
+    by = np.argsort(kind, kind="stable")
+    kinds = np.bincount(kind, minlength=number * len(SPANS))
+    room = kinds.reshape(number, -1) * SPANS
+    first = np.empty(len(by), np.int64)
+    first[by] = (np.cumsum(room) - room.ravel())[kind[by]] + np.arange(len(by)) - (np.cumsum(kinds) - kinds)[kind[by]]
+    places = np.repeat(lengths, room.sum(1))
+    places[np.repeat(first, times) + (np.arange(len(named)) - np.repeat(starts, times)) * np.repeat(kinds[kind], times)] = place[sort]
+    seen, kinds = token[by], kinds.reshape(number, -1)
+
+    def cut(values: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        return np.split(values, np.cumsum(sizes)[:-1])
+
+    for i, (x, h, k, m, s, w, t, p) in enumerate(zip(
+            cut(lines, lengths), cut(here, sizes), cut(key - batch * CLASSES, sizes), cut(tokens % WORDS, sizes), cut(slots, sizes),
+            cut(words, rows), cut(seen, kinds.sum(1)), cut(places, room.sum(1)))):
+        runs = []
+        for j, (c, to) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            runs += [(b, b + 1, int(counts[i, b])) for b in range(c, to)] if apart[i, j] else [(c, to, int(most[i, j]))]
+        yield Step(x, h, k, m, runs, s, w, t, [(n, each) for n, each in zip(kinds[i].tolist(), SPANS.tolist()) if n], p)
+
+
+class Learner:
+    """A network in training: its parameters and the sums of their squared gradients, laid out so that a step is a few products.
+
+    A token's vectors for all places lie in a row, biases stand below the weights, and classes are ranked so that those of
+    about as many words are neighbours: these get the same number of rows, the last ones empty, and one product of stacks.
+    """
+
+    def __init__(self, network: Network):
+        p = network.parts
+        self.ids = network.ids
+        self.places = _by_token(p["places"])
+        self.bias = p["bias"].copy()
+        self.classes = np.concatenate([p["classes"], p["class_bias"][None]])[:, RANKED]
+        self.words = np.concatenate([p["words"], p["word_bias"][:, None]], axis=1)[RANKED]
+        self.place_squares, self.gradient = np.zeros_like(self.places), np.zeros_like(self.words)
+        squares = np.zeros_like(self.words)
+        stacks = [slice(c, c + 8) for c in range(0, CLASSES, 8)]  # these fit a core's cache
+        self.stepped = [(self.words[c].reshape(-1), squares[c].reshape(-1), self.gradient[c].reshape(-1)) for c in stacks]
+        self.class_squares, self.bias_squares = np.zeros_like(self.classes), np.zeros_like(self.bias)
+        self.kept: dict[str, np.ndarray] = {}
+
+    def network(self) -> Network:
+        words, classes = self.words[RANKS], self.classes[:, RANKS]
+        places = self.places.reshape(TOKENS + 1, len(PLACES), WIDTH).transpose(1, 0, 2)
+        return Network(self.ids, {
+            "places": places, "bias": self.bias, "classes": classes[:-1], "class_bias": classes[-1], "words": words[:, :-1], "word_bias": words[:, -1]})
+
+    def learn(self, tokens: np.ndarray, lengths: np.ndarray) -> None:
+        """One pass of adaptive gradient steps over the documents, their tokens in a row; beyond a document's ends stands a mark."""
+        lengths = lengths[lengths > 0]
+        at, line = _lined(tokens, lengths, np.uint16)
+        for start in range(0, len(tokens), TOGETHER * MINIBATCH):
+            part = slice(start, start + TOGETHER * MINIBATCH)
+            for step in steps(line, at[part], tokens[part]):
+                self.step(step)
+
+    def room(self, name: str, rows: int, width: int) -> np.ndarray:
+        """Rows to write into, the same ones each time."""
+        kept = self.kept.get(name)
+        if kept is None or len(kept) < rows:
+            kept = self.kept[name] = np.empty((rows + rows // 8, width), np.float32)
+        return kept[:rows]
+
+    def step(self, step: Step) -> None:
+        size, reach = len(step.here), max(PLACES)
+        share = np.float32(1 / size)
+        near = np.take(self.places, step.line, axis=0, out=self.room("near", len(step.line), self.places.shape[1]), mode="clip")
+        total = _summed(near, self.bias)
+        middle = len(total)
+        h = np.take(total, step.here, axis=0, out=self.room("h", size, WIDTH), mode="clip")
+        np.tanh(h, out=h)
+        wide = self.room("wide", size + 1, WIDTH + 1)
+        wide[:size, :WIDTH] = h
+        wide[:size, WIDTH] = 1
+        wide[size] = 0
+
+        x = self.room("x", size, CLASSES)
+        _errors(x, lambda: np.matmul(wide[:size], self.classes, out=x), step.ranks + np.arange(size) * CLASSES, share)
+        back = x @ self.classes.T
+        classes = wide[:size].T @ x
+
+        rows = np.take(wide, step.words, axis=0, out=self.room("rows", len(step.words), WIDTH + 1), mode="clip")
+        y, down = self.room("y", len(rows), WORDS), self.room("down", len(rows), WIDTH + 1)
+        stacks, at = [], 0
+        for c, to, each in step.runs:
+            part = slice(at, at + (to - c) * each)
+            stacks.append((slice(c, to), *(a[part].reshape(to - c, each, -1) if each else None for a in (rows, y, down))))
+            at = part.stop
+
+        def forward() -> None:
+            for c, own, logits, _ in stacks:
+                if own is not None:
+                    np.matmul(own, self.words[c], out=logits)
+
+        _errors(y, forward, step.members + step.slots * WORDS, share)
+        for c, own, error, under in stacks:
+            if own is None:
+                self.gradient[c] = 0
+            else:
+                np.matmul(own.transpose(0, 2, 1), error, out=self.gradient[c])
+                np.matmul(error, self.words[c].transpose(0, 2, 1), out=under)
+        back += np.take(down, step.slots, axis=0, out=self.room("taken", size, WIDTH + 1), mode="clip")
+
+        _step(self.classes, self.class_squares, classes)
+        for stack in self.stepped:
+            _step(*stack)
+        after = self.room("after", size, WIDTH)
+        np.multiply(h, h, out=after)
+        np.subtract(1, after, out=after)
+        after *= back[:, :WIDTH]
+        _step(self.bias, self.bias_squares, after.sum(0))
+
+        all_after = self.room("all", middle, WIDTH)
+        if middle > size:
+            all_after[:] = 0
+        all_after[step.here] = after
+        spread = self.room("spread", len(near) + 1, self.places.shape[1])
+        for k, place in enumerate(PLACES):
+            columns = spread[:, k * WIDTH:(k + 1) * WIDTH]
+            columns[:reach + place] = 0
+            columns[reach + place:reach + place + middle] = all_after
+            columns[reach + place + middle:] = 0
+        ranked = np.take(spread, step.places, axis=0, out=self.room("ranked", len(step.places), spread.shape[1]), mode="clip")
+        gradient, at, row = self.room("gradient", len(step.seen), spread.shape[1]), 0, 0
+        for n, each in step.spans:
+            np.add.reduce(ranked[row:row + n * each].reshape(each, -1), axis=0, out=gradient[at:at + n].reshape(-1))
+            at, row = at + n, row + n * each
+        values, squares = self.places.take(step.seen, axis=0), self.place_squares.take(step.seen, axis=0)
+        _step(values, squares, gradient)
+        self.places[step.seen], self.place_squares[step.seen] = values, squares
+
+
+def _by_token(places: np.ndarray) -> np.ndarray:
+    """A copy with a token's vectors for all places in a row."""
+    return places.transpose(1, 0, 2).reshape(TOKENS + 1, -1)
+
+
+def _summed(near: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Of a line of tokens' vectors, what each place gets from those around it; the places at the ends, whose window is cut, are left out."""
+    reach = max(PLACES)
+    middle = len(near) - 2 * reach
+    total = near[reach + PLACES[0]:reach + PLACES[0] + middle, :WIDTH] + bias
+    for k, place in enumerate(PLACES[1:], 1):
+        total += near[reach + place:reach + place + middle, k * WIDTH:(k + 1) * WIDTH]
+    return total
+
+
+def _lined(tokens: np.ndarray, lengths: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all documents' tokens in a line with marks before, between and behind the documents; the line."""
+    reach = max(PLACES)
+    at = np.arange(len(tokens)) + np.repeat((np.arange(len(lengths)) + 1) * reach, lengths)
+    line = np.full(len(tokens) + (len(lengths) + 1) * reach, TOKENS, kind)
+    line[at] = tokens
+    return at, line
+
+
+def _errors(x: np.ndarray, fill: Callable[[], object], chosen: np.ndarray, share: np.float32) -> None:
+    """What ``fill`` writes into ``x``, by row: the gradient, times ``share``, of the logarithm of the softmax at the place chosen."""
+    fill()
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        np.exp(x, out=x)
+        sums = x @ np.ones(x.shape[1], np.float32)
+    if not (sums.min() > 1e-25 and sums.max() < 1e25):  # each row's own greatest is taken off only where that matters
+        fill()
+        x -= x.max(1, keepdims=True)
+        np.exp(x, out=x)
+        sums = x.sum(1)
+    x *= (-share / sums)[:, None]
+    x.reshape(-1)[chosen] += share
+
+
 class Codes(dict):
     """Numbers of words: their tokens or, for rare ones, places beyond ``TOKENS`` in lists of what is known of them.
 
@@ -280,13 +471,19 @@ def _chosen(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, which: np.ndar
     each row's own greatest one is taken off.
     """
     reach = float(np.abs(weights).sum(0).max())
-    x = h @ weights
-    x += bias - (bias.max() + reach)
-    if reach > 35:
-        x -= x.max(1, keepdims=True)
-    out = x[np.arange(len(x)), which].astype(np.float64)
-    np.exp(x, out=x)
-    return out - np.log(x @ np.ones(x.shape[1], np.float32))
+    shift, ones = bias - (bias.max() + reach), np.ones(weights.shape[1], np.float32)
+    out = np.empty(len(h))
+    room = np.empty((min(len(h), BLOCK), weights.shape[1]), np.float32)
+    for start in range(0, len(h), BLOCK):
+        part = slice(start, start + BLOCK)
+        x = np.matmul(h[part], weights, out=room[:len(h) - start])
+        x += shift
+        if reach > 35:
+            x -= x.max(1, keepdims=True)
+        chosen = x[np.arange(len(x)), which[part]].astype(np.float64)
+        np.exp(x, out=x)
+        out[part] = chosen - np.log(x @ ones)
+    return out
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
@@ -296,8 +493,13 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def _step(values: np.ndarray, squares: np.ndarray, gradient: np.ndarray) -> None:
-    squares += gradient * gradient
-    values += RATE * gradient / (np.sqrt(squares) + 1e-6)
+    change = gradient * gradient
+    squares += change
+    np.sqrt(squares, out=change)
+    change += np.float32(1e-6)
+    np.divide(gradient, change, out=change)
+    change *= np.float32(RATE)
+    values += change
 
 
 def _added(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -320,26 +522,49 @@ PARTS = pa.schema([("fan", pa.int32()), ("piece", pa.int32()), ("weight", pa.flo
 PARTS_DDL = "fan int, piece int, weight double, numbers binary"
 
 
-def trained(docs: DataFrame, network: Network, share: int = SHARE, copies: int = 1) -> Network:
-    """The average of ``copies`` trained on the documents of the share, dealt out evenly; none to train on leaves it as it is."""
+def dealt(docs: DataFrame, network: Network, share: int = SHARE, copies: int = 1) -> DataFrame:
+    """``copy, tokens, lengths``: the documents of the share dealt out evenly to ``copies``, as tokens, stored once for all rounds.
+
+    A row holds the documents of an Arrow batch; a copy's rows follow each other.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value.filled(shared.value.flat())
-        squares = {n: np.zeros_like(p) for n, p in own.parts.items()}
-        weight = 0
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("copy", pa.int32()), ("tokens", pa.binary()), ("lengths", pa.binary())])
         for batch in batches:
-            documents = [own.tokens(t) for t in common.texts(batch)]
-            weight += sum(map(len, documents))
-            own.learn(documents, squares)
+            documents = [shared.value.tokens(t) for t in common.texts(batch)]
+            lengths = np.array([len(d) for d in documents], np.int32)
+            tokens = np.fromiter(chain.from_iterable(documents), np.uint16, int(lengths.sum(dtype=np.int64)))
+            yield from common.batches([(TaskContext.get().partitionId(), tokens.tobytes(), lengths.tobytes())], schema)
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text").repartition(copies)
+    return write_once(sample.mapInArrow(encode, "copy int, tokens binary, lengths binary"))
+
+
+def trained(dealt: DataFrame, network: Network) -> Network:
+    """The average, weighted by words, of copies of the network trained on what was ``dealt`` to each; nothing to train on leaves it as it is.
+
+    A task adds up its copies, so what it gives out does not grow with them.
+    """
+    shared = dealt.sparkSession.sparkContext.broadcast(network)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((c, np.frombuffer(t, np.uint16), np.frombuffer(n, np.int32)) for b in batches for c, t, n in zip(*(b.column(i).to_pylist() for i in range(3))))
+        weight, values = 0, np.zeros(0)
+        for _, own in groupby(rows, key=lambda row: row[0]):
+            learner, words = Learner(shared.value), 0
+            for _, tokens, lengths in own:
+                learner.learn(tokens, lengths)
+                words += len(tokens)
+            if words:
+                added = learner.network().flat().astype(np.float64) * words
+                weight, values = weight + words, values + added if weight else added
         if weight:
-            values = own.flat().astype(np.float64) * weight
             fan = TaskContext.get().partitionId() % FANS
             yield from common.batches([
                 (fan, i, float(weight), values[at:at + PIECE].tobytes()) for i, at in enumerate(range(0, len(values), PIECE))], PARTS)
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text").repartition(copies)
-    parts = write_once(sample.mapInArrow(train, PARTS_DDL))
+    parts = write_once(dealt.select("copy", "tokens", "lengths").mapInArrow(train, PARTS_DDL))
     rows = _added(_added(parts, ["fan", "piece"]), ["piece"]).orderBy("piece").collect()
     if not rows:
         return network
@@ -389,8 +614,10 @@ def fit(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS, counts: DataF
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(TOKENS - RARE).collect()]
     network = Network.start(top, total - sum(n for _, n in top))
-    for _ in range(rounds):
-        network = trained(docs, network, share, 1 + total // (share * COPY))
+    if rounds:
+        documents = dealt(docs, network, share, 1 + total // (share * COPY))
+        for _ in range(rounds):
+            network = trained(documents, network)
     return network
 
 

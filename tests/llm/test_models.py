@@ -116,6 +116,78 @@ def test_pseudo_likelihood_trains_on_every_document(spark):
     assert not np.array_equal(plain.flat(), learnt.flat())
 
 
+def plainly_learnt(network, documents):
+    """The parameters after a pass of adaptive gradient steps, word by word."""
+    p = {n: v.astype(float) for n, v in network.parts.items()}
+    squares = {n: np.zeros_like(v) for n, v in p.items()}
+    tokens, around = network.windows(documents)
+    for start in range(0, len(tokens), pseudo_likelihood.MINIBATCH):
+        stop = min(start + pseudo_likelihood.MINIBATCH, len(tokens))
+        gradients = {n: np.zeros_like(v) for n, v in p.items()}
+        for i in range(start, stop):
+            group, member = divmod(int(tokens[i]), pseudo_likelihood.WORDS)
+            h = np.tanh(sum(p["places"][k][t] for k, t in enumerate(around[:, i])) + p["bias"])
+            below = np.zeros_like(h)
+            for name, bias, which, at in (("classes", "class_bias", ..., group), ("words", "word_bias", group, member)):
+                logits = h @ p[name][which] + p[bias][which]
+                error = -np.exp(logits - logits.max())
+                error /= -error.sum()
+                error[at] += 1
+                gradients[name][which] += np.outer(h, error)
+                gradients[bias][which] += error
+                below += p[name][which] @ error
+            below *= 1 - h * h
+            gradients["bias"] += below
+            for k, t in enumerate(around[:, i]):
+                gradients["places"][k][t] += below
+        for n, g in gradients.items():
+            g /= stop - start
+            squares[n] += g * g
+            p[n] += pseudo_likelihood.RATE * g / (np.sqrt(squares[n]) + 1e-6)
+    return p
+
+
+def test_pseudo_likelihood_steps_are_the_plain_ones():
+    """Short and empty documents, words of all classes or of one alone, weights small and large, more words than are prepared at once."""
+    rng = np.random.default_rng(5)
+    some = [rng.zipf(1.3, n) % pseudo_likelihood.TOKENS for n in (0, 1, 2, 0, 0, 700, 3, 1, 600)]
+    many = [rng.zipf(1.3, n) % pseudo_likelihood.TOKENS for n in (9000, 1, 7000)]
+    one_class = [rng.integers(40 * 64, 41 * 64, n) for n in (900, 0, 300)]
+    for documents, strength in ((some, 1), (some, 60), (one_class, 1), ([[], [5], []], 1), ([[]], 1), (many, 1)):
+        network = pseudo_likelihood.Network.start([(f"w{i}", 5000 - i) for i in range(4032)], 7)
+        network.parts["classes"] = network.parts["classes"] * np.float32(strength)
+        network.parts["words"] = network.parts["words"] * np.float32(strength)
+        lengths = np.array([len(d) for d in documents], np.int32)
+        learner = pseudo_likelihood.Learner(network)
+        learner.learn(np.array([t for d in documents for t in d], np.uint16), lengths)
+        found, want = learner.network().parts, plainly_learnt(network, [list(map(int, d)) for d in documents])
+        for name, values in want.items():
+            apart = np.abs(found[name] - values)
+            assert apart.max() < 0.02 and apart.mean() < 1e-5, (name, strength, apart.max(), apart.mean())
+
+
+def test_pseudo_likelihood_deals_out_every_document_once(spark):
+    """All rounds read stored tokens: each text is cut into words once, and what the tasks give out is added up."""
+    texts = ["the cat sat", "", None, "a dog lay on the rug"] * 25
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    network = pseudo_likelihood.fit(docs, rounds=0)
+    dealt = pseudo_likelihood.dealt(docs, network, copies=3)
+    rows = dealt.collect()
+    assert {r["copy"] for r in rows} == {0, 1, 2}
+    lengths = np.concatenate([np.frombuffer(r["lengths"], np.int32) for r in rows])
+    tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint16) for r in rows])
+    assert sorted(lengths) == [0] * 50 + [3] * 25 + [6] * 25
+    assert sorted(tokens) == sorted(t for text in texts for t in network.tokens(text or ""))
+    want, words = 0, 0
+    for copy in range(3):
+        learner, n = pseudo_likelihood.Learner(network), 0
+        for r in (r for r in rows if r["copy"] == copy):
+            learner.learn(np.frombuffer(r["tokens"], np.uint16), np.frombuffer(r["lengths"], np.int32))
+            n += len(r["tokens"]) // 2
+        want, words = want + learner.network().flat().astype(float) * n, words + n
+    assert np.allclose(pseudo_likelihood.trained(dealt, network).flat(), want / words, atol=1e-6)
+
+
 def test_pseudo_likelihood_by_hand():
     """Each word's probability out of the parameters, number by number, with marks beyond the ends; weights small and large."""
     import math
