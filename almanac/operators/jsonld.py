@@ -22,6 +22,7 @@ from almanac.functions.ids import external_id
 from almanac.functions.isotime import (
     local_time, sql_add_seconds, sql_counts_seconds, sql_duration_seconds, sql_normalise,
 )
+from almanac.functions.plain import plain_events
 from almanac.functions.text import bind, each_item, let, non_empty, strip
 from almanac.functions.tolerant import reread
 from almanac.functions.urls import resolve
@@ -337,36 +338,58 @@ def explode_events(df: DataFrame, timed: str, base_url: str, keep: list[str], li
     """
     link = F.lit(True) if link is None else link
     rows = each(df, [*keep, F.col(base_url).alias("_base"), link.alias("_link")], timed, pos="seq").withColumn("_f", V.fields(F.col("item"), _RECORD))
-    read, start = F.col("_f"), F.col("start_time")
-    title, own = V.text_or(read["name"]), non_empty(read["url"])
-    by_title = F.when(F.col("_link"), resolve(F.col("_base"), F.col("href")))
+    return _records(rows, keep)
+
+
+def _records(rows: DataFrame, keep: list[str], plain: str | None = None) -> DataFrame:
+    """The fields of events, out of the object ``_f`` or, where it is there, out of the struct ``plain`` that has them already."""
+    read, start, title = F.col("_f"), F.col("start_time"), F.col("_title")
+    own, by_title = F.col("_own"), F.when(F.col("_link"), resolve(F.col("_base"), F.col("href")))
+
+    def either(field: str, other: Column) -> Column:
+        return other if plain is None else F.when(F.col(plain).isNotNull(), F.col(plain)[field]).otherwise(other)
+
+    spot = location(read["location"])
+    if plain is not None:
+        written = F.col(plain)["location_text"]
+        spot = F.when(written.isNotNull(), F.struct(F.lit("text").alias("kind"), written.alias("text"), F.lit(None).cast(schemas.PLACE).alias("place"))).otherwise(
+            location(F.coalesce(read["location"], F.try_parse_json(F.col(plain)["location_json"]))))
+    rows = rows.withColumns({"_title": either("title", V.text_or(read["name"])), "_own": either("own_url", non_empty(read["url"]))})
     return rows.select(
         *keep,
         "seq",
         "block_pos",
         "item_pos",
-        F.coalesce(non_empty(read["@id"]), own, external_id(F.col("_base"), title, start)).alias("external_id"),
+        F.coalesce(either("id", non_empty(read["@id"])), own, external_id(F.col("_base"), title, start)).alias("external_id"),
         title.alias("title"),
-        F.coalesce(read["description"], F.lit("")).alias("description"),
-        location(read["location"]).alias("location"),
+        F.coalesce(either("description", read["description"]), F.lit("")).alias("description"),
+        spot.alias("location"),
         "start_time",
         "end_time",
         F.coalesce(own, by_title, F.col("_base")).alias("url"),
-        organizer(read["organizer"]).alias("organizer"),
-        V.text_or(read["eventStatus"]).alias("event_status"),
-        V.text_or(read["eventAttendanceMode"]).alias("event_attendance_mode"),
+        either("organizer", organizer(read["organizer"])).alias("organizer"),
+        either("event_status", V.text_or(read["eventStatus"])).alias("event_status"),
+        either("event_attendance_mode", V.text_or(read["eventAttendanceMode"])).alias("event_attendance_mode"),
     )
 
 
 def page_events(pages: DataFrame, on_error: str = "page") -> DataFrame:
     """Events that pages carry themselves (E1-E11): scan, regular expression, JSON, explode.  No shuffle.
 
-    ``on_error='page'`` gives up a page with an unreadable date, ``'item'`` only the event concerned.
+    ``on_error='page'`` gives up a page with an unreadable date, ``'item'`` only the event concerned.  Plain pages, which have
+    no such date, are read by ``plain_events``; what it leaves goes through ``with_items`` and the reading rule.
     """
     keep = [c for c in pages.columns if c not in ("html", "url")]
     marked = pages.filter(F.col("html").contains(JSONLD_MARK)).withColumnRenamed("url", "page_url")
-    timed = with_items(marked).withColumn("_t", surviving(read_linked(F.col("items"), "direct"), "direct", on_error))
-    return explode_events(timed, "_t", "page_url", keep + ["page_url"])
+    plain, timed = F.col("_plain"), F.col("_t")
+    odd = marked.withColumn("_plain", plain_events(F.col("html"))).withColumn("html", F.when(plain.isNull(), F.col("html")))
+    read = with_items(odd).withColumn("_t", F.when(plain.isNull(), surviving(read_linked(F.col("items"), "direct"), "direct", on_error)))
+    # each event is either of the two; the other is NULL
+    both = F.when(plain.isNull(), F.transform(timed, lambda t: F.struct(t.alias("t"), F.get(plain, F.lit(-1)).alias("p")))).otherwise(
+        F.transform(plain, lambda p: F.struct(F.get(timed, F.lit(-1)).alias("t"), p.alias("p"))))
+    rows = each(read.withColumn("_e", both), [*keep, "page_url", F.col("page_url").alias("_base"), F.lit(True).alias("_link")], "_e", pos="seq")
+    shared = {c: F.coalesce(F.col("p")[c], F.col("t")[c]) for c in ("block_pos", "item_pos", "start_time", "end_time", "href")}
+    return _records(rows.withColumns(shared | {"_f": V.fields(F.col("t.item"), _RECORD)}), keep + ["page_url"], "p")
 
 
 def rejected_events(pages: DataFrame) -> DataFrame:

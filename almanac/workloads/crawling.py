@@ -268,8 +268,8 @@ def _arrivals(spark, pages: DataFrame, copies: int = 1) -> str:
 
 
 def _files_per_batch(spark) -> int:
-    """A batch of fewer files than the session has cores leaves cores without work."""
-    return max(4, spark.sparkContext.defaultParallelism)
+    """Some for each core: fewer leave cores without work, and each batch goes through all that the stream remembers."""
+    return max(4, 4 * spark.sparkContext.defaultParallelism)
 
 
 def _streamed(spark, events: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from almanac.functions.html import jsonld_blocks, page_nodes, title
+from almanac.functions.plain import MOST_ITEMS, PLAIN, plain_events
 from almanac.operators import crawl, jsonld
 from almanac.plans.extract import extract
 
@@ -224,3 +225,44 @@ def test_fields_of_an_event_are_read_by_one_walk_over_it(spark):
     assert rows[2][0] == "Fair" and rows[2][3:] == (None, "", "2025-01-01T18:00:00+00:00", "https://a.example/fair")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not any(f"$.{name}," in plan for name in ("startDate", "endDate", "doorTime", "eventStatus"))
+
+
+CRAFT = event(name="Basket weaving", startDate="2031-05-06")
+PLAIN_PAGES = [
+    script(CRAFT), script([CRAFT, 7, {"@type": "Thing"}, event(at_id="urn:w:2", startDate="2031-05-07T09:00Z", duration="PT5400S")]), script({"@graph": [CRAFT, None]}),
+    script(event(name="Loom", startDate="2031-05-06", doorTime="18:00", endDate="2031-05-07", location="Mill", organizer={"name": "Guild"}), CRAFT),
+    script(event(name="Loom", startDate="2031-05-06T10:00:00-05:00", endTime="11:30", location=[{"name": "", "address": "Yard"}], organizer=["x"], duration="PT2H")),
+    script(event(name="Loom", startDate="2031-05-06", location={"@type": "Place", "name": "Mill", "address": {"streetAddress": "Weir path"}}, description=None)),
+    script(event(name=" loom ", startDate="2031-05-06")) + '<a href="../x?a=1&amp;b=2"><b>To the</b> LOOM</a>', script('{"@type":"Event",'), script(CRAFT).replace('"Basket', '"A &amp;quot; B'),
+    script({"offers": [{"price": 12.5}], **CRAFT}), "<!-- " + script(CRAFT) + " --->" + script(CRAFT).replace("script", "SCRIPT"), script(event(name="no start")), script(3, None, "x"),
+]
+ODD_PAGES = [
+    script(event(name="Loom", startDate=day)) for day in ("2031-5-6", "2031-02-30", "soon", "2031-05-06T25:00", "2031-05-06T10:00:00.5", "2031-W05-1", 2031)
+] + [
+    script('{"@type":"Event","name":"a","name":"b","startDate":"2031-05-06"}'), script('{"@type":"Event","name":"a","startDate":"2031-05-06","n":NaN}'), script("{} {}"),
+    script(event(name=None, startDate="2031-05-06")), script(event(name=4, startDate="2031-05-06")), script({"@type": "Event", "location": {"geo": 1.50}}), script(event(name="\U0001f3ad")),
+    script(event(name="Loom", startDate="2031-05-06", duration="PT-5S")), script(event(name="\u03a3\u0391\u03a3")) + "<a href=x>\u03c3</a>", script([CRAFT] * (MOST_ITEMS + 1)), script("[" * 600 + "]" * 600),
+]
+
+
+def test_plain_pages_are_told_from_odd_ones(spark):
+    pages = pages_of(spark, *[("u", h) for h in [*PLAIN_PAGES, *ODD_PAGES, None]])
+    rows = pages.select("page_id", plain_events(F.col("html")).alias("p")).orderBy("page_id").collect()
+    assert [r.p is not None for r in rows] == [True] * len(PLAIN_PAGES) + [False] * (len(ODD_PAGES) + 1)
+
+
+@pytest.mark.parametrize("on_error", ["page", "item"])
+def test_plain_pages_read_the_same_by_expressions(spark, monkeypatch, on_error):
+    pages = pages_of(spark, *[(u, h) for h in PLAIN_PAGES + ODD_PAGES + [a + b for a, b in zip(PLAIN_PAGES, ODD_PAGES)] for u in ("https://h.example/a/b", None)])
+    found = jsonld.page_events(pages, on_error)
+    monkeypatch.setattr(jsonld, "plain_events", lambda html: F.lit(None).cast(T.ArrayType(PLAIN)))
+    expected = jsonld.page_events(pages, on_error)
+    assert found.schema == expected.schema
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_plain_pages_do_not_go_through_the_expressions(spark, monkeypatch):
+    monkeypatch.setattr(jsonld, "read_linked", lambda items, rule: F.when(F.size(items) > 0, F.raise_error(F.lit("read as an odd page"))).otherwise(items))
+    monkeypatch.setattr(jsonld, "surviving", lambda timed, rule, on_error: F.transform(timed, lambda t: F.struct(
+        *[t[c].alias(c) for c in ("block_pos", "item_pos", "item", "href")], *[F.lit(None).cast("string").alias(c) for c in ("start_time", "end_time", "error")])))
+    assert jsonld.page_events(pages_of(spark, *[("u", h) for h in PLAIN_PAGES])).count() == 13

@@ -232,6 +232,17 @@ def test_stream_suppresses_repeats_within_the_watermark(spark, tmp_path):
     assert run_stream(spark, tmp_path, dedupe=True) == ["a", "a", "b", "c"]
 
 
+def test_what_a_stream_remembers_is_not_kept_on_the_heap(spark, tmp_path):
+    arrivals(spark, str(tmp_path / "in"), ("a", datetime(2025, 1, 1)), ("a", datetime(2025, 1, 1)))
+    assert run_stream(spark, tmp_path, dedupe=True) == ["a"]
+    kinds = {p.suffix for p in (tmp_path / "state" / "state").rglob("*") if p.is_file()}
+    assert ".changelog" in kinds and ".delta" not in kinds
+
+
+def test_a_batch_of_the_stream_has_several_files_for_each_core(spark):
+    assert crawling._files_per_batch(spark) > spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("last, due", [(None, True), (datetime(2025, 1, 1), True), (datetime(2025, 1, 1, 12), False)])
 def test_due_sources(spark, last, due):
     sources = spark.createDataFrame([(1, True, last), (2, False, last)], "source_id int, active boolean, last_scraped timestamp_ntz").withColumn(
